@@ -21,7 +21,7 @@ from .common import as_text, materialize, read
 WEIGHTS = (5, 2, 1)
 #: The mix's words in half sizes of the corpus (3: 150 %) and the most passes over a source.
 HALVES, MOST = 3, 2
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

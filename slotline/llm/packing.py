@@ -13,6 +13,7 @@ their own; an empty table gives no rows; other input columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import as_text, materialize, read
 
 CAPACITY = 2048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Letters whose lower case and composition depend on no neighbour, then signs that never join a word.
+WORD_THEN_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|]*)")
 
 
 class WordTokenizer:
@@ -40,33 +43,49 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.inner, self.known = Tokenizer.from_file(path), {}
+        self.inner = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def alone(self, chunk: str) -> bytes:
         return np.array(self.inner.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        plain = [c for c in chunks if "<|" not in c]
-        for c in chunks.difference(plain):
-            self.known[c] = self.alone(c)
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
+    def together(self, chunks: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(chunks), 2000):
+            part = chunks[at : at + 2000]
             got = self.inner.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(got.ids, "<u4").tobytes()
             edges = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
-            self.known.update((c, ids[a:b]) for c, a, b in zip(part, edges, edges[1:]))
+            yield from (ids[a:b] for a, b in zip(edges, edges[1:]))
+
+    def learn(self, chunks: set[str]) -> None:
+        """Latin words are looked up in lower case, apart from the punctuation after them: fewer texts to merge."""
+        split = {c: m.groups() for c in chunks if (m := WORD_THEN_SIGNS.fullmatch(c))}
+        split = {c: (w.lower(), signs) for c, (w, signs) in split.items()}
+        new = {x for own in split.values() for x in own}.difference(self.words)
+        for w in new.intersection(self.older):
+            self.words[w] = self.older[w]
+        new = list(new.difference(self.older))
+        self.words.update(zip(new, self.together(new)))
+        self.known.update((c, self.words[w] + self.words[signs]) for c, (w, signs) in split.items())
+        other = chunks.difference(split)
+        plain = [c for c in other if "<|" not in c]
+        self.known.update(zip(plain, self.together(plain)))
+        self.known.update((c, self.alone(c)) for c in other.difference(plain))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            known = self.known
-            try:
-                yield b"".join(map(known.__getitem__, chunks))
-            except KeyError:
-                self.learn(set(chunks).difference(known))
-                yield b"".join(map(self.known.__getitem__, chunks)) if set(chunks) <= self.known.keys() else b"".join(map(self.alone, chunks))
+        for at in range(0, len(texts), 32):
+            if len(self.known) > CACHE_WORDS:
+                self.known = {}
+            if len(self.words) > CACHE_WORDS:
+                self.older, self.words = self.words, {}
+            split = [text.replace("\n", " ").split(" ") for text in texts[at : at + 32]]
+            if missing := set().union(*split).difference(self.known):
+                self.learn(missing)
+            ids = self.known.__getitem__
+            for chunks in split:
+                yield b"".join(map(ids, chunks))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
