@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -44,6 +45,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.merge = self.inner.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = sorted(set(range(256)).difference(plain))
+        #: How byte-level BPE writes bytes: printable ones as themselves, the others from code point 256 on.
+        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -60,19 +66,29 @@ class WordTokenizer:
             yield from (ids[a:b] for a, b in zip(edges, edges[1:]))
 
     def learn(self, chunks: set[str]) -> None:
-        """Latin words are looked up in lower case, apart from the punctuation after them: fewer texts to merge."""
-        split = {c: m.groups() for c in chunks if (m := WORD_THEN_SIGNS.fullmatch(c))}
-        split = {c: (w.lower(), signs) for c, (w, signs) in split.items()}
-        new = {x for own in split.values() for x in own}.difference(self.words)
-        for w in new.intersection(self.older):
-            self.words[w] = self.older[w]
-        new = list(new.difference(self.older))
-        self.words.update(zip(new, self.together(new)))
-        self.known.update((c, self.words[w] + self.words[signs]) for c, (w, signs) in split.items())
-        other = chunks.difference(split)
+        """Latin words go straight to the merges, in lower case and apart from the signs after them."""
+        words, match, other = self.words, WORD_THEN_SIGNS.fullmatch, []
+        for c in chunks:
+            if m := match(c):
+                w, signs = m.groups()
+                w = w.lower()
+                if (ids := words.get(w)) is None:
+                    ids = words[w] = self.older.get(w) or self.word(w)
+                if signs:
+                    if (last := words.get(signs)) is None:
+                        last = words[signs] = self.word(signs)
+                    ids += last
+                self.known[c] = ids
+            else:
+                other.append(c)
         plain = [c for c in other if "<|" not in c]
         self.known.update(zip(plain, self.together(plain)))
-        self.known.update((c, self.alone(c)) for c in other.difference(plain))
+        self.known.update((c, self.alone(c)) for c in set(other).difference(plain))
+
+    def word(self, w: str) -> bytes:
+        if not w.isascii():
+            w = w.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.merge(w)]).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 32):
