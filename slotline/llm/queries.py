@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import mixing, packing, repetition, urlrules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.query,
+        "op3_repetition_coverage": repetition.query,
         "op7_source_mixing": mixing.query,
+        "op10_url_rules": urlrules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.ORACLE}
+    return {"op3_repetition_coverage": repetition.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_url_rules": urlrules.ORACLE}
