@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, repetition, urlrules
+from . import mixing, neardup, packing, repetition, urlrules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": packing.query,
         "op3_repetition_coverage": repetition.query,
         "op7_source_mixing": mixing.query,
+        "op9_near_duplicates": neardup.query,
         "op10_url_rules": urlrules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_repetition_coverage": repetition.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_url_rules": urlrules.ORACLE}
+    return {"op3_repetition_coverage": repetition.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_near_duplicates": neardup.ORACLE, "op10_url_rules": urlrules.ORACLE}

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import U, Words, as_text, batches, mix, read
 
 #: Most share of word characters in repeated runs of n words, and in lines that repeat an earlier line.
-MOST_IN_GRAMS = {5: 0.30, 8: 0.25, 12: 0.25}
-MOST_IN_LINES = 0.40
+MOST_IN_GRAMS = {5: 0.50, 8: 0.45, 12: 0.45}
+MOST_IN_LINES = 0.30
 MIN_WORDS = 50
 SIGNS = np.zeros(256, bool)
 SIGNS[[ord(c) for c in "#*$%&|<>"]] = True
