@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, repetition, urlrules
+from . import mixing, neardup, packing, repetition, substrings, urlrules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": packing.query,
         "op3_repetition_coverage": repetition.query,
         "op7_source_mixing": mixing.query,
+        "op8_suffix_array_dedup": substrings.query,
         "op9_near_duplicates": neardup.query,
         "op10_url_rules": urlrules.query,
     }
