@@ -119,7 +119,7 @@ def child(path: int, position: int, value: int) -> int:
 
 def leaves(path: int, sketch: np.ndarray, similarity: float, least: float, depth: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(leaf, members, labels) below a node: branch while it is large, then connect what the sketches put near."""
-    todo = [(path, np.arange(len(sketch)), depth)]
+    todo = [(path & 0xFFFFFFFFFFFFFFFF, np.arange(len(sketch)), depth)]
     while todo:
         path, own, depth = todo.pop()
         if len(own) < 2:
