@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, repetition, substrings, urlrules
+from . import mixing, neardup, packing, repetition, substrings, toxicity, urlrules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.query,
+        "op2_toxicity": toxicity.query,
         "op3_repetition_coverage": repetition.query,
         "op7_source_mixing": mixing.query,
         "op8_suffix_array_dedup": substrings.query,
