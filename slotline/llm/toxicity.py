@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     part = lambda k, n: F.when(k > 0, k * F.log(k / (both * (n / (all1 + all0))))).otherwise(0.0)
     tested = lambda df: df.withColumn("g2", 2 * (part(F.col("a"), all1) + part(F.col("b"), all0))).where((F.col("g2") >= LEAST_G2) & ((F.col("a") + 0.5) / (F.col("b") + 0.5) >= LEAST_ODDS * all1 / all0))
     starts = counts.where(F.length("word") >= 4).select(F.explode(F.transform(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(7))), lambda k: F.substring("word", F.lit(1), k))).alias("word"), "a", "b")
-    stems = tested(starts.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("n")).where("n >= 5"))
+    stems = tested(starts.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("n"), F.max("a").alias("most")).where("n >= 5 and 2 * most <= a"))
     top = lambda df: df.orderBy(F.desc("g2"), "word").limit(MOST_TERMS).collect()
     found_stems: list[str] = []
     weight = {r["word"]: r["a"] for r in top(stems)}
