@@ -125,6 +125,23 @@ def batches(table: pa.RecordBatch, column: str = "text", fold: bool = False) ->
         yield row, end, Words(data, offsets, fold)
 
 
+def runs(parts: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Rows of equal ``column`` together, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        if not part.num_rows:
+            continue
+        keys = part.column(column).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[0].column(column)[0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _own: list[str] = []
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, U, Words, as_text, batches, materialize, mix, read
+from .common import BASE, U, Words, as_text, batches, materialize, mix, read, runs
 
 TREES, SKETCH, SHINGLE = 16, 128, 5
 #: Members of a node compared exhaustively; members of a node, or of a merged group, that one task takes.
@@ -136,23 +136,6 @@ def leaves(path: int, sketch: np.ndarray, similarity: float, least: float, depth
                     todo.append((child(path, int(p), int(value[part[0]])), own[part], depth + 1))
 
 
-def runs(parts: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Rows of equal ``column`` together, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for part in parts:
-        if not part.num_rows:
-            continue
-        keys = part.column(column).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and held[0].column(column)[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def candidate_groups(classes: DataFrame, similarity: float) -> DataFrame:
     """key, head, leaf: each class that some leaf puts near others, with the smallest key of its group there."""
     least = similarity - 6 * (similarity * (1 - similarity) / SKETCH) ** 0.5
@@ -293,6 +276,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     return rows.join(ids, "key", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component; rows without words all stay."""
+    found = near_duplicates(docs, percent, shingle, id_col, text_col)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 

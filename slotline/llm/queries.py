@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, repetition, substrings, toxicity, urlrules
+from . import hamming, lmscore, mainhtml, mixing, neardup, packing, repetition, substrings, toxicity, urlrules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": packing.query,
         "op2_toxicity": toxicity.query,
         "op3_repetition_coverage": repetition.query,
+        "op4_hamming_topk": hamming.query,
+        "op5_main_text": mainhtml.query,
+        "op6_cross_entropy_difference": lmscore.query,
         "op7_source_mixing": mixing.query,
         "op8_suffix_array_dedup": substrings.query,
         "op9_near_duplicates": neardup.query,
@@ -22,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_repetition_coverage": repetition.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_near_duplicates": neardup.ORACLE, "op10_url_rules": urlrules.ORACLE}
+    return {"op3_repetition_coverage": repetition.ORACLE, "op4_hamming_topk": hamming.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_near_duplicates": neardup.ORACLE, "op10_url_rules": urlrules.ORACLE}

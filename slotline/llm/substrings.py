@@ -281,7 +281,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             out.append(b"".join([*left, raw[at:]]).decode())
         return texts.__class__(out, dtype=object)
 
-    return with_repeats(docs, length, id_col, text_col).withColumn(text_col, without(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    return with_repeats(docs, length, id_col, text_col).withColumn(text_col, without(F.col(text_col), F.col("_spans"))).withColumns({"n_chars": F.length(text_col).cast("bigint")} if "n_chars" in docs.columns else {}).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
