@@ -33,7 +33,7 @@ from .common import BASE, U, Words, as_text, mix, read, runs, text_chunks, utf8
 ADD = 0.05
 START = mix(np.array([0x5354415254], U))[0]
 #: Rows of about this many bytes are one block; a range of keys holds about this many pairs.
-BLOCK_BYTES, PAIRS_PER_RANGE = 1 << 23, 3_000_000
+BLOCK_BYTES, PAIRS_PER_RANGE = 1 << 22, 2_000_000
 
 
 def text_rows(docs: DataFrame, target: Column, id_col: str, text_col: str) -> DataFrame:
@@ -106,7 +106,7 @@ def cross_entropy_difference(docs: DataFrame, target: Column, add: float = ADD,
                 size = np.diff(edge)
                 cut = np.searchsorted(((own >> U(32)) * U(ranges) >> U(32)).astype(np.int64), np.arange(ranges + 1))
                 used = np.flatnonzero(cut[1:] > cut[:-1])
-                packed = [(own[i:j].tobytes(), narrow(size[i:j]), narrow(at[edge[i] : edge[j]]), narrow(n[edge[i] : edge[j]])) for i, j in zip(cut[used], cut[used + 1])]
+                packed = [(own[i : i + 1].tobytes() + narrow(np.diff(own[i:j])), narrow(size[i:j]), narrow(at[edge[i] : edge[j]]), narrow(n[edge[i] : edge[j]])) for i, j in zip(cut[used], cut[used + 1])]
                 cols = [[*c, b""] for c in zip(*packed)] or [[b""]] * 4
                 m = len(used)
                 ids = pa.array([None] * m + [b.column("doc_id").slice(row, end - row).to_pylist()], ids_type)
@@ -121,7 +121,7 @@ def cross_entropy_difference(docs: DataFrame, target: Column, add: float = ADD,
             yield from ids.select(["block", "at", "n", "ids", "counts"]).rename_columns(["block", "at", "part", "ids", "counts"]).to_batches()
             if not group.num_rows:
                 continue
-            keys = [np.frombuffer(x, U) for x in group.column("keys").to_pylist()]
+            keys = [np.cumsum(np.concatenate([np.frombuffer(x[:8], U), wide(x[8:]).view(U)])) for x in group.column("keys").to_pylist()]
             sizes, at, n = ([wide(x) for x in group.column(c).to_pylist()] for c in ("sizes", "at", "n"))
             known, which = np.unique(np.concatenate(keys), return_inverse=True)
             holder = np.repeat(which, np.concatenate(sizes))
@@ -160,14 +160,15 @@ def cross_entropy_difference(docs: DataFrame, target: Column, add: float = ADD,
 
 
 def narrow(x: np.ndarray) -> bytes:
-    """Unsigned integers at the least width that holds them, after a byte that names it."""
-    top = int(x.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """64-bit integers cut to the fewest bytes that hold them, after a byte that names the number."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(np.ascontiguousarray(x).astype(x.dtype if x.dtype.itemsize == 8 else np.int64, copy=False).view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    width, out = raw[0], np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<i8").ravel()
 
 
 #: In the query the rows of this source are the domain to select for.

@@ -34,7 +34,7 @@ SHORTEST_FUZZY = 5
 #: Share of a hit's weight that is left inside quotation while too few quoted hits are known to learn it.
 QUOTED, QUOTED_KNOWN = 0.3, 30
 WINDOW = 80
-CACHE_WORDS = 300_000
+CACHE_WORDS, PLACES_AT_ONCE = 300_000, 100_000
 TERM = re.compile(r"[^\W\d_]+")
 QUOTES = (("\"", "\""), ("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"))
 REPORTING = frozenset("said says say called quote quoted wrote written word term insult slur phrase dijo llamó sagte nannte dit appelé".split())
@@ -174,13 +174,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
         return Model()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(seen: set) -> pa.RecordBatch:
+            cols = list(zip(*seen)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["word", "sides", "toxic"])
+
         for b in batches:
-            seen = set()
+            seen: set = set()
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 words = ["", *TERM.findall(text.lower()), ""]
                 seen.update((w, f"{p} {q}", toxic) for p, w, q in zip(words, words[1:], words[2:]))
-            cols = list(zip(*seen)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["word", "sides", "toxic"])
+                if len(seen) > PLACES_AT_ONCE:
+                    yield out(seen)
+                    seen = set()
+            yield out(seen)
 
     places_ = rows.select("text", F.col("toxic").cast("int")).mapInArrow(places, "word string, sides string, toxic int").select("word", F.xxhash64("sides").alias("sides"), "toxic").distinct()
     counts = materialize(places_.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")))
