@@ -1 +1 @@
-"""See the package docstring."""
+"""Whole queries over given tables."""

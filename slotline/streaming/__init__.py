@@ -1 +1 @@
-"""See the package docstring."""
+"""The operators on streams."""
