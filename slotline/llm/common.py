@@ -6,10 +6,12 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, so words never d
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +144,19 @@ def runs(parts: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f``, returning freed memory at its end: Spark keeps Python workers, idle ones too, from one stage to the next."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches_)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 _own: list[str] = []
 
 

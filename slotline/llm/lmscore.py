@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import BASE, U, Words, as_text, mix, read, runs, text_chunks, utf8
+from .common import BASE, U, Words, as_text, mix, read, runs, text_chunks, trimmed, utf8
 
 ADD = 0.05
 START = mix(np.array([0x5354415254], U))[0]
@@ -65,8 +65,8 @@ def vocabulary(rows: DataFrame) -> tuple[int, int, int]:
                 known[part] = np.union1d(known[part], own) if part in known else own
         yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, known.values()))], pa.int64()), pa.array([n], pa.int64()), pa.array([t], pa.int64())], ["v", "n", "t"])
 
-    packed = rows.select("target", "text").mapInArrow(words, "part int, words binary, n bigint, t bigint")
-    got = packed.repartition(parts, "part").mapInArrow(count, "v bigint, n bigint, t bigint").agg(F.sum("v"), F.sum("t"), F.sum("n")).first()
+    packed = rows.select("target", "text").mapInArrow(trimmed(words), "part int, words binary, n bigint, t bigint")
+    got = packed.repartition(parts, "part").mapInArrow(trimmed(count), "v bigint, n bigint, t bigint").agg(F.sum("v"), F.sum("t"), F.sum("n")).first()
     return tuple(int(x or 0) for x in got)
 
 
@@ -153,10 +153,10 @@ def cross_entropy_difference(docs: DataFrame, target: Column, add: float = ADD,
             empty = (counts == 0) | (goal_words == 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(total / np.maximum(counts, 1), mask=empty)], ["doc_id", "n_words", "score"])
 
-    packed = rows.mapInArrow(blocks, f"range int, block bigint, keys binary, sizes binary, at binary, n binary, ids array<{kind}>, counts array<bigint>")
-    parts = packed.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(losses, f"block bigint, at binary, part binary, ids array<{kind}>, counts array<bigint>")
+    packed = rows.mapInArrow(trimmed(blocks), f"range int, block bigint, keys binary, sizes binary, at binary, n binary, ids array<{kind}>, counts array<bigint>")
+    parts = packed.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(trimmed(losses), f"block bigint, at binary, part binary, ids array<{kind}>, counts array<bigint>")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(gather, f"doc_id {kind}, n_words bigint, score double")
+    return parts.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(trimmed(gather), f"doc_id {kind}, n_words bigint, score double")
 
 
 def narrow(x: np.ndarray) -> bytes:

@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, materialize, read
+from .common import as_text, materialize, read, trimmed
 from .urlrules import split_url
 
 LEAST_PAGES, LEAST_SHARE = 10, 0.5
+SALTS = 64
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -193,7 +194,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             got = [page_hashes(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["host", "page", "trees"])
 
-    seen = materialize(own.select("host", "html").mapInArrow(hashes, "host string, page bigint, trees array<bigint>").dropDuplicates(["host", "page"]))
+    seen = materialize(own.select("host", "html").mapInArrow(trimmed(hashes), "host string, page bigint, trees array<bigint>").dropDuplicates(["host", "page"]))
     of_host = seen.groupBy("host").agg(F.count("*").alias("pages"))
     counts = seen.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     template = counts.join(of_host, "host").where(F.col("n") >= least_share * F.col("pages")).groupBy(F.col("host").alias("_host")).agg(F.collect_list("tree").alias("template"))
@@ -204,8 +205,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = [own.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    joined = own.join(template, own["host"] == template["_host"], "left").select("page_id", "url", "html", "template")
-    return joined.mapInArrow(extract, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
+    # a hot host is dealt over salts, its short list goes to each of them
+    salted = own.withColumn("_salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)))
+    lists = template.withColumn("_of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    joined = salted.join(lists, (salted["host"] == lists["_host"]) & (salted["_salt"] == lists["_of"]), "left").select("page_id", "url", "html", "template")
+    return joined.mapInArrow(trimmed(extract), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, U, Words, as_text, batches, materialize, mix, read, runs
+from .common import BASE, U, Words, as_text, batches, materialize, mix, read, runs, trimmed
 
 TREES, SKETCH, SHINGLE = 16, 128, 5
 #: Members of a node compared exhaustively; members of a node, or of a merged group, that one task takes.
@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col
                     ["doc_id", "n_shingles", "key", "roots", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, key string, roots array<bigint>, sketch binary")
+    return docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, n_shingles bigint, key string, roots array<bigint>, sketch binary")
 
 
 def joined_up(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -156,7 +156,7 @@ def candidate_groups(classes: DataFrame, similarity: float) -> DataFrame:
 
     depth, small, large = 1, [nodes.where(F.col("size") <= TASK)], nodes.where(F.col("size") > TASK)
     while depth < MAX_DEPTH and not large.isEmpty():
-        below = materialize(large.join(classes.select("key", "sketch"), "key").select("key", "node", "sketch").mapInArrow(branch, "key string, node bigint"))
+        below = materialize(large.join(classes.select("key", "sketch"), "key").select("key", "node", "sketch").mapInArrow(trimmed(branch), "key string, node bigint"))
         nodes = materialize(below.join(below.groupBy("node").count().where("count > 1"), "node").select("key", "node", F.col("count").alias("size")))
         depth += 1
         last = depth >= MAX_DEPTH
@@ -182,7 +182,7 @@ def candidate_groups(classes: DataFrame, similarity: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[own][keep], pa.string()), pa.array(heads[label[keep]], pa.string()), pa.array(np.full(n, path, U).view(np.int64))], ["key", "head", "leaf"])
 
     dealt = members.join(classes.select("key", "sketch"), "key").select("node", "key", "sketch").repartition(parts, "node").sortWithinPartitions("node")
-    return materialize(dealt.mapInArrow(compare, "key string, head string, leaf bigint"))
+    return materialize(dealt.mapInArrow(trimmed(compare), "key string, head string, leaf bigint"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def confirm(groups: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, n
                 got = [(k, s) for k, s in zip(part.column(0).slice(row, end - row).to_pylist(), shingle_sets(words, n)) if len(s) and set_key(s) == k]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["key", "items"])
 
-    full = found.mapInArrow(sets, "key string, items binary")
+    full = found.mapInArrow(trimmed(sets), "key string, items binary")
     dealt = groups.join(full, "key").select("block", "key", "items").repartition(parts, "block").sortWithinPartitions("block", "key")
 
     def link(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def confirm(groups: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, n
                     head[x] = k
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
-    return dealt.mapInArrow(link, "a string, b string")
+    return dealt.mapInArrow(trimmed(link), "a string, b string")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_text, materialize, read
+from .common import as_text, materialize, read, trimmed
 
 CAPACITY = 2048
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Letters whose lower case and composition depend on no neighbour, then signs that never join a word.
 WORD_THEN_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|]*)")
 
@@ -130,7 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(trimmed(cut), schema)
 
 
 def dominating_sets(count: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -263,7 +263,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[own] = at[k] + step % each[k] * x
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(trimmed(place), f"{kinds}, sequence_id bigint, offset bigint")
 
 
 def _lookup(segments: list[tuple[int, int, int, int, int, int]]) -> dict[int, tuple[np.ndarray, ...]]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, Words, as_text, batches, mix, read
+from .common import U, Words, as_text, batches, mix, read, trimmed
 
 #: Most share of word characters in repeated runs of n words, and in lines that repeat an earlier line.
 MOST_IN_GRAMS = {5: 0.50, 8: 0.45, 12: 0.45}
@@ -89,7 +89,7 @@ def repetition(docs: DataFrame, most_in_grams: dict[int, float] = MOST_IN_GRAMS,
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(row, end - row), *(pa.array(got[n]) for n in numbers)], ["doc_id", *numbers])
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in numbers)
-    counted = docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(run, schema)
+    counted = docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(trimmed(run), schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = F.col("dup_line_chars") <= most_in_lines * F.col("word_chars")
     for n, most in most_in_grams.items():

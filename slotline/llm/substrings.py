@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, RollingHash, as_text, materialize, mix, read, text_chunks, utf8
+from .common import U, RollingHash, as_text, materialize, mix, read, text_chunks, trimmed, utf8
 from .suffixarray import suffix_array
 
 LENGTH, ANCHOR = 400, 64
@@ -147,7 +147,7 @@ def solve(contexts: DataFrame, length: int, longer: tuple[int, ...]) -> DataFram
         found = [[(0, n)] if w > 1 else own for own, n, w in zip(found, windows, weight)]
         return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(context, pa.int64()), span_array(found)], ["anchor", "context", "spans"])
 
-    done = sized.where(small).repartition(parts, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, f"anchor bigint, context bigint, spans {SPANS}")
+    done = sized.where(small).repartition(parts, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(trimmed(run), f"anchor bigint, context bigint, spans {SPANS}")
     if longer:
         large = sized.where(~small)
         if not large.isEmpty():
@@ -167,7 +167,7 @@ def split(large: DataFrame, length: int, longer: tuple[int, ...]) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column("anchor").take(take), b.column("context").take(take), b.column("weight").take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(context.view(np.int64)), pa.array(cut, pa.binary())], ["up_anchor", "up_context", "weight", "first", "windows", "anchor", "context", "piece"])
 
-    inner = materialize(large.mapInArrow(run, "up_anchor bigint, up_context bigint, weight bigint, first int, windows int, anchor bigint, context bigint, piece binary"))
+    inner = materialize(large.mapInArrow(trimmed(run), "up_anchor bigint, up_context bigint, weight bigint, first int, windows int, anchor bigint, context bigint, piece binary"))
     distinct = inner.groupBy("anchor", "context").agg(F.first("windows").alias("windows"), F.sum("weight").alias("weight"), F.first("piece").alias("piece"))
     if longer[0] >= length:
         found = distinct.select("anchor", "context", F.when(F.col("weight") > 1, F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("count")))).otherwise(F.array().cast(SPANS)).alias("spans"))
@@ -196,7 +196,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("key").take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(context.view(np.int64))], ["doc_id", "key", "first", "windows", "anchor", "context"])
 
     long_ = own.where(F.octet_length("text") >= length).withColumn("key", text_key(F.col("text"))).select("doc_id", "key", "text")
-    runs = materialize(long_.mapInArrow(scan, f"doc_id {kind}, key binary, first int, windows int, anchor bigint, context bigint"))
+    runs = materialize(long_.mapInArrow(trimmed(scan), f"doc_id {kind}, key binary, first int, windows int, anchor bigint, context bigint"))
     again = runs.groupBy("anchor").count().where("count > 1").select("anchor")
     runs = materialize(runs.join(again, "anchor", "left_semi"))
     grouped = materialize(runs.groupBy("anchor", "context").agg(F.count("*").alias("weight"), F.first("windows").alias("windows"), F.min(F.struct("doc_id", "key", "first")).alias("at")))
@@ -213,7 +213,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     cuts = long_.join(lists, long_["doc_id"].eqNullSafe(lists["_id"]) & (long_["key"] == lists["_key"])).select("text", "cuts")
     cuts = cuts.withColumn("cuts", F.array_distinct("cuts"))
-    pieces = cuts.mapInArrow(cut, "anchor bigint, context bigint, weight bigint, windows int, piece binary")
+    pieces = cuts.mapInArrow(trimmed(cut), "anchor bigint, context bigint, weight bigint, windows int, piece binary")
     found = solve(pieces, length, LONGER).unionByName(single)
     found = found.where(F.size("spans") > 0)
     placed = runs.join(found, ["anchor", "context"]).select("key", F.explode(F.transform("spans", lambda s: F.struct((F.col("first") + s["first"]).alias("first"), (s["count"] + (length - 1)).alias("count")))).alias("span"))
@@ -257,7 +257,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text"))
-    return with_repeats(own, length, "doc_id", "text").select("doc_id", "text", "_spans").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return with_repeats(own, length, "doc_id", "text").select("doc_id", "text", "_spans").mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, materialize, read
+from .common import as_text, materialize, read, trimmed
 
 FIT_ROWS, MOST_TERMS, MOST_SURFACES = 12_000, 4_000, 20_000
 LEAST_G2, LEAST_ODDS = 23.0, 10.0
@@ -34,7 +34,7 @@ SHORTEST_FUZZY = 5
 #: Share of a hit's weight that is left inside quotation while too few quoted hits are known to learn it.
 QUOTED, QUOTED_KNOWN = 0.3, 30
 WINDOW = 80
-CACHE_WORDS, PLACES_AT_ONCE = 300_000, 100_000
+CACHE_WORDS, PLACES_AT_ONCE = 100_000, 100_000
 TERM = re.compile(r"[^\W\d_]+")
 QUOTES = (("\"", "\""), ("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"))
 REPORTING = frozenset("said says say called quote quoted wrote written word term insult slur phrase dijo llamó sagte nannte dit appelé".split())
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
                     seen = set()
             yield out(seen)
 
-    places_ = rows.select("text", F.col("toxic").cast("int")).mapInArrow(places, "word string, sides string, toxic int").select("word", F.xxhash64("sides").alias("sides"), "toxic").distinct()
+    places_ = rows.select("text", F.col("toxic").cast("int")).mapInArrow(trimmed(places), "word string, sides string, toxic int").select("word", F.xxhash64("sides").alias("sides"), "toxic").distinct()
     counts = materialize(places_.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")))
     total = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     all1, all0 = total["a"] or 1, total["b"] or 1
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32()))], ["term", "edits", "surface", "quoted", "toxic"])
 
-    seen = rows.select("text", F.col("toxic").cast("int")).mapInArrow(hits, "term int, edits int, surface string, quoted boolean, toxic int").groupBy("term", "edits", "surface", "quoted").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    seen = rows.select("text", F.col("toxic").cast("int")).mapInArrow(trimmed(hits), "term int, edits int, surface string, quoted boolean, toxic int").groupBy("term", "edits", "surface", "quoted").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     seen = seen.orderBy(F.desc(F.col("a") + F.col("b")), "term", "surface", "quoted").limit(2 * MOST_TERMS + MOST_SURFACES).collect()
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
     model = Model(terms=terms, prior=math.log(n1 / n0))
@@ -275,7 +275,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out.append((1 / (1 + math.exp(-max(-40.0, min(40.0, logit)))) if m.terms else 0.0, len(hits), max(best.values())[1] if best else None))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.string())))], ["doc_id", "score", "n_hits", "best_hit"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, n_hits bigint, best_hit string")
+    return docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, score double, n_hits bigint, best_hit string")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:

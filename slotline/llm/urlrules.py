@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, trimmed
 
 #: (verdict, host, path) of the production rules.
 RULES = [
@@ -88,7 +88,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     schema = f"part int, key string, is_page int, path string, host string, `{id_col}` {kind}, rule string"
     rows = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     table = rows.select(reversed_host(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), F.lit(None).cast(kind).alias("id"))
-    both = own.mapInArrow(deal_pages, schema).unionByName(table.mapInArrow(deal_rules, schema))
+    both = own.mapInArrow(trimmed(deal_pages), schema).unionByName(table.mapInArrow(trimmed(deal_rules), schema))
     dealt = both.repartition(parts, "part").sortWithinPartitions("part", "key", "is_page", "path")
 
     def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
             head, found = found[: b.num_rows], found[b.num_rows :]
             yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("host"), b.column("path"), pa.array(head, pa.string())], [id_col, "host", "path", "rule"])
 
-    judged = dealt.mapInArrow(swept, f"`{id_col}` {kind}, host string, path string, rule string")
+    judged = dealt.mapInArrow(trimmed(swept), f"`{id_col}` {kind}, host string, path string, rule string")
     verdicts = rows.select(F.concat("host", "path").alias("rule"), "verdict").groupBy("rule").agg(F.max("verdict").alias("verdict"))
     return judged.join(verdicts, "rule", "left").select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
