@@ -32,7 +32,7 @@ FIT_ROWS, MOST_TERMS, MOST_SURFACES = 12_000, 4_000, 20_000
 LEAST_G2, LEAST_ODDS = 23.0, 10.0
 SHORTEST_FUZZY = 5
 #: Share of a hit's weight that is left inside quotation while too few quoted hits are known to learn it.
-QUOTED, QUOTED_KNOWN = 0.3, 30
+QUOTED, QUOTED_KNOWN = 0.1, 30
 WINDOW = 80
 CACHE_WORDS, PLACES_AT_ONCE = 100_000, 100_000
 TERM = re.compile(r"[^\W\d_]+")

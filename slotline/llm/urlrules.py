@@ -31,7 +31,7 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 DEFAULT = "allow"
-LIMIT_SAMPLE = 4096
+LIMIT_SAMPLE = 512
 CEILING = "\U0010ffff"
 
 
