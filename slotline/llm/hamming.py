@@ -44,7 +44,8 @@ def segment(code: Column, shift: int, bits: int) -> Column:
 
 def masks(bits: int, r: int) -> Column:
     """All ways to flip r of the bits; their number depends on the two arguments alone."""
-    return F.array(*[F.lit(sum(1 << i for i in c)).cast("bigint") for c in combinations(range(bits), r)])
+    text = ",".join(str(sum(1 << i for i in c)) for c in combinations(range(bits), r))
+    return F.split(F.lit(text), ",").cast("array<bigint>")
 
 
 def hamming_topk(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "id", code_col: str = "code") -> DataFrame:
@@ -64,7 +65,8 @@ def hamming_topk(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str =
             if r <= bits:
                 own = open_.select("q", F.lit(j).alias("j"), F.explode(masks(bits, r)).alias("m")).select("q", "j", segment(F.col("q"), shift, bits).bitwiseXOR(F.col("m")).alias("v"))
                 probes = own if probes is None else probes.unionByName(own)
-        met = probes.join(index, ["j", "v"]).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        # a plan cannot see how many rows the masks make, so its guess must not lead to a broadcast
+        met = probes.hint("merge").join(index, ["j", "v"]).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
         if found is not None:
             met = met.unionByName(found.join(open_, "q", "left_semi"))
         # entries in order of distance, up to the distance at which k rows are complete
