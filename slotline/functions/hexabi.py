@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ZERO_ADDRESS = "0x" + "0" * 40
 #: Fixed values of the chain: selectors of keeper traffic, precompiles, label rules.
@@ -181,3 +182,42 @@ def evidence_hash(*columns: str) -> Column:
 def log_completeness(lines: Column) -> Column:
     """Whether log lines can serve as evidence: not null, not empty, not cut."""
     return F.coalesce((F.size(lines) > 0) & ~F.exists(lines, lambda x: x.contains("Log truncated")), F.lit(False))
+
+
+def legs_build(signatures: Column, chain_name: Column, kind: Column) -> Column:
+    """Leg structs of a transaction over several chains, in the order given; no legs for other kinds."""
+    none = F.array().cast("array<struct<solChain:string,solSignature:string>>")
+    legs = F.transform(signatures, lambda s: F.struct(chain_name.alias("solChain"), s.alias("solSignature")))
+    return F.coalesce(F.when(kind == "Romulus", legs), none)
+
+
+def legs_parse(text: Column) -> Column:
+    """Legs of a JSON array; an element that lacks either text is left out, and what is no array has none."""
+    none = F.array().cast("array<struct<sol_chain:string,sol_signature:string>>")
+    items = F.from_json(text, "array<string>")
+    legs = F.transform(items, lambda x: F.struct(F.get_json_object(x, "$.solChain").alias("sol_chain"), F.get_json_object(x, "$.solSignature").alias("sol_signature")))
+    return F.coalesce(F.filter(legs, lambda g: g["sol_chain"].isNotNull() & g["sol_signature"].isNotNull()), none)
+
+
+#: Fixed value: the digits of the key text form.
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+@F.pandas_udf(StringType())
+def _base58(words):  # noqa: ANN001, ANN202
+    def text(w: str | None) -> str | None:
+        if w is None:
+            return None
+        n, out = int(w, 16), ""
+        zeros = (64 - len(w.lstrip("0"))) // 2
+        while n:
+            n, k = divmod(n, 58)
+            out = BASE58[k] + out
+        return "1" * zeros + out
+
+    return words.__class__([text(w) for w in words], dtype=object)
+
+
+def bytes32_to_base58(c: Column) -> Column:
+    """Key text of a 32-byte hex word, a leading 1 for each leading zero byte; null for anything else."""
+    return _base58(F.when(bare(c).rlike("^[0-9a-fA-F]{64}$"), bare(c)))

@@ -75,3 +75,14 @@ def _text(l0, l1, l2, l3):  # noqa: ANN001, ANN202
 def to_string(u: Column) -> Column:
     """Decimal text; the one step that leaves the JVM."""
     return _text(*[u[n] for n in LIMBS])
+
+
+@F.pandas_udf(StringType())
+def _hex(text):  # noqa: ANN001, ANN202
+    return text.__class__([hex(n) if t is not None and (n := int(t)) < 1 << 256 else None for t in text], dtype=object)
+
+
+def from_string(c: Column) -> Column:
+    """Amount of a strict decimal text (no sign, dot or leading zero); null for any other text and from 2**256 on."""
+    strict = F.when(c.rlike(r"^(0|[1-9][0-9]{0,77})\z"), c)
+    return from_hex(_hex(strict), bad_is_zero=False)

@@ -160,3 +160,19 @@ def contiguity(df: DataFrame, number: str) -> DataFrame:
     inner = keyed.select(F.col("n").alias("after"), F.lead("n").over(W.partitionBy("part").orderBy("n")).alias("before"))
     outer = ends.select(F.col("high").alias("after"), F.lead("low").over(W.orderBy("part")).alias("before"))
     return inner.unionByName(outer).where("before - after > 1")
+
+
+def sales(purchases: DataFrame, token_legs: DataFrame, payment_legs: DataFrame, tokens: DataFrame, tx: list[str], log: str) -> DataFrame:
+    """Each purchase with the nearest unmatched token leg of its asset and payment leg of any asset before it in its transaction.
+
+    ``tokens`` (token, asset) names the assets; others' purchases go. A purchase without buyer, amount or price goes before
+    pairing, so it takes no leg. A leg that is missing is null. All inputs carry ``tx``, ``log`` and event_id; token legs asset.
+    """
+    whole = F.col("buyer").isNotNull() & F.col("amount").isNotNull() & F.col("price_paid").isNotNull()
+    bought = purchases.where(whole).join(tokens.select("token", "asset"), "token")
+    kind = F.col("_leg")
+    mark = lambda df, on, *more: df.select(*tx, *more, log, "event_id", F.lit(on).alias("_leg"))
+    by_asset = lifo_pair(mark(bought, False, "asset").unionByName(mark(token_legs, True, "asset")), [*tx, "asset"], [log], kind, ~kind, "event_id")
+    by_tx = lifo_pair(mark(bought, False).unionByName(mark(payment_legs, True)), tx, [log], kind, ~kind, "event_id")
+    out = bought.join(by_asset.select(F.col("close_id").alias("event_id"), F.col("open_id").alias("token_leg")), "event_id", "left")
+    return out.join(by_tx.select(F.col("close_id").alias("event_id"), F.col("open_id").alias("payment_leg")), "event_id", "left")

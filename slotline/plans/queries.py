@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotline.functions import hexabi, u256
-from slotline.operators import aggs, classify, extract, joins, merge, pages, reconcile, search, seq
+from slotline.operators import aggs, classify, extract, joins, merge, pages, reconcile, search, seq, upkeep
 from slotline.sources.io import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,3 +529,98 @@ def finality_watermark(s, d):
 def detect_gaps(s, d):
     own = table(s, d, "lineitem").select(F.col("l_suppkey").alias("address"), F.col("l_returnflag").alias("filter"), F.col("l_orderkey").alias("from_block"), "l_linenumber")
     return reconcile.detect_gaps(own.drop("l_linenumber"), own.where("l_linenumber = 1 AND from_block % 2 = 0").select("address", "filter").distinct(), 5000)
+
+
+@register("throughput_merge_record", SQL["throughput_topk_disjoint"])
+def throughput_merge_record(s, d):
+    """The record of the first half of the hours, folded forward by the second, gives what all hours give."""
+    points = hours(s, d)
+    cursor = points.agg(F.floor((F.min("block") + F.max("block")) / 2)).first()[0]
+    if cursor is None:
+        return seq.topk_disjoint(seq.sliding_windows(points, W, 60), 10, W)
+    record = upkeep.throughput_record(seq.sliding_windows(points.where(F.col("block") <= cursor), W, 60), 10, W)
+    return seq.topk_disjoint(upkeep.merge_record(record, points, cursor, 10, W, 60), 10, W)
+
+
+@register("recheck_window", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders) - 5000 AND o_orderstatus <> 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def recheck_window(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    tip = o.agg(F.coalesce(F.max("o_orderkey"), F.lit(0))).first()[0]
+    late = table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return upkeep.recheck_window(o, late, ["o_orderkey"], "o_orderkey", tip, 5000, F.col("o_orderstatus") == "F")
+
+
+@register("backfill_flag", "SELECT o_orderkey, o_orderstatus = 'F' OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS flag FROM orders")
+def backfill_flag(s, d):
+    marked = table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return upkeep.backfill_flag(table(s, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("flag")), marked, ["o_orderkey"], "flag")
+
+
+@register("backfill", "WITH g AS (SELECT user_id, min(event_id) + 10 AS a, max(event_id) - 10 AS b FROM events WHERE user_id % 5 = 0 GROUP BY 1) SELECT user_id, event_id, event_id % 2 = 0 AS filled FROM events e WHERE event_id % 2 = 1 OR EXISTS (SELECT 1 FROM g WHERE g.user_id = e.user_id AND e.event_id BETWEEN a AND b)")
+def backfill(s, d):
+    e = table(s, d, "events").select("user_id", "event_id")
+    gaps = e.where("user_id % 5 = 0").groupBy("user_id").agg((F.min("event_id") + 10).alias("from_slot"), (F.max("event_id") - 10).alias("to_slot"))
+    return upkeep.backfill(e.where("event_id % 2 = 1").withColumn("filled", F.lit(False)), gaps, e, "user_id", "event_id", ["event_id"], lambda x: x.withColumn("filled", F.lit(True)))
+
+
+@register("pick_oldest_sane", "SELECT source, min_by(text, doc_id) AS text FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*') AND length(text) <= 512 GROUP BY 1")
+def pick_oldest_sane(s, d):
+    return upkeep.pick_oldest_sane(table(s, d, "documents"), "source", "text", "doc_id")
+
+
+@register("hook_count_check", "SELECT o_orderkey, coalesce(p, 0) AS parsed, o_orderkey % 7 + 1 AS stated FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(p, 0) <> o_orderkey % 7 + 1")
+def hook_count_check(s, d):
+    parsed = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return upkeep.count_check(parsed, table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 + 1).alias("n")), ["o_orderkey"], "n")
+
+
+@register("market_match", "SELECT o_orderkey AS market, c_custkey AS asset FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN customer ON c_custkey = l_partkey OR c_custkey = l_suppkey WHERE c_nationkey < 5")
+def market_match(s, d):
+    markets = table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("market"), F.col("l_partkey").alias("loan"), F.col("l_suppkey").alias("collateral"))
+    assets = table(s, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("asset"))
+    return upkeep.market_match(table(s, d, "orders").select(F.col("o_orderkey").alias("market")), markets, assets).select("market", "asset")
+
+
+@register("source_intervals", """WITH h AS (SELECT o_custkey AS asset, o_orderstatus AS role, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS address, o_orderkey AS from_pos, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS to_pos FROM orders)
+SELECT * FROM h WHERE address IS NOT NULL UNION ALL SELECT c_custkey, 'F', c_mktsegment, NULL, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') FROM customer""")
+def source_intervals(s, d):
+    changes = table(s, d, "orders").select(F.col("o_custkey").alias("asset"), F.col("o_orderstatus").alias("role"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("address"), F.col("o_orderkey").alias("position"))
+    return upkeep.source_intervals(table(s, d, "customer").select(F.col("c_custkey").alias("asset"), F.lit("F").alias("role"), F.col("c_mktsegment").alias("address")), changes)
+
+
+def stack_sql(name: str, src: str) -> str:
+    """A stack per group g over (g, event_id, o), row by row; m is what a close takes."""
+    return f"""{name}0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY event_id) AS i FROM ({src})),
+{name} AS (SELECT g, i, event_id, o, CASE WHEN o THEN [event_id] ELSE CAST([] AS BIGINT[]) END AS st, CAST(NULL AS BIGINT) AS m FROM {name}0 WHERE i = 1
+UNION ALL SELECT e.g, e.i, e.event_id, e.o, CASE WHEN e.o THEN list_append(r.st, e.event_id) WHEN len(r.st) = 0 THEN r.st ELSE r.st[:-2] END, CASE WHEN NOT e.o AND len(r.st) > 0 THEN r.st[-1] END FROM {name} r JOIN {name}0 e ON e.g = r.g AND e.i = r.i + 1)"""
+
+
+BOUGHT = "event_type = 'purchase' AND event_id % 7 <> 0 AND event_id % 4 <> 3"
+
+
+@register("sales", f"""WITH RECURSIVE {stack_sql('t', f"SELECT user_id * 4 + event_id % 4 AS g, event_id, event_type = 'view' AS o FROM events WHERE event_type = 'view' OR ({BOUGHT})")},
+{stack_sql('p', f"SELECT user_id AS g, event_id, event_type <> 'purchase' AS o FROM events WHERE event_type = 'click' OR ({BOUGHT})")}
+SELECT t.event_id, t.m AS token_leg, p.m AS payment_leg FROM t JOIN p USING (event_id) WHERE NOT t.o AND NOT p.o""")
+def sales(s, d):
+    e = table(s, d, "events").select("user_id", "event_id", F.col("event_id").alias("log"), "event_type", (F.col("event_id") % 4).alias("asset"))
+    bought = e.where("event_type = 'purchase'").select("user_id", "event_id", "log", F.col("asset").alias("token"), F.col("user_id").alias("buyer"), F.when(F.col("event_id") % 7 != 0, 1).alias("amount"), F.lit(1).alias("price_paid"))
+    tokens = s.range(3).select(F.col("id").alias("token"), F.col("id").alias("asset"))
+    return seq.sales(bought, e.where("event_type = 'view'"), e.where("event_type = 'click'"), tokens, ["user_id"], "log").select("event_id", "token_leg", "payment_leg")
+
+
+@register("legs", "SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 0 END AS INTEGER) AS n, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS VARCHAR) END AS first_signature FROM orders")
+def legs(s, d):
+    o = table(s, d, "orders")
+    built = hexabi.legs_build(F.array(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")), F.lit("main"), F.when(F.col("o_orderstatus") == "F", "Romulus").otherwise("Other"))
+    return o.select("o_orderkey", hexabi.legs_parse(F.to_json(built)).alias("legs")).select("o_orderkey", F.size("legs").alias("n"), F.get("legs", F.lit(0))["sol_signature"].alias("first_signature"))
+
+
+@register("u256_from_string", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey || repeat('0', 30) END AS amount FROM orders")
+def u256_from_string(s, d):
+    text = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "0").otherwise(""), F.col("o_orderkey").cast("string"), F.lit("0" * 30))
+    return table(s, d, "orders").select("o_orderkey", u256.to_string(u256.from_string(text)).alias("amount"))
+
+
+@register("bytes32_to_base58")
+def bytes32_to_base58(s, d):
+    return table(s, d, "customer").select("c_custkey", hexabi.bytes32_to_base58(F.concat(F.lit("0x"), F.sha2(F.col("c_custkey").cast("string"), 256))).alias("key"))

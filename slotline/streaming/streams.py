@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from slotline.operators.merge import new_rows
+from slotline.operators.merge import batch_announce, new_rows
+from slotline.operators.seq import sliding_windows
+from slotline.operators.upkeep import merge_record, recheck_window
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 100) -> DataFrame:
@@ -58,3 +60,70 @@ def session_counts(stream: DataFrame, ts: str, late: str, gap: str, by: list[str
 def once(stream: DataFrame, ts: str, late: str, keys: list[str]) -> DataFrame:
     """Redelivered rows dropped with bounded state."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def _latest(spark: SparkSession, path: str, number: int, schema: StructType) -> DataFrame:
+    """Rows of the batch just before."""
+    have = _existing_batches(spark, path, number)
+    return spark.createDataFrame([], schema) if have is None else spark.read.schema(schema).parquet(f"{path}/batch={have}")
+
+
+def _existing_batches(spark: SparkSession, path: str, number: int) -> int | None:
+    """The last batch before ``number`` that has a folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in system.listStatus(folder)]
+    return max((n for x in names if x.startswith("batch=") and (n := int(x[6:])) < number), default=None)
+
+
+def record_into(path: str, k: int, w: int, min_elapsed: int) -> Callable[[DataFrame, int], None]:
+    """Throughput record folded forward by each batch of block points; points at or before the last block are not new.
+
+    Besides the record a batch keeps its last w - 1 points, which the next batch's first windows need.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark, columns = batch.sparkSession, ["block", "ts", "total", "app"]
+        points = batch.select(*columns)
+        tail = _latest(spark, f"{path}/tail", number, points.schema)
+        cursor = tail.agg(F.max("block")).first()[0]
+        cursor = -1 if cursor is None else cursor
+        all_points = tail.unionByName(points.where(F.col("block") > cursor))
+        shape = sliding_windows(points.limit(0), w, min_elapsed).schema
+        merge_record(_latest(spark, f"{path}/record", number, shape), all_points, cursor, k, w, min_elapsed).write.mode("overwrite").parquet(f"{path}/record/batch={number}")
+        all_points.orderBy(F.desc("block")).limit(w - 1).write.mode("overwrite").parquet(f"{path}/tail/batch={number}")
+
+    return apply
+
+
+def recheck_into(path: str, feed: Callable[[], DataFrame], keys: list[str], position: str, n: int, done: str) -> Callable[[DataFrame, int], None]:
+    """Late inputs against the last n positions of the feed: the rows they change, a folder a batch."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = feed()
+        tip = rows.agg(F.max(position)).first()[0]
+        found = recheck_window(rows, batch, keys, position, -1 if tip is None else tip, n, F.col(done))
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return apply
+
+
+def recompute_into(path: str, feed: Callable[[], DataFrame], keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Statistics of the keys that a batch touches, from the whole feed, so a replay changes nothing; the last folder of a key counts."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        touched = batch.select(*keys).distinct()
+        compute(feed().join(touched, keys, "left_semi")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return apply
+
+
+def announce_into(path: str, by: list[str], order: str, key: str, oracle: str) -> Callable[[DataFrame, int], None]:
+    """The announcement of each batch, a folder a batch."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch_announce(batch, by, order, key, F.col(oracle)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return apply

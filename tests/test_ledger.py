@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotline.functions import hexabi, u256
-from slotline.operators import extract, joins, reconcile, seq
+from slotline.operators import extract, joins, reconcile, seq, upkeep
 from slotline.plans.queries import QUERIES, SQL
 from slotline.streaming import streams
 
@@ -105,3 +105,51 @@ def test_stream_windows(spark, tmp_path):
     q = streams.windowed_counts(stream, "ts", "1 minute", "5 minutes", None, ["k"]).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("w").collect()) == [5, 5]
+
+
+def test_text_forms(spark):
+    words = ["0" * 64, "00" * 3 + "ab" * 29, "f" * 64, "zz" * 32, None]
+    got = [r[0] for r in spark.createDataFrame([(k, None if w is None else "0x" + w) for k, w in enumerate(words)], "k int, h string").orderBy("k").select(hexabi.bytes32_to_base58(F.col("h"))).collect()]
+    assert got[0] == "1" * 32 and got[3:] == [None, None]
+    for w, text in zip(words[1:3], got[1:3]):
+        n = 0
+        for c in text:
+            n = n * 58 + hexabi.BASE58.index(c)
+        assert n == int(w, 16) and len(text) - len(text.lstrip("1")) == (64 - len(w.lstrip("0"))) // 2
+    texts = ["0", "7", "007", "-1", "1.0", "", "1\n", None, str(2**256 - 1), str(2**256)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(u256.to_string(u256.from_string(F.col("t"))))
+    assert [r[0] for r in rows.collect()] == ["0", "7", None, None, None, None, None, None, str(2**256 - 1), None]
+    legs = '[{"solChain":"m","solSignature":"s"},{"solChain":"m"},3,"x"]'
+    rows = spark.createDataFrame([(0, legs), (1, "{}"), (2, "no"), (3, None)], "k int, t string").orderBy("k").select(hexabi.legs_parse(F.col("t")))
+    assert [[tuple(x) for x in r[0]] for r in rows.collect()] == [[("m", "s")], [], [], []]
+
+
+def test_config_check(spark):
+    assets = spark.createDataFrame([("a",), ("b",)], "router string")
+    upkeep.config_check(assets, assets, "router")
+    with pytest.raises(ValueError, match="b"):
+        upkeep.config_check(assets, assets.where("router = 'a'"), "router")
+
+
+def test_record_stream_equals_full_build(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(b, b * 30, n := rng.randrange(50), rng.randrange(n + 1)) for b in range(90)]
+    schema = "block long, ts long, total long, app long"
+    for n in range(3):
+        spark.createDataFrame(rows[30 * n : 30 * n + 30], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streams.run_available(stream, streams.record_into(f"{tmp_path}/out", 5, 4, 60), f"{tmp_path}/cp").awaitTermination()
+    record = spark.read.parquet(f"{tmp_path}/out/record/batch=2")
+    full = seq.sliding_windows(spark.createDataFrame(rows, schema), 4, 60)
+    assert seq.topk_disjoint(record, 5, 4).collect() == seq.topk_disjoint(full, 5, 4).collect()
+
+
+def test_late_and_touched_streams(spark, tmp_path):
+    feed = spark.createDataFrame([(1, "a", False), (8, "a", False), (9, "b", True), (10, "c", False)], "pos int, k string, done boolean")
+    late = spark.createDataFrame([("a",), ("b",)], "k string")
+    streams.recheck_into(f"{tmp_path}/late", lambda: feed, ["k"], "pos", 5, "done")(late, 0)
+    assert [r.pos for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [8]
+    streams.recompute_into(f"{tmp_path}/stats", lambda: feed, ["k"], lambda x: x.groupBy("k").count())(late, 0)
+    assert {r.k: r["count"] for r in spark.read.parquet(f"{tmp_path}/stats").collect()} == {"a": 2, "b": 1}
+    streams.announce_into(f"{tmp_path}/told", ["k"], "pos", "k", "done")(feed, 0)
+    assert spark.read.parquet(f"{tmp_path}/told").count() == 3
