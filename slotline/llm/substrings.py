@@ -197,7 +197,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     long_ = own.where(F.octet_length("text") >= length).withColumn("key", text_key(F.col("text"))).select("doc_id", "key", "text")
     runs = materialize(long_.mapInArrow(trimmed(scan), f"doc_id {kind}, key binary, first int, windows int, anchor bigint, context bigint"))
-    again = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    # a table of its own: an aggregate in the join's stage would keep Spark from splitting a hot anchor
+    again = materialize(runs.groupBy("anchor").count().where("count > 1").select("anchor"))
     runs = materialize(runs.join(again, "anchor", "left_semi"))
     grouped = materialize(runs.groupBy("anchor", "context").agg(F.count("*").alias("weight"), F.first("windows").alias("windows"), F.min(F.struct("doc_id", "key", "first")).alias("at")))
     alone = grouped.groupBy("anchor").agg(F.count("*").alias("n")).where("n = 1").select("anchor")
