@@ -4,8 +4,8 @@ Every 400-byte window names an anchor: the 64-byte string inside it with the lea
 windows name equal anchors, and the windows that name one occurrence of an anchor are a run; the bytes they span are its
 context. An anchor that occurs once can hold no repeated window. For the others, equal contexts are counted once, and
 the distinct contexts of an anchor meet in one task. There a suffix array over word tokens (Lyndon grouping, see
-``suffixarray``) finds the word starts whose suffix agrees with a neighbour far enough; the windows that begin in the word
-before such a start are then checked exactly. Anchors with too many distinct contexts for a task are split by longer
+``suffixarray``) finds the word starts whose suffix agrees with a neighbour far enough; the windows that begin there or anywhere in the
+word before such a start are then checked exactly. Anchors with too many distinct contexts for a task are split by longer
 anchors inside those contexts, at last by whole windows, so no context is skipped.
 
 Defined results: null or empty text has 0 bytes, none removed; texts shorter than 400 bytes keep all; exact copies of at
@@ -74,8 +74,7 @@ def repeated_windows(contexts: list[bytes], windows: list[int], length: int) ->
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         first = at + np.concatenate([[0], np.cumsum(sizes)])
         starts.append(first)
-        heads.append(np.concatenate([[0], sizes - 1]))
-        heads[-1][1:2] += 1  # a context may start inside a word
+        heads.append(np.concatenate([[0], sizes]))
         owner.append(np.full(len(own) + 1, k))
         at = int(first[-1])
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -90,10 +89,11 @@ def repeated_windows(contexts: list[bytes], windows: list[int], length: int) ->
         a, b = a[fits], b[fits]
         same = rolling.of(start[a], start[a] + need[a]) == rolling.of(start[b], start[b] + need[a])
         agree[a[same]] = True
-    # windows that start in the token before an agreeing word start, and windows with no word start inside
+    # windows that start at an agreeing word start or in the token before it, its first byte included (the same bytes may
+    # begin inside a word elsewhere), and windows with no word start inside
     hit = np.flatnonzero(agree)
     lone = np.flatnonzero(head >= length)
-    low = np.concatenate([start[hit] - head[hit], start[lone] - head[lone] - 1])
+    low = np.concatenate([start[hit] - head[hit], start[lone] - head[lone]])
     high = np.concatenate([start[hit] + 1, start[lone] - length + 1])
     low = np.maximum(low, edge[np.concatenate([own[hit], own[lone]])])
     high = np.minimum(high, edge[np.concatenate([own[hit], own[lone]])] + np.array(windows)[np.concatenate([own[hit], own[lone]])])

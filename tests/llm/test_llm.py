@@ -230,6 +230,20 @@ def test_substrings(docs, none, monkeypatch, task):
     assert substrings.cleaned(none).count() == 0 and substrings.cleaned(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("task", [substrings.TASK, 2])
+@pytest.mark.parametrize("size", [400, 401, 700])
+def test_substrings_from_inside_a_word(spark, monkeypatch, task, size):
+    monkeypatch.setattr(substrings, "TASK", task)
+    own = random.Random(size)
+    text = lambda n: " ".join("".join(own.choice("abcdefgh") for _ in range(own.randint(2, 8))) for _ in range(n))
+    two, many, whole = (("q" + text(400))[:size] for _ in range(3))
+    rows = [(1, text(30) + " " + two + "#" + text(30)), (2, text(30) + "zz" + two + "%" + text(30))]  # a word start, and the only other inside a word
+    rows += [(3, text(9) + " " + many + "#"), *((k, text(9) + "mnoprst"[k] + many + f"{k}%") for k in range(4, 7)), (7, whole + "#" + text(9)), (8, text(9) + "\u00fc" + whole)]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.removal_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cut = {1: two, 2: two, **dict.fromkeys(range(3, 7), many), 7: whole, 8: whole}
+    assert got == {k: (size, 1, hashlib.sha256(t.replace(cut[k], "", 1).encode()).hexdigest()) for k, t in rows}
+
+
 def shingles(t):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
