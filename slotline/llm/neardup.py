@@ -11,7 +11,7 @@ leaf by leaf instead. Sixteen independent roots miss a pair at similarity s with
 
 Defined results: null or empty text and text without words has no set, links with nothing and is kept; fewer words than
 a shingle form one shingle; equal sets always link; repeated ids and null ids are rows of their own and the smallest
-non-null id names the component (null if there is none); an empty table gives no rows; extra columns are ignored.
+non-null id names the component (null if there is none); one row of each component is kept, one with that id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASE, U, Words, as_text, batches, materialize, mix, read, runs, trimmed
@@ -68,8 +68,8 @@ def minwise(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return roots, ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def sketches(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, key (null without words), roots, sketch."""
+def sketches(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """doc_id, row, n_shingles, key (null without words), roots, sketch. ``row``: a key of each row (a new one if None)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,15 +80,17 @@ def sketches(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).slice(row, end - row),
+                        part.column(1).slice(row, end - row),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_key(s) if len(s) else None for s in sets], pa.string()),
                         pa.array([x and x[0].view(np.int64) for x in signs], pa.list_(pa.int64())),
                         pa.array([x and x[1].tobytes() for x in signs], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "key", "roots", "sketch"],
+                    ["doc_id", "row", "n_shingles", "key", "roots", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, n_shingles bigint, key string, roots array<bigint>, sketch binary")
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), as_text(docs, text_col).alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, row bigint, n_shingles bigint, key string, roots array<bigint>, sketch binary")
 
 
 def joined_up(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -254,9 +256,17 @@ def confirm(groups: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, n
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    rows = materialize(sketches(docs, shingle, id_col, text_col))
+    return judged(docs, percent, shingle, id_col, text_col).drop("row")
+
+
+def judged(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept: one row of each component is kept, and every row without words."""
+    rows = materialize(sketches(docs, shingle, id_col, text_col, row))
     worded = rows.where(F.col("key").isNotNull())
-    reps = worded.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # the smallest non-null id leads; its first row does if the id is repeated or all are null
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    leads = materialize(worded.groupBy("key").agg(lead.alias("lead")))
+    reps = leads.select("key", F.col("lead.doc_id").alias("rep"))
     classes = worded.groupBy("key").agg(F.first("roots").alias("roots"), F.first("sketch").alias("sketch"))
     found = candidate_groups(classes, percent / 100)
     merged = connected(found.select(F.col("key").alias("a"), F.col("head").alias("b")))
@@ -270,17 +280,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     linked = connected(edges) if split else edges.select(F.col("b").alias("key"), F.col("a").alias("component"))
     heads = edges.select(F.col("a").alias("key"), F.col("a").alias("component")).distinct()
     linked = linked.unionByName(heads).groupBy("key").agg(F.min("component").alias("component"))
-    named = reps.join(linked, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
-    ids = materialize(named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("key", "component_id"))
-    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(ids, "key", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    named = leads.join(linked, "key", "left").select("key", "lead", F.coalesce("component", "key").alias("component"))
+    heads = named.groupBy("component").agg(F.min("lead").alias("head"))
+    ids = materialize(named.join(heads, "component").select("key", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("kept_row")))
+    wordless = F.col("key").isNull()
+    return rows.join(ids, "key", "left").select("doc_id", "row", "n_shingles", F.when(wordless, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (wordless | F.col("row").eqNullSafe(F.col("kept_row"))).alias("kept"))
 
 
 def without_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component; rows without words all stay."""
-    found = near_duplicates(docs, percent, shingle, id_col, text_col)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    own = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))  # written: the keys must be the same when read again
+    gone = judged(own, percent, shingle, id_col, text_col, F.col("_row")).where(~F.col("kept")).select("row")
+    return own.join(gone, own["_row"] == gone["row"], "left_anti").drop("_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

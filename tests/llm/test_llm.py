@@ -274,6 +274,19 @@ def test_near_duplicates(docs, none, monkeypatch, task, leaf):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    base, other, third, nulls, alone, first, second = (prose(80) for _ in range(7))
+    rows = [(1, base), (None, base + " x"), (None, alone), (None, ""), (None, None)]  # a null-id copy, a unique null-id text, no words
+    rows += [(2, other), (3, other + " x"), (3, third)]  # an id on two texts, one of them a copy
+    rows += [(4, first), (4, first), (5, first + " x"), (None, nulls), (None, nulls + " x"), (None, nulls)]  # repeated rows, a group of null ids
+    rows += [(6, second), (7, second + " x"), (6, second + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fold = lambda t: t and re.sub(" [xy]$", "", t)
+    want = collections.Counter({(1, base): 1, (None, alone): 1, (None, ""): 1, (None, None): 1, (2, other): 1, (3, third): 1, (4, first): 1, (None, nulls): 1, (6, second): 1})
+    assert collections.Counter((r.doc_id, fold(r.text)) for r in neardup.without_duplicates(docs).collect()) == want
+    assert neardup.near_duplicates(docs).where("kept").count() == len(want)
+
+
 def test_url_rules(spark):
     urls = ["https://Example.com/en/x?q#f", "http://www.example.com/en/", "http://a.net/fr/b", "http://net/es/", "x://badcom/en/", "http://com", "no url", None, "http://a.org/?http://com/"]
     rows = [(k % 5, u) for k, u in enumerate(urls * 2)]
