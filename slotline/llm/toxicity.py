@@ -3,8 +3,9 @@
 Fit: words whose neighbours vary, and word beginnings that many such words share, are taken into the lexicon where they
 mark toxic rows (log-likelihood ratio and odds against clean rows). Counting distinct pairs of neighbours instead of rows
 keeps copies of one toxic text from filling the lexicon. The lexicon is a trie; the union of its terms' Levenshtein
-automata is walked as one lazily built deterministic automaton, so a word costs a table look-up a letter. A second look
-at the fit rows weighs exact, misspelled and quoted hits apart. Score: prior odds, plus the best hit of each term, in a
+automata is walked as one lazily built deterministic automaton, so a word costs a table look-up a letter. Digits and signs
+inside a word stay in it there. A second look at the fit rows weighs exact, misspelled and quoted hits apart; a misspelling
+that clean or several toxic rows do not settle has a share of its term's weight, the larger the longer the term. Score: prior odds, plus the best hit of each term, in a
 window that discounts quotation (quotation marks around, or a word of reporting near) and raises hits that come in groups.
 
 Only labelled rows whose crc32(doc_id) mod 5 is not 0 are fitted, at most ``FIT_ROWS`` of them, chosen by hash; the
@@ -30,38 +31,50 @@ from .common import as_text, materialize, read, trimmed
 
 FIT_ROWS, MOST_TERMS, MOST_SURFACES = 12_000, 4_000, 20_000
 LEAST_G2, LEAST_ODDS = 23.0, 10.0
+#: Terms from this length on are met within one edit; those of one letter less only where the edit is a digit or sign.
 SHORTEST_FUZZY = 5
 #: Share of a hit's weight that is left inside quotation while too few quoted hits are known to learn it.
 QUOTED, QUOTED_KNOWN = 0.1, 30
 WINDOW = 80
 CACHE_WORDS, PLACES_AT_ONCE = 100_000, 100_000
 TERM = re.compile(r"[^\W\d_]+")
+#: A word with the digits and signs inside it, as the automaton reads it.
+WRITTEN = re.compile(r"[$@]?[^\W_]+(?:[*@$!|+.'’#%&~^=_-][^\W_]+)*")
 QUOTES = (("\"", "\""), ("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"))
 REPORTING = frozenset("said says say called quote quoted wrote written word term insult slur phrase dijo llamó sagte nannte dit appelé".split())
 
 
 class TermAutomaton:
-    """Words within one edit of a term, or that begin with a stem; deterministic states are made when first met."""
+    """Words within one edit of a term or of a stem's form, or that begin with a stem; deterministic states are made when
+    first met. Edits of a state: 0, 1, or 2 for one edit by a digit or sign."""
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
+    def __init__(self, terms: list[tuple[str, bool]], forms: list[tuple[str, int]] = ()) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.word: dict[int, int] = {}
         self.stem: dict[int, int] = {}
         self.fuzzy: set[int] = set()
-        for k, (term, is_stem) in enumerate(terms):
+        self.strict: set[int] = set()
+        self.ends: dict[int, int] = {}
+        for k, term, is_stem in [*((k, *t) for k, t in enumerate(terms)), *((k, form, False) for form, k in forms)]:
             node = 0
             fuzzy = not is_stem and len(term) >= SHORTEST_FUZZY
+            strict = not is_stem and len(term) >= SHORTEST_FUZZY - 1
             for c in term:
                 if fuzzy:
                     self.fuzzy.add(node)
+                if strict:
+                    self.strict.add(node)
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                 node = self.children[node][c]
             if fuzzy:
                 self.fuzzy.add(node)
+            if strict:
+                self.strict.add(node)
             (self.stem if is_stem else self.word)[node] = k
-        self.lengths = [len(t) for t, _ in terms]
+            if not is_stem:
+                self.ends[node] = len(term)
         self.number: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -80,21 +93,22 @@ class TermAutomaton:
             self.number[own] = len(self.sets)
             self.sets.append(own)
             self.next.append({})
-            hits = [(e, self.word[n]) for n, e in own if n in self.word and (e == 0 or self.lengths[self.word[n]] >= SHORTEST_FUZZY)]
+            hits = [(min(e, 1), self.word[n]) for n, e in own if n in self.word and (e == 0 or self.ends[n] >= SHORTEST_FUZZY - (e == 2))]
             self.accepts.append(min(hits) if hits else None)
             self.stems.append(min((self.stem[n] for n, e in own if e == 0 and n in self.stem), default=None))
         return self.number[own]
 
     def step(self, at: int, c: str) -> int:
         out: set[tuple[int, int]] = set()
+        edit, near = (1, self.fuzzy) if c.isalpha() else (2, self.strict)
         for node, e in self.sets[at]:
             child = self.children[node].get(c)
-            if child is not None and (e == 0 or child in self.fuzzy):
+            if child is not None and (e == 0 or child in (self.strict if e == 2 else self.fuzzy)):
                 out.add((child, e))
             if e == 0:
-                if node in self.fuzzy:
-                    out.add((node, 1))
-                out.update((x, 1) for x in self.children[node].values() if x in self.fuzzy)
+                if node in near:
+                    out.add((node, edit))
+                out.update((x, edit) for x in self.children[node].values() if x in near)
         self.next[at][c] = got = self.state(frozenset(self.closed(out))) if out else -1
         return got
 
@@ -118,10 +132,15 @@ class Model:
     plain: dict[int, float] = field(default_factory=dict)
     quoted: dict[int, float] = field(default_factory=dict)
     surfaces: dict[str, float] = field(default_factory=dict)
-    misspelled: float = 0.0
+    forms: list[tuple[str, int]] = field(default_factory=list)
     prior: float = -30.0
     none: float = -30.0
 
+    def misspelled(self, term: int, edits: int, surface: str) -> float:
+        """Weight of a misspelling: its own where the fit rows settle it, else a share of the term's."""
+        known = self.surfaces.get(surface)
+        return self.plain[term] * (1 - 2 * edits / max(4, len(surface))) if known is None else known
+
 
 def quoted(text: str, start: int, end: int) -> bool:
     before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
@@ -138,23 +157,31 @@ def quoted(text: str, start: int, end: int) -> bool:
 class Matcher:
     """Hits of a text: (term, edits, surface, quoted, neighbours within the window)."""
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
-        self.automaton = TermAutomaton(terms)
-        self.known: dict[str, tuple[int, int] | None] = {}
+    def __init__(self, terms: list[tuple[str, bool]], forms: list[tuple[str, int]] = ()) -> None:
+        self.automaton = TermAutomaton(terms, forms)
+        self.known: dict[str, list[tuple[int, int, int, int]]] = {}
+
+    def within(self, word: str) -> list[tuple[int, int, int, int]]:
+        """(start, end, edits, term) inside a written word: its exact parts, else the word as a whole, else misspelled parts."""
+        whole = self.automaton.match(word)
+        if word.isalpha():
+            return [(0, len(word), *whole)] if whole else []
+        parts = [(m.start(), m.end(), *got) for m in TERM.finditer(word) if (got := self.automaton.match(m[0]))]
+        exact = [p for p in parts if p[2] == 0]
+        return exact or ([(0, len(word), *whole)] if whole else parts)
 
     def hits(self, text: str) -> list[tuple[int, int, str, bool, int]]:
         text = text.lower()
-        words = set(TERM.findall(text))
+        words = set(WRITTEN.findall(text))
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        known, match = self.known, self.automaton.match
+        known = self.known
         for w in words.difference(known):
-            known[w] = match(w)
-        found = {w: known[w] for w in words if known[w]}
-        if not found:
+            known[w] = self.within(w)
+        if not any(known[w] for w in words):
             return []
-        places = [(m.start(), m.end(), m[0]) for m in TERM.finditer(text) if m[0] in found]
-        return [(found[w][1], found[w][0], w, quoted(text, a, b), sum(abs(c - a) <= WINDOW for c, _, _ in places[max(0, k - 4) : k + 5]) - 1) for k, (a, b, w) in enumerate(places)]
+        places = [(m.start() + a, m.start() + b, e, t) for m in WRITTEN.finditer(text) for a, b, e, t in known[m[0]]]
+        return [(t, e, text[a:b], quoted(text, a, b), sum(abs(c - a) <= WINDOW for c, *_ in places[max(0, k - 4) : k + 5]) - 1) for k, (a, b, e, t) in enumerate(places)]
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
@@ -206,11 +233,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
             while longer := [x for x in weight if len(x) == len(s) + 1 and x.startswith(s) and weight[x] >= 0.9 * weight[s]]:
                 s = longer[0]
             found_stems.append(s)
-    words = [r["word"] for r in top(tested(counts)) if not any(r["word"].startswith(s) for s in found_stems)]
+    marked = [r["word"] for r in top(tested(counts))]
+    words = [w for w in marked if not any(w.startswith(s) for s in found_stems)]
     terms = ([(s, True) for s in found_stems] + [(w, False) for w in words])[:MOST_TERMS]
+    forms = [(w, k) for w in marked for k, (s, is_stem) in enumerate(terms) if is_stem and w.startswith(s)]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, forms)
         for b in batches:
             out = []
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
@@ -222,8 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     seen = rows.select("text", F.col("toxic").cast("int")).mapInArrow(trimmed(hits), "term int, edits int, surface string, quoted boolean, toxic int").groupBy("term", "edits", "surface", "quoted").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     seen = seen.orderBy(F.desc(F.col("a") + F.col("b")), "term", "surface", "quoted").limit(2 * MOST_TERMS + MOST_SURFACES).collect()
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-    model = Model(terms=terms, prior=math.log(n1 / n0))
-    rare = [0, 0]
+    model = Model(terms=terms, forms=forms, prior=math.log(n1 / n0))
     quoted_all = [0, 0]
     for r in seen:
         a, b = r["a"], r["b"]
@@ -232,8 +260,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
         elif r["edits"]:
             if b or a > 2:
                 model.surfaces[r["surface"]] = odds(a, b)
-            if a + b <= 2:
-                rare = [rare[0] + a, rare[1] + b]
         elif r["quoted"]:
             quoted_all = [quoted_all[0] + a, quoted_all[1] + b]
         else:
@@ -241,7 +267,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     for k in range(len(terms)):
         weight = model.plain.setdefault(k, odds(1, 0))
         model.quoted[k] = QUOTED * weight if sum(quoted_all) < QUOTED_KNOWN else min(weight, odds(*quoted_all))
-    model.misspelled = odds(*rare) if sum(rare) else 0.0
     if model.none <= -30:
         model.none = model.prior
     return model
@@ -258,14 +283,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        matcher = Matcher(m.terms)
+        matcher = Matcher(m.terms, m.forms)
         for b in batches:
             out = []
             for text in b.column("text").to_pylist():
                 hits = matcher.hits(text)
                 best: dict[int, tuple[float, str]] = {}
                 for term, edits, surface, in_quotes, near in hits:
-                    weight = m.surfaces.get(surface, m.misspelled) if edits else m.quoted[term] if in_quotes else m.plain[term]
+                    weight = m.misspelled(term, edits, surface) if edits else m.quoted[term] if in_quotes else m.plain[term]
                     if edits and in_quotes:
                         weight = min(weight, QUOTED * weight)
                     weight *= 1 + 0.1 * min(near, 3) if weight > 0 else 1

@@ -115,6 +115,28 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_of_misspelled_terms_only(spark):
+    bad = ["scumbag", "pathetic", "vermin", "moron", "dolt"]
+    rows = []
+    for k in range(900):
+        words = prose(60).split()
+        if k % 6 == 0:
+            for w in bad:
+                words.insert(rng.randrange(len(words)), w)
+        elif k < 300:
+            words.insert(rng.randrange(len(words)), "oron")
+        rows.append((k, " ".join(words), int(k % 6 == 0)))
+    own = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(own, own.select("doc_id", "toxic"))
+    toxic = ["you scunbag and verrmin", "p4thetic sc*mbag", "ver-min, m0ron", "d0lt sc0mbag", "scumb@g/verm1n!"]
+    clean = ["an oron here", "a bolt, a colt", "don't 12.5 x_y e-mail", None]
+    some = spark.createDataFrame([*enumerate(toxic), *enumerate(clean, 100)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(some, model).collect()}
+    assert all((s >= 0.5) == (k < 100) for k, s in score.items()), score
+    m = toxicity.TermAutomaton([("idio", True), ("scum", False), ("scumbag", False)], [("idiotic", 0)])
+    assert [m.match(w) for w in ("idiotic", "idotic", "sc*m", "scam", "scumbg", "scumm", "$cum", "scu")] == [(0, 0), (1, 0), (1, 1), None, (1, 2), None, (1, 1), None]
+
+
 def test_automaton_is_one_edit():
     def near(a, b):
         d = list(range(len(b) + 1))
