@@ -6,6 +6,7 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, so words never d
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import shutil
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +58,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RollingHash:
-    """Hash of any byte range of a buffer: prefix sums of code(byte) * BASE**-i, brought back to exponent 0."""
+    """Hash of any range of a buffer of bytes, or of 64-bit codes: prefix sums of code * BASE**-i, brought back to exponent 0."""
 
     def __init__(self, data: np.ndarray) -> None:
         self.up, down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(BYTE_CODE[data] * down[: len(data)], out=self.sums[1:])
+        np.cumsum((BYTE_CODE[data] if data.dtype == np.uint8 else data) * down[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.up[start]
@@ -161,9 +163,11 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; under a folder of our own where that is unset (local tests)."""
+    """A new path under spark.checkpoint.dir; under a folder of our own where that is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-slotline-"))
             atexit.register(shutil.rmtree, _own[0], True)
@@ -171,12 +175,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/slotline-{uuid.uuid4().hex}"
 
 
+_folders: dict[int, str] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and outlives a lost executor."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _folders[id(back)] = path
+    return back
+
+
+def release(*written: DataFrame) -> None:
+    """Delete the folders of materialized tables that no later plan reads; where the file system is unknown here they stay."""
+    for df in written:
+        if path := _folders.pop(id(df), None):
+            with contextlib.suppress(OSError, pa.ArrowInvalid, NotImplementedError):
+                system, inside = fs.FileSystem.from_uri(path)
+                system.delete_dir(inside)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,16 +1,18 @@
-"""Exact removal of repeated 400-byte strings with linear suffix arrays (operator 8).
+"""Exact removal of repeated strings and passages with linear suffix arrays (operator 8).
 
-Every 400-byte window names an anchor: the 64-byte string inside it with the least hash, the last one of equals. Equal
-windows name equal anchors, and the windows that name one occurrence of an anchor are a run; the bytes they span are its
+A ``Measure`` says what repeats: windows of ``length`` bytes, or of ``length`` words whatever white space parts them. Every
+window names an anchor: the shorter run of bytes (words) inside it with the least hash, the last one of equals. Equal
+windows name equal anchors, and the windows that name one occurrence of an anchor are a run; what they span is its
 context. An anchor that occurs once can hold no repeated window. For the others, equal contexts are counted once, and
 the distinct contexts of an anchor meet in one task. There a suffix array over word tokens (Lyndon grouping, see
-``suffixarray``) finds the word starts whose suffix agrees with a neighbour far enough; the windows that begin there or anywhere in the
-word before such a start are then checked exactly. Anchors with too many distinct contexts for a task are split by longer
-anchors inside those contexts, at last by whole windows, so no context is skipped.
-
-Defined results: null or empty text has 0 bytes, none removed; texts shorter than 400 bytes keep all; exact copies of at
-least 400 bytes lose everything; repeated ids and null ids are rows of their own; an empty table gives no rows; extra
-columns are kept by ``cleaned``.
+``suffixarray``) finds the word starts whose suffix agrees with a neighbour far enough. For words these are the repeated
+windows. For bytes, the windows that begin at such a start or anywhere in the token before it are then checked exactly.
+Anchors with too many distinct contexts for a task are split by longer anchors inside those contexts, at last by whole
+windows, so no context is skipped. Several measures share one scan of the texts and all joins.
+
+Defined results: null or empty text has 0 bytes, none removed; texts shorter than a window keep all; exact copies of at
+least a window lose everything; repeated ids and null ids are rows of their own; an empty table gives no rows; extra
+columns of any name are kept by ``cleaned``.
 """
 
 from __future__ import annotations
@@ -18,29 +20,45 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, RollingHash, as_text, materialize, mix, read, text_chunks, trimmed, utf8
+from .common import U, RollingHash, Words, as_text, materialize, mix, read, release, text_chunks, trimmed, utf8
 from .suffixarray import suffix_array
 
-LENGTH, ANCHOR = 400, 64
-#: Distinct contexts of an anchor that one task takes, and the anchors for groups beyond that.
-TASK, LONGER = 8_000, (240, LENGTH)
+
+@dataclass(frozen=True)
+class Measure:
+    """Windows of ``length`` bytes or words, ``anchor`` long parts inside them, and the anchors for groups beyond ``TASK``."""
+
+    by_word: bool
+    length: int
+    anchor: int
+    longer: tuple[int, int]
+
+
+BYTES = Measure(False, 400, 64, (240, 400))
+#: Passages of fifty words: of prose they have 200 to 400 bytes, so most are too short for ``BYTES``.
+PASSAGES = Measure(True, 50, 8, (30, 50))
+#: Distinct contexts of an anchor that one task takes.
+TASK = 8_000
 SA_BYTES = 1 << 17
 PLACE = U((1 << 36) - 1)
 TOKEN = re.compile(rb"[^ \t\n\r\f\v]*[ \t\n\r\f\v]|[^ \t\n\r\f\v]+")
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that name the same anchor: row, first window (in its text), windows, anchor's and context's hash."""
-    rolling = RollingHash(data)
-    grams, windows = len(data) - anchor + 1, len(data) - length + 1
+def anchored(rolling: RollingHash, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that name the same anchor: row, first window (in its text), windows, anchor's and context's hash.
+    ``offsets``: where each text's symbols begin, and the end of all."""
+    n_symbols = int(offsets[-1])
+    grams, windows = n_symbols - anchor + 1, n_symbols - length + 1
+    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U), np.zeros(0, U))
     if windows <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U), np.zeros(0, U))
+        return none
     at = np.arange(grams)
     code = mix(rolling.of(at, at + anchor))
     least = (code & ~PLACE) | (PLACE - at.astype(U))
@@ -52,10 +70,9 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) ->
         least = np.minimum(least[: -(span - have)], least[span - have :])
     place = (PLACE - (least & PLACE)).astype(np.int64)
     row = np.searchsorted(offsets, np.arange(windows), "right") - 1
-    inside = np.arange(windows) + length <= offsets[row + 1]
-    use = np.flatnonzero(inside)
+    use = np.flatnonzero(np.arange(windows) + length <= offsets[row + 1])
     if not len(use):
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U), np.zeros(0, U))
+        return none
     new = np.concatenate([[True], (place[use][1:] != place[use][:-1]) | (row[use][1:] != row[use][:-1])])
     first = use[new]
     n = np.diff(np.concatenate([np.flatnonzero(new), [len(use)]]))
@@ -63,6 +80,38 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) ->
     return row[first], first - offsets[row[first]], n, code[place[first]], context
 
 
+def measured(data: np.ndarray, offsets: np.ndarray, measure: Measure, anchor: int) -> tuple[tuple[np.ndarray, ...], Words | None]:
+    """``anchored`` over bytes or words, and the words. Anchors and contexts of words are told apart from those of bytes."""
+    if not measure.by_word:
+        return anchored(RollingHash(data), offsets, measure.length, anchor), None
+    words = Words(data, offsets)
+    row, first, n, code, context = anchored(RollingHash(words.hash), np.concatenate([[0], np.cumsum(words.count)]), measure.length, anchor)
+    return (row, first, n, mix(code ^ U(measure.length)), context), words
+
+
+def repeated_passages(contexts: list[bytes], windows: list[int], length: int) -> list[np.ndarray]:
+    """For each context, which of its windows of ``length`` words occur more than once among all the contexts' windows."""
+    words = Words(np.frombuffer(b"".join(contexts), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).astype(np.int64))
+    edge = np.concatenate([[0], np.cumsum(words.count)])
+    end = words.row + np.arange(len(words.hash))  # place among the symbols, which hold a 0 after each context
+    symbols = np.zeros(len(words.hash) + len(contexts), np.int64)
+    symbols[end] = np.unique(words.hash, return_inverse=True)[1] + 1
+    order = suffix_array(symbols)
+    word = np.full(len(symbols), -1)
+    word[end] = np.arange(len(end))
+    at = word[order]
+    # a separator or a suffix too short for a window has no partner
+    at = at[at >= 0]
+    at = at[at + length <= edge[words.row[at] + 1]]
+    rolling = RollingHash(words.hash)
+    code = rolling.of(at, at + length)
+    same = code[1:] == code[:-1]
+    mark = np.zeros(len(words.hash) + 1, bool)
+    mark[at[1:][same]] = True
+    mark[at[:-1][same]] = True
+    return [mark[edge[k] : edge[k] + windows[k]] for k in range(len(contexts))]
+
+
 def repeated_windows(contexts: list[bytes], windows: list[int], length: int) -> list[np.ndarray]:
     """For each context, which of its windows occur more than once among all the contexts' windows."""
     tokens = [TOKEN.findall(c) for c in contexts]
@@ -112,6 +161,7 @@ def spans(mark: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()))
 
 
+#: Symbols (bytes or words) from ``first`` on.
 SPANS = "array<struct<first:int,count:int>>"
 SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())]))
 
@@ -120,111 +170,141 @@ def span_array(rows: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"first": a, "count": n} for a, n in own] for own in rows], SPAN_TYPE)
 
 
-def solve(contexts: DataFrame, length: int, longer: tuple[int, ...]) -> DataFrame:
-    """anchor, context, spans. ``contexts``: anchor, context, windows, weight, piece (bytes); distinct per anchor."""
+def solve(contexts: DataFrame, measures: tuple[Measure, ...], level: int = 0) -> DataFrame:
+    """anchor, context, spans of repeated windows. ``contexts``: anchor, context, kind (which measure), windows, weight,
+    piece (bytes); distinct per anchor."""
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts"))
     sized = materialize(contexts.join(counted, "anchor"))
-    small = (F.col("n_contexts") <= TASK) if longer else F.lit(True)
+    last = level == len(measures[0].longer)
+    small = F.lit(True) if last else (F.col("n_contexts") <= TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        size, before = 0, None
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "windows", "weight", "piece"))):
-                if row[0] != last and size > SA_BYTES:
+            for row in zip(*(b.column(c).to_pylist() for c in ("kind", "anchor", "context", "windows", "weight", "piece"))):
+                if held and (row[0] != held[0][0] or (row[1] != before and size > SA_BYTES)):
                     yield answer(held)
                     held, size = [], 0
-                last = row[0]
+                before = row[1]
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield answer(held)
 
     def answer(held: list[tuple]) -> pa.RecordBatch:
-        anchor, context, windows, weight, piece = zip(*held)
-        found = [spans(m) for m in repeated_windows(list(piece), list(windows), length)]
-        found = [[(0, n)] if w > 1 else own for own, n, w in zip(found, windows, weight)]
+        kind, anchor, context, windows, weight, piece = zip(*held)
+        measure = measures[kind[0]]
+        marks = (repeated_passages if measure.by_word else repeated_windows)(list(piece), list(windows), measure.length)
+        found = [[(0, n)] if w > 1 else spans(m) for m, n, w in zip(marks, windows, weight)]
         return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(context, pa.int64()), span_array(found)], ["anchor", "context", "spans"])
 
-    done = sized.where(small).repartition(parts, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(trimmed(run), f"anchor bigint, context bigint, spans {SPANS}")
-    if longer:
+    done = sized.where(small).repartition(parts, "anchor").sortWithinPartitions("kind", "anchor", "context").mapInArrow(trimmed(run), f"anchor bigint, context bigint, spans {SPANS}")
+    if not last:
         large = sized.where(~small)
         if not large.isEmpty():
-            done = done.unionByName(split(large, length, longer))
+            done = done.unionByName(split(large, measures, level))
     return done
 
 
-def split(large: DataFrame, length: int, longer: tuple[int, ...]) -> DataFrame:
+def split(large: DataFrame, measures: tuple[Measure, ...], level: int) -> DataFrame:
     """Solve anchors with many contexts through longer anchors inside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pieces = b.column("piece").to_pylist()
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-            row, first, n, code, context = anchored(np.frombuffer(b"".join(pieces), np.uint8), offsets, length, longer[0])
-            cut = [pieces[r][f : f + k + length - 1] for r, f, k in zip(row.tolist(), first.tolist(), n.tolist())]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("anchor").take(take), b.column("context").take(take), b.column("weight").take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(context.view(np.int64)), pa.array(cut, pa.binary())], ["up_anchor", "up_context", "weight", "first", "windows", "anchor", "context", "piece"])
-
-    inner = materialize(large.mapInArrow(trimmed(run), "up_anchor bigint, up_context bigint, weight bigint, first int, windows int, anchor bigint, context bigint, piece binary"))
-    distinct = inner.groupBy("anchor", "context").agg(F.first("windows").alias("windows"), F.sum("weight").alias("weight"), F.first("piece").alias("piece"))
-    if longer[0] >= length:
+            kinds = b.column("kind").to_numpy()
+            for kind in np.unique(kinds):
+                own, measure = b.filter(pa.array(kinds == kind)), measures[kind]
+                pieces = own.column("piece").to_pylist()
+                offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+                (row, first, n, code, context), words = measured(np.frombuffer(b"".join(pieces), np.uint8), offsets, measure, measure.longer[level])
+                cut = cuts_of(pieces, row, first, n, measure.length, words)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(own.column(c).take(take) for c in ("anchor", "context", "weight", "kind")), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(context.view(np.int64)), pa.array(cut, pa.binary())], ["up_anchor", "up_context", "weight", "kind", "first", "windows", "anchor", "context", "piece"])
+
+    inner = materialize(large.mapInArrow(trimmed(run), "up_anchor bigint, up_context bigint, weight bigint, kind int, first int, windows int, anchor bigint, context bigint, piece binary"))
+    distinct = inner.groupBy("anchor", "context").agg(F.first("kind").alias("kind"), F.first("windows").alias("windows"), F.sum("weight").alias("weight"), F.first("piece").alias("piece"))
+    if level + 1 == len(measures[0].longer):  # the anchors are whole windows
         found = distinct.select("anchor", "context", F.when(F.col("weight") > 1, F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("count")))).otherwise(F.array().cast(SPANS)).alias("spans"))
     else:
-        found = solve(distinct, length, longer[1:])
+        found = solve(distinct, measures, level + 1)
     back = inner.join(found, ["anchor", "context"])
     shifted = F.transform("spans", lambda s: F.struct((s["first"] + F.col("first")).alias("first"), s["count"].alias("count")))
     return back.groupBy(F.col("up_anchor").alias("anchor"), F.col("up_context").alias("context")).agg(F.flatten(F.collect_list(shifted)).alias("spans"))
 
 
+def cuts_of(texts: list[bytes], row: np.ndarray, first: np.ndarray, n: np.ndarray, length: int, words: Words | None) -> list[bytes]:
+    """The bytes of runs of windows; with ``words`` (of all texts) ``first`` and ``n`` count words."""
+    if words is None:
+        return [texts[r][f : f + k + length - 1] for r, f, k in zip(row.tolist(), first.tolist(), n.tolist())]
+    at = np.concatenate([[0], np.cumsum(words.count)])[row] + first
+    low, high = words.start[at] - words.offsets[row], words.end[at + n + length - 2] - words.offsets[row]
+    return [texts[r][a:z] for r, a, z in zip(row.tolist(), low.tolist(), high.tolist())]
+
+
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text_key, spans: byte ranges (first, count) of each text that repeated strings cover; texts without any are left out."""
+def repeats(docs: DataFrame, measures: tuple[Measure, ...] = (BYTES,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text_key, spans: which bytes or words (kind: place in ``measures``; first, count) of each text repeated windows cover;
+    texts without any are left out."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = as_text(docs, text_col)
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    # a word and the white space after it have two bytes at least
+    least = min(2 * m.length - 1 if m.by_word else m.length for m in measures)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, end, data, offsets in text_chunks(*utf8(b.column("text"))):
-                at, first, n, code, context = anchored(data, offsets, length, ANCHOR)
-                take = pa.array(at + row)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("key").take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(context.view(np.int64))], ["doc_id", "key", "first", "windows", "anchor", "context"])
+                for k, m in enumerate(measures):
+                    (at, first, n, code, context), _ = measured(data, offsets, m, m.anchor)
+                    take = pa.array(at + row)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("key").take(take), pa.array(np.full(len(at), k, np.int32)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(context.view(np.int64))], ["doc_id", "key", "kind", "first", "windows", "anchor", "context"])
 
-    long_ = own.where(F.octet_length("text") >= length).withColumn("key", text_key(F.col("text"))).select("doc_id", "key", "text")
-    runs = materialize(long_.mapInArrow(trimmed(scan), f"doc_id {kind}, key binary, first int, windows int, anchor bigint, context bigint"))
+    long_ = own.where(F.octet_length("text") >= least).withColumn("key", text_key(F.col("text"))).select("doc_id", "key", "text")
+    scanned = materialize(long_.mapInArrow(trimmed(scan), f"doc_id {kind}, key binary, kind int, first int, windows int, anchor bigint, context bigint"))
     # a table of its own: an aggregate in the join's stage would keep Spark from splitting a hot anchor
-    again = materialize(runs.groupBy("anchor").count().where("count > 1").select("anchor"))
-    runs = materialize(runs.join(again, "anchor", "left_semi"))
-    grouped = materialize(runs.groupBy("anchor", "context").agg(F.count("*").alias("weight"), F.first("windows").alias("windows"), F.min(F.struct("doc_id", "key", "first")).alias("at")))
+    again = materialize(scanned.groupBy("anchor").count().where("count > 1").select("anchor"))
+    runs = materialize(scanned.join(again, "anchor", "left_semi"))
+    release(scanned, again)
+    grouped = materialize(runs.groupBy("anchor", "context").agg(F.count("*").alias("weight"), F.first("kind").alias("kind"), F.first("windows").alias("windows"), F.min(F.struct("doc_id", "key", "first")).alias("at")))
     alone = grouped.groupBy("anchor").agg(F.count("*").alias("n")).where("n = 1").select("anchor")
     single = grouped.join(alone, "anchor", "left_semi").select("anchor", "context", F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("count"))).cast(SPANS).alias("spans"))
-    wanted = grouped.join(alone, "anchor", "left_anti").select("anchor", "context", "weight", "windows", F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key"), F.col("at.first").alias("first"))
-    lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "context", "weight", "windows", "first")).alias("cuts")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    wanted = grouped.join(alone, "anchor", "left_anti").select("anchor", "context", "weight", "kind", "windows", F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key"), F.col("at.first").alias("first"))
+    lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "context", "weight", "kind", "windows", "first")).alias("cuts")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(c["anchor"], c["context"], c["weight"], c["windows"], text[c["first"] : c["first"] + c["windows"] + length - 1]) for text, cuts in zip((t.encode() for t in b.column("text").to_pylist()), b.column("cuts").to_pylist()) for c in cuts]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["anchor", "context", "weight", "windows", "piece"])
+            rows: list[tuple] = []
+            for text, cuts in zip((t.encode() for t in b.column("text").to_pylist()), b.column("cuts").to_pylist()):
+                for k, m in enumerate(measures):
+                    mine = [c for c in cuts if c["kind"] == k]
+                    if mine:
+                        first, n = (np.array([c[x] for c in mine], np.int64) for x in ("first", "windows"))
+                        words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)])) if m.by_word else None
+                        pieces = cuts_of([text], np.zeros(len(mine), np.int64), first, n, m.length, words)
+                        rows += [(c["anchor"], c["context"], c["weight"], k, c["windows"], p) for c, p in zip(mine, pieces)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["anchor", "context", "weight", "kind", "windows", "piece"])
 
     cuts = long_.join(lists, long_["doc_id"].eqNullSafe(lists["_id"]) & (long_["key"] == lists["_key"])).select("text", "cuts")
     cuts = cuts.withColumn("cuts", F.array_distinct("cuts"))
-    pieces = cuts.mapInArrow(trimmed(cut), "anchor bigint, context bigint, weight bigint, windows int, piece binary")
-    found = solve(pieces, length, LONGER).unionByName(single)
+    pieces = cuts.mapInArrow(trimmed(cut), "anchor bigint, context bigint, weight bigint, kind int, windows int, piece binary")
+    found = solve(pieces, measures).unionByName(single)
     found = found.where(F.size("spans") > 0)
-    placed = runs.join(found, ["anchor", "context"]).select("key", F.explode(F.transform("spans", lambda s: F.struct((F.col("first") + s["first"]).alias("first"), (s["count"] + (length - 1)).alias("count")))).alias("span"))
+    # ``count`` windows cover length - 1 symbols more
+    length = F.element_at(F.array(*(F.lit(m.length) for m in measures)), F.col("kind") + 1)
+    placed = runs.join(found, ["anchor", "context"]).select("key", F.explode(F.transform("spans", lambda s: F.struct(F.col("kind").alias("kind"), (F.col("first") + s["first"]).alias("first"), (s["count"] + length - 1).alias("count")))).alias("span"))
     return placed.groupBy("key").agg(F.collect_set("span").alias("spans")).withColumnRenamed("key", "text_key")
 
 
-def merged(found: list[dict] | None) -> list[tuple[int, int]]:
-    """Disjoint (start, end) of byte spans."""
+def merged(found: list[dict] | None, kind: int = 0) -> list[tuple[int, int]]:
+    """Disjoint (start, end) of the spans of a measure."""
     out: list[list[int]] = []
-    for a, n in sorted((s["first"], s["count"]) for s in found or ()):
+    for a, n in sorted((s["first"], s["count"]) for s in found or () if s["kind"] == kind):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], a + n)
         else:
@@ -232,37 +312,33 @@ def merged(found: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` plus spans (null: none)."""
-    found = repeats(docs, length, id_col, text_col).withColumnRenamed("spans", "_spans")
-    own = docs.withColumn("_key", text_key(as_text(docs, text_col)))
-    return own.join(found, own["_key"] == found["text_key"], "left").drop("_key", "text_key")
-
-
-def removal_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strings: Measure = BYTES, passages: Measure = PASSAGES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the removal of repeated ``strings``, and n_passage_words: words that
+    lie in repeated ``passages``, which are not removed by that."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, found in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist()):
+            for text, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
                 raw, at, left = text.encode(), 0, hashlib.sha256()
                 gone = merged(found)
                 for a, z in gone:
                     left.update(raw[at:a])
                     at = z
                 left.update(raw[at:])
-                rows.append((len(raw), sum(z - a for a, z in gone), len(gone), left.hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((len(raw), sum(z - a for a, z in gone), len(gone), left.hexdigest(), sum(z - a for a, z in merged(found, 1))))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
-    own = docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text"))
-    return with_repeats(own, length, "doc_id", "text").select("doc_id", "text", "_spans").mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    own = docs.select(F.col(id_col).alias("doc_id"), as_text(docs, text_col).alias("text"), text_key(as_text(docs, text_col)).alias("key"))
+    found = repeats(own, (strings, passages))
+    return own.join(found, own["key"] == found["text_key"], "left").select("doc_id", "text", "spans").mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint")
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated spans cut out of the text; a span is narrowed to whole characters."""
+def cleaned(docs: DataFrame, measure: Measure = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what the measure finds repeated cut out of the text. A byte span is narrowed to whole characters; a span
+    of words goes with the white space between them. ``n_chars``, where there is one, is counted again."""
 
     @F.pandas_udf("string")
     def without(texts, found):  # noqa: ANN001, ANN202
@@ -272,7 +348,11 @@ def cleaned(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 out.append(text)
                 continue
             raw, at, left = text.encode(), 0, []
-            for a, z in merged(list(own)):
+            gone = merged(list(own))
+            if measure.by_word:
+                words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                gone = [(int(words.start[a]), int(words.end[z - 1])) for a, z in gone]
+            for a, z in gone:
                 while a < z and raw[a] & 0xC0 == 0x80:
                     a += 1
                 while z < len(raw) and z > a and raw[z] & 0xC0 == 0x80:
@@ -282,7 +362,12 @@ def cleaned(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             out.append(b"".join([*left, raw[at:]]).decode())
         return texts.__class__(out, dtype=object)
 
-    return with_repeats(docs, length, id_col, text_col).withColumn(text_col, without(F.col(text_col), F.col("_spans"))).withColumns({"n_chars": F.length(text_col).cast("bigint")} if "n_chars" in docs.columns else {}).select(*docs.columns)
+    # the row is packed, so its columns may have any name
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), as_text(docs, text_col).alias("text"), text_key(as_text(docs, text_col)).alias("key"))
+    found = repeats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), (measure,))
+    cut = own.join(found, own["key"] == found["text_key"], "left").select("row", F.when(F.col("spans").isNull(), F.col("row")[text_col]).otherwise(without(F.col("text"), F.col("spans"))).alias("text"))
+    new = {text_col: F.col("text"), **({"n_chars": F.length("text").cast("bigint")} if "n_chars" in docs.columns else {})}
+    return cut.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

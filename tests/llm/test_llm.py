@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures that hold nulls, empty and long texts, ties, copies and clashing columns."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -234,6 +235,28 @@ def test_mixing(docs, none):
     assert mixing.mix(mixing.sizes(none)).count() == 0
 
 
+@functools.cache
+def passages():
+    return collections.Counter(tuple(w[i : i + 50]) for _, t, *_ in DOCS for w in [WORD.findall(t or "")] for i in range(len(w) - 49))
+
+
+def passage_words(t):
+    w = WORD.findall(t)
+    return {j for i in range(len(w) - 49) if passages()[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}
+
+
+def without_passages(t):
+    gone = t and passage_words(t)
+    if not gone:
+        return t
+    out, at, words = [], 0, list(WORD.finditer(t))
+    for j, m in enumerate(words):
+        if j in gone:
+            out.append("" if j - 1 in gone else t[at : m.start()])
+            at = m.end()
+    return "".join(out) + t[at:]
+
+
 @pytest.mark.parametrize("task", [substrings.TASK, 2])
 def test_substrings(docs, none, monkeypatch, task):
     monkeypatch.setattr(substrings, "TASK", task)  # 2: nearly every anchor is split by longer ones
@@ -247,9 +270,14 @@ def test_substrings(docs, none, monkeypatch, task):
                 mark[p : p + 400] = b"\1" * 400
         left = bytes(x for x, y in zip(b, mark) if not y)
         runs = sum(1 for p in range(len(mark)) if mark[p] and (p == 0 or not mark[p - 1]))
-        want[k, len(b), sum(mark), runs, hashlib.sha256(left).hexdigest()] += 1
+        want[k, len(b), sum(mark), runs, hashlib.sha256(left).hexdigest(), len(passage_words(b.decode()))] += 1
     assert collections.Counter(map(tuple, substrings.removal_report(docs).collect())) == want
     assert substrings.cleaned(none).count() == 0 and substrings.cleaned(docs).columns == docs.columns
+    want = collections.Counter((k, without_passages(t)) for k, t, *_ in DOCS)
+    odd = docs.withColumns({"text_key": F.lit(1), "key": F.lit(2), "spans": F.lit(3), "row": F.lit(4), "a.b": F.lit(5)})
+    got = substrings.cleaned(odd, substrings.PASSAGES).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == want
+    assert {(r.text_key, r.key, r.spans, r.row, r["a.b"]) for r in got} == {(1, 2, 3, 4, 5)} and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
 
 
 @pytest.mark.parametrize("task", [substrings.TASK, 2])
