@@ -24,8 +24,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that repeat anywhere are cut out of the texts."""
-    return substrings.cleaned(docs)
+    """Passages of fifty words and more that repeat anywhere are cut out of the texts."""
+    return substrings.cleaned(docs, substrings.PASSAGES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
