@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 ZERO_ADDRESS = "0x" + "0" * 40
 #: Fixed values of the chain: selectors of keeper traffic, precompiles, label rules.
@@ -100,8 +100,28 @@ def number_or_hex(c: Column) -> Column:
 def gas_report(result: Column) -> dict[str, Column]:
     """gas_used, gas_price, gas_recipient, priority_fee, base_fee of a result's JSON text."""
     at = lambda k: F.get_json_object(result, f"$.gas_report.{k}")
-    used, price, priority = (number_or_hex(at(k)) for k in ("gas_value", "gas_price", "priority_fee"))
-    return {"gas_used": F.when(at("gas_value").isNotNull(), used), "gas_price": F.when(at("gas_price").isNotNull(), price), "gas_recipient": F.lower(at("gas_recipient")), "priority_fee": priority, "base_fee": F.when(at("gas_value").isNotNull() & at("gas_price").isNotNull(), F.greatest(F.lit(0), used * price - priority))}
+    used, price, priority = (exact_number(at(k)) for k in ("gas_value", "gas_price", "priority_fee"))
+    priority = F.coalesce(priority, F.lit(0).cast("decimal(38,0)"))
+    total = F.try_multiply(used, price).cast("decimal(38,0)")
+    return {"gas_used": used, "gas_price": price, "gas_recipient": F.lower(at("gas_recipient")), "priority_fee": priority, "base_fee": F.when(total.isNotNull(), F.greatest(F.lit(0).cast("decimal(38,0)"), (total - priority).cast("decimal(38,0)")))}
+
+
+def exact_number(c: Column) -> Column:
+    """Decimal or 0x-hex text of up to 38 digits as decimal(38,0), nothing held or rounded; null for other text."""
+    h = F.regexp_replace(bare(c), "^0+(?=.)", "")
+    part = lambda start, n: F.conv(F.substring(F.lpad(h, 32, "0"), start, n), 16, 10).cast("decimal(20,0)")
+    hexed = F.when(F.length(h) <= 31, (part(1, 16) * F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(38,0)") + part(17, 16)).cast("decimal(38,0)")
+    return F.when(c.rlike("^0[xX][0-9a-fA-F]+$"), hexed).when(c.rlike("^[0-9]{1,38}$"), c.try_cast("decimal(38,0)"))
+
+
+def json_array_len(text: Column) -> Column:
+    """Elements of a JSON array; 0 for null and for what is no array."""
+    return F.coalesce(F.json_array_length(text), F.lit(0))
+
+
+def effective_from(decoded: Column, source: Column) -> Column:
+    """The decoded sender, else the source's."""
+    return F.coalesce(decoded, source)
 
 
 def format_amount(amount: Column, decimals: Column) -> Column:
@@ -138,10 +158,14 @@ def holder_share(balance: Column, total: Column) -> Column:
     return F.when(total > 0, balance / total)
 
 
+#: Fixed values of the output that carry the chain's name.
+CHAIN_PRECOMPILE, DEPOSIT_TAG = "precompile_rome", "rome_deposit"
+
+
 def address_kind(address: Column, is_token: Column, is_contract: Column, by_solana: Column) -> Column:
     a = F.lower(address)
     last = F.conv(F.right(a, F.lit(2)), 16, 10).cast("int")
-    return chain([(a == ZERO_ADDRESS, "burn"), (a.isin(SYSTEM, CPI, HELPER, WITHDRAW), "precompile_rome"), (a.startswith("0x" + "0" * 38) & (F.length(a) == 42) & last.between(1, 10), "precompile_eth"), (is_token, "token"), (is_contract, "contract"), (by_solana, "account")], "eoa")
+    return chain([(a == ZERO_ADDRESS, "burn"), (a.isin(SYSTEM, CPI, HELPER, WITHDRAW), CHAIN_PRECOMPILE), (a.startswith("0x" + "0" * 38) & (F.length(a) == 42) & last.between(1, 10), "precompile_eth"), (is_token, "token"), (is_contract, "contract"), (by_solana, "account")], "eoa")
 
 
 def token_kind(mint: Column, owner: Column, token_2022: str = "token-2022") -> Column:
@@ -169,13 +193,35 @@ def fingerprint_code(code: Column) -> Column:
     return chain([(bare(code).contains(x), label) for x, label in CODE_LABELS], F.lit(None).cast("string"))
 
 
-def label_from_probe(label: Column, description: Column) -> Column:
-    """A label, else "Price Feed" style text from the description read."""
-    return F.coalesce(label, F.nullif(F.trim(description), F.lit("")))
+def label_from_probe(name: Column, symbol: Column, code: Column, description: Column) -> tuple[Column, Column, Column]:
+    """(read, label, detail) of an address that was probed. Nothing read at all: read is false and the row is skipped. What
+    has only a description is a "Price Feed" with it as detail; a read without any of them gets a null label, the marker
+    that the address was seen."""
+    read = name.isNotNull() | symbol.isNotNull() | code.isNotNull() | description.isNotNull()
+    label, detail = normalize_label(name, symbol, code)
+    told = F.nullif(F.trim(description), F.lit(""))
+    return read, F.coalesce(label, F.when(told.isNotNull(), "Price Feed")), F.when(label.isNull(), told).otherwise(detail)
+
+
+def _ordered(c: Column, kind: DataType) -> Column:
+    if isinstance(kind, StructType):
+        fields = [_ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(c, lambda _, v: _ordered(v, kind.valueType)))))
+    return c
+
+
+def evidence_hash_of(schema: StructType) -> Column:
+    """SHA-256 of a row's JSON, keys in order at every depth, nulls kept."""
+    fields = [_ordered(F.col(f.name), f.dataType).alias(f.name) for f in sorted(schema.fields, key=lambda f: f.name)]
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
 def evidence_hash(*columns: str) -> Column:
-    """SHA-256 of JSON with keys in order and nulls kept."""
+    """SHA-256 of JSON with keys in order and nulls kept; for flat columns."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
 
 

@@ -45,6 +45,11 @@ def sum_of(u: Column, over=None) -> Column:
     return F.struct(*[_d(total(n)).alias(n) for n in LIMBS])
 
 
+def signed_sum_of(u: Column, minus: Column) -> Column:
+    """Limb sums where rows with ``minus`` count negative; normalise afterwards."""
+    return F.struct(*[_d(F.sum(F.when(minus, _d(-u[n])).otherwise(u[n]))).alias(n) for n in LIMBS])
+
+
 def normalise(u: Column) -> Column:
     """Carry upwards: l0 to l2 come to 0..2**64-1 and l3 holds the sign."""
     base = F.lit("18446744073709551616").cast("decimal(38,0)")
@@ -63,6 +68,12 @@ def sign(u: Column) -> Column:
     return F.when(u["l3"] < 0, -1).when(zero, 0).otherwise(1)
 
 
+def to_double(u: Column) -> Column:
+    """About the nearest double of a normalised amount; a negative one is turned first, so small ones stay exact."""
+    plain = lambda x: x["l0"].cast("double") + x["l1"].cast("double") * float(1 << 64) + x["l2"].cast("double") * float(1 << 128) + x["l3"].cast("double") * float(1 << 192)
+    return F.when(u["l3"] < 0, -plain(normalise(negate(u)))).otherwise(plain(u))
+
+
 def order_key(u: Column) -> Column:
     return F.struct(u["l3"], u["l2"], u["l1"], u["l0"])
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotline.functions import u256
-from slotline.functions.hexabi import histogram_bucket
+from slotline.functions.hexabi import effective_from, histogram_bucket, holder_share
 
 
 def block_points(blocks: DataFrame, txs: DataFrame, block: str, ts: str, oracle: Column, tx_block: str) -> DataFrame:
@@ -52,11 +53,13 @@ def address_stats(txs: DataFrame, key: str, at: str, legs: list[str]) -> DataFra
 
 
 def token_balances(transfers: DataFrame, token: str, sender: str, receiver: str, amount: str, zero: str) -> DataFrame:
-    """Exact balances: debits and credits as limbs; the zero address and balances of exactly 0 are out, negatives stay."""
-    debit = transfers.select(F.col(token).alias("token"), F.col(sender).alias("holder"), u256.negate(F.col(amount)).alias("u"))
-    credit = transfers.select(F.col(token).alias("token"), F.col(receiver).alias("holder"), F.col(amount).alias("u"))
-    summed = debit.unionByName(credit).where(F.col("holder") != zero).groupBy("token", "holder").agg(u256.sum_of(F.col("u")).alias("u"))
-    return summed.select("token", "holder", u256.normalise(F.col("u")).alias("balance")).where(u256.sign(F.col("balance")) != 0)
+    """Exact balances: the zero address and balances of exactly 0 are out, negatives stay. A transfer is read once and gives
+    both legs; limbs are summed before the one carry a holder."""
+    sides = F.array(F.struct(F.col(sender).alias("holder"), F.lit(True).alias("out")), F.struct(F.col(receiver).alias("holder"), F.lit(False).alias("out")))
+    legs = transfers.select(F.col(token).alias("token"), F.col(amount).alias("u"), F.explode(sides).alias("x")).select("token", "x.holder", "x.out", "u").where(F.col("holder") != zero)
+    summed = legs.groupBy("token", "holder").agg(u256.signed_sum_of(F.col("u"), F.col("out")).alias("u"))
+    carried = summed.select("token", "holder", F.explode(F.array(u256.normalise(F.col("u")))).alias("balance"))  # a generator, so the carry is computed once
+    return carried.where(u256.sign(F.col("balance")) != 0)
 
 
 def holder_counts(balances: DataFrame) -> DataFrame:
@@ -68,20 +71,45 @@ def circulating_supply(balances: DataFrame, tokens: DataFrame, wrapper: Column)
     return tokens.join(own, "token", "left").withColumn("supply", F.when(wrapper, F.col("supply")))
 
 
-def holders_page(balances: DataFrame, token: str, holder: str, balance: str, limit: int) -> DataFrame:
-    """Largest holders of each token with their share; the total is aggregated before the join."""
-    from pyspark.sql import Window as W
-
-    totals = balances.where(F.col(balance) > 0).groupBy(token).agg(F.sum(balance).alias("_total"))
-    ranked = balances.withColumn("rank", F.row_number().over(W.partitionBy(token).orderBy(F.desc(balance), holder))).where(F.col("rank") <= limit)
-    return ranked.join(totals, token, "left").withColumn("share", F.when(F.col("_total") > 0, F.col(balance) / F.col("_total"))).drop("_total")
-
-
-def stats_overview(txs: DataFrame, at: str, sender: str, contract: Column, window: int) -> DataFrame:
-    tip = txs.agg(F.max(at).alias("_tip"))
-    own = txs.join(F.broadcast(tip))  # one row
-    out = own.agg(F.count("*").alias("txs"), F.max(at).alias("tip"), F.count_if(F.col(at) > F.col("_tip") - window).alias("recent"), F.count_distinct(sender).alias("addresses"), F.count_distinct(F.when(contract, F.col(sender))).alias("contracts"))
-    return out.withColumn("plain", F.greatest(F.lit(0), F.col("addresses") - F.col("contracts")))
+def holders_page(balances: DataFrame, limit: int) -> DataFrame:
+    """Largest holders of each token (balances as limbs) with rank and share of the token's positive total; the total is
+    summed before the join. Shares are doubles made of the limbs. Ranking cuts each partition's rows before the shuffle is
+    sorted, so a hot token sends its heads only where Spark's group limit applies."""
+    totals = balances.where(u256.sign(F.col("balance")) > 0).groupBy("token").agg(u256.normalise(u256.sum_of(F.col("balance"))).alias("_total"))
+    best = W.partitionBy("token").orderBy(F.desc(u256.order_key(F.col("balance"))), "holder")
+    ranked = balances.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    both = ranked.join(totals, "token", "left")
+    return both.withColumn("share", holder_share(u256.to_double(F.col("balance")), u256.to_double(F.col("_total")))).drop("_total")
+
+
+def stats_overview(blocks: DataFrame, txs: DataFrame, addresses: DataFrame, tokens: DataFrame, cursors: DataFrame, now: Column, window: int = 60) -> DataFrame:
+    """The dashboard's one row: latest block and slot, source tip (null while no cursor has reported one), all transactions,
+    recent rate, addresses, contracts, synthetics, plain accounts (the residual, 0 at least), tokens by kind.
+
+    blocks: block, slot, ts; txs: ts, origination, solana_signer, from_addr, from_address; addresses: address, is_contract;
+    tokens: kind; cursors: table_name, source_max_slot. One scan a table, one-row sides joined."""
+    sender = F.when((F.col("origination") != "ecdsa") & F.col("solana_signer").isNotNull(), effective_from(F.col("from_addr"), F.col("from_address")))
+    sides = (
+        blocks.agg(F.coalesce(F.max("block"), F.lit(0)).alias("latest_block"), F.coalesce(F.max("slot"), F.lit(0)).alias("latest_slot")),
+        cursors.where("table_name = 'eth_block'").agg(F.max("source_max_slot").alias("source_max_slot")),
+        txs.agg(F.count("*").alias("txs"), (F.count_if(F.col("ts") > now - window) / window).alias("tps"), F.count_distinct(sender).alias("synthetics")),
+        addresses.agg(F.count("*").alias("addresses"), F.count_if(F.coalesce("is_contract", F.lit(False))).alias("contracts")),
+        tokens.agg(F.count("*").alias("tokens"), *[F.count_if(F.coalesce(F.col("kind") == k, F.lit(False))).alias(n) for n, k in (("erc20", "ERC-20"), ("spl", "SPL"), ("token2022", "Token-2022"))]),
+    )
+    out = sides[0]
+    for one in sides[1:]:
+        out = out.join(F.broadcast(one))  # one row each
+    return out.withColumn("plain", F.greatest(F.lit(0), F.col("addresses") - F.col("contracts") - F.col("synthetics")))
+
+
+def slot_range_for_blocks(blocks: DataFrame, first: int, last: int, block: str = "block", slot: str = "slot") -> DataFrame:
+    """Least and greatest slot of the blocks in [first, last]; nulls if there are none."""
+    return blocks.where(F.col(block).between(first, last)).agg(F.min(slot).alias("from_slot"), F.max(slot).alias("to_slot"))
+
+
+def finalized_tip(slots: DataFrame, slot: str = "slot", status: str = "status") -> DataFrame:
+    """Greatest finalized slot; null if there is none."""
+    return slots.agg(F.max(F.when(F.col(status) == "Finalized", F.col(slot))).alias("tip"))
 
 
 def event_counts(events: DataFrame, columns: list[str]) -> DataFrame:

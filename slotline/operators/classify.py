@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.functions.hexabi import CPI, HELPER, SYSTEM, WITHDRAW, chain, method_name
+from slotline.functions.hexabi import CPI, DEPOSIT_TAG, HELPER, SYSTEM, WITHDRAW, chain, is_oracle, legs_build, method_name
 
 #: Event topics and the method names of each action.
 TRANSFER = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
@@ -41,8 +41,9 @@ def is_contract_creation(to: Column, input_len: Column) -> Column:
     return F.coalesce(to, F.lit("")).eqNullSafe("") & F.coalesce(input_len > 0, F.lit(False))
 
 
-def action_tags(tx_type: Column, method: Column, to: Column, value_wei: Column, type_byte: Column, legs: Column, logs: Column, input_len: Column) -> Column:
-    """Ordered, distinct tags. ``logs``: array of structs with ``topics``."""
+def action_tags(tx_type: Column, method: Column, to: Column, value_wei: Column, type_byte: Column, legs: Column, logs: Column, input_len: Column, firsts: Column | None = None) -> Column:
+    """Ordered, distinct tags. ``logs``: array of structs with ``topics``; ``firsts``: their first topics in lower case, where
+    the caller has them."""
     method = F.coalesce(method, F.lit(""))
     plain = method.isin("0x", "", "(method)")
     valued = F.coalesce(value_wei.rlike("[^0]"), F.lit(False))
@@ -53,7 +54,7 @@ def action_tags(tx_type: Column, method: Column, to: Column, value_wei: Column,
     primary = chain(
         [
             (is_contract_creation(to, input_len), one("contract_creation")),
-            (F.coalesce(type_byte == DEPOSIT_TYPE, F.lit(False)) & plain, one("rome_deposit")),
+            (F.coalesce(type_byte == DEPOSIT_TYPE, F.lit(False)) & plain, one(DEPOSIT_TAG)),
             (romulus & plain & both & ~valued, one("solana_only")),
             (to == CPI, one("solana_cpi")),
             (to == SYSTEM, one("system_call")),
@@ -69,7 +70,8 @@ def action_tags(tx_type: Column, method: Column, to: Column, value_wei: Column,
     by_name = F.array(chain([(name.isin(*names), action) for action, names in METHOD_ACTIONS.items()], F.lit(None).cast("string")), tag(method.isin("withdraw(address,uint256)", "withdraw(address,uint256,address)"), "lend_withdraw"))
     logs = F.coalesce(logs, F.array().cast("array<struct<topics:array<string>>>"))
     topic = lambda log, k: F.lower(F.coalesce(F.get(log["topics"], F.lit(k)), F.lit("")))
-    seen = lambda *wanted: F.exists(logs, lambda log: topic(log, 0).isin(*wanted))
+    firsts = F.transform(logs, lambda log: topic(log, 0)) if firsts is None else firsts
+    seen = lambda *wanted: F.arrays_overlap(firsts, F.array(*[F.lit(x) for x in wanted]))
     pools = F.array(tag(seen(*SWAPS), "swap"), tag(seen(PAIR_MINT), "add_liquidity"), tag(seen(PAIR_BURN), "remove_liquidity"), chain([((method == "deposit()") & valued, "wrap"), (method == "withdraw(uint256)", "unwrap")], F.lit(None).cast("string")))
     moved = F.transform(
         F.filter(logs, lambda log: topic(log, 0) == TRANSFER),
@@ -81,13 +83,33 @@ def action_tags(tx_type: Column, method: Column, to: Column, value_wei: Column,
     return F.when(F.size(tags) > 0, tags).otherwise(fallback)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A computed column that later steps read; as a generator's output it is not written into each of them again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def tagged(feed: DataFrame) -> DataFrame:
+    """A feed (tx_type, method, to_addr, value_wei, tx_type_byte, leg_count, logs, input_len) with ``tags``, computed once a row."""
+    first = once(feed, "_firsts", F.transform(F.coalesce("logs", F.array().cast("array<struct<topics:array<string>>>")), lambda log: F.lower(F.coalesce(F.get(log["topics"], F.lit(0)), F.lit("")))))
+    tags = action_tags(F.col("tx_type"), F.col("method"), F.col("to_addr"), F.col("value_wei"), F.col("tx_type_byte"), F.col("leg_count"), F.col("logs"), F.col("input_len"), F.col("_firsts"))
+    return once(first, "tags", tags).drop("_firsts")
+
+
+def crossings(feed: DataFrame, keys: list[str]) -> DataFrame:
+    """Transactions that join two sides: ``keys``, seams, and whether they are keeper traffic. The feed is ``tagged``'s with
+    origination, solana_signer, has_cpi_target and method_id."""
+    by_solana = (F.coalesce("origination", F.lit("ecdsa")) != "ecdsa") & F.col("solana_signer").isNotNull()
+    own = once(tagged(feed), "seams", seams(F.col("tags"), F.col("to_addr"), F.col("tx_type"), F.col("origination"), F.col("tx_type_byte"), F.col("has_cpi_target"), by_solana))
+    return own.where(F.size("seams") > 0).select(*keys, "seams", is_oracle(F.col("method_id")).alias("is_oracle"))
+
+
 def seams(tags: Column, to: Column, tx_type: Column, origination: Column, type_byte: Column, has_target: Column, by_solana: Column) -> Column:
     """Sides that a transaction joins: evm_to_sol, sol_to_evm, bridge, in this order."""
     has = lambda *names: F.arrays_overlap(tags, F.array(*[F.lit(n) for n in names]))
     yes = lambda c: F.coalesce(c, F.lit(False))
     out = yes(has("solana_cpi", "cross_chain_call")) | yes(F.lower(to) == CPI) | yes(tx_type == "Romulus") | yes(has_target)
     into = yes(origination.isin("solana_unsigned", "solana_ed25519")) | yes(by_solana)
-    bridge = yes(has("bridge_out", "bridge_in", "withdraw_precompile", "rome_deposit")) | yes(type_byte == DEPOSIT_TYPE)
+    bridge = yes(has("bridge_out", "bridge_in", "withdraw_precompile", DEPOSIT_TAG)) | yes(type_byte == DEPOSIT_TYPE)
     return F.filter(F.array(tag(out, "evm_to_sol"), tag(into, "sol_to_evm"), tag(bridge, "bridge")), lambda s: s.isNotNull())
 
 
@@ -98,5 +120,36 @@ def tx_type(top_level: Column, infra: Column, origination: Column) -> tuple[Colu
     return F.when(signed & (F.size(own) > 0), "Romulus").otherwise("Rhea"), F.when(signed, own).otherwise(F.array().cast("array<string>"))
 
 
+def is_informative(tx_type: Column, legs: Column, target: Column) -> Column:
+    """Whether a correlation says more than the defaults: another type than Rhea, a leg, or a call target."""
+    return (tx_type != "Rhea") | (F.coalesce(F.size(legs), F.lit(0)) > 0) | target.isNotNull()
+
+
+def correlations(txs: DataFrame, signatures: DataFrame, programs: DataFrame, targets: DataFrame, infra: list[str], cluster: str) -> DataFrame:
+    """One row for each transaction that says more than the defaults: type, flipping programs, EVM leg, native legs (Romulus
+    only), call target.
+
+    txs: chain_id, tx_hash, block_number, origination (null: ecdsa); signatures: chain_id, tx_hash, signature; programs:
+    signature and its top-level programs; targets: signature, program, instruction. A transaction without signatures, or with
+    one whose lines are not there yet, waits. Of several signatures' targets the least signature's counts."""
+    keys = ["chain_id", "tx_hash"]
+    sides = signatures.join(programs, "signature", "left").join(targets.select("signature", F.struct("program", "instruction").alias("target")), "signature", "left")
+    grouped = sides.groupBy(*keys).agg(
+        F.array_sort(F.collect_set("signature")).alias("signatures"),
+        F.array_distinct(F.flatten(F.collect_list("programs"))).alias("top_level"),
+        F.count_if(F.col("programs").isNull()).alias("unread"),
+        F.min_by("target", F.when(F.col("target").isNotNull(), F.col("signature"))).alias("target"),
+    )
+    read = txs.join(grouped.where("unread = 0"), keys)
+    kind, flipping = tx_type(F.col("top_level"), F.array(*[F.lit(x) for x in infra]), F.coalesce("origination", F.lit("ecdsa")))
+    made = read.select(
+        *keys, kind.alias("tx_type"), flipping.alias("flipping"), "block_number", "target",
+        F.array(F.struct(F.col("chain_id").alias("chainId"), F.col("block_number").alias("blockNumber"), F.col("tx_hash").alias("txHash"))).alias("evm_legs"), "signatures",
+    )
+    legs = made.withColumn("solana_legs", legs_build(F.col("signatures"), F.lit(cluster), F.col("tx_type")))
+    out = legs.where(is_informative(F.col("tx_type"), F.col("solana_legs"), F.col("target")))
+    return out.select(*keys, "tx_type", "flipping", "evm_legs", "solana_legs", F.coalesce("block_number", F.lit(0)).alias("block_number"), F.col("target.program").alias("cpi_program"), F.col("target.instruction").alias("cpi_instruction"))
+
+
 def verify_outcome(status: Column, name: Column) -> Column:
     return F.when((status == 200) & name.isNotNull(), "verified").when((status == 404) | ((status == 200) & name.isNull()), "not_verified").otherwise("transient")

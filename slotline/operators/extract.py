@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotline.functions import u256
-from slotline.functions.hexabi import bare, topic_to_address
+from slotline.functions.hexabi import CPI, bare, bytes32_to_base58, chain, number_or_hex, topic_to_address
 
-from .classify import TRANSFER
+from .classify import TRANSFER, once
 
 LOGS = "array<struct<address:string,topics:array<string>,data:string>>"
 
 
 def logs_project(result: Column) -> Column:
     """A result's logs; absent data is 0x."""
-    logs = F.coalesce(F.from_json(F.get_json_object(result, "$.logs"), LOGS), F.array().cast(LOGS))
+    logs = F.coalesce(F.from_json(result, f"logs {LOGS}")["logs"], F.array().cast(LOGS))
     return F.transform(logs, lambda g: F.struct(g["address"].alias("address"), g["topics"].alias("topics"), F.coalesce(g["data"], F.lit("0x")).alias("data")))
 
 
@@ -36,10 +39,37 @@ def extract_token_created(results: DataFrame, keys: list[str], result: str, topi
     return logs.select(*keys, "log_index", F.lower("address").alias("factory"), topic_to_address(F.get("topics", F.lit(1))).alias("creator"), F.lower(F.get("topics", F.lit(2))).alias("mint"), topic_to_address(F.get("topics", F.lit(3))).alias("token"))
 
 
-def gate_history(events: DataFrame) -> DataFrame:
-    """Toggles with the token that their module was wired to as of the toggle; earlier toggles keep a null token."""
-    w = W.partitionBy("module").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return events.withColumn("token", F.coalesce("token", F.last("token", ignorenulls=True).over(w)))
+#: The two gate events and the restriction type they are about.
+MODULE_SET = "0xe5d41ffde12968cb577153d35b775280c377967d3bcb834268d42e7e687ca312"
+TOGGLED = "0x70a23fe37c63b4aecb5c585cbcc7e044a1601e38986a22eaf1932b87030ba097"
+TRANSFER_RESTRICTION = "0x16d3efd52fe4afa679136c32a17cfe3bac40019518e3dd5b5d42aeb676bcb941"
+
+
+def extract_gate_events(results: DataFrame, keys: list[str], result: str) -> DataFrame:
+    """Gate events: event_type, token (wirings only), module, transfers_allowed (toggles only). A wiring of another
+    restriction type, an empty emitter or module, and a toggle without data are no gate events."""
+    topic = lambda k: F.lower(F.get("topics", F.lit(k)))
+    emitter, wired = F.nullif(F.lower("address"), F.lit("")), topic(0) == MODULE_SET
+    module = F.when(wired, F.nullif(topic_to_address(topic(2)), F.lit(""))).otherwise(emitter)
+    word = F.nullif(bare(F.col("data")), F.lit(""))
+    found = explode_logs(results, keys, result).where(((topic(0) == MODULE_SET) & (topic(1) == TRANSFER_RESTRICTION)) | (topic(0) == TOGGLED))
+    made = found.select(*keys, "log_index", F.when(wired, "module_wired").otherwise("transfers_toggled").alias("event_type"), F.when(wired, emitter).alias("token"), module.alias("module"), F.when(~wired, word.rlike("[^0]")).alias("transfers_allowed"), emitter.alias("_by"))
+    return made.where(F.col("_by").isNotNull() & F.col("module").isNotNull() & ((F.col("event_type") == "module_wired") | F.col("transfers_allowed").isNotNull())).drop("_by")
+
+
+def gate_history(events: DataFrame, order: list[str]) -> DataFrame:
+    """Gate events with their token: a toggle takes the token its module was last wired to before it, null if there is none."""
+    w = W.partitionBy("module").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    wired = F.last(F.when(F.col("event_type") == "module_wired", F.col("token")), ignorenulls=True).over(w)
+    return events.withColumn("token", F.coalesce("token", wired))
+
+
+def stale_gates(tokens: DataFrame, history: DataFrame, order: list[str]) -> DataFrame:
+    """Token rows after gate events: the last wired module, and ``gated`` unknown again wherever an event met the token. A
+    token that has no row gets one. tokens: token, module, gated."""
+    seen = history.where(F.col("token").isNotNull()).groupBy("token").agg(F.max_by(F.when(F.col("event_type") == "module_wired", F.col("module")), F.when(F.col("event_type") == "module_wired", F.struct(*order))).alias("_module"))
+    both = tokens.join(seen.withColumn("_met", F.lit(True)), "token", "full")
+    return both.select("token", F.coalesce("_module", "module").alias("module"), F.when(F.col("_met").isNull(), F.col("gated")).alias("gated"))
 
 
 def decode_events(logs: DataFrame, registry: DataFrame) -> DataFrame:
@@ -79,11 +109,29 @@ def split_quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decoded.where("reason IS NULL").drop("reason"), decoded.where("reason IS NOT NULL").drop("decoded")
 
 
-def event_envelope(logs: DataFrame, results: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Block number, hash, time, and the block-wide log index: place in the transaction plus the receipt's first."""
-    first = F.conv(bare(F.get_json_object("receipt_params", "$.first_log_index")), 16, 10).cast("int")
-    head = results.select("tx_hash", first.alias("_first"), F.get_json_object("receipt_params", "$.tx_index").cast("int").alias("tx_index"), F.conv(bare(F.get_json_object("receipt_params", "$.block_number")), 16, 10).cast("bigint").alias("block_number"))
-    return logs.join(head, "tx_hash").join(blocks, "block_number").withColumn("log_index", F.col("log_ordinal") + F.col("_first")).drop("_first")
+def receipt_numbers(receipt: Column) -> dict[str, Column]:
+    """block_number, tx_index and first_log_index of a receipt's JSON text, in hex or plain numbers."""
+    at = lambda k: number_or_hex(F.get_json_object(receipt, f"$.{k}"))
+    return {"block_number": at("block_number"), "tx_index": at("tx_index").cast("int"), "first_log": at("first_log_index").cast("int")}
+
+
+def event_envelope(logs: DataFrame, txs: DataFrame, results: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Block number, hash, time, place of the transaction, signer, and the block-wide log index: place in the transaction
+    plus the receipt's first. Four inner joins; logs: tx_hash, log_ordinal; txs: tx_hash, signer; blocks: block_number."""
+    n = receipt_numbers(F.col("receipt_params"))
+    head = results.select("tx_hash", n["block_number"].alias("block_number"), n["tx_index"].alias("tx_index"), n["first_log"].alias("_first"))
+    return logs.join(head, "tx_hash").join(txs.select("tx_hash", "signer"), "tx_hash").join(blocks, "block_number").withColumn("log_index", F.col("log_ordinal") + F.col("_first")).drop("_first")
+
+
+def logs_of(logs: DataFrame, results: DataFrame, address: str, topic0: str, result: str = "tx_result") -> DataFrame:
+    """All logs of one source and event with their data, taken from the result's log array by the log's place, and their
+    position; a place beyond the array has null data. Sort by the position columns where order matters."""
+    n = receipt_numbers(F.col("receipt_params"))
+    own = logs.where((F.lower("address") == address.lower()) & (F.lower(F.get("topics", F.lit(0))) == topic0.lower()))
+    head = results.select("tx_hash", n["block_number"].alias("block_number"), n["tx_index"].alias("tx_index"), n["first_log"].alias("_first"), F.col(result).alias("_result"))
+    joined = own.join(head, "tx_hash")
+    data = F.get(logs_project(F.col("_result")), F.col("log_ordinal"))["data"]
+    return joined.select("tx_hash", "block_number", "tx_index", (F.col("log_ordinal") + F.col("_first")).alias("log_index"), "topics", data.alias("data"))
 
 
 def filter_logs(logs: DataFrame, first: int, last: int, addresses: list[str] | None, topics: list) -> DataFrame:
@@ -119,26 +167,133 @@ def cpi_target(lines: DataFrame, keys: list[str], plumbing: list[str]) -> DataFr
     return found.groupBy(*keys).agg(F.min_by(F.struct("program", "instruction"), "line_no").alias("t")).select(*keys, "t.*")
 
 
-def hook_invocations(txs: DataFrame, error: str) -> DataFrame:
-    count = F.regexp_extract(error, r"(\d+) hooks?", 1).try_cast("int")
-    return txs.withColumns({"hook_count": count, "outcome": F.when(F.col(error).isNull(), "passed").when(F.lower(error).contains("reject"), "rejected").otherwise("failed")})
+#: Fixed value: the router's line that states how many hooks it runs, and for which mint.
+STATES_HOOKS = r"^Program log: Meta-Hook Router: executing (\d+) "
+
+
+def hook_invocations(txs: DataFrame, lines: str = "lines", error: str = "error", keys: str = "account_keys") -> DataFrame:
+    """mint, hook_count, outcome and fee_payer of router transactions. ``lines``: array of log lines; ``error`` and
+    ``keys``: JSON text of the error and of the account keys (texts, or objects with a pubkey)."""
+    named = F.filter(lines, lambda x: F.regexp_extract(x, r"for mint (.*)$", 1).rlike(r"[^\s,]"))
+    mint = F.regexp_replace(F.trim(F.regexp_extract(F.get(named, F.lit(0)), r"for mint (.*)$", 1)), r"[,\s]+$", "")
+    counts = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, STATES_HOOKS, 1).try_cast("int")), lambda n: n.isNotNull())
+    failed = F.lower(F.nullif(F.trim(error), F.lit("null")))
+    outcome = F.when(failed.isNull(), "success").when(failed.rlike("revert|reject|custom"), "reject").otherwise("error")
+    first = F.get_json_object(keys, "$[0]")
+    payer = F.coalesce(F.get_json_object(first, "$.pubkey"), F.when(~first.startswith("{"), first))
+    return txs.withColumns({"mint": mint, "hook_count": F.coalesce(F.get(counts, F.lit(0)), F.lit(0)), "outcome": outcome, "fee_payer": payer})
 
 
 def hook_executions(lines: DataFrame, keys: list[str], router: str) -> DataFrame:
-    """Hook calls inside the router's frames: hook, compute units, result; a rejection ends the frame."""
+    """Hook calls inside the router's frames, in order: hook_address, hook_kind, result, reason, gas_used.
+
+    A deeper invocation opens a hook; a call line names its EVM target, which then is the address; a marker line closes the
+    call with a result, and the open hook's failure closes it as rejected. Each of these, and the router's end, forgets what
+    was read for the call. Windows over the lines of a transaction: spans between openings give the hook, spans between
+    closings the rest, so no line is read by a loop.
+    """
+    line = F.col("line")
+    rest = F.when(line.startswith("Program "), F.substring("line", 9, 1 << 30))
+    of_router = rest.startswith(router)
+    opens = of_router & rest.contains(" invoke [")
+    ends = of_router & ~opens & (rest.endswith(" success") | rest.contains(" failed"))
     w = W.partitionBy(*keys).orderBy("line_no")
-    on = F.when(F.col("line").rlike(rf"^Program {router} invoke"), 1).when(F.col("line").rlike(rf"^Program {router} (success|failed)"), 0)
-    staged = lines.withColumn("_on", F.coalesce(F.last(on, ignorenulls=True).over(w), F.lit(0)))
-    hook = F.nullif(F.regexp_extract("line", r"^Program (\S+) invoke \[[2-9]\]", 1), F.lit(""))
-    held = staged.withColumn("_hook", hook).withColumn("_call", F.sum(F.when(F.col("_on") == 1, F.when(F.col("_hook").isNotNull(), 1).otherwise(0)).otherwise(0)).over(w))
-    units = F.regexp_extract("line", r"consumed (\d+) of", 1).try_cast("bigint")
-    inside = held.where("_on = 1 AND _call > 0")
-    return inside.groupBy(*keys, F.col("_call").alias("idx")).agg(F.max("_hook").alias("hook"), F.max(F.when(F.col("line").contains("consumed"), units)).alias("units"), F.when(F.max(F.col("line").rlike("^Program \\S+ failed").cast("int")) == 1, "rejected").otherwise("passed").alias("result"))
-
-
-def decode_call_target(calldata: Column, labels: dict[str, str]) -> dict[str, Column]:
-    """Program word of a call to the CPI precompile, its label, and the instruction's tag."""
-    h = bare(calldata)
-    program = F.when(F.length(h) >= 72, F.concat(F.lit("0x"), F.substring(h, 9, 64)))
-    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]) if labels else F.create_map().cast("map<string,string>")
-    return {"program": program, "label": F.try_element_at(known, program), "instruction": F.when(F.length(h) >= 88, F.concat(F.lit("anchor:"), F.substring(h, 73, 16)))}
+    read = lines.withColumns({"_opens": F.coalesce(opens, F.lit(False)), "_ends": F.coalesce(ends, F.lit(False)), "_rest": rest})
+    read = read.withColumn("_on", F.coalesce(F.last(F.when(F.col("_opens"), True).when(F.col("_ends"), False), ignorenulls=True).over(w), F.lit(False)) & ~F.col("_opens"))
+    # kinds of line, the first that fits
+    r = F.col("_rest")
+    log = lambda head: F.coalesce(line.startswith(f"Program log: {head}"), F.lit(False))
+    other = F.coalesce(r.contains(" invoke [") & (F.substring_index(r, " invoke [", 1) != router), F.lit(False))
+    kind = F.when(F.col("_ends"), "end").when(~F.col("_on"), None).when(other, "hook").when(F.coalesce(r.contains(" consumed "), F.lit(False)), "units").when(F.coalesce(r.contains(" failed:"), F.lit(False)), "fail").when(log("Call: "), "target").when(log("EVM callback reverted: "), "reason").when(log("Hook["), "mark")
+    call = F.regexp_extract(line, r", to (.*)$", 1)
+    target = F.lower(F.regexp_replace(F.trim(call), r"[,\s]+$", ""))
+    took = read.withColumn("_kind", kind).withColumns(
+        {
+            "_program": F.when(F.col("_kind") == "hook", F.substring_index(r, " invoke [", 1)).when(F.col("_kind") == "fail", F.substring_index(r, " failed:", 1)),
+            "_target": F.when((F.col("_kind") == "target") & (call != ""), F.when(target.startswith("0x"), target).otherwise(F.concat(F.lit("0x"), target))),
+            "_units": F.when(F.col("_kind") == "units", F.regexp_extract(r, r" consumed (\d+) of ", 1).try_cast("bigint")),
+            "_why": F.when(F.col("_kind") == "reason", F.trim(F.substring("line", 37, 1 << 30))),
+            "_span": F.count_if(F.col("_kind").isin("hook", "end")).over(w),
+        }
+    )
+    span = W.partitionBy(*keys, "_span").orderBy("line_no")
+    hook = F.first(F.when(F.col("_kind") == "hook", F.col("_program"))).over(span.rowsBetween(W.unboundedPreceding, 0))
+    took = took.withColumn("_hook", hook).withColumn("_same", F.coalesce((F.col("_kind") == "fail") & (F.col("_program") == F.col("_hook")), F.lit(False)))
+    # only the first failure of a hook closes it; after it the span has no hook
+    before = F.coalesce(F.count_if("_same").over(span.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    took = took.withColumn("_hook", F.when(before == 0, F.col("_hook"))).withColumn("_closes", F.col("_same") & (before == 0))
+    forgets = F.col("_closes") | F.col("_kind").isin("hook", "end", "mark")
+    took = took.withColumn("_part", F.coalesce(F.count_if(F.coalesce(forgets, F.lit(False))).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    part = W.partitionBy(*keys, "_part").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(part)
+    told = took.withColumns({"_target": last("_target"), "_units": last("_units"), "_why": last("_why")})
+    words = F.regexp_extract(line, r"result=(\S*)(?:\s+(.*))?$", 2)
+    tail = F.trim(F.regexp_replace(F.element_at(F.split(r, " failed:", 2), 2), "^:", ""))
+    closed = told.where(F.col("_closes") | (F.col("_kind") == "mark")).select(
+        *keys,
+        "line_no",
+        F.coalesce("_target", "_hook", F.lit("")).alias("hook_address"),
+        F.when(F.col("_target").isNotNull(), "evm_custom").otherwise("native").alias("hook_kind"),
+        F.when(F.col("_closes"), "reject").when(line.contains("result="), F.regexp_extract(line, r"result=(\S*)", 1)).otherwise("unknown").alias("result"),
+        F.when(F.col("_closes"), F.coalesce("_why", tail)).otherwise(F.coalesce(F.nullif(F.trim(words), F.lit("")), "_why")).alias("reason"),
+        F.col("_units").alias("gas_used"),
+    )
+    return closed.where("hook_address <> ''").withColumn("idx", F.row_number().over(W.partitionBy(*keys).orderBy("line_no"))).drop("line_no")
+
+
+def hook_mismatch(executions: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Transactions whose parsed hooks differ in number from what the router states, unless it stopped at a rejection."""
+    stated = lines.withColumn("stated", F.regexp_extract("line", STATES_HOOKS, 1).try_cast("bigint")).where("stated IS NOT NULL").groupBy(*keys).agg(F.min_by("stated", "line_no").alias("stated"))
+    parsed = executions.groupBy(*keys).agg(F.count("*").alias("parsed"), F.max_by("result", "idx").alias("last"))
+    both = stated.join(parsed, keys, "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
+    return both.where((F.col("parsed") != F.col("stated")) & ~((F.col("parsed") < F.col("stated")) & (F.coalesce("last", F.lit("")) == "reject"))).select(*keys, "stated", "parsed")
+
+
+#: Selectors of the two calls, native programs, native token instructions by tag, and a pool program's
+#: two ids and instructions (a discriminator is the start of sha256 of "global:" and the name in snake case).
+INVOKE_SELECTORS = ("7480cb86", "b94f3733")
+PROGRAM_LABELS = {
+    "TokenkegQfeZyiNwAJbNbGKPFXCWuBvf9Ss623VQ5DA": "SPL-Token",
+    "TokenzQdBNbLqP5VEhdkAS6EPFLC1PHnBqCXEpPxuEb": "Token-2022",
+    "ATokenGPvbdGVxr1b2hvZbsiqW5xWH25efTNsLJA8knL": "ATA",
+    "11111111111111111111111111111111": "System",
+    "ComputeBudget111111111111111111111111111111": "ComputeBudget",
+}
+TOKEN_PROGRAMS = ("TokenkegQfeZyiNwAJbNbGKPFXCWuBvf9Ss623VQ5DA", "TokenzQdBNbLqP5VEhdkAS6EPFLC1PHnBqCXEpPxuEb")
+TOKEN_INSTRUCTIONS = "InitializeMint InitializeAccount InitializeMultisig Transfer Approve Revoke SetAuthority MintTo Burn CloseAccount FreezeAccount ThawAccount TransferChecked ApproveChecked MintToChecked BurnChecked - SyncNative".split()
+POOL_LABEL = "Meteora DAMM v1"
+POOL_PROGRAMS = ("Eo7WjKq67rjJQSZxS6z3YkapzY3eMj6Xy8X5EQVn5UaB", "ammbh4CQztZ6txJ8AaQgPsWjd6o7GhmvopS2JAo5bCB")
+POOL_INSTRUCTIONS = """AddBalanceLiquidity AddImbalanceLiquidity BootstrapLiquidity ClaimFee CloseConfig CreateConfig CreateLockEscrow CreateMintMetadata EnableOrDisablePool
+InitializeCustomizablePermissionlessConstantProductPool InitializePermissionedPool InitializePermissionlessConstantProductPoolWithConfig InitializePermissionlessPool
+InitializePermissionlessPoolWithFeeTier Lock MoveLockedLp OverrideCurveParam PartnerClaimFee RemoveBalanceLiquidity RemoveLiquiditySingleSide SetPoolFees Swap UpdateActivationPoint GetPoolInfo""".split()
+
+
+def discriminator(name: str) -> str:
+    snake = re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
+    return hashlib.sha256(f"global:{snake}".encode()).hexdigest()[:16]
+
+
+def decode_call_target(txs: DataFrame, to: str, calldata: str) -> DataFrame:
+    """``txs`` with program, label and instruction of a call to the CPI precompile; all null for another target or selector,
+    and where an offset or length points outside the data. Key text is made once for each program, and joined back."""
+    h = bare(F.col(calldata))
+    args = F.substring(h, 9, 1 << 30)
+    size = F.floor(F.length(args) / 2).cast("decimal(20,0)")
+    # an offset or length: 24 zero bytes, then 8 that count
+    number = lambda w: F.when((F.length(w) == 64) & (F.left(w, F.lit(48)) == "0" * 48), F.conv(F.right(w, F.lit(16)), 16, 10).cast("decimal(20,0)"))
+    piece = lambda start, n: F.when(start + n <= size, F.substr(args, (start * 2 + 1).cast("int"), (n * 2).cast("int")))
+    good = (bare(F.col(to)) == bare(F.lit(CPI))) & (F.length(h) % 2 == 0) & h.rlike("^[0-9a-f]*$") & F.left(h, F.lit(8)).isin(*INVOKE_SELECTORS) & (F.length(args) >= 64)
+    read = once(txs, "_at", F.when(good, number(F.substring(args, 129, 64))))
+    read = once(read, "_n", number(piece(F.col("_at"), F.lit(32))))
+    read = once(read, "_data", piece(F.col("_at") + 32, F.col("_n")))
+    read = read.withColumn("_word", F.when(F.col("_data").isNotNull(), F.substring(args, 1, 64)))
+    words = read.select("_word").where("_word IS NOT NULL").distinct()
+    names = words.withColumn("program", bytes32_to_base58(F.concat(F.lit("0x"), F.col("_word"))))
+    named = read.join(names, "_word", "left")
+    program, data = F.col("program"), F.col("_data")
+    label = chain([(program == k, v) for k, v in PROGRAM_LABELS.items()] + [(program.isin(*POOL_PROGRAMS), POOL_LABEL)], F.lit(None).cast("string"))
+    tag, head = F.conv(F.left(data, F.lit(2)), 16, 10).cast("int"), F.left(data, F.lit(16))
+    native = chain([(tag == k, v) for k, v in enumerate(TOKEN_INSTRUCTIONS) if v != "-"], F.lit(None).cast("string"))
+    pool = chain([(head == discriminator(x), x) for x in POOL_INSTRUCTIONS], F.concat(F.lit("anchor:"), head))
+    told = F.when(program.isin(*TOKEN_PROGRAMS), native).when(F.length(data) < 16, F.lit(None)).when(program.isin(*POOL_PROGRAMS), pool).otherwise(F.concat(F.lit("anchor:"), head))
+    return named.withColumns({"label": label, "instruction": F.when(program.isNotNull(), told)}).drop("_at", "_n", "_data", "_word")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slotline.sources.io import written
+
 
 def tx_feed(block_txs: DataFrame, txs: DataFrame, results: DataFrame, blocks: DataFrame, methods: DataFrame, correlations: DataFrame, classes: DataFrame) -> DataFrame:
     """A row for each mined transaction: its block and body (inner), result, method, type and class (left)."""
@@ -20,6 +22,13 @@ def tx_feed(block_txs: DataFrame, txs: DataFrame, results: DataFrame, blocks: Da
     )
 
 
+def tx_detail(feed: DataFrame, signatures: DataFrame, transfers: DataFrame, executions: DataFrame, registry: DataFrame) -> DataFrame:
+    """Feed rows with their least signature, their transfers and their hooks, each side aggregated before its join."""
+    first = signatures.groupBy("chain_id", "tx_hash").agg(F.min("signature").alias("first_signature"))
+    moved = attach_list(feed.join(first, ["chain_id", "tx_hash"], "left"), transfers, ["chain_id", "tx_hash"], [c for c in ("log_index", "token", "sender", "receiver", "amount") if c in transfers.columns], "transfers")
+    return attach_hooks(moved, executions, registry)
+
+
 def attach_first(rows: DataFrame, side: DataFrame, keys: list[str], value: str, order: str, name: str) -> DataFrame:
     """LATERAL ... LIMIT 1: the side's value of least order, aggregated before the join."""
     return rows.join(side.groupBy(*keys).agg(F.min_by(value, order).alias(name)), keys, "left")
@@ -52,6 +61,11 @@ def touching(rows: DataFrame, columns: list[str], value, order: list, limit: int
     return out.distinct().orderBy(*order).limit(limit)
 
 
+def anti_no_trace(txs: DataFrame, traces: DataFrame) -> DataFrame:
+    """Transactions without a trace row."""
+    return txs.join(traces.select("chain_id", "tx_hash"), ["chain_id", "tx_hash"], "left_anti")
+
+
 def anti(rows: DataFrame, known: DataFrame, keys: list[str], fresh: Column | None = None) -> DataFrame:
     """Distinct keys with no known row, or with none that is fresh."""
     have = known if fresh is None else known.where(fresh)
@@ -102,37 +116,63 @@ def as_of(points: DataFrame, states: DataFrame, keys: list[str], position: str,
     return left.unionByName(right).withColumn("_now", last).where("_kind = 1").select(*keys, F.col("_pos").alias(position), "_point.*", F.coalesce("_now", F.lit(default)).alias(value))
 
 
-def asset_events(events: DataFrame, spans: DataFrame) -> DataFrame:
-    """Events of each asset: half-open block range on the address, and the span's filter (none, sender, touches, ids)."""
-    joined = events.join(spans.withColumnRenamed("address", "_address"), (events["address"] == F.col("_address")) & (events["block"] >= F.col("from_block")) & (F.col("to_block").isNull() | (events["block"] < F.col("to_block"))))
+def fits_filter() -> Column:
+    """Whether an event (sender, receiver, id) passes filter_kind and filter_values: none, from, touch, or ids (an event
+    without id passes)."""
     values = F.col("filter_values")
-    fits = F.when(F.col("filter_kind") == "none", True).when(F.col("filter_kind") == "from", F.array_contains(values, F.col("sender"))).when(F.col("filter_kind") == "touch", F.array_contains(values, F.col("sender")) | F.array_contains(values, F.col("receiver"))).otherwise(F.col("id").isNull() | F.array_contains(values, F.col("id")))
-    return joined.where(fits).select("asset_id", *events.columns).distinct()
+    held = lambda c: F.coalesce(F.array_contains(values, F.col(c)), F.lit(False))
+    kind = F.col("filter_kind")
+    return F.when(kind == "none", True).when(kind == "from", held("sender")).when(kind == "touch", held("sender") | held("receiver")).otherwise(F.col("id").isNull() | held("id"))
 
 
-def filter_union(events: DataFrame, filters: DataFrame) -> DataFrame:
-    """Events that any filter of their address lets through."""
-    spans = filters.select(F.lit("").alias("asset_id"), "address", F.lit(-1).alias("from_block"), F.lit(None).cast("bigint").alias("to_block"), "filter_kind", "filter_values")
-    return asset_events(events, spans).drop("asset_id")
+def asset_events(events: DataFrame, spans: DataFrame, key: str = "event_id", width: int = 10_000) -> DataFrame:
+    """(asset_id, event) of each event in a span of its source: half-open block range on the address, and the span's filter.
+    An event counts once an asset, by its key. A span is dealt to the ranges of ``width`` blocks that it meets, so a join key
+    is an address and a range, never an address's whole history; an open span ends at the last event."""
+    last = events.agg(F.max("block").alias("_last"))
+    end = F.coalesce(F.col("to_block") - 1, F.col("_last"))
+    dealt = spans.join(F.broadcast(last)).where(end >= F.col("from_block")).withColumn("_range", F.explode(F.sequence(F.floor(F.col("from_block") / width), F.floor(end / width)))).drop("_last")  # one row
+    own = events.withColumn("_range", F.floor(F.col("block") / width))
+    met = own.join(dealt.withColumnRenamed("address", "_address"), (own["address"] == F.col("_address")) & (own["_range"] == dealt["_range"])).where((F.col("block") >= F.col("from_block")) & (F.col("to_block").isNull() | (F.col("block") < F.col("to_block"))) & fits_filter())
+    return met.select("asset_id", *(own[c] for c in events.columns)).dropDuplicates(["asset_id", key])
+
+
+def filter_union(events: DataFrame, filters: DataFrame, key: str = "event_id") -> DataFrame:
+    """Events that any filter of their address lets through; once each, by their key."""
+    joined = events.join(filters.select(F.col("address").alias("_address"), "filter_kind", "filter_values"), events["address"] == F.col("_address"))
+    return joined.where(fits_filter()).select(*events.columns).dropDuplicates([key])
 
 
 def registry_observed(registry: DataFrame, executions: DataFrame, keys: list[str]) -> DataFrame:
     return executions.select(*keys).distinct().join(registry, keys, "left_anti")
 
 
-def signer_attribution(changes: DataFrame, roles: DataFrame, multisig: str | None) -> DataFrame:
-    """Who signed: the multisig, else a role of the asset open at that block (both ends in), else UNKNOWN."""
-    held = changes.alias("c").join(roles.alias("r"), (F.col("c.asset_id") == F.col("r.asset_id")) & (F.col("c.signer") == F.col("r.account")) & (F.col("c.block") >= F.col("r.from_block")) & (F.col("r.to_block").isNull() | (F.col("c.block") <= F.col("r.to_block")))).groupBy(*[F.col(f"c.{c}") for c in changes.columns]).agg(F.min("r.role").alias("role"))
-    return changes.join(held.select(*changes.columns, "role"), changes.columns, "left").withColumn("signed_by", F.when(F.col("signer").isNull(), "UNKNOWN").when(F.col("signer") == F.lit(multisig), "MULTISIG").otherwise(F.coalesce("role", F.lit("UNKNOWN"))))
+def role_open_at(points: DataFrame, roles: DataFrame, block: str = "block") -> DataFrame:
+    """Roles that an account (source, account) holds at a block; both ends count. roles: source, account, role, from_block,
+    to_block (null: open)."""
+    held = points.join(roles, ["source", "account"]).where((F.col(block) >= F.col("from_block")) & (F.col("to_block").isNull() | (F.col(block) <= F.col("to_block"))))
+    return held.select(*points.columns, "role", "from_block", "to_block")
+
+
+def signer_attribution(changes: DataFrame, sources: DataFrame, roles: DataFrame, multisig: str | None, key: list[str]) -> DataFrame:
+    """signed_by of each change: UNKNOWN without a signer, MULTISIG, ISSUER_KEY if the signer holds any role that is open at
+    that block on any source of the asset, else UNKNOWN.
+
+    changes: ``key``, asset_id, block, signer; sources: asset_id, source; roles: source, account, role, from_block, to_block.
+    Changes find their roles through (source, account) and come back by their key, so nulls in other columns don't matter."""
+    asked = changes.where("signer IS NOT NULL").select(*key, "asset_id", "block", F.col("signer").alias("account")).join(sources.select("asset_id", "source").distinct(), "asset_id")
+    held = role_open_at(asked, roles).select(*key).distinct().withColumn("_holds", F.lit(True))
+    signed = F.when(F.col("signer").isNull(), "UNKNOWN").when(F.col("signer") == F.lit(multisig), "MULTISIG").when(F.col("_holds"), "ISSUER_KEY").otherwise("UNKNOWN")
+    return changes.join(held, key, "left").withColumn("signed_by", signed).drop("_holds")
 
 
 def pair_closure(edges: DataFrame, holds: DataFrame, start: DataFrame, rounds: int = 16) -> DataFrame:
-    """Addresses reached from ``start`` over transfers to pools that hold the token; a frontier join a round, checkpointed."""
+    """Addresses reached from ``start`` over transfers to pools that hold the token; a frontier join a round, written each time."""
     seen = start.select("address").distinct()
     frontier = seen
     for _ in range(rounds):
         step = edges.join(frontier.withColumnRenamed("address", "a"), "a").select(F.col("b").alias("address")).distinct()
-        frontier = step.join(holds, "address", "left_semi").join(seen, "address", "left_anti").checkpoint()
+        frontier = written(step.join(holds, "address", "left_semi").join(seen, "address", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -90,6 +90,13 @@ def upsert_if_source(target: DataFrame, batch: DataFrame, keys: list[str], sourc
     return upsert(target, batch, keys, lambda c, old, new: F.when(wins, new).otherwise(old))
 
 
+def selector_placeholders(wanted: DataFrame, found: DataFrame, key: str, text: str, source: str, fallback: str, now: Column) -> DataFrame:
+    """A row for each wanted selector: the text that was found, else the selector itself as a placeholder of the fallback
+    source, dated, so that a later look can tell that it was tried."""
+    both = wanted.select(key).distinct().join(found, key, "left")
+    return both.withColumns({text: F.coalesce(text, key), source: F.coalesce(source, F.lit(fallback)), "looked_up_at": now})
+
+
 def ordinal_refresh(target: DataFrame, batch: DataFrame, keys: list[str], ordinals: list[str]) -> DataFrame:
     return upsert_merge(target, batch, keys, {c: "fill" for c in ordinals})
 
@@ -105,6 +112,13 @@ def source_lag(cursors: DataFrame, source: DataFrame, name: str, cursor: str, or
     return cursors.join(tip, name, "left").withColumn("lag", F.col("source_max") - F.col(cursor))
 
 
+def verified_lag(tip: DataFrame, verified: DataFrame, by: str, order: str) -> DataFrame:
+    """Source tip minus last verified slot of each table or chain; null while either is unknown."""
+    newest = tip.groupBy(by).agg(F.max(order).alias("tip"))
+    checked = verified.groupBy(by).agg(F.max(order).alias("verified"))
+    return newest.join(checked, by, "full").withColumn("lag", F.col("tip") - F.col("verified"))
+
+
 def slot_density(df: DataFrame, order: str, start, n: int) -> DataFrame:
     own = df.where((F.col(order) > F.lit(start)) & (F.col(order) <= F.lit(start) + n))
     return own.agg((F.count("*") / F.greatest(F.count_distinct(order), F.lit(1))).alias("density"))

@@ -34,6 +34,12 @@ def search(index: DataFrame, query: str, k: int = 20, least: float = 0.05, longe
     return scored.where(F.col("similarity") > least).withColumn("partial", F.col("similarity") < 1).orderBy(F.desc("similarity"), F.desc("weight"), "key").limit(k)
 
 
+def with_token_kind(found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Hits with the kind of the token they name, null for other hits. tokens: address, token_kind."""
+    kinds = tokens.select(F.lower("address").alias("key"), "token_kind")
+    return found.join(kinds.withColumn("kind", F.lit("token")), ["kind", "key"], "left")
+
+
 def search_many(index: DataFrame, queries: DataFrame, k: int = 20, least: float = 0.05) -> DataFrame:
     """The same for a table of queries over an inverted trigram index. Inputs: kind, key, text, weight; query."""
     own = index.withColumn("_g", trigrams(F.col("text"))).select("kind", "key", "weight", F.size("_g").alias("_n"), F.explode("_g").alias("g"))

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slotline.functions import u256
+from slotline.functions.hexabi import ZERO_ADDRESS
+
+from .joins import as_of
+
 
 def sliding_windows(points: DataFrame, w: int, min_elapsed: int, block: str = "block", ts: str = "ts", total: str = "total", app: str = "app", size: int = 4096) -> DataFrame:
     """Every run of ``w`` points in block order with enough time between its ends: bounds, sums, rates.
@@ -18,9 +23,11 @@ def sliding_windows(points: DataFrame, w: int, min_elapsed: int, block: str = "b
     counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
     own = W.partitionBy("part").orderBy("block")
     last = dealt.withColumn("back", F.row_number().over(W.partitionBy("part").orderBy(F.desc("block")))).where(F.col("back") < w)
-    # the tail of a range goes to each later range that it is within w - 1 points of
+    # the tail of a range goes to each of the w - 1 ranges after it that it is within w - 1 points of; one row a range is
+    # sorted in one task here, ``size`` points at most for each
     upto = counts.withColumn("seen", F.sum("n").over(W.orderBy("part")))
-    reach = upto.alias("a").join(upto.alias("b"), (F.col("b.part") > F.col("a.part")) & (F.col("b.seen") - F.col("b.n") - F.col("a.seen") < w - 1)).select(F.col("a.part").alias("part"), F.col("b.part").alias("to"), (F.col("b.seen") - F.col("b.n") - F.col("a.seen")).alias("between"))
+    later = F.collect_list(F.struct(F.col("part").alias("to"), (F.col("seen") - F.col("n")).alias("start"))).over(W.orderBy("part").rowsBetween(1, w - 1))
+    reach = upto.withColumn("later", later).select("part", "seen", F.explode("later").alias("x")).select("part", "x.to", (F.col("x.start") - F.col("seen")).alias("between")).where(F.col("between") < w - 1)
     halo = last.join(reach, "part").where(F.col("back") + F.col("between") < w).select("block", "ts", "total", "app", F.col("to").alias("part"), F.lit(False).alias("own"))
     full = dealt.withColumn("own", F.lit(True)).unionByName(halo)
     run = own.rowsBetween(-(w - 1), 0)
@@ -53,10 +60,12 @@ def merge_histogram(old: DataFrame, new: DataFrame, key: str, n: str) -> DataFra
     return old.unionByName(new).groupBy(key).agg(F.sum(n).alias(n))
 
 
-def member_intervals(events: DataFrame, key: list[str], order: list[str], flag: Column) -> DataFrame:
-    """Open and close positions of each key: a repeated open keeps the first, a stray close is ignored, an open end is null."""
+def member_intervals(events: DataFrame, key: list[str], order: list[str], flag: Column, skip: Column | None = None) -> DataFrame:
+    """Open and close positions of each key: a repeated open keeps the first, a stray close is ignored, an open end is null.
+    Rows where ``skip`` holds (the zero address, for allowlists and yield blacklists) and those with a null flag count not.
+    All events of a key meet in one task."""
     w = W.partitionBy(*key).orderBy(*order)
-    marked = events.select(*key, *order, flag.alias("_on"))
+    marked = events.where(~F.coalesce(skip if skip is not None else F.lit(False), F.lit(False)) & flag.isNotNull()).select(*key, *order, flag.alias("_on"))
     turns = marked.withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False))).where("_on <> _was")
     at = F.struct(*order) if len(order) > 1 else F.col(order[0])
     return turns.withColumn("from_pos", at).withColumn("to_pos", F.lead(at).over(w)).where("_on").select(*key, "from_pos", "to_pos")
@@ -105,52 +114,154 @@ def screening_gaps(pairs: DataFrame, spells: DataFrame, key: list[str], position
     return own.join(spells, key).where((F.col(position) >= F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col(position) < F.col("to_pos")))).select(*own.columns)
 
 
-def yield_runs(events: DataFrame, key: list[str], order: list[str], is_credit: Column, is_close: Column, amount: Column, total: Column) -> DataFrame:
-    """Runs of credits ended by closes: number, credits, sum, stated total, remainder; an open last run needs a credit."""
+def register_epochs(events: DataFrame, key: list[str], order: list[str], type_id: str) -> DataFrame:
+    """Spells of a router's global module of one type, from its three events. A registration (global, with a readable module)
+    and a removal close what is open; an update does, too, and opens its module if readable; a zero module opens nothing.
+    events: event_name, type_id, is_global, module."""
+    name, module = F.col("event_name"), F.nullif(F.col("module"), F.lit(ZERO_ADDRESS))
+    register = (name == "ModuleTypeRegistered") & F.coalesce(F.col("is_global"), F.lit(False)) & F.col("module").isNotNull()
+    own = events.where((F.col("type_id") == type_id) & (register | name.isin("ModuleTypeRemoved", "GlobalImplementationUpdated")))
+    return epoch_intervals(own, key, order, F.when(name != "ModuleTypeRemoved", module))
+
+
+def yield_runs(events: DataFrame, key: list[str], order: list[str], is_credit: Column, is_close: Column, amount: Column, total: Column, limbs: bool = False) -> DataFrame:
+    """Runs of credits ended by closes: number, credits, sum, stated total, remainder, over_credit; an open last run needs a
+    credit; a close without a readable total still ends its run. ``limbs``: amounts are 256-bit."""
+    own = numbered_runs(events, key, order, is_close)
+    credit, close = F.when(is_credit, amount), F.when(is_close, total)
+    counts = [F.count_if(is_credit).alias("credits"), F.count_if(is_close).alias("closes"), F.first(close, ignorenulls=True).alias("stated")]
+    if limbs:
+        zero = F.lit(0).cast("decimal(38,0)")
+        grouped = own.groupBy(*key, "run").agg(*counts, u256.sum_of(credit).alias("_sum"))
+        grouped = grouped.withColumn("credited", u256.normalise(F.struct(*[F.coalesce(F.col(f"_sum.{n}"), zero).alias(n) for n in u256.LIMBS])))
+        less = F.struct(*[(F.col(f"stated.{n}") - F.col(f"credited.{n}")).cast("decimal(38,0)").alias(n) for n in u256.LIMBS])
+        left = F.when(F.col("stated").isNotNull(), u256.normalise(less))
+        over = u256.sign(left) < 0
+    else:
+        grouped = own.groupBy(*key, "run").agg(*counts, F.coalesce(F.sum(credit), F.lit(0)).alias("credited"))
+        left = F.col("stated") - F.col("credited")
+        over = left < 0
+    return grouped.where("closes > 0 OR credits > 0").select(*key, "run", "credits", "credited", "stated", (F.col("closes") > 0).alias("closed"), left.alias("remainder"), F.coalesce(over, F.lit(False)).alias("over_credit"))
+
+
+def numbered_runs(events: DataFrame, key: list[str], order: list[str], is_close: Column) -> DataFrame:
+    """Events with the number of closes before them."""
     before = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    numbered = events.withColumn("run", F.coalesce(F.sum(F.when(is_close, 1).otherwise(0)).over(before), F.lit(0)))
-    grouped = numbered.groupBy(*key, "run").agg(F.count_if(is_credit).alias("credits"), F.coalesce(F.sum(F.when(is_credit, amount)), F.lit(0)).alias("credited"), F.max(F.when(is_close, total)).alias("stated"), F.count_if(is_close).alias("closes"))
-    return grouped.where("closes > 0 OR credits > 0").select(*key, "run", "credits", "credited", "stated", (F.col("closes") > 0).alias("closed"), (F.col("stated") - F.col("credited")).alias("remainder"))
+    return events.withColumn("run", F.coalesce(F.sum(F.when(is_close, 1).otherwise(0)).over(before), F.lit(0)))
+
 
+def yield_credits(events: DataFrame, key: list[str], order: list[str], is_credit: Column, is_close: Column, holder: Column, amount: Column) -> DataFrame:
+    """Each credit with its run; credits without a holder or an amount are in no list."""
+    own = numbered_runs(events, key, order, is_close).where(is_credit & holder.isNotNull() & amount.isNotNull())
+    return own.select(*key, "run", *order, holder.alias("holder"), amount.alias("share"))
 
-def running_balance(transfers: DataFrame, debit: str, credit: str, block: str, amount: str) -> DataFrame:
-    """Balance of each address at the end of each block it moves in, and whether it is negative."""
-    legs = transfers.select(F.col(debit).alias("address"), F.col(block).alias("block"), (-F.col(amount)).alias("delta")).unionByName(transfers.select(F.col(credit).alias("address"), F.col(block).alias("block"), F.col(amount).alias("delta")))
-    moved = legs.where(F.col("address").isNotNull()).groupBy("address", "block").agg(F.sum("delta").alias("delta"))
-    summed = moved.withColumn("balance", F.sum("delta").over(W.partitionBy("address").orderBy("block")))
-    return summed.select("address", "block", "balance", (F.col("balance") < 0).alias("alarm"))
+
+def running_balance(transfers: DataFrame, debit: str, credit: str, block: str, amount: str, by: list[str] = (), zero: str = ZERO_ADDRESS) -> DataFrame:
+    """Exact balance (limbs) of each address at the end of each block it moves in, and whether it is negative. ``amount``:
+    limbs. A transfer that lacks a side or an amount is skipped whole; the zero address has no balance.
+
+    Moves of a block are summed first, so a task sees a row a block of its address, not a row a transfer."""
+    whole = transfers.where(F.col(debit).isNotNull() & F.col(credit).isNotNull() & F.col(amount).isNotNull())
+    sides = F.array(F.struct(F.col(debit).alias("address"), u256.negate(F.col(amount)).alias("u")), F.struct(F.col(credit).alias("address"), F.col(amount).alias("u")))
+    legs = whole.select(*by, F.col(block).alias("block"), F.explode(sides).alias("x")).select(*by, "block", "x.*").where(F.col("address") != zero)
+    moved = legs.groupBy(*by, "address", "block").agg(u256.sum_of(F.col("u")).alias("u"))
+    upto = W.partitionBy(*by, "address").orderBy("block")
+    summed = moved.select(*by, "address", "block", u256.sum_of(F.col("u"), upto).alias("u")).select(*by, "address", "block", u256.normalise(F.col("u")).alias("balance"))
+    return summed.withColumn("alarm", u256.sign(F.col("balance")) < 0)
 
 
 def change_chain(events: DataFrame, subject: list[str], order: list[str], after: str) -> DataFrame:
+    """Each change with the value before it in the same subject; null first, null after a removal."""
     w = W.partitionBy(*subject).orderBy(*order)
     return events.select(*subject, *order, F.lag(after).over(w).alias("before"), F.col(after).alias("after"))
 
 
+#: The events that change code, the argument that holds the new address, and the kind of change.
+CODE_EVENTS = (
+    ("Upgraded", "implementation", "UPGRADE"),
+    ("TokenUpgraded", "newImplementation", "UPGRADE"),
+    ("SpecificRestrictionModuleSet", "moduleAddress", "MODULE_SET"),
+    ("ModuleLinked", "moduleAddress", "MODULE_LINKED"),
+    ("ModuleTypeRegistered", "globalImplementation", "ROUTER_GLOBAL"),
+    ("GlobalImplementationUpdated", "newGlobalImplementation", "ROUTER_GLOBAL"),
+    ("ModuleTypeRemoved", None, "ROUTER_GLOBAL"),
+)
+
+
+def code_changes(events: DataFrame, order: list[str]) -> DataFrame:
+    """kind, subject, before, after of every change of code. events: source, source_kind, event_name, args (a map), order.
+
+    Own upgrades and those through the factory share the token as subject; a storefront's upgrades are a kind of their own;
+    modules are chained by token and type, router globals by router and type. A change whose address cannot be read goes,
+    but a removal stays with null after. One log is a change of its own, however alike two are."""
+    arg = lambda k: F.try_element_at("args", F.lit(k))
+    name = F.col("event_name")
+    kind = F.when((name == "Upgraded") & (F.col("source_kind") == "STOREFRONT"), "STOREFRONT_UPGRADE")
+    after = None
+    for event, key, label in CODE_EVENTS:
+        kind = kind.when(name == event, label)
+        if key:
+            after = F.when(name == event, arg(key)) if after is None else after.when(name == event, arg(key))
+    token = F.when(name == "TokenUpgraded", arg("token")).when(name == "ModuleLinked", arg("tokenAddress")).otherwise(F.col("source"))
+    subject = F.concat_ws(":", token, F.when(name == "ModuleLinked", arg("moduleType")).when(F.col("kind").isin("MODULE_SET", "ROUTER_GLOBAL"), arg("typeId")))
+    taken = events.where(name.isin(*[e for e, *_ in CODE_EVENTS]) & ((name != "Upgraded") | F.col("source_kind").isin("ARC_TOKEN", "STOREFRONT"))).withColumn("kind", kind)
+    taken = taken.withColumns({"subject": subject, "after": after, "of": token}).where((name == "ModuleTypeRemoved") | F.col("after").isNotNull())
+    taken = taken.where(F.col("of").isNotNull() & (~F.col("kind").isin("MODULE_SET", "MODULE_LINKED", "ROUTER_GLOBAL") | F.col("subject").contains(":")))
+    w = W.partitionBy("kind", "subject").orderBy(*order)
+    return taken.withColumn("before", F.lag("after").over(w))
+
+
 def fan_out(chain: DataFrame, assets: DataFrame, subject: str) -> DataFrame:
+    """A shared source's changes once for each asset that it serves; each copy is attributed on its own after this."""
     return chain.join(assets, subject)
 
 
-def merge_by_position(*frames: DataFrame) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+def merge_by_position(named: dict[str, DataFrame], order: list[str]) -> DataFrame:
+    """Several sources' events as one table in one total order: ``rank`` by position, ties by the source's name. The rank is
+    counted over ranges of the first position part, so no task holds all."""
+    out = None
+    for name, f in sorted(named.items()):
+        f = f.withColumn("source_name", F.lit(name))
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    at = [*order, "source_name"]
+    parted = out.withColumn("_part", F.floor(F.col(order[0]) / 10_000))
+    sums = parted.groupBy("_part").count().withColumn("_before", F.sum("count").over(W.orderBy("_part")) - F.col("count")).drop("count")
+    local = parted.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*at)))
+    return local.join(sums, "_part").withColumn("rank", F.col("_n") + F.col("_before")).drop("_n", "_before", "_part")
 
 
-def exposure_windows(gates: DataFrame, transfers: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
-    """Ungated spells after a first gated one, classed by what moved in them.
+def spell_moves(gates: DataFrame, transfers: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Ungated spells after a first gated one, and the transfers with the spell (from_pos) they fall in.
 
-    gates: key, state (gated), from_pos, to_pos; transfers: key, pos, sender, receiver (null sender: mint; null receiver:
-    burn), by_operator; listed: key, address ever on the allowlist.
-    """
+    The last change at or before a transfer is carried forward to it in one order of changes and transfers, so nothing is
+    joined by range and a hot key makes no pairs."""
     w = W.partitionBy(*key).orderBy("from_pos").rowsBetween(W.unboundedPreceding, -1)
-    spells = gates.withColumn("_gated", F.max(F.col("state").cast("int")).over(w)).where("NOT state AND _gated = 1")
-    moved = transfers.join(listed.select(*key, F.col("address").alias("receiver"), F.lit(True).alias("_listed")).distinct(), [*key, "receiver"], "left")
-    inside = spells.select(*key, "from_pos", "to_pos").join(moved, key, "left").where(F.col("pos").isNull() | ((F.col("pos") >= F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col("pos") < F.col("to_pos")))))
-    grouped = inside.groupBy(*key, "from_pos", "to_pos").agg(F.count("pos").alias("moves"), F.count_if(F.col("sender").isNull() & F.col("pos").isNotNull()).alias("mints"), F.count_if(F.col("by_operator")).alias("by_operator"), F.array_sort(F.collect_set(F.when(F.col("_listed").isNull() & F.col("sender").isNotNull(), F.col("receiver")))).alias("never_listed"))
-    spans = spells.select(*key, "from_pos", "to_pos").join(grouped.drop("to_pos"), [*key, "from_pos"], "left").select(*key, "from_pos", "to_pos", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("moves", "mints", "by_operator")], F.coalesce("never_listed", F.array().cast("array<string>")).alias("never_listed"))
-    kind = F.when((F.col("moves") > 0) & (F.col("mints") == F.col("moves")), "ISSUANCE").when((F.col("moves") > 0) & (F.col("by_operator") == F.col("moves")), "CLAWBACK").otherwise("OTHER")
-    return spans.withColumn("kind", kind)
+    marked = gates.withColumn("_open", ~F.col("state") & (F.coalesce(F.max(F.col("state").cast("int")).over(w), F.lit(0)) == 1))
+    spells = marked.where("_open").select(*key, "from_pos", "to_pos")
+    moved = as_of(transfers, marked.withColumn("_at", F.when(F.col("_open"), F.col("from_pos"))).select(*key, "from_pos", "_at"), key, "pos", "_at")
+    return spells, moved.where("_at IS NOT NULL").withColumnRenamed("_at", "from_pos")
+
+
+def exposure_windows(gates: DataFrame, transfers: DataFrame, listed: DataFrame, key: list[str], zero: str = ZERO_ADDRESS) -> DataFrame:
+    """Ungated spells after a first gated one, classed by what moved in them: OTHER if anything moved between third parties,
+    else CLAWBACK for a mint and a burn, ISSUANCE for a mint, OTHER for the rest; with the positions of third-party moves
+    and their recipients that were never on the allowlist.
+
+    gates: key, state (gated), from_pos, to_pos; transfers: key, pos, sender, receiver (zero address: mint, burn; null is
+    no zero address); listed: key, address ever on the allowlist. The lists of a spell are one row, as in the audit's flags;
+    ``spell_moves`` has them as rows.
+    """
+    spells, moved = spell_moves(gates, transfers, key)
+    known = listed.select(*key, F.col("address").alias("receiver"), F.lit(True).alias("_listed")).distinct()
+    moved = moved.join(known, [*key, "receiver"], "left")
+    out, into = (F.coalesce(F.col(c) == zero, F.lit(False)) for c in ("sender", "receiver"))
+    third = ~out & ~into
+    grouped = moved.groupBy(*key, "from_pos").agg(F.count_if(out & ~into).alias("mints"), F.count_if(into & ~out).alias("burns"), F.count_if(third).alias("third_party"), F.array_sort(F.collect_list(F.when(third, F.col("pos")))).alias("third_party_positions"), F.array_sort(F.collect_set(F.when(third & F.col("_listed").isNull(), F.col("receiver")))).alias("never_listed"))
+    spans = spells.join(grouped, [*key, "from_pos"], "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("mints", "burns", "third_party")}
+    lists = {c: F.coalesce(c, F.array().cast(grouped.schema[c].dataType)) for c in ("third_party_positions", "never_listed")}
+    kind = F.when(F.col("third_party") > 0, "OTHER").when((F.col("mints") > 0) & (F.col("burns") > 0), "CLAWBACK").when(F.col("mints") > 0, "ISSUANCE").otherwise("OTHER")
+    return spans.withColumns({**counts, **lists}).withColumn("kind", kind)
 
 
 def contiguity(df: DataFrame, number: str) -> DataFrame:

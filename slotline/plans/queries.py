@@ -130,9 +130,18 @@ def address_stats(s, d):
     return aggs.address_stats(table(s, d, "lineitem"), "l_orderkey", "l_shipdate", ["l_partkey", "l_suppkey"])
 
 
-@register("stats_overview", f"SELECT count(*) AS txs, max({SEC}) AS tip, count(*) FILTER ({SEC} > (SELECT max({SEC}) FROM events) - 86400) AS recent, count(DISTINCT user_id) AS addresses, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS contracts, greatest(0, count(DISTINCT user_id) - count(DISTINCT user_id) FILTER (event_type = 'purchase')) AS plain FROM events")
+@register("stats_overview", """WITH t AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS ts FROM orders), b AS (SELECT coalesce(max(k), 0) AS latest_block, coalesce(max(k // 8), 0) AS latest_slot, count(*) AS txs, count(*) FILTER (ts > 870000000) / 30000000 AS tps, count(DISTINCT CASE WHEN k % 6 < 2 AND k % 4 <> 1 THEN CASE WHEN k % 3 <> 0 THEN c ELSE c + 1 END END) AS synthetics FROM t),
+a AS (SELECT count(*) AS addresses, count(*) FILTER (c_custkey % 3 = 0 AND c_custkey % 7 > 0) AS contracts FROM customer), p AS (SELECT count(*) AS tokens, count(*) FILTER (p_partkey % 4 = 0) AS erc20, count(*) FILTER (p_partkey % 4 = 1) AS spl, count(*) FILTER (p_partkey % 4 = 2) AS token2022 FROM part)
+SELECT *, greatest(0, addresses - contracts - synthetics) AS plain, (SELECT max(r_regionkey) FROM region WHERE r_regionkey < 3) AS source_max_slot FROM b, a, p""")
 def stats_overview(s, d):
-    return aggs.stats_overview(events(s, d), "sec", "user_id", F.col("event_type") == "purchase", 86400)
+    from slotline.plans.chain import txs
+
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    x = txs(s, d)
+    addresses = table(s, d, "customer").select(c.alias("address"), F.when(c % 7 != 0, c % 3 == 0).alias("is_contract"))
+    tokens = table(s, d, "part").select(F.when(p % 4 == 0, "ERC-20").when(p % 4 == 1, "SPL").when(p % 4 == 2, "Token-2022").alias("kind"))
+    cursors = table(s, d, "region").select(F.when(F.col("r_regionkey") < 3, "eth_block").otherwise("evm_tx").alias("table_name"), F.col("r_regionkey").alias("source_max_slot"))
+    return aggs.stats_overview(x.select(F.col("k").alias("block"), F.col("slot_number").alias("slot"), "ts"), x, addresses, tokens, cursors, F.lit(900_000_000), 30_000_000)
 
 
 @register("audit_event_counts", "SELECT event_type, user_id % 10 AS kind, count(*) AS n FROM events GROUP BY ALL")
@@ -159,8 +168,9 @@ def candidate_pairs(s, d):
 @register("holders_page", "SELECT *, CASE WHEN t > 0 THEN bal / t END AS share FROM (SELECT c_nationkey AS token, c_custkey AS holder, CAST(round(c_acctbal * 100) AS BIGINT) AS bal, row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(round(c_acctbal * 100) AS BIGINT) DESC, c_custkey) AS rank, CAST(sum(greatest(CAST(round(c_acctbal * 100) AS BIGINT), 0)) OVER (PARTITION BY c_nationkey) AS BIGINT) AS t FROM customer) WHERE rank <= 5")
 def holders_page(s, d):
     b = table(s, d, "customer").select(F.col("c_nationkey").alias("token"), F.col("c_custkey").alias("holder"), F.round(F.col("c_acctbal") * 100).cast("bigint").alias("bal"))
-    t = b.where("bal > 0").groupBy("token").agg(F.sum("bal").alias("t"))
-    return aggs.holders_page(b, "token", "holder", "bal", 5).join(t, "token", "left").select("token", "holder", "bal", "rank", "t", "share")
+    t = b.groupBy("token").agg(F.sum(F.greatest("bal", F.lit(0))).alias("t"))
+    limbs = b.withColumn("balance", u256.normalise(u256.from_long(F.col("bal"))))
+    return aggs.holders_page(limbs, 5).join(t, "token", "left").select("token", "holder", "bal", "rank", "t", "share")
 
 
 def transfer_logs(s, d):
@@ -192,11 +202,11 @@ def holder_counts(s, d):
     return aggs.holder_counts(aggs.token_balances(t, "token", "sender", "receiver", "amount", hexabi.ZERO_ADDRESS))
 
 
-@register("decode_events", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'short_data' WHEN l_linenumber = 2 THEN 'topic_count' ELSE NULL END AS reason, CASE WHEN l_linenumber > 2 THEN CAST(l_suppkey AS VARCHAR) END AS n FROM lineitem WHERE l_linenumber <= 4")
+@register("decode_events", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'short_data' WHEN l_linenumber = 2 THEN 'topic_count' ELSE NULL END AS reason, CASE WHEN l_linenumber > 2 THEN CAST(l_suppkey AS VARCHAR) END AS n FROM lineitem")
 def decode_events(s, d):
     hexed = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
     topics = F.array(F.lit("0x01"), F.concat(F.lit("0x"), hexed("l_partkey", 64)))
-    logs = table(s, d, "lineitem").where("l_linenumber <= 4").select("l_orderkey", "l_linenumber", F.lit("token").alias("source_kind"), F.when(F.col("l_linenumber") == 2, F.slice(topics, 1, 1)).otherwise(topics).alias("topics"), F.concat(F.lit("0x"), F.when(F.col("l_linenumber") == 1, "00").otherwise(hexed("l_suppkey", 64))).alias("data"))
+    logs = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("token").alias("source_kind"), F.when(F.col("l_linenumber") == 2, F.slice(topics, 1, 1)).otherwise(topics).alias("topics"), F.concat(F.lit("0x"), F.when(F.col("l_linenumber") == 1, "00").otherwise(hexed("l_suppkey", 64))).alias("data"))
     registry = s.createDataFrame([("token", "0x01", "Moved", "primary", [("who", "address", True), ("n", "uint256", False)])], "source_kind string, topic0 string, event_name string, tag string, args array<struct<name:string,type:string,indexed:boolean>>")
     return extract.decode_events(logs, registry).select("l_orderkey", "l_linenumber", "reason", F.conv(F.substring(F.try_element_at("decoded", F.lit("n")), 3, 64), 16, 10).alias("n"))
 
@@ -204,25 +214,26 @@ def decode_events(s, d):
 ACTIONS = "CASE l_linenumber WHEN 1 THEN ['contract_creation'] WHEN 2 THEN ['lend_supply', 'token_transfer'] WHEN 3 THEN ['swap', 'token_mint'] WHEN 4 THEN ['coin_transfer'] WHEN 5 THEN ['solana_cpi', 'token_approval'] ELSE ['empty_call'] END"
 
 
-def tagged(s, d):
+def feed(s, d):
     n = F.col("l_linenumber")
     log = lambda *t: F.struct(F.array(*[F.lit(x) for x in t]).alias("topics"))
     one = "0x" + "0" * 63 + "1"
     logs = F.when(n == 2, F.array(log(classify.TRANSFER, one, one), log(classify.TRANSFER, one, one))).when(n == 3, F.array(log(classify.SWAPS[0]), log(classify.TRANSFER, classify.ZERO_TOPIC, one)))
-    own = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(n > 1, F.when(n == 5, hexabi.CPI).otherwise("0xdd")).alias("to"), F.when(n == 2, "supply(address,uint256)").when(n == 5, "approve(address,uint256)").otherwise("0x").alias("method"), F.when(n == 4, "10").otherwise("0").alias("value"), logs.alias("logs"))
-    tags = classify.action_tags(F.lit("Rhea"), F.col("method"), F.col("to"), F.col("value"), F.lit(2), F.lit(0), F.col("logs"), F.when(n == 1, 5).otherwise(0))
-    return own.withColumn("tags", tags)
+    return table(s, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.lit("Rhea").alias("tx_type"), F.when(n == 2, "supply(address,uint256)").when(n == 5, "approve(address,uint256)").otherwise("0x").alias("method"), F.when(n > 1, F.when(n == 5, hexabi.CPI).otherwise("0xdd")).alias("to_addr"),
+        F.when(n == 4, "10").otherwise("0").alias("value_wei"), F.lit(2).alias("tx_type_byte"), F.lit(0).alias("leg_count"), logs.alias("logs"), F.when(n == 1, 5).otherwise(0).alias("input_len"),
+        F.when(F.col("l_orderkey") % 2 == 0, "solana_unsigned").otherwise("ecdsa").alias("origination"), F.lit(None).cast("string").alias("solana_signer"), F.lit(False).alias("has_cpi_target"), F.when(n == 2, hexabi.ORACLE_SELECTORS[0]).when(n == 3, "0x00").alias("method_id"),
+    )
 
 
 @register("action_tags", f"SELECT l_orderkey, l_linenumber, {ACTIONS} AS tags FROM lineitem")
 def action_tags(s, d):
-    return tagged(s, d).select("l_orderkey", "l_linenumber", "tags")
+    return classify.tagged(feed(s, d)).select("l_orderkey", "l_linenumber", "tags")
 
 
-@register("crossings", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 AND l_orderkey % 2 = 0 THEN ['evm_to_sol', 'sol_to_evm'] WHEN l_linenumber = 5 THEN ['evm_to_sol'] ELSE ['sol_to_evm'] END AS seams FROM lineitem WHERE l_linenumber = 5 OR l_orderkey % 2 = 0")
+@register("crossings", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 AND l_orderkey % 2 = 0 THEN ['evm_to_sol', 'sol_to_evm'] WHEN l_linenumber = 5 THEN ['evm_to_sol'] ELSE ['sol_to_evm'] END AS seams, l_linenumber = 2 AS is_oracle FROM lineitem WHERE l_linenumber = 5 OR l_orderkey % 2 = 0")
 def crossings(s, d):
-    origin = F.when(F.col("l_orderkey") % 2 == 0, "solana_unsigned").otherwise("ecdsa")
-    return tagged(s, d).withColumn("seams", classify.seams(F.col("tags"), F.col("to"), F.lit("Rhea"), origin, F.lit(2), F.lit(False), F.lit(False))).where(F.size("seams") > 0).select("l_orderkey", "l_linenumber", "seams")
+    return classify.crossings(feed(s, d), ["l_orderkey", "l_linenumber"])
 
 
 @register("member_intervals", f"""WITH e AS (SELECT user_id, {SEC} AS sec, event_id, event_type = 'signup' AS f FROM events WHERE event_type IN ('signup', 'error')),
@@ -282,29 +293,38 @@ def lifo_pair(s, d):
 
 @register("yield_runs", f"""WITH e AS (SELECT user_id, event_id, event_type, {SEC} AS sec, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY {SEC}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM events WHERE event_type IN ('view', 'purchase')),
 g AS (SELECT user_id, CAST(run AS BIGINT) AS run, count(*) FILTER (event_type = 'view') AS credits, CAST(coalesce(sum(event_id % 100) FILTER (event_type = 'view'), 0) AS BIGINT) AS credited, max(event_id % 1000) FILTER (event_type = 'purchase') AS stated, count(*) FILTER (event_type = 'purchase') AS closes FROM e GROUP BY 1, 2)
-SELECT user_id, run, credits, credited, stated, closes > 0 AS closed, stated - credited AS remainder FROM g WHERE closes > 0 OR credits > 0""")
+SELECT user_id, run, credits, credited, stated, closes > 0 AS closed, stated - credited AS remainder, coalesce(stated - credited < 0, false) AS over_credit FROM g WHERE closes > 0 OR credits > 0""")
 def yield_runs(s, d):
     own = events(s, d).where(F.col("event_type").isin("view", "purchase"))
     return seq.yield_runs(own, ["user_id"], ["sec", "event_id"], F.col("event_type") == "view", F.col("event_type") == "purchase", F.col("event_id") % 100, F.col("event_id") % 1000)
 
 
-@register("running_balance", "WITH m AS (SELECT o_custkey AS address, o_orderkey // 100 AS block, -CAST(round(o_totalprice * 100) AS BIGINT) AS d FROM orders UNION ALL SELECT o_orderkey % 50, o_orderkey // 100, CAST(round(o_totalprice * 100) AS BIGINT) FROM orders), b AS (SELECT address, block, CAST(sum(d) AS BIGINT) AS d FROM m GROUP BY 1, 2) SELECT address, block, CAST(sum(d) OVER w AS BIGINT) AS balance, sum(d) OVER w < 0 AS alarm FROM b WINDOW w AS (PARTITION BY address ORDER BY block)")
+@register("running_balance", """WITH t AS (SELECT o_custkey AS p, o_orderkey % 50 AS q, o_orderkey // 100 AS block, CAST(round(o_totalprice * 100) AS BIGINT) AS d FROM orders WHERE o_orderkey % 11 <> 0), m AS (SELECT p AS a, block, -d AS d FROM t UNION ALL SELECT q, block, d FROM t), b AS (SELECT a, block, CAST(sum(d) AS HUGEINT) AS d FROM m WHERE a <> 0 GROUP BY 1, 2)
+SELECT '0x' || lpad(lower(to_hex(a)), 40, '0') AS address, block, CAST(sum(d) OVER w AS VARCHAR) AS balance, sum(d) OVER w < 0 AS alarm FROM b WINDOW w AS (PARTITION BY a ORDER BY block)""")
 def running_balance(s, d):
-    own = table(s, d, "orders").select("o_custkey", (F.col("o_orderkey") % 50).alias("payee"), F.floor(F.col("o_orderkey") / 100).alias("block"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("amount"))
-    return seq.running_balance(own, "o_custkey", "payee", "block", "amount")
+    from slotline.plans.chain import hx
+
+    o = F.col("o_orderkey")
+    amount = F.when(o % 11 != 0, u256.from_long(F.round(F.col("o_totalprice") * 100).cast("bigint")))
+    own = table(s, d, "orders").select(hx(F.col("o_custkey"), 40).alias("payer"), hx(o % 50, 40).alias("payee"), F.floor(o / 100).alias("block"), amount.alias("amount"))
+    return seq.running_balance(own, "payer", "payee", "block", "amount").withColumn("balance", u256.to_string(F.col("balance")))
+
+
+ZERO = "'0'"
 
 
 @register("exposure_windows", f"""WITH {STATES}, x AS (SELECT *, max(CAST(state AS INT)) OVER (PARTITION BY user_id ORDER BY from_sec, from_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gated FROM g),
 sp AS (SELECT user_id, from_sec, from_id, to_sec, to_id FROM x WHERE NOT state AND gated = 1),
-tr AS (SELECT user_id, {SEC} AS sec, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 's' END AS sender, CAST(event_id % 4 AS VARCHAR) AS receiver, event_id % 5 = 0 AS op FROM events WHERE event_type = 'purchase'),
-j AS (SELECT sp.user_id, sp.from_id, sp.to_id, tr.* EXCLUDE (user_id) FROM sp LEFT JOIN tr ON tr.user_id = sp.user_id AND (tr.sec, tr.event_id) >= (sp.from_sec, sp.from_id) AND (sp.to_id IS NULL OR (tr.sec, tr.event_id) < (sp.to_sec, sp.to_id))),
-a AS (SELECT user_id, from_id, to_id, count(event_id) AS moves, count(*) FILTER (event_id IS NOT NULL AND sender IS NULL) AS mints, count(*) FILTER (op) AS by_operator, coalesce(list_sort(list(DISTINCT receiver) FILTER (sender IS NOT NULL AND receiver <> '1')), []) AS never_listed FROM j GROUP BY 1, 2, 3)
-SELECT *, CASE WHEN moves > 0 AND mints = moves THEN 'ISSUANCE' WHEN moves > 0 AND by_operator = moves THEN 'CLAWBACK' ELSE 'OTHER' END AS kind FROM a""")
+tr AS (SELECT user_id, {SEC} AS sec, event_id, CASE event_id % 3 WHEN 0 THEN '0' WHEN 1 THEN 's' END AS f, CAST(event_id % 4 AS VARCHAR) AS t FROM events WHERE event_type = 'purchase'),
+j AS (SELECT sp.user_id, sp.from_id, sp.to_id, tr.event_id, coalesce(f, '?') AS f, t FROM sp LEFT JOIN tr ON tr.user_id = sp.user_id AND (tr.sec, tr.event_id) >= (sp.from_sec, sp.from_id) AND (sp.to_id IS NULL OR (tr.sec, tr.event_id) < (sp.to_sec, sp.to_id))),
+a AS (SELECT user_id, from_id, to_id, count(*) FILTER (f = {ZERO} AND t <> {ZERO}) AS mints, count(*) FILTER (t = {ZERO} AND f <> {ZERO}) AS burns, count(*) FILTER (event_id IS NOT NULL AND f <> {ZERO} AND t <> {ZERO}) AS third_party, coalesce(list_sort(list(event_id) FILTER (event_id IS NOT NULL AND f <> {ZERO} AND t <> {ZERO})), []) AS third_ids, coalesce(list_sort(list(DISTINCT t) FILTER (f <> {ZERO} AND t <> {ZERO} AND t <> '1')), []) AS never_listed FROM j GROUP BY 1, 2, 3)
+SELECT *, CASE WHEN third_party > 0 THEN 'OTHER' WHEN mints > 0 AND burns > 0 THEN 'CLAWBACK' WHEN mints > 0 THEN 'ISSUANCE' ELSE 'OTHER' END AS kind FROM a""")
 def exposure_windows(s, d):
-    moves = events(s, d).where("event_type = 'purchase'").select("user_id", F.struct("sec", "event_id").alias("pos"), F.when(F.col("event_id") % 3 != 0, "s").alias("sender"), (F.col("event_id") % 4).cast("string").alias("receiver"), (F.col("event_id") % 5 == 0).alias("by_operator"))
+    e = F.col("event_id")
+    moves = events(s, d).where("event_type = 'purchase'").select("user_id", F.struct("sec", "event_id").alias("pos"), F.when(e % 3 == 0, "0").when(e % 3 == 1, "s").alias("sender"), (e % 4).cast("string").alias("receiver"))
     listed = events(s, d).select("user_id", F.lit("1").alias("address")).distinct()
-    out = seq.exposure_windows(gates(s, d), moves, listed, ["user_id"])
-    return out.select("user_id", F.col("from_pos.event_id").alias("from_id"), F.col("to_pos.event_id").alias("to_id"), "moves", "mints", "by_operator", "never_listed", "kind")
+    out = seq.exposure_windows(gates(s, d), moves, listed, ["user_id"], "0")
+    return out.select("user_id", F.col("from_pos.event_id").alias("from_id"), F.col("to_pos.event_id").alias("to_id"), "mints", "burns", "third_party", F.array_sort(F.transform("third_party_positions", lambda p: p["event_id"])).alias("third_ids"), "never_listed", "kind")
 
 
 @register("numbers_contiguity", "SELECT after, before FROM (SELECT l_orderkey AS after, lead(l_orderkey) OVER (ORDER BY l_orderkey) AS before FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 3)) WHERE before - after > 1")
@@ -482,15 +502,26 @@ def address_search(s, d):
     return search.address_search(own, "1a")
 
 
-@register("evidence_hash", "SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS hash FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+TEXT = "coalesce('\"' || {} || '\"', 'null')"
+
+
+@register("evidence_hash", f"SELECT doc_id, sha256('{{\"doc_id\":' || doc_id || ',\"lang\":' || {TEXT.format('lang')} || ',\"source\":' || {TEXT.format('source')} || '}}') AS hash FROM documents")
 def evidence_hash(s, d):
-    return table(s, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select("doc_id", hexabi.evidence_hash("doc_id", "lang", "source").alias("hash"))
+    return table(s, d, "documents").select("doc_id", hexabi.evidence_hash("doc_id", "lang", "source").alias("hash"))
+
+
+NAMED = "CASE p_partkey % 8 WHEN 1 THEN 'Compound ' || p_name WHEN 2 THEN 'my COMET' WHEN 3 THEN 'aave' WHEN 4 THEN 'Uniswap V3 pool' WHEN 5 THEN 'uniswap v2' WHEN 6 THEN 'Uniswap' WHEN 7 THEN '' ELSE p_name END"
+RULED = "CASE WHEN contains(n, 'compound') THEN 'Compound' WHEN contains(n, 'comet') THEN 'Comet' WHEN contains(n, 'aave') THEN 'Aave V3' WHEN contains(n, 'uniswap v3') THEN 'Uniswap V3' WHEN contains(n, 'uniswap v2') THEN 'Uniswap V2' WHEN contains(n, 'uniswap') THEN 'Uniswap' WHEN n = '' AND p_partkey % 3 = 0 THEN 'Uniswap V3' END"
 
 
-@register("normalize_label", "SELECT p_partkey, coalesce(nullif(trim(p_brand), ''), p_name) AS label, CAST(NULL AS VARCHAR) AS detail FROM part WHERE NOT regexp_matches(lower(p_name), 'compound|comet|aave|uniswap')")
+@register("normalize_label", f"""WITH a AS (SELECT p_partkey, {NAMED} AS name, lower({NAMED}) AS n, CASE WHEN p_partkey % 5 > 0 THEN CASE WHEN p_partkey % 5 = 1 THEN p_brand || '-a-long-symbol-text' ELSE p_brand END ELSE '' END AS symbol FROM part), b AS (SELECT *, {RULED} AS ruled, symbol <> '' AND strlen(symbol) <= 16 AS short FROM a)
+SELECT p_partkey, coalesce(ruled, CASE WHEN short THEN symbol END, nullif(name, '')) AS label, CASE WHEN ruled IS NOT NULL THEN coalesce(nullif(symbol, ''), CASE WHEN name <> '' AND name <> ruled THEN name END) WHEN short OR name = '' THEN NULL ELSE nullif(symbol, '') END AS detail FROM b""")
 def normalize_label(s, d):
-    label, detail = hexabi.normalize_label(F.col("p_name"), F.col("p_brand"), F.lit(""))
-    return table(s, d, "part").where(~F.lower("p_name").rlike("compound|comet|aave|uniswap")).select("p_partkey", label.alias("label"), detail.alias("detail"))
+    n, name = F.col("p_partkey"), F.col("p_name")
+    named = F.when(n % 8 == 1, F.concat(F.lit("Compound "), name)).when(n % 8 == 2, "my COMET").when(n % 8 == 3, "aave").when(n % 8 == 4, "Uniswap V3 pool").when(n % 8 == 5, "uniswap v2").when(n % 8 == 6, "Uniswap").when(n % 8 == 7, F.when(n % 2 == 1, " ")).otherwise(name)
+    symbol = F.when(n % 5 > 0, F.when(n % 5 == 1, F.concat("p_brand", F.lit("-a-long-symbol-text"))).otherwise(F.col("p_brand")))
+    label, detail = hexabi.normalize_label(named, symbol, F.when(n % 3 == 0, "0x6080128acb08").otherwise("0x00"))
+    return table(s, d, "part").select("p_partkey", label.alias("label"), detail.alias("detail"))
 
 
 @register("address_kind", "SELECT c_custkey, CASE WHEN c_custkey = 0 THEN 'burn' WHEN c_custkey BETWEEN 1 AND 10 THEN 'precompile_eth' WHEN c_custkey % 5 = 0 THEN 'token' WHEN c_custkey % 5 = 1 THEN 'contract' WHEN c_custkey % 5 = 2 THEN 'account' ELSE 'eoa' END AS kind FROM customer")
@@ -624,3 +655,6 @@ def u256_from_string(s, d):
 @register("bytes32_to_base58")
 def bytes32_to_base58(s, d):
     return table(s, d, "customer").select("c_custkey", hexabi.bytes32_to_base58(F.concat(F.lit("0x"), F.sha2(F.col("c_custkey").cast("string"), 256))).alias("key"))
+
+
+from slotline.plans import more  # noqa: E402, F401  registers its queries

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -23,3 +28,26 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] = (), mode: st
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir; under a local folder where that is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="spark-slotline-"))
+            atexit.register(shutil.rmtree, _own[0], True)
+        root = f"file://{_own[0]}"
+    return f"{root.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch folder and read back: cuts lineage and outlives a lost executor."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

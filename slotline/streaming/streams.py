@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from slotline.functions import u256
+from slotline.functions.hexabi import ZERO_ADDRESS
+from slotline.operators.aggs import token_balances
 from slotline.operators.merge import batch_announce, new_rows
+from slotline.operators.reconcile import finality_watermark, hold_valve
 from slotline.operators.seq import sliding_windows
 from slotline.operators.upkeep import merge_record, recheck_window
 
@@ -23,29 +28,95 @@ def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def mirror_into(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Append rows with new keys only. Each batch owns a folder, so a replay overwrites itself and others never see it."""
+def mirror_into(path: str, keys: list[str], order: str | None = None, horizon: int | None = None) -> Callable[[DataFrame, int], None]:
+    """Append rows with new keys only. Each batch owns a folder, so a replay overwrites itself and others never see it.
+
+    With ``order`` and ``horizon`` a row is looked for among stored rows within ``horizon`` of the batch's least order only
+    (how late a redelivery may come); old folders are then skipped by their statistics, so a batch's cost stays level."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        have = _existing(spark, path, number, batch.schema)
+        have = _existing(batch.sparkSession, path, number, batch.schema)
+        if order is not None:
+            low = batch.agg(F.min(order)).first()[0]
+            have = have.where(F.col(order) >= F.lit(low) - horizon) if low is not None else have.limit(0)
         new_rows(have, batch, keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return apply
 
 
+def _written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of all batches with their number; none if nothing is written yet."""
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    try:
+        return spark.read.schema(f"{names}, batch bigint").parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], f"{names}, batch bigint")
+
+
 def _existing(spark: SparkSession, path: str, number: int, schema: StructType) -> DataFrame:
     """Rows of all earlier batches."""
-    folders = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folders.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folders):
-        return spark.createDataFrame([], schema)
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return spark.read.schema(f"{names}, batch bigint").parquet(path).where(F.col("batch") < number).drop("batch")
+    return _written(spark, path, schema).where(F.col("batch") < number).drop("batch")
+
+
+def _latest(spark: SparkSession, path: str, number: int, schema: StructType) -> DataFrame:
+    """Rows of the last batch before ``number`` that has any; the batch number is a partition, so one folder is read."""
+    rows = _written(spark, path, schema).where(F.col("batch") < number)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.lit(False)).drop("batch") if last is None else rows.where(F.col("batch") == last).drop("batch")
+
+
+def balances_into(path: str, keys: list[str], token: str = "token", sender: str = "sender", receiver: str = "receiver", amount: str = "amount") -> Callable[[DataFrame, int], None]:
+    """Balances under redelivery: the batch's new transfers are kept as in ``mirror_into``, and what they move is summed to a
+    row a holder under ``deltas``. Both folders belong to the batch; ``balances`` adds the deltas up. ``amount``: limbs."""
+    mirror = mirror_into(f"{path}/transfers", keys)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        mirror(batch, number)
+        new = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/transfers/batch={number}")
+        token_balances(new, token, sender, receiver, amount, ZERO_ADDRESS).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
+
+    return apply
+
 
+def balances(spark: SparkSession, path: str) -> DataFrame:
+    """token, holder, balance (limbs) over all deltas; balances of exactly 0 are out."""
+    deltas = spark.read.parquet(f"{path}/deltas")
+    summed = deltas.groupBy("token", "holder").agg(u256.normalise(u256.sum_of(F.col("balance"))).alias("balance"))
+    return summed.where(u256.sign(F.col("balance")) != 0)
 
-def balances_into(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Deltas of new transfers alone; balances are the sum over the folder, exact under redelivery."""
-    return mirror_into(path, keys)
+
+def watermark_into(path: str, slot: str, digest: str, lag: int) -> Callable[[DataFrame, int], None]:
+    """Finality by two looks: each batch is a look at the slots (slot, digest). Slots pass that are old enough and whose digest
+    is the one of the look before; the watermark moves through the passing prefix and never back."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        look = batch.select(slot, digest)
+        before = _latest(spark, f"{path}/looks", number, look.schema)
+        tip = look.agg(F.coalesce(F.max(slot), F.lit(-1))).first()[0]
+        now = finality_watermark(before, look, slot, digest, tip, tip, lag)
+        past = _latest(spark, f"{path}/watermark", number, now.schema)
+        now.unionByName(past).agg(F.max("watermark").alias("watermark")).coalesce(1).write.mode("overwrite").parquet(f"{path}/watermark/batch={number}")
+        look.write.mode("overwrite").parquet(f"{path}/looks/batch={number}")
+
+    return apply
+
+
+def hold_into(path: str, planned: Callable[[int], DataFrame], most: int, by: str = "worker") -> Callable[[DataFrame, int], None]:
+    """The hold valve over batches of misses (by, slot, terminal): the cursor each worker keeps, a folder a batch, and slots
+    that were given up as dead letters. ``planned(batch)``: by, planned."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kind = batch.schema[by].dataType.simpleString()
+        shape = spark.createDataFrame([], f"{by} {kind}, persist bigint, cursor bigint, streak bigint, gave_up bigint").schema
+        held = _latest(spark, f"{path}/cursors", number, shape).where("cursor IS NOT NULL")
+        out = hold_valve(batch, held, planned(number), most, by).select(*[F.col(f.name).cast(f.dataType) for f in shape.fields])
+        out.write.mode("overwrite").parquet(f"{path}/cursors/batch={number}")
+        now = spark.read.schema(shape).parquet(f"{path}/cursors/batch={number}")
+        now.where("gave_up IS NOT NULL").select(by, F.col("gave_up").alias("slot")).write.mode("overwrite").parquet(f"{path}/dead/batch={number}")
+
+    return apply
 
 
 def windowed_counts(stream: DataFrame, ts: str, late: str, width: str, slide: str | None, by: list[str]) -> DataFrame:
@@ -62,22 +133,6 @@ def once(stream: DataFrame, ts: str, late: str, keys: list[str]) -> DataFrame:
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def _latest(spark: SparkSession, path: str, number: int, schema: StructType) -> DataFrame:
-    """Rows of the batch just before."""
-    have = _existing_batches(spark, path, number)
-    return spark.createDataFrame([], schema) if have is None else spark.read.schema(schema).parquet(f"{path}/batch={have}")
-
-
-def _existing_batches(spark: SparkSession, path: str, number: int) -> int | None:
-    """The last batch before ``number`` that has a folder."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return None
-    names = [f.getPath().getName() for f in system.listStatus(folder)]
-    return max((n for x in names if x.startswith("batch=") and (n := int(x[6:])) < number), default=None)
-
-
 def record_into(path: str, k: int, w: int, min_elapsed: int) -> Callable[[DataFrame, int], None]:
     """Throughput record folded forward by each batch of block points; points at or before the last block are not new.
 

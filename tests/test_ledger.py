@@ -153,3 +153,81 @@ def test_late_and_touched_streams(spark, tmp_path):
     assert {r.k: r["count"] for r in spark.read.parquet(f"{tmp_path}/stats").collect()} == {"a": 2, "b": 1}
     streams.announce_into(f"{tmp_path}/told", ["k"], "pos", "k", "done")(feed, 0)
     assert spark.read.parquet(f"{tmp_path}/told").count() == 3
+
+
+def test_registry_is_whole():
+    from slotline.functions.registry import descriptors
+
+    rows = descriptors()
+    assert len(rows) == 87 and len({(kind, topic) for kind, topic, *_ in rows}) == 87
+    assert all(len(topic) == 66 and args for _, topic, _, _, args in rows)
+
+
+def test_rebuild_is_the_same_in_any_order(spark):
+    from slotline.operators import audit
+    from slotline.plans.chain import audit_events, hx
+
+    assets = spark.range(10).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("asset_id"), hx(F.col("id") + 1000, 40).alias("token"), hx(F.col("id") + 2000, 40).alias("module"), hx(F.lit(3000), 40).alias("router"), F.lit(None).cast("string").alias("factory"), F.lit(None).cast("string").alias("storefront"))
+    none, one = spark.createDataFrame([], "asset_id string, address string"), spark.range(1)
+    config = audit.Config(assets, none, none, none, one.select(hx(F.lit(5000), 40).alias("address")), one.select(hx(F.lit(3000), 40).alias("router")), "t")
+    events = audit_events(spark, DATA)
+    first, second = audit.rebuild_all(events, config), audit.rebuild_all(events.orderBy(F.rand(3)).repartition(3), config)
+    assert len(first) == 14
+    for name in ("gate_interval", "exposure_window", "transfer_screening", "holder_balance"):
+        assert sorted(map(repr, first[name].collect())) == sorted(map(repr, second[name].collect())) != []
+    with pytest.raises(ValueError, match="no configuration"):
+        audit.rebuild_all(events, audit.Config(assets, none, none, none, none.select("address"), none.select(F.col("address").alias("router")), "t"))
+
+
+def test_rebuild_of_sales_yields_roles_and_changes(spark):
+    from slotline.operators import audit
+
+    rows, n = [], 0
+
+    def log(source, kind, name, block, signer=None, **args):
+        nonlocal n
+        n += 1
+        rows.append((n, source, kind, name, block, 0, n, signer, args))
+
+    u = lambda x: f"0x{x:064x}"
+    log("tok", "ARC_TOKEN", "RoleGranted", 1, role="admin", account="alice")
+    log("tok", "ARC_TOKEN", "Upgraded", 2, "alice", implementation="i1")
+    log("fac", "FACTORY", "TokenUpgraded", 3, "msig", token="tok", newImplementation="i2")
+    log("fac", "FACTORY", "TokenUpgraded", 3, "bob", token="other", newImplementation="i9")
+    log("tok", "ARC_TOKEN", "RoleRevoked", 4, role="admin", account="alice")
+    log("tok", "ARC_TOKEN", "Upgraded", 4, "alice", implementation="i3")  # the role's last block counts
+    log("tok", "ARC_TOKEN", "Upgraded", 5, "alice", implementation="i4")
+    log("tok", "ARC_TOKEN", "Transfer", 6, **{"from": "shop", "to": "carl", "value": u(5)})
+    log("usd", "PURCHASE_TOKEN", "Transfer", 6, **{"from": "carl", "to": "shop", "value": u(50)})
+    log("shop", "STOREFRONT", "PurchaseMade", 6, buyer="carl", tokenContract="tok", amount=u(5))  # no price: takes nothing
+    log("shop", "STOREFRONT", "PurchaseMade", 6, buyer="carl", tokenContract="tok", amount=u(5), pricePaid=u(50))
+    log("shop", "STOREFRONT", "PurchaseMade", 7, buyer="dan", tokenContract="tok", amount=u(1), pricePaid=u(2))
+    big = 2**200
+    log("yld", "YIELD_TOKEN", "Transfer", 8, **{"from": "tok", "to": "carl", "value": u(big)})
+    log("yld", "YIELD_TOKEN", "Transfer", 8, **{"from": "else", "to": "carl", "value": u(9)})
+    log("tok", "ARC_TOKEN", "YieldDistributed", 9, amount=u(big - 1), token="yld")
+    log("tok", "ARC_TOKEN", "YieldDistributed", 10, token="yld")
+    log("yld", "YIELD_TOKEN", "Transfer", 11, **{"from": "tok", "to": "dan", "value": u(4)})
+    events = spark.createDataFrame(rows, "event_id long, source string, source_kind string, event_name string, block long, tx int, log long, signer string, args map<string,string>")
+    assets = spark.createDataFrame([("A", "tok", "mod", None, "fac", "shop")], "asset_id string, token string, module string, router string, factory string, storefront string")
+    pairs = lambda *x: spark.createDataFrame(list(x), "asset_id string, address string")
+    out = audit.rebuild_all(events, audit.Config(assets, pairs(), pairs(("A", "yld")), pairs(("A", "usd")), pairs().select("address"), pairs().select(F.col("address").alias("router")), "t", "msig"))
+    assert sorted((r.block, r.before, r.after, r.signed_by) for r in out["code_change"].collect()) == [(2, None, "i1", "ISSUER_KEY"), (3, "i1", "i2", "MULTISIG"), (4, "i2", "i3", "ISSUER_KEY"), (5, "i3", "i4", "UNKNOWN")]
+    assert sorted((r.block, r.purchase_event, r.token_leg, r.payment_leg) for r in out["sale"].collect()) == [(6, 11, 8, 9), (7, 12, None, None)]
+    runs = out["yield_run"].withColumns({c: u256.to_string(F.col(c)) for c in ("credited", "stated", "remainder")}).orderBy("run").collect()
+    assert [(r.run, r.credits, r.credited, r.stated, r.remainder, r.over_credit, r.closed) for r in runs] == [(0, 1, str(big), str(big - 1), "-1", True, True), (1, 0, "0", None, None, False, True), (2, 1, "4", None, None, False, False)]
+    assert sorted((r.run, r.holder) for r in out["yield_credit"].collect()) == [(0, "carl"), (2, "dan")]
+    assert [(r.role, r.account, r.from_pos.block, r.to_pos.block) for r in out["role_interval"].collect()] == [("admin", "alice", 1, 4)]
+
+
+def test_lists_refuse_what_they_do_not_know(spark):
+    from slotline.operators import pages
+
+    df = spark.createDataFrame([("a", "SPL", None), ("b", None, "f"), ("c", "SPL", "f")], "address string, kind string, factory string")
+    assert [r.address for r in pages.list_page("tokens", df, 5, kind="SPL", factory="f").collect()] == ["c"]
+    for bad in ({"kind": "ERC-721"}, {"color": "red"}):
+        with pytest.raises(ValueError):
+            pages.list_page("tokens", df, 5, **bad)
+    for name, own in pages.LISTS.items():  # every list pages over its own columns
+        empty = spark.createDataFrame([], ", ".join(f"`{c}` {'array<string>' if c in own.members else 'string'}" for c in dict.fromkeys([*own.order, *own.filters, *own.members, *own.text, *(["is_oracle"] if own.hides_oracle else [])])).replace("is_oracle` string", "is_oracle` boolean"))
+        assert pages.list_page(name, empty, 3).columns[-1] == "has_more"
