@@ -29,6 +29,7 @@ from .common import as_text, materialize, read, trimmed
 
 CAPACITY = 2048
 CACHE_WORDS = 200_000
+ROWS_PER_PART = 20_000
 #: Letters whose lower case and composition depend on no neighbour, then signs that never join a word.
 WORD_THEN_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|]*)")
 
@@ -230,24 +231,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def rank_within(df: DataFrame, key: str, name: str, salts: int = 64) -> DataFrame:
-    """Number the rows of each ``key`` from 0, spread over ``salts`` parts so that no key needs one task."""
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int")
-    own = df.withColumn("_salt", part)
-    sums = own.groupBy(key, "_salt").count()
-    before = sums.select(F.col(key), "_salt", (F.sum("count").over(W.partitionBy(key).orderBy("_salt")) - F.col("count")).alias("_before"))
-    local = own.withColumn("_n", F.row_number().over(W.partitionBy(key, "_salt").orderBy(*[c for c in df.columns if c != key])) - 1)
-    return local.join(before, [key, "_salt"]).withColumn(name, F.col("_before") + F.col("_n")).drop("_salt", "_n", "_before")
+def rank_within(df: DataFrame, key: str, row: str, name: str, count: dict[int, int]) -> DataFrame:
+    """Number the rows of each ``key`` from 0, in order of a part and of ``row`` (no two rows' values are equal in a part's
+    sort but for repeated rows). A key has a part for each ``ROWS_PER_PART`` of its rows, so none needs one task."""
+    parts = df.sparkSession.createDataFrame([(x, -(-n // ROWS_PER_PART)) for x, n in count.items()], f"_of {df.schema[key].dataType.simpleString()}, _parts int")
+    # one row a length, so at most the capacity
+    own = df.join(F.broadcast(parts), F.col(key) == F.col("_of")).withColumn("_part", F.pmod(F.xxhash64(row), F.col("_parts")).cast("int")).drop("_of", "_parts")
+    sums = own.groupBy(key, "_part").count()
+    before = sums.select(F.col(key), "_part", (F.sum("count").over(W.partitionBy(key).orderBy("_part")) - F.col("count")).alias("_before"))
+    local = own.withColumn("_n", F.row_number().over(W.partitionBy(key, "_part").orderBy(row)) - 1)
+    return local.join(before, [key, "_part"]).withColumn(name, F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to a table with a ``length`` column; ``pieces`` should be cheap to read twice."""
+    """Add sequence_id and offset to a table with columns ``length`` and ``_row`` (a key of each row, left out of the result);
+    ``pieces`` should be cheap to read twice."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     segments = spark.sparkContext.broadcast(_lookup(plan(histogram, capacity)))
-    ranked = rank_within(pieces, "length", "_rank").select(*pieces.columns, "_rank")
-    names = pieces.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    names = [c for c in pieces.columns if c != "_row"]
+    ranked = rank_within(pieces, "length", "_row", "_rank", histogram).select(*names, "_rank")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "_row")
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = segments.value
@@ -275,7 +279,8 @@ def _lookup(segments: list[tuple[int, int, int, int, int, int]]) -> dict[int, tu
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialize(token_pieces(docs, tokenizer_path, capacity, id_col=id_col, text_col=text_col)), capacity)
+    pieces = token_pieces(docs, tokenizer_path, capacity, id_col=id_col, text_col=text_col)
+    return pack(materialize(pieces.withColumn("_row", F.monotonically_increasing_id())), capacity)  # written: the keys stay
 
 
 def tokenizer_path() -> str:
