@@ -9,7 +9,7 @@ that clean or several toxic rows do not settle has a share of its term's weight,
 window that discounts quotation (quotation marks around, or a word of reporting near) and raises hits that come in groups.
 
 Only labelled rows whose crc32(doc_id) mod 5 is not 0 are fitted, at most ``FIT_ROWS`` of them, chosen by hash; the
-lexicon holds ``MOST_TERMS`` terms at most. Labels, language, source and id never enter a score.
+size of the lexicon follows from the tests on those rows alone. Labels, language, source and id never enter a score.
 
 Defined results: null or empty text has no hits and gets the score of such rows; repeated rows and null ids give a row
 each (a null id is held out: its remainder is unknown); with no usable labels the lexicon is empty and every score is 0;
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import as_text, materialize, read, trimmed
 
-FIT_ROWS, MOST_TERMS, MOST_SURFACES = 12_000, 4_000, 20_000
+FIT_ROWS = 12_000
 LEAST_G2, LEAST_ODDS = 23.0, 10.0
 #: Terms from this length on are met within one edit; those of one letter less only where the edit is a digit or sign.
 SHORTEST_FUZZY = 5
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     tested = lambda df: df.withColumn("g2", 2 * (part(F.col("a"), all1) + part(F.col("b"), all0))).where((F.col("g2") >= LEAST_G2) & ((F.col("a") + 0.5) / (F.col("b") + 0.5) >= LEAST_ODDS * all1 / all0))
     starts = counts.where(F.length("word") >= 4).select(F.explode(F.transform(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(7))), lambda k: F.substring("word", F.lit(1), k))).alias("word"), "a", "b")
     stems = tested(starts.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("n"), F.max("a").alias("most")).where("n >= 5 and 2 * most <= a"))
-    top = lambda df: df.orderBy(F.desc("g2"), "word").limit(MOST_TERMS).collect()
+    top = lambda df: df.orderBy(F.desc("g2"), "word").collect()  # bounded by the words of the fit rows
     found_stems: list[str] = []
     weight = {r["word"]: r["a"] for r in top(stems)}
     for s in sorted(weight, key=lambda s: (len(s), s)):
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
             found_stems.append(s)
     marked = [r["word"] for r in top(tested(counts))]
     words = [w for w in marked if not any(w.startswith(s) for s in found_stems)]
-    terms = ([(s, True) for s in found_stems] + [(w, False) for w in words])[:MOST_TERMS]
+    terms = [(s, True) for s in found_stems] + [(w, False) for w in words]
     forms = [(w, k) for w in marked for k, (s, is_stem) in enumerate(terms) if is_stem and w.startswith(s)]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32()))], ["term", "edits", "surface", "quoted", "toxic"])
 
     seen = rows.select("text", F.col("toxic").cast("int")).mapInArrow(trimmed(hits), "term int, edits int, surface string, quoted boolean, toxic int").groupBy("term", "edits", "surface", "quoted").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-    seen = seen.orderBy(F.desc(F.col("a") + F.col("b")), "term", "surface", "quoted").limit(2 * MOST_TERMS + MOST_SURFACES).collect()
+    # of misspellings only those that the rows settle are used
+    seen = seen.where("edits = 0 OR b > 0 OR a > 2").orderBy("term", "edits", "surface", "quoted").collect()
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
     model = Model(terms=terms, forms=forms, prior=math.log(n1 / n0))
     quoted_all = [0, 0]
@@ -258,8 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
         if r["term"] < 0:
             model.none = math.log((a + 0.5) / (b + 0.5))
         elif r["edits"]:
-            if b or a > 2:
-                model.surfaces[r["surface"]] = odds(a, b)
+            model.surfaces[r["surface"]] = odds(a, b)
         elif r["quoted"]:
             quoted_all = [quoted_all[0] + a, quoted_all[1] + b]
         else:
@@ -279,7 +279,7 @@ def held_out(doc_id: Column) -> Column:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, n_hits, best_hit (the surface that weighs most)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_TERMS and MOST_SURFACES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of FIT_ROWS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
