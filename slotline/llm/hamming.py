@@ -12,6 +12,7 @@ of more than 64 numbers is an error; an empty table gives no rows; extra columns
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +32,8 @@ def sign_code(vector: Column) -> Column:
 
 
 def segments_for(n: int) -> list[tuple[int, int]]:
-    """(shift, bits) of segments of about log2(n) bits: 8, 16 or 21 of them, so few sizes of table change the cut."""
-    m = 8 if n < 1 << 10 else 4 if n < 1 << 20 else 3
+    """(shift, bits) of segments of about log2(n) bits, so that a segment value is shared by few entries."""
+    m = min(16, max(1, round(BITS / math.log2(max(n, 2)))))
     edges = [round(BITS * k / m) for k in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
