@@ -34,6 +34,8 @@ ADD = 0.05
 START = mix(np.array([0x5354415254], U))[0]
 #: Rows of about this many bytes are one block; a range of keys holds about this many pairs.
 BLOCK_BYTES, PAIRS_PER_RANGE = 1 << 22, 2_000_000
+#: Text for a range of the vocabulary.
+BYTES_PER_RANGE = 1 << 26
 
 
 def text_rows(docs: DataFrame, target: Column, id_col: str, text_col: str) -> DataFrame:
@@ -41,8 +43,10 @@ def text_rows(docs: DataFrame, target: Column, id_col: str, text_col: str) -> Da
 
 
 def vocabulary(rows: DataFrame) -> tuple[int, int, int]:
-    """Distinct words of all rows, words of the target, words of all."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Distinct words of all rows, words of the target, words of all. Words are counted in ranges of their hash, whose number
+    grows with the corpus."""
+    bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // BYTES_PER_RANGE))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,23 +54,30 @@ def vocabulary(rows: DataFrame) -> tuple[int, int, int]:
             for row, end, data, offsets in text_chunks(*utf8(b.column("text")), BLOCK_BYTES):
                 w = Words(data, offsets)
                 own = np.unique(w.hash)
-                cut = np.searchsorted(own >> U(48), np.arange(0, 65537, 1024).astype(U))
-                packed = [own[a:z].tobytes() for a, z in zip(cut, cut[1:])]
-                n, t = len(w.hash), int(w.count[goal[row:end]].sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array(packed, pa.binary()), pa.array([n] + [0] * 63, pa.int64()), pa.array([t] + [0] * 63, pa.int64())], ["part", "words", "n", "t"])
+                cut = np.searchsorted(((own >> U(32)) * U(ranges) >> U(32)).astype(np.int64), np.arange(ranges + 1))
+                used = np.flatnonzero(cut[1:] > cut[:-1])
+                if len(used):
+                    packed = [own[a:z].tobytes() for a, z in zip(cut[used], cut[used + 1])]
+                    n, t, none = len(w.hash), int(w.count[goal[row:end]].sum()), [0] * (len(used) - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed, pa.binary()), pa.array([n, *none], pa.int64()), pa.array([t, *none], pa.int64())], ["part", "words", "n", "t"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = t = 0
-        known: dict[int, np.ndarray] = {}
+        v = n = t = 0
+        known, waiting, size, part = np.zeros(0, U), [], 0, None
         for b in batches:
             n, t = n + sum(b.column("n").to_pylist()), t + sum(b.column("t").to_pylist())
-            for part, raw in zip(b.column("part").to_pylist(), b.column("words").to_pylist()):
-                own = np.frombuffer(raw, U)
-                known[part] = np.union1d(known[part], own) if part in known else own
-        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, known.values()))], pa.int64()), pa.array([n], pa.int64()), pa.array([t], pa.int64())], ["v", "n", "t"])
+            for own, raw in zip(b.column("part").to_pylist(), b.column("words").to_pylist()):
+                if own != part or size > max(len(known), 1 << 16):  # merged when as many wait as are known
+                    known, waiting, size = np.unique(np.concatenate([known, *waiting])), [], 0
+                if own != part:
+                    v, known, part = v + len(known), np.zeros(0, U), own
+                waiting.append(np.frombuffer(raw, U))
+                size += len(waiting[-1])
+        v += len(np.unique(np.concatenate([known, *waiting])))
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()), pa.array([n], pa.int64()), pa.array([t], pa.int64())], ["v", "n", "t"])
 
     packed = rows.select("target", "text").mapInArrow(trimmed(words), "part int, words binary, n bigint, t bigint")
-    got = packed.repartition(parts, "part").mapInArrow(trimmed(count), "v bigint, n bigint, t bigint").agg(F.sum("v"), F.sum("t"), F.sum("n")).first()
+    got = packed.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(trimmed(count), "v bigint, n bigint, t bigint").agg(F.sum("v"), F.sum("t"), F.sum("n")).first()
     return tuple(int(x or 0) for x in got)
 
 
