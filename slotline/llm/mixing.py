@@ -30,7 +30,8 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target. The level of water-filling: with the k sources of least 2 * size / weight held at
+    """source, source_size, target. Takes one row a source in one task, so sources should be some thousands at most. The level
+    of water-filling: with the k sources of least 2 * size / weight held at
     2 * size, the rest share what is left by weight; the first k at which none of the rest rises above 2 * size holds."""
     n = len(weights)
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -72,14 +73,17 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself in ``docs``' columns: a row for each pass over a document, the cut one holding its first words."""
-    own = docs.withColumn("size", word_count(as_text(docs, "text")))
+    """The mix itself in ``docs``' columns: a row for each pass over a document, the cut one holding its first words.
+    Texts without words stay once; ``n_chars``, where there is one, is counted again."""
+    # the row is packed, so its columns may have any name
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", "text", word_count(as_text(docs, "text")).alias("size"))
     taken = mix(own, weights).withColumn("_whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)))
     rest = F.col("taken") - F.col("_whole") * F.col("size")
     words = F.when(rest > 0, first_words(F.col("text"), rest)).otherwise(F.lit(""))
     copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_whole") + F.when((rest > 0) & (F.col("size") > 0), 1).otherwise(0)).cast("int")))).where("_whole > 0 or taken > 0")
     text = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(words)
-    return copies.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    new = {"text": text, **({"n_chars": F.length(text).cast("bigint")} if "n_chars" in docs.columns else {})}
+    return copies.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def first_words(text: Column, n: Column) -> Column:
