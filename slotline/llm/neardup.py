@@ -6,8 +6,13 @@ is branched again by a few minwise positions drawn from the node's own path (abo
 pair is expected to share one child), on the cluster while the node is large and inside its task after that. Small nodes
 are compared exhaustively on sketches; what comes near the threshold is connected, each absorbed class compared with the
 ones still apart only, so a group of near copies costs one row a member. The groups found by all trees are merged, and
-inside each merged group links are confirmed on full sets in the same way. Groups too large for a task are confirmed
-leaf by leaf instead. Sixteen independent roots miss a pair at similarity s with probability (1 - s)**16.
+inside each merged group links are confirmed on full sets in the same way. Groups whose sets are too large for a task are
+confirmed leaf by leaf instead. Sixteen independent roots miss a pair at similarity s with probability (1 - s)**16.
+
+A large node may be one huge group of near copies, which branching would not shrink. So before it branches its members are
+dealt to blocks, each with the node's pivot, and linked there on full sets; blocks meet in the pivot. If all members are
+connected then, the node is done. If few are outside its largest group, those go to every block and are compared with all.
+Only a node that still has many groups branches.
 
 Defined results: null or empty text and text without words has no set, links with nothing and is kept; fewer words than
 a shingle form one shingle; equal sets always link; repeated ids and null ids are rows of their own and the smallest
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import BASE, U, Words, as_text, batches, materialize, mix, read, runs, trimmed
 
 TREES, SKETCH, SHINGLE = 16, 128, 5
-#: Members of a node compared exhaustively; members of a node, or of a merged group, that one task takes.
-LEAF, TASK = 1_500, 20_000
+#: Members of a node compared exhaustively; members of a node that one task takes; shingles of a merged group that one takes.
+LEAF, TASK, SETS = 1_500, 5_000, 8_000_000
+#: Members of a large node linked in one block, and those outside its largest group that go to every block.
+BLOCK = 2_000
 MAX_DEPTH = 40
 ROOT_FACTORS = mix(np.arange(1, TREES + 1, dtype=U) * U(0xD1B54A32D192ED03)) | U(1)
 SKETCH_FACTORS = (mix(np.arange(1, SKETCH + 1, dtype=U) * U(0xAEF17502108EF2D9)) >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -138,8 +145,30 @@ def leaves(path: int, sketch: np.ndarray, similarity: float, least: float, depth
                     todo.append((child(path, int(p), int(value[part[0]])), own[part], depth + 1))
 
 
-def candidate_groups(classes: DataFrame, similarity: float) -> DataFrame:
-    """key, head, leaf: each class that some leaf puts near others, with the smallest key of its group there."""
+def absorbed(large: DataFrame, exact: Callable[[DataFrame], DataFrame], last: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Exact edges inside large nodes, and the rows of those nodes that are to branch (none if ``last``). large: key, node, size."""
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("bigint")
+    block = lambda *more: F.concat_ws(":", "node", "salt", *more).alias("block")
+    dealt = large.select("key", "node", F.pmod(F.xxhash64("key"), n_blocks).alias("salt"))
+    pivots = large.groupBy("node").agg(F.min_by("key", F.xxhash64("key", "node")).alias("key"), F.first("size").alias("size"))
+    everywhere = F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)).alias("salt")
+    edges = [materialize(exact(dealt.select("key", block()).unionByName(pivots.select("key", "node", everywhere).select("key", block())).distinct()))]
+    marked = materialize(large.join(connected(edges[0]), "key", "left").select("key", "node", "size", F.coalesce("component", "key").alias("label")))
+    top = marked.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.max("count").alias("most"))
+    apart = F.col("size") - F.col("most")
+    judged_ = materialize(marked.join(top, "node").withColumn("apart", apart).where("apart > 0"))
+    rest = judged_ if last else judged_.where(F.col("apart") <= BLOCK)
+    # in one chunk unless this is the last level
+    chunks = F.ceil(F.col("apart") / BLOCK).cast("bigint")
+    others = rest.where("label <> top").select("key", "node", everywhere, F.pmod(F.xxhash64("node", "key"), chunks).alias("chunk"))
+    members = rest.select("key", "node", F.pmod(F.xxhash64("key"), n_blocks).alias("salt"), F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
+    edges.append(materialize(exact(members.select("key", block("chunk")).unionByName(others.select("key", block("chunk"))).distinct())))
+    return edges, judged_.where(F.lit(False) if last else F.col("apart") > BLOCK).select("key", "node", "size")
+
+
+def candidate_groups(classes: DataFrame, similarity: float, exact: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """key, head, leaf: each class that some leaf puts near others, with the smallest key of its group there; and edges (a, b)
+    that ``exact`` (of groups: key, block) has confirmed inside large nodes."""
     least = similarity - 6 * (similarity * (1 - similarity) / SKETCH) ** 0.5
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rooted = classes.select("key", F.posexplode("roots").alias("tree", "value")).select("key", F.xxhash64("tree", "value").alias("node"))
@@ -156,17 +185,15 @@ def candidate_groups(classes: DataFrame, similarity: float) -> DataFrame:
                     node.append(child(path & 0xFFFFFFFFFFFFFFFF, int(p), int(s[p])))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(np.array(node, U).view(np.int64), pa.int64())], ["key", "node"])
 
-    depth, small, large = 1, [nodes.where(F.col("size") <= TASK)], nodes.where(F.col("size") > TASK)
-    while depth < MAX_DEPTH and not large.isEmpty():
+    depth, members, sure, large = 1, nodes.where(F.col("size") <= TASK), [], nodes.where(F.col("size") > TASK)
+    while not large.isEmpty():
+        edges, large = absorbed(large, exact, depth >= MAX_DEPTH)
+        sure += edges
         below = materialize(large.join(classes.select("key", "sketch"), "key").select("key", "node", "sketch").mapInArrow(trimmed(branch), "key string, node bigint"))
         nodes = materialize(below.join(below.groupBy("node").count().where("count > 1"), "node").select("key", "node", F.col("count").alias("size")))
         depth += 1
-        last = depth >= MAX_DEPTH
-        small.append(nodes if last else nodes.where(F.col("size") <= TASK))
+        members = members.unionByName(nodes.where(F.col("size") <= TASK))
         large = nodes.where(F.col("size") > TASK)
-    members = small[0]
-    for more in small[1:]:
-        members = members.unionByName(more)
 
     def compare(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches_, "node"):
@@ -184,7 +211,7 @@ def candidate_groups(classes: DataFrame, similarity: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[own][keep], pa.string()), pa.array(heads[label[keep]], pa.string()), pa.array(np.full(n, path, U).view(np.int64))], ["key", "head", "leaf"])
 
     dealt = members.join(classes.select("key", "sketch"), "key").select("node", "key", "sketch").repartition(parts, "node").sortWithinPartitions("node")
-    return materialize(dealt.mapInArrow(trimmed(compare), "key string, head string, leaf bigint"))
+    return materialize(dealt.mapInArrow(trimmed(compare), "key string, head string, leaf bigint")), sure
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -268,15 +295,23 @@ def judged(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: s
     leads = materialize(worded.groupBy("key").agg(lead.alias("lead")))
     reps = leads.select("key", F.col("lead.doc_id").alias("rep"))
     classes = worded.groupBy("key").agg(F.first("roots").alias("roots"), F.first("sketch").alias("sketch"))
-    found = candidate_groups(classes, percent / 100)
-    merged = connected(found.select(F.col("key").alias("a"), F.col("head").alias("b")))
-    sized = materialize(merged.join(merged.groupBy("component").count(), "component"))
-    blocks = sized.where(F.col("count") <= TASK).select("key", F.col("component").alias("block"))
-    large = sized.where(F.col("count") > TASK)
-    split = not large.isEmpty()
+    exact = lambda groups: confirm(groups, reps, docs, percent, shingle, id_col, text_col)
+    found, sure = candidate_groups(classes, percent / 100, exact)
+    near = found.select(F.col("key").alias("a"), F.col("head").alias("b"))
+    for edges in sure:
+        near = near.unionByName(edges)
+    sizes = worded.groupBy("key").agg(F.first("n_shingles").alias("n"))
+    merged = materialize(connected(near).join(sizes, "key"))
+    sized = materialize(merged.join(merged.groupBy("component").agg(F.sum("n").alias("total")), "component"))
+    blocks = sized.where(F.col("total") <= SETS).select("key", F.col("component").alias("block"))
+    large = sized.where(F.col("total") > SETS)
+    split = bool(sure) or not large.isEmpty()
     if split:
         blocks = blocks.unionByName(found.join(large, "key", "left_semi").select("key", F.concat_ws(":", "leaf", "head").alias("block")))
-    edges = materialize(confirm(blocks, reps, docs, percent, shingle, id_col, text_col))
+    edges = exact(blocks)
+    for more in sure:
+        edges = edges.unionByName(more)
+    edges = materialize(edges)
     linked = connected(edges) if split else edges.select(F.col("b").alias("key"), F.col("a").alias("component"))
     heads = edges.select(F.col("a").alias("key"), F.col("a").alias("component")).distinct()
     linked = linked.unionByName(heads).groupBy("key").agg(F.min("component").alias("component"))
