@@ -4,7 +4,8 @@ A host with its labels reversed and closed by a dot is a prefix of every host be
 interval of the sorted page keys and intervals of two rules are nested or apart. Pages are dealt out by ranges of
 (reversed host, path), a rule goes to each range its interval meets, and each range is swept once in key order: the
 stack holds the rules whose interval covers the page at hand, and the longest one whose path starts the page's path wins.
-Ranges split a hot host by its paths. Range limits come from a bounded sample of keys and steer the load only.
+Ranges split a hot host by its paths, and a key that alone fills several ranges (rows without url, too) is dealt over as
+many salts. Range limits come from a sample of about ``SAMPLE`` rows a range, taken by hash, and steer the load only.
 
 Defined results: a url that is null or has no "://" has empty host and path and gets the default verdict; repeated rows
 give a row each; with no rules all rows get the default; of equally long rules the longer host wins, then "block";
@@ -31,7 +32,7 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 DEFAULT = "allow"
-LIMIT_SAMPLE = 512
+SAMPLE, ROWS_PER_RANGE = 32, 500_000
 CEILING = "\U0010ffff"
 
 
@@ -61,6 +62,22 @@ def sweep(rows: Iterator[tuple[str, str, int, str, str]]) -> Iterator[str | None
             yield max(fits)[2] if fits else None
 
 
+def range_limits(sample: list[tuple[str, str, int]], ranges: int) -> tuple[list[tuple[str, str]], list[int]]:
+    """Sorted limits of about ``ranges`` even ranges of weighed (key, path) pairs, and the number of the first part of each
+    range and of the end: one part a range, more where one pair is as heavy as several ranges."""
+    total, seen, limits, times = sum(n for *_, n in sample), 0, [], []
+    for key, path, n in sorted(sample):
+        crossed = (seen + n) * ranges // total - seen * ranges // total
+        seen += n
+        if crossed and seen < total or crossed > 1:
+            limits.append((key, path))
+            times.append(crossed)
+    first = [0, 1]
+    for k in times:
+        first.append(first[-1] + k)
+    return limits, first
+
+
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """page id, host, path, rule, verdict. ``rules``: verdict, host, path."""
     spark = pages.sparkSession
@@ -68,19 +85,22 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     own = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("key", reversed_host(F.col("host")))
     kind = own.schema[id_col].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = [(r[0], r[1]) for r in own.select("key", "path").orderBy(F.xxhash64("key", "path")).limit(LIMIT_SAMPLE).collect()]
-    sample.sort()
-    limits = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
+    n_rows = pages.count()
+    ranges = max(parts, -(-n_rows // ROWS_PER_RANGE))
+    row = F.xxhash64(id_col, "key", "path")
+    sampled = own.where(F.pmod(row, F.lit(max(1, n_rows // (SAMPLE * ranges)))) == 0).groupBy("key", "path").count()
+    limits, first_part = range_limits([tuple(r) for r in sampled.collect()], ranges)
 
     def deal_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [bisect_right(limits, x) for x in zip(b.column("key").to_pylist(), b.column("path").to_pylist())]
+            part = [first_part[k] + h % (first_part[k + 1] - first_part[k]) for k, h in zip(at, b.column("row").to_pylist())]
             none = pa.nulls(len(at), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column("key"), pa.array([1] * len(at), pa.int32()), b.column("path"), b.column("host"), b.column(0), none], ["part", "key", "is_page", "path", "host", id_col, "rule"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column("key"), pa.array([1] * len(at), pa.int32()), b.column("path"), b.column("host"), b.column(0), none], ["part", "key", "is_page", "path", "host", id_col, "rule"])
 
     def deal_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, key, p, rule) for key, p, rule in zip(*(b.column(c).to_pylist() for c in ("key", "path", "rule"))) for k in range(bisect_left(limits, (key, "")), bisect_right(limits, (key + CEILING, "")) + 1)]
+            rows = [(k, key, p, rule) for key, p, rule in zip(*(b.column(c).to_pylist() for c in ("key", "path", "rule"))) for k in range(first_part[bisect_left(limits, (key, ""))], first_part[bisect_right(limits, (key + CEILING, "")) + 1])]
             cols = [pa.array([r[j] for r in rows], t) for j, t in ((0, pa.int32()), (1, pa.string()), (2, pa.string()), (3, pa.string()))]
             n = len(rows)
             yield pa.RecordBatch.from_arrays([cols[0], cols[1], pa.array([0] * n, pa.int32()), cols[2], pa.nulls(n, pa.string()), pa.nulls(n, b.schema.field("id").type), cols[3]], ["part", "key", "is_page", "path", "host", id_col, "rule"])
@@ -88,8 +108,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     schema = f"part int, key string, is_page int, path string, host string, `{id_col}` {kind}, rule string"
     rows = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     table = rows.select(reversed_host(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), F.lit(None).cast(kind).alias("id"))
-    both = own.mapInArrow(trimmed(deal_pages), schema).unionByName(table.mapInArrow(trimmed(deal_rules), schema))
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "key", "is_page", "path")
+    both = own.withColumn("row", row).mapInArrow(trimmed(deal_pages), schema).unionByName(table.mapInArrow(trimmed(deal_rules), schema))
+    dealt = both.repartition(ranges, "part").sortWithinPartitions("part", "key", "is_page", "path")
 
     def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
