@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -154,6 +155,85 @@ def test_automaton_is_one_edit():
         assert (m.match(w) or (9,))[0] == (want if want <= 1 else 9), w
 
 
+def distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        d, p = [i + 1], d
+        for j, y in enumerate(b):
+            d.append(min(d[j] + 1, p[j + 1] + 1, p[j] + (x != y)))
+    return d[-1]
+
+
+def brute_match(model, word):
+    """Nearest term by plain edit distance: (edits, term) or None."""
+    plain = [(t, k) for k, (t, stem) in enumerate(model.terms) if not stem] + list(model.forms)
+    near = [(0, k) for t, k in plain if t == word]
+    for t, k in plain:
+        if t != word and distance(word, t) == 1:
+            signs = [i for i, c in enumerate(word) if not c.isalpha()]
+            by_sign = len(word) >= len(t) and any(word[:i] + word[i + 1 :] == (t if len(word) > len(t) else t[:i] + t[i + 1 :]) for i in signs)
+            if len(t) >= 5 or (len(t) == 4 and by_sign):
+                near.append((1, k))
+    stems = [k for k, (t, stem) in enumerate(model.terms) if stem and word.startswith(t)]
+    best = min(near, default=None)
+    return (0, stems[0]) if stems and not (best and best[0] == 0) else best
+
+
+def brute_score(model, text):
+    text, places = (text or "").lower(), []
+    for m in toxicity.WRITTEN.finditer(text):
+        parts = [(p.start(), p.end(), *got) for p in toxicity.TERM.finditer(m[0]) if (got := brute_match(model, p[0]))]
+        whole = brute_match(model, m[0])
+        if m[0].isalpha():
+            parts = [(0, len(m[0]), *whole)] if whole else []
+        elif any(p[2] == 0 for p in parts):
+            parts = [p for p in parts if p[2] == 0]
+        elif whole:
+            parts = [(0, len(m[0]), *whole)]
+        places += [(m.start() + a, m.start() + b, e, k) for a, b, e, k in parts]
+    best = {}
+    for i, (a, b, e, k) in enumerate(places):
+        before, after = text[max(0, a - 80) : a].rpartition("\n")[2], text[b : b + 80].partition("\n")[0]
+        in_quotes = any((before.count(x) % 2 if x == y else before.rfind(x) > before.rfind(y)) and y in after for x, y in toxicity.QUOTES) or any(w in toxicity.REPORTING for w in toxicity.TERM.findall(before)[-4:])
+        w = model.quoted[k] if in_quotes and not e else model.plain[k]
+        if e:
+            w = model.surfaces.get(text[a:b], model.plain[k] * (1 - 2 / max(4, b - a)))
+            w = min(w, 0.1 * w) if in_quotes else w
+        if w > 0:
+            w *= 1 + 0.1 * min(3, sum(abs(c - a) <= 80 for c, *_ in places[max(0, i - 4) : i + 5]) - 1)
+        best[k] = max(best.get(k, -99.0), w)
+    logit = model.prior + sum(best.values()) if best else model.none
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, logit)))) if model.terms else 0.0
+
+
+def test_toxicity_equals_plain_distances(spark):
+    bad = ["scumbag", "pathetic", "vermin", "moron", "dolt", "dolts", "scummy"]
+    rows = []
+    for k in range(700):
+        words = prose(40).split()
+        for w in bad if k % 6 == 0 else (["moran"] if k % 9 == 0 else []):
+            words.insert(rng.randrange(len(words)), w)
+        rows.append((k, " ".join(words), int(k % 6 == 0), "clash"))
+    own = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
+    model = toxicity.fit(own, own.select("doc_id", "toxic"))
+    texts = [None, "", " ".join(w for w in bad for _ in range(20_000))]
+    for _ in range(600):
+        words = prose(rng.randint(1, 12)).split()
+        for _ in range(rng.randint(1, 4)):
+            w = list(rng.choice(bad))
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "4", "*", "z"])
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["{}", '"{}"', "said {}", "«{}»", "{}!", "no\n{}"]).format("".join(w)))
+        texts.append(" ".join(words))
+    some = spark.createDataFrame([(k % 50, t, "clash", k) for k, t in enumerate(texts)], "doc_id long, text string, score string, at long")
+    got = {r.doc_id: r.score for r in toxicity.score(some, model, id_col="at").collect()}
+    for k, t in enumerate(texts):
+        if k != 2:
+            assert abs(got[k] - brute_score(model, t)) < 1e-9, t
+    assert got[2] > 0.99 and toxicity.score(some, model).count() == len(texts)  # repeated ids and a very long text
+
+
 def test_repetition(docs, none):
     def brute(t):
         w = WORD.findall(t or "")
@@ -190,6 +270,20 @@ def test_hamming(spark):
         assert [got[q, n + 1] for n in range(7)] == [(k, d) for d, k in best]
 
 
+def test_hamming_codes_and_edges(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, -1.0, nan, None, 2.0]), (2, []), (3, None), (50, [1.0, 0.0, 0.0, 0.0, 2.0]), (50, [1.0, 0.0, 0.0, 0.0, 2.0]), (7, [0.0] * 64), (8, [1.0] * 64)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("rank", F.lit("clash"))
+    coded = df.select("id", hamming.sign_code(F.col("v")).alias("code"), "rank")
+    assert [r.code for r in coded.collect()] == [17, None, None, 17, 17, 0, -1]
+    got = sorted(tuple(r) for r in hamming.hamming_topk(coded, coded.where("id = 50"), 3).collect())
+    assert got == sorted([(50, 1, 1, 0), (50, 2, 50, 0), (50, 3, 50, 0)] * 2)  # the repeated row asks and answers twice
+    assert hamming.hamming_topk(coded.where("false"), coded, 3).count() == 0 and hamming.hamming_topk(coded, coded.where("false"), 3).count() == 0
+    with pytest.raises(Exception, match="64"):
+        spark.createDataFrame([(1, [1.0] * 65)], "id long, v array<double>").select(hamming.sign_code(F.col("v"))).collect()
+    assert [sum(b for _, b in hamming.segments_for(n)) for n in (0, 1, 2, 1000, 10**9, 10**18)] == [64] * 6
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title><script>x='</p>'</script></head><body><nav>menu</nav><div class='cookie-notice'>accept</div>{}<div>site &amp; motto</div><footer>foot</footer></body>"
     rows = [(k, f"https://h.org/{k}", page.format(f"<div><p>Text {k} &lt;b&gt; a<b>b</b>c<p>more\n\n here<br>{k}</div>")) for k in range(12)]
@@ -198,6 +292,37 @@ def test_main_text(spark):
     assert got == {(k, f"Text {k} <b> abc more here {k}") for k in range(12)} | {(98, ""), (99, "T a b i j"), (99, "broken <b")}
 
 
+def test_main_text_by_templates(spark):
+    rng_ = random.Random(11)
+    blocks = {h: [f"<div class=b{k}>{prose(3)}<p>{prose(2)}</p></div>" for k in range(6)] for h in ("a.org", "b.org")}
+    shown = {k: [b for j, b in enumerate(blocks.get(("a.org", "b.org", "c.org")[k % 3], ())) if j < 3 or rng_.random() < 0.3] for k in range(60)}  # three on every page, three on some
+    met = collections.Counter((k % 3, b) for k, own in shown.items() for b in own)
+    rows, want = [], {}
+    for k, own in shown.items():
+        text = f"{prose(5)} {k}"
+        if k % 4 == 0:
+            html = f"<body>{''.join(own)}<article><p>{text}</p><p>told on every page</p></article></body>"
+            want[k] = f"{text} told on every page"
+        else:
+            html = f"<body>{''.join(own)}<div><p>{text}</p></div></body>"
+            want[k] = " ".join((" ".join(re.sub(r"<[^>]*>", " ", b) for b in own if met[k % 3, b] < 10) + f" {text}").split())
+        rows.append((k, f"https://{('a.org', 'b.org', 'c.org')[k % 3]}/{k}", html, "clash"))
+    assert min(met.values()) < 10 <= max(met.values())
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, `text` string").withColumns({"host": F.lit(1), "template": F.lit(2)})
+    assert {r.page_id: r.text for r in mainhtml.main_text(df).collect()} == want
+    assert mainhtml.main_text(df.where("false")).count() == 0
+
+
+def test_main_text_of_hostile_pages(spark):
+    pages = ["<div>" * 100_000 + "deep" + "</div>" * 100_000, "<b>" * 50_000 + "x</p>" * 50_000, '<a "' * 250_000 + ">text", '<a href="x' * 100_000, "<a x='1\" y=\"2' >one</a><a x=\"<p>\">two</a>", "<!-- open", "<script>", "a < b <3", "<p>" * 100_000, "<a class='" + " class=" * 100_000, "text " * 200_000]
+    began = time.time()
+    got = [mainhtml.read_page(p, frozenset([1])) for p in pages]
+    assert time.time() - began < 30
+    assert got[0] == "deep" and got[1] == "x" * 50_000 and got[2] == "text" and got[4] == "onetwo" and got[5:8] == ["", "", "a < b <3"] and got[8] == "" and got[10] == pages[10].strip()
+    rows = [(k, None, p) for k, p in enumerate(pages)]
+    assert mainhtml.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == len(pages)
+
+
 def test_cross_entropy_difference(docs, none):
     got = collections.defaultdict(list)
     for r in lmscore.cross_entropy_difference(docs, F.col("source") == "s1").collect():
@@ -235,6 +360,20 @@ def test_mixing(docs, none):
     assert mixing.mix(mixing.sizes(none)).count() == 0
 
 
+def test_mixing_of_odd_tables(spark):
+    rows = [(1, "a b c d", "s", 99, "x"), (1, "a b c d", "s", 99, "x"), (None, "e f", None, 98, "y"), (2, None, "s", 97, "z"), (3, " ", "t", 96, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, taken string").withColumns({"row": F.lit(7), "_key": F.lit(8), "target": F.lit(9)})
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    got = mixed.collect()
+    assert {r.size for r in got} == {99, 98, 97, 96} and {(r.row, r._key, r.target) for r in got} == {(7, 8, 9)}
+    taken = mixing.mix(mixing.sizes(df)).collect()
+    assert sum(len((r.text or "").split()) for r in got) == sum(r.taken for r in taken) == 14  # 12.5 and 2.5 words, cut down
+    empty = mixing.mix(mixing.sizes(df.where("doc_id > 1"))).collect()  # no words at all
+    assert [(r.size, r.target, r.taken) for r in empty] == [(0, 0.0, 0)] * 2
+    assert mixing.mixed_documents(df.where("false")).count() == 0
+
+
 @functools.cache
 def passages():
     return collections.Counter(tuple(w[i : i + 50]) for _, t, *_ in DOCS for w in [WORD.findall(t or "")] for i in range(len(w) - 49))
@@ -247,8 +386,10 @@ def passage_words(t):
 
 def without_passages(t):
     gone = t and passage_words(t)
-    if not gone:
-        return t
+    return cut_words(t, gone) if gone else t
+
+
+def cut_words(t, gone):
     out, at, words = [], 0, list(WORD.finditer(t))
     for j, m in enumerate(words):
         if j in gone:
@@ -299,10 +440,12 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("task,leaf", [(neardup.TASK, neardup.LEAF), (6, 4)])
-def test_near_duplicates(docs, none, monkeypatch, task, leaf):
-    monkeypatch.setattr(neardup, "TASK", task)  # small: nodes branch on the cluster, groups are confirmed leaf by leaf
+@pytest.mark.parametrize("task,leaf,block,sets", [(neardup.TASK, neardup.LEAF, neardup.BLOCK, neardup.SETS), (6, 4, 3, 900), (6, 4, 1, 0)])
+def test_near_duplicates(docs, none, monkeypatch, task, leaf, block, sets):
+    monkeypatch.setattr(neardup, "TASK", task)  # small: nodes are linked in blocks and branch on the cluster
     monkeypatch.setattr(neardup, "LEAF", leaf)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SETS", sets)  # small: groups are confirmed leaf by leaf
     sets = [shingles(t) for _, t, *_ in DOCS]
     top = list(range(len(DOCS)))
 
@@ -324,6 +467,36 @@ def test_near_duplicates(docs, none, monkeypatch, task, leaf):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Hundreds of texts, all different, near one base; some more share its least shingles only."""
+    monkeypatch.setattr(neardup, "TASK", 60)
+    monkeypatch.setattr(neardup, "BLOCK", 25)
+    base = prose(150).split()
+    texts = []
+    for k in range(500):
+        own = list(base)
+        if k % 10 == 0:  # half another text
+            own[:75] = prose(75).split()
+        else:
+            own[k % 150] = f"new{k}"
+        texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    top = list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+                top[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == {i: find(i) for i in range(len(texts))}
+
+
 def test_one_row_of_each_component_stays(spark):
     base, other, third, nulls, alone, first, second = (prose(80) for _ in range(7))
     rows = [(1, base), (None, base + " x"), (None, alone), (None, ""), (None, None)]  # a null-id copy, a unique null-id text, no words
@@ -354,12 +527,87 @@ def test_url_rules(spark):
     assert urlrules.judge(pages, rules.where("false")).where("rule IS NOT NULL").count() == 0
 
 
+def test_url_rules_over_ranges(spark):
+    hosts = ["example.com", "www.example.com", "a.net", "b.net", "net", "x.org"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'es/', 'fr/', ''])}{rng.randint(0, 99)}" for _ in range(400)] + ["http://a.net/es/hot"] * 300 + [None] * 200 + ["http://a.org/" + "x" * 100_000]
+    pages = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id long, url string, host int").withColumns({"key": F.lit(1), "part": F.lit(2), "rule": F.lit(3)})
+    rules = spark.createDataFrame(urlrules.RULES, "verdict string, host string, path string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlrules.judge(pages, rules).collect()}
+    for k, u in enumerate(urls):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(h + p), h + p, v) for v, h, p in urlrules.RULES if f".{host}".endswith(f".{h}") and path.startswith(p)]
+        assert got[k] == ((max(fits)[1], max(fits)[2]) if fits else (None, "allow"))
+    assert len(got) == len(urls) and urlrules.judge(pages.where("false"), rules).count() == 0
+    limits, first = urlrules.range_limits([("", "", 50), ("a", "x", 1), ("b", "y", 49)], 10)
+    assert limits == [("", ""), ("b", "y")] and first == [0, 1, 6, 11]  # heavy pairs get a part for each range they fill
+    assert urlrules.range_limits([], 4) == ([], [0, 1])
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
+    """Each stage's rows against brute force on what the stage before it kept; null and repeated ids, repeated rows, odd columns."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeats", "mixing", "packing"]
-    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    at = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, str(tmp_path))
-        assert at.columns == docs.columns
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    toxic = [(k, prose(40) + " scumbag vermin " + prose(40), "en", "s1", 0, "toxic") for k in range(500, 620)]
+    fine = [(k, prose(80), "en", "s2", 0, "fine") for k in range(700, 1000)]
+    rows = DOCS + toxic + fine
+    folder = str(tmp_path)
+    labels = [(k, 0, 1) for k, *_ in toxic[:100]] + [(k, 0, 0) for k, *_ in fine]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    own = spark.createDataFrame(rows, SCHEMA).withColumns({"size": F.lit(3), "text_key": F.lit(4), "row": F.lit(5)})
+    own.write.parquet(f"{folder}/documents.parquet")
+    at, stages = spark.read.parquet(f"{folder}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    plain = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+
+    def step(name):
+        nonlocal at
+        stages[name](spark, at, folder).write.parquet(f"{folder}/{name}")
+        before, at = at, spark.read.parquet(f"{folder}/{name}")
+        return plain(before), plain(at)
+
+    before, after = step("toxicity")
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert after == collections.Counter({x: n for x, n in before.items() if brute_score(model, x[1]) < 0.5})
+    assert {k for k, _ in before - after} == {k for k, *_ in toxic}
+
+    before, after = step("near_duplicates")
+    texts = list(before.elements())
+    sets = [shingles(t) for _, t in texts]
+    top = list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if k and 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                top[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i, x in enumerate(texts):
+        groups[find(i) if sets[i] else -1 - i].append(x)
+    assert sum(after.values()) == len(groups) and not after - before
+    for own_ in groups.values():
+        least = min((k for k, _ in own_ if k is not None), default=None)
+        assert any(x in after and x[0] == least for x in own_)
+
+    before, after = step("repeats")
+    words = {x: WORD.findall(x[1] or "") for x in before}
+    seen = collections.Counter(tuple(w[i : i + 50]) for x, n in before.items() for w in [words[x]] * n for i in range(len(w) - 49))
+    want = collections.Counter()
+    for (k, t), n in before.items():
+        gone = {j for i in range(len(words[k, t]) - 49) if seen[tuple(words[k, t][i : i + 50])] > 1 for j in range(i, i + 50)}
+        want[k, t if not gone else cut_words(t, gone)] += n
+    assert after == want
+
+    size = lambda t: len(WORD.findall(t or ""))
+    taken = mixing.mix(mixing.sizes(at)).collect()
+    before, after = step("mixing")
+    assert sum(size(t) * n for (_, t), n in after.items()) == sum(r.taken for r in taken)
+    assert all(any((t or "").startswith(x or "") or (x or "").startswith(t or "") for k2, x in before if k2 == k) for k, t in after)
+    assert at.columns == own.columns and {(r.size, r.text_key, r.row) for r in at.collect()} == {(3, 4, 5)}
+
+    packed = stages["packing"](spark, at, folder).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(k for (k, _), n in after.items() for _ in range(n))
+    assert sorted(map(repr, ((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect()))) == sorted(map(repr, ((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed)))
