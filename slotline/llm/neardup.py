@@ -10,9 +10,9 @@ inside each merged group links are confirmed on full sets in the same way. Group
 confirmed leaf by leaf instead. Sixteen independent roots miss a pair at similarity s with probability (1 - s)**16.
 
 A large node may be one huge group of near copies, which branching would not shrink. So before it branches its members are
-dealt to blocks, each with the node's pivot, and linked there on full sets; blocks meet in the pivot. If all members are
-connected then, the node is done. If few are outside its largest group, those go to every block and are compared with all.
-Only a node that still has many groups branches.
+dealt to blocks, each with the node's pivot, and linked there on full sets; blocks meet in the pivot. A class that is in
+several large nodes is linked in one. If all members of a node are connected then, it is done. If few are outside its
+largest group, those go to every block of the others and are compared with all. Only a node with many groups left branches.
 
 Defined results: null or empty text and text without words has no set, links with nothing and is kept; fewer words than
 a shingle form one shingle; equal sets always link; repeated ids and null ids are rows of their own and the smallest
@@ -32,7 +32,7 @@ from .common import BASE, U, Words, as_text, batches, materialize, mix, read, ru
 
 TREES, SKETCH, SHINGLE = 16, 128, 5
 #: Members of a node compared exhaustively; members of a node that one task takes; shingles of a merged group that one takes.
-LEAF, TASK, SETS = 1_500, 5_000, 8_000_000
+LEAF, TASK, SETS = 1_500, 10_000, 8_000_000
 #: Members of a large node linked in one block, and those outside its largest group that go to every block.
 BLOCK = 2_000
 MAX_DEPTH = 40
@@ -145,25 +145,26 @@ def leaves(path: int, sketch: np.ndarray, similarity: float, least: float, depth
                     todo.append((child(path, int(p), int(value[part[0]])), own[part], depth + 1))
 
 
-def absorbed(large: DataFrame, exact: Callable[[DataFrame], DataFrame], last: bool) -> tuple[list[DataFrame], DataFrame]:
-    """Exact edges inside large nodes, and the rows of those nodes that are to branch (none if ``last``). large: key, node, size."""
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("bigint")
-    block = lambda *more: F.concat_ws(":", "node", "salt", *more).alias("block")
-    dealt = large.select("key", "node", F.pmod(F.xxhash64("key"), n_blocks).alias("salt"))
-    pivots = large.groupBy("node").agg(F.min_by("key", F.xxhash64("key", "node")).alias("key"), F.first("size").alias("size"))
-    everywhere = F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)).alias("salt")
-    edges = [materialize(exact(dealt.select("key", block()).unionByName(pivots.select("key", "node", everywhere).select("key", block())).distinct()))]
-    marked = materialize(large.join(connected(edges[0]), "key", "left").select("key", "node", "size", F.coalesce("component", "key").alias("label")))
+def absorbed(large: DataFrame, exact: Callable[[DataFrame], DataFrame], last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large nodes (key, node, size): exact edges inside them, small nodes (key, node) that stand for those with few members
+    outside the largest group, and the rows of the nodes that are to branch (none if ``last``)."""
+    salt = lambda n: F.pmod(F.xxhash64("key"), n).alias("salt")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("salt")
+    # near copies share many nodes: a member is linked in one of them, the largest
+    home = materialize(large.groupBy("key").agg(F.max(F.struct("size", "node")).alias("h")).select("key", "h.node"))
+    pivots = materialize(home.groupBy("node").agg(F.min_by("key", F.xxhash64("key", "node")).alias("pivot"), F.ceil(F.count("*") / BLOCK).cast("bigint").alias("n")))
+    dealt = home.join(pivots, "node").select("key", "node", salt(F.col("n"))).unionByName(pivots.select(F.col("pivot").alias("key"), "node", everywhere(F.col("n"))))
+    edges = materialize(exact(dealt.select("key", F.concat_ws(":", "node", "salt").alias("block")).distinct()))
+    marked = materialize(large.join(connected(edges), "key", "left").select("key", "node", "size", F.coalesce("component", "key").alias("label")))
     top = marked.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.max("count").alias("most"))
-    apart = F.col("size") - F.col("most")
-    judged_ = materialize(marked.join(top, "node").withColumn("apart", apart).where("apart > 0"))
-    rest = judged_ if last else judged_.where(F.col("apart") <= BLOCK)
-    # in one chunk unless this is the last level
-    chunks = F.ceil(F.col("apart") / BLOCK).cast("bigint")
-    others = rest.where("label <> top").select("key", "node", everywhere, F.pmod(F.xxhash64("node", "key"), chunks).alias("chunk"))
-    members = rest.select("key", "node", F.pmod(F.xxhash64("key"), n_blocks).alias("salt"), F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
-    edges.append(materialize(exact(members.select("key", block("chunk")).unionByName(others.select("key", block("chunk"))).distinct())))
-    return edges, judged_.where(F.lit(False) if last else F.col("apart") > BLOCK).select("key", "node", "size")
+    parted = materialize(marked.join(top, "node").withColumn("apart", F.col("size") - F.col("most")).where("apart > 0"))
+    # those apart go to every block of the others, in one chunk unless this is the last level; sketches find what is near
+    rest = parted if last else parted.where(F.col("apart") <= BLOCK)
+    n_blocks, chunks = (F.ceil(F.col(c) / BLOCK).cast("bigint") for c in ("size", "apart"))
+    others = rest.where("label <> top").select("key", "node", everywhere(n_blocks), F.pmod(F.xxhash64("node", "key"), chunks).alias("chunk"))
+    members = rest.select("key", "node", salt(n_blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
+    small = members.unionByName(others).select("key", F.xxhash64("node", "salt", "chunk").alias("node")).distinct()
+    return edges, materialize(small), parted.where(F.lit(False) if last else F.col("apart") > BLOCK).select("key", "node", "size")
 
 
 def candidate_groups(classes: DataFrame, similarity: float, exact: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
@@ -185,14 +186,15 @@ def candidate_groups(classes: DataFrame, similarity: float, exact: Callable[[Dat
                     node.append(child(path & 0xFFFFFFFFFFFFFFFF, int(p), int(s[p])))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(np.array(node, U).view(np.int64), pa.int64())], ["key", "node"])
 
-    depth, members, sure, large = 1, nodes.where(F.col("size") <= TASK), [], nodes.where(F.col("size") > TASK)
+    depth, members, sure, large = 1, nodes.where(F.col("size") <= TASK).select("key", "node"), [], nodes.where(F.col("size") > TASK)
     while not large.isEmpty():
-        edges, large = absorbed(large, exact, depth >= MAX_DEPTH)
-        sure += edges
+        edges, blocks, large = absorbed(large, exact, depth >= MAX_DEPTH)
+        sure.append(edges)
+        members = members.unionByName(blocks)
         below = materialize(large.join(classes.select("key", "sketch"), "key").select("key", "node", "sketch").mapInArrow(trimmed(branch), "key string, node bigint"))
         nodes = materialize(below.join(below.groupBy("node").count().where("count > 1"), "node").select("key", "node", F.col("count").alias("size")))
         depth += 1
-        members = members.unionByName(nodes.where(F.col("size") <= TASK))
+        members = members.unionByName(nodes.where(F.col("size") <= TASK).select("key", "node"))
         large = nodes.where(F.col("size") > TASK)
 
     def compare(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
