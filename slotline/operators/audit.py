@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotline.functions import u256
@@ -114,3 +115,48 @@ def rebuild_all(events: DataFrame, config: Config) -> dict[str, DataFrame]:
     out["sale"] = sold.select(F.col("asset").alias("asset_id"), *spot, "log", F.col("event_id").alias("purchase_event"), "buyer", "amount", "price_paid", "token_leg", "payment_leg")
     out["holder_balance"] = seq.running_balance(moved, "sender", "receiver", "block", "value", ["asset_id"])
     return out
+
+
+def resolve_sources(assets: DataFrame, events: DataFrame, sanctions: DataFrame, pools: DataFrame, transfer_type: str, yield_type: str) -> DataFrame:
+    """Which addresses speak for each asset, from which block to which (null: open), and which of their events count:
+    asset_id, source_kind, address, from_block, to_block, filter_kind, filter_values.
+
+    assets: asset_id, token, router, factory, storefront, market, live_module, live_blacklist (the reads of today, used where
+    no change was ever logged); sanctions: router, address; pools: token, address, first_block. Own, router and sanctions
+    sources begin where the factory registered the token (0 if it never did); modules, yield and purchase tokens follow their
+    set events; a market counts by the ids of the asset's markets. The zero address is no source."""
+    none = F.array().cast("array<string>")
+    show = lambda df, kind, address, first, last=F.lit(None), how="none", values=none: df.select("asset_id", F.lit(kind).alias("source_kind"), address.alias("address"), first.cast("bigint").alias("from_block"), last.cast("bigint").alias("to_block"), F.lit(how).alias("filter_kind"), values.alias("filter_values"))
+    registered = events.where("event_name = 'TokenRegistered'").groupBy(F.col("source").alias("factory"), arg("token").alias("token")).agg(F.min("block").alias("_first"))
+    known = assets.join(registered, ["factory", "token"], "left").withColumn("anchor", F.coalesce("_first", F.lit(0))).drop("_first")
+
+    def history(owner: str, name: str, value: str, where: Column | None = None) -> DataFrame:
+        own = assets.where(F.col(owner).isNotNull()).select("asset_id", "token", "storefront", F.col(owner).alias("source"))
+        met = events.where((F.col("event_name") == name) & arg(value).isNotNull() & (F.lit(True) if where is None else where)).join(own, "source")
+        w = W.partitionBy("asset_id").orderBy(*AT)
+        return met.select("asset_id", "token", "storefront", arg(value).alias("value"), F.col("block").alias("first"), F.lead("block").over(w).alias("last"))
+
+    parts = [
+        show(known, "ARC_TOKEN", F.col("token"), F.col("anchor")),
+        show(known, "ROUTER", F.col("router"), F.col("anchor")),
+        show(known, "FACTORY", F.col("factory"), F.lit(0)),
+        show(known, "STOREFRONT", F.col("storefront"), F.lit(0)),
+        show(known.join(sanctions.select("router", F.col("address").alias("_module")), "router"), "GLOBAL_SANCTIONS", F.col("_module"), F.col("anchor")),
+        show(known.join(pools.select("token", F.col("address").alias("_pool"), "first_block"), "token"), "UV2_PAIR", F.col("_pool"), F.col("first_block")),
+    ]
+    for kind, type_id, live in (("AXIS1_MODULE", transfer_type, "live_module"), ("YIELD_BLACKLIST", yield_type, "live_blacklist")):
+        walked = history("token", "SpecificRestrictionModuleSet", "moduleAddress", arg("typeId") == type_id)
+        parts.append(show(walked, kind, F.col("value"), F.col("first"), F.col("last")))
+        parts.append(show(known.join(walked.select("asset_id").distinct(), "asset_id", "left_anti"), kind, F.col(live), F.col("anchor")))
+    paid = history("token", "YieldTokenUpdated", "newYieldToken")
+    parts.append(show(paid, "YIELD_TOKEN", F.col("value"), F.col("first"), F.col("last"), "from", F.array("token")))
+    bought = history("storefront", "PurchaseTokenUpdated", "newPurchaseToken")
+    parts.append(show(bought, "PURCHASE_TOKEN", F.col("value"), F.col("first"), F.col("last"), "touch", F.array("storefront")))
+    sides = events.where("event_name = 'CreateMarket'").select(F.col("source").alias("market"), "block", arg("id").alias("id"), F.explode(F.array_distinct(F.array(arg("loanToken"), arg("collateralToken")))).alias("token"))
+    markets = known.join(sides, ["market", "token"])
+    ids = markets.groupBy("asset_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    parts.append(show(markets.join(ids, "asset_id"), "MORPHO", F.col("market"), F.col("block"), how="ids", values=F.col("ids")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("address").isNotNull() & (F.col("address") != ZERO_ADDRESS))

@@ -612,6 +612,42 @@ def rebuild_screening_gap(s, d):
     return rebuilt(s, d)["screening_gap"].select("asset_id", "transfer_event", "epoch_module")
 
 
+RESOLVED = f"""a AS (SELECT n_nationkey AS n, {H('n_nationkey + 1000', 40)} AS token, {H('n_nationkey % 3 + 3000', 40)} AS router, {H('1', 40)} AS factory, {H('n_nationkey % 2 + 4000', 40)} AS storefront, {H('9', 40)} AS market, CASE WHEN n_nationkey % 2 = 0 THEN {H('77', 40)} ELSE {H('0', 40)} END AS live FROM nation),
+e AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey // 10 AS block FROM orders), r AS (SELECT token, min(block) AS first FROM e JOIN a ON e.k % 6 = 3 AND a.n = e.c % 20 GROUP BY 1), b AS (SELECT a.*, coalesce(first, 0) AS anchor FROM a LEFT JOIN r USING (token)),
+ms AS (SELECT a.n, k, {H('c % 11 + 20', 40)} AS address, block, lead(block) OVER (PARTITION BY a.n, k % 12 ORDER BY k) AS last, k % 12 AS ty FROM e JOIN a ON k % 6 = 0 AND a.n = c % 20),
+yt AS (SELECT a.n, a.token, {H('c % 9 + 50', 40)} AS address, block, lead(block) OVER (PARTITION BY a.n ORDER BY k) AS last FROM e JOIN a ON k % 6 = 1 AND a.n = c % 25),
+pt AS (SELECT a.n, a.storefront, {H('c % 7 + 60', 40)} AS address, block, lead(block) OVER (PARTITION BY a.n ORDER BY k) AS last FROM e JOIN a ON k % 6 = 2 AND a.n % 2 = c % 2),
+mk AS (SELECT DISTINCT a.n, a.market, {H('k', 64)} AS id, block FROM e JOIN a ON k % 6 = 4 AND a.n IN (c % 30, c % 25)),
+u AS (SELECT n, 'ARC_TOKEN' AS source_kind, token AS address, anchor AS from_block, CAST(NULL AS BIGINT) AS to_block, 'none' AS filter_kind, CAST([] AS VARCHAR[]) AS filter_values FROM b UNION ALL SELECT n, 'ROUTER', router, anchor, NULL, 'none', [] FROM b UNION ALL SELECT n, 'FACTORY', factory, 0, NULL, 'none', [] FROM b UNION ALL SELECT n, 'STOREFRONT', storefront, 0, NULL, 'none', [] FROM b
+UNION ALL SELECT n, 'GLOBAL_SANCTIONS', {H('5000', 40)}, anchor, NULL, 'none', [] FROM b WHERE n % 3 = 1 UNION ALL SELECT n, 'UV2_PAIR', {H('c_custkey + 7000', 40)}, c_custkey, NULL, 'none', [] FROM b JOIN customer ON c_nationkey = n
+UNION ALL SELECT n, CASE ty WHEN 0 THEN 'AXIS1_MODULE' ELSE 'YIELD_BLACKLIST' END, address, block, last, 'none', [] FROM ms UNION ALL SELECT n, 'AXIS1_MODULE', live, anchor, NULL, 'none', [] FROM b WHERE n % 2 = 0 AND n NOT IN (SELECT n FROM ms WHERE ty = 0) UNION ALL SELECT n, 'YIELD_BLACKLIST', live, anchor, NULL, 'none', [] FROM b WHERE n % 2 = 0 AND n NOT IN (SELECT n FROM ms WHERE ty = 6)
+UNION ALL SELECT n, 'YIELD_TOKEN', address, block, last, 'from', [token] FROM yt UNION ALL SELECT n, 'PURCHASE_TOKEN', address, block, last, 'touch', [storefront] FROM pt UNION ALL SELECT n, 'MORPHO', market, block, NULL, 'ids', list_sort(list(id) OVER (PARTITION BY n)) FROM mk)"""
+
+
+@register("resolve_sources", f"WITH {RESOLVED} SELECT n AS asset_id, source_kind, address, from_block, to_block, filter_kind, filter_values FROM u")
+def resolve_sources(s, d):
+    n, k, c = F.col("n_nationkey"), F.col("o_orderkey"), F.col("o_custkey")
+    token = lambda x: hx(x + 1000, 40)
+    live = F.when(n % 2 == 0, hx(F.lit(77), 40)).otherwise(hx(F.lit(0), 40))
+    assets = table(s, d, "nation").select(n.alias("asset_id"), token(n).alias("token"), hx(n % 3 + 3000, 40).alias("router"), hx(F.lit(1), 40).alias("factory"), hx(n % 2 + 4000, 40).alias("storefront"), hx(F.lit(9), 40).alias("market"), live.alias("live_module"), live.alias("live_blacklist"))
+    names = ["SpecificRestrictionModuleSet", "YieldTokenUpdated", "PurchaseTokenUpdated", "TokenRegistered", "CreateMarket", "Transfer"]
+    sources = [token(c % 20), token(c % 25), hx(c % 2 + 4000, 40), hx(F.lit(1), 40), hx(F.lit(9), 40), hx(F.lit(2), 40)]
+    maps = [{"typeId": F.when(k % 12 == 0, "T").otherwise("Y"), "moduleAddress": hx(c % 11 + 20, 40)}, {"newYieldToken": hx(c % 9 + 50, 40)}, {"newPurchaseToken": hx(c % 7 + 60, 40)}, {"token": token(c % 20)}, {"id": hx(k, 64), "loanToken": token(c % 30), "collateralToken": token(c % 25)}, {"x": hx(k, 64)}]
+    args = F.array(*[F.map_from_entries(F.array(*[F.struct(F.lit(key).alias("k"), v.alias("v")) for key, v in m.items()])) for m in maps])
+    at = lambda x: F.element_at(x, (k % 6 + 1).cast("int"))
+    own = table(s, d, "orders").select(k.alias("event_id"), at(F.array(*sources)).alias("source"), at(F.array(*[F.lit(x) for x in names])).alias("event_name"), F.floor(k / 10).alias("block"), (k % 10).alias("tx"), k.alias("log"), at(args).alias("args"))
+    sanctions = s.range(1).select(hx(F.lit(3001), 40).alias("router"), hx(F.lit(5000), 40).alias("address"))
+    pools = table(s, d, "customer").select(token(F.col("c_nationkey")).alias("token"), hx(F.col("c_custkey") + 7000, 40).alias("address"), F.col("c_custkey").alias("first_block"))
+    return audit.resolve_sources(assets, own, sanctions, pools, "T", "Y")
+
+
+@register("key_text", f"""WITH RECURSIVE a AS (SELECT c_custkey, CAST(c_custkey AS BIGINT) * 3000000019 * (c_custkey % 2) + c_custkey AS n FROM customer), t AS (SELECT c_custkey, n, n AS left_, '' AS s FROM a UNION ALL SELECT c_custkey, n, left_ // 58, substr('{hexabi.BASE58}', CAST(left_ % 58 AS INTEGER) + 1, 1) || s FROM t WHERE left_ > 0)
+SELECT c_custkey, repeat('1', 32 - CASE WHEN n = 0 THEN 0 ELSE CAST((length(to_hex(n)) + 1) // 2 AS INTEGER) END) || s AS key FROM t WHERE left_ = 0""")
+def key_text(s, d):
+    c = F.col("c_custkey")
+    return table(s, d, "customer").select("c_custkey", hexabi.bytes32_to_base58(hx(c * 3_000_000_019 * (c % 2) + c, 64)).alias("key"))
+
+
 # ---- pages
 
 
