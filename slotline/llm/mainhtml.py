@@ -7,7 +7,8 @@ kind (menus, forms, scripts and the like, by tag, role or class) go too. At most
 page can recur on half of a host's pages, so the list that each host carries is bounded.
 
 Pages meet their host's list in a sort-merge join. A host that holds more than an even share of the bytes is dealt over as
-many salts as shares it holds; there are fewer such hosts than shuffle partitions, so their table is broadcast.
+many salts as shares it holds; parts grow in number with the bytes, and there are fewer such hosts than parts, so their
+table is broadcast.
 
 Defined results: null or empty html gives empty text; a null url, or one without host, counts as a host of its own name
 ""; repeated rows and null ids give a row each; broken markup is read as far as it goes, in time linear in its length,
@@ -29,6 +30,8 @@ from .common import as_text, materialize, read, trimmed
 from .urlrules import split_url
 
 LEAST_PAGES, LEAST_SHARE = 10, 0.5
+#: Pages that one part of the join reads.
+BYTES_PER_PART = 1 << 26
 QUOTE = "\"'"
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 #: Up to the end of a tag or the next quoted value.
@@ -272,13 +275,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = [own.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = materialize(own.groupBy("host").agg(F.sum(F.octet_length("html") + 1).alias("bytes")))
-    share = max(1, (size.agg(F.sum("bytes")).first()[0] or 0) // parts)
+    total = size.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BYTES_PER_PART))
+    share = max(1, total // parts)
     # fewer than ``parts`` hosts hold more than a share
     salts = size.where(F.col("bytes") > share).select(F.col("host").alias("_of"), F.ceil(F.col("bytes") / F.lit(share)).cast("bigint").alias("_salts"))
     salted = own.join(F.broadcast(salts), own["host"] == salts["_of"], "left").withColumn("_salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("_salts", F.lit(1))))
     lists = template.join(F.broadcast(salts), F.col("_host") == F.col("_of"), "left").withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1))).select("_host", "_to", "template")
+    salted, lists = salted.repartition(parts, "host", "_salt"), lists.repartition(parts, "_host", "_to")
     joined = salted.join(lists.hint("merge"), (salted["host"] == lists["_host"]) & (salted["_salt"] == lists["_to"]), "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(trimmed(extract), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
 
