@@ -32,7 +32,7 @@ from .common import BASE, U, Words, as_text, batches, materialize, mix, read, ru
 
 TREES, SKETCH, SHINGLE = 16, 128, 5
 #: Members of a node compared exhaustively; members of a node that one task takes; shingles of a merged group that one takes.
-LEAF, TASK, SETS = 1_500, 10_000, 8_000_000
+LEAF, TASK, SETS = 1_500, 20_000, 8_000_000
 #: Members of a large node linked in one block, and those outside its largest group that go to every block.
 BLOCK = 2_000
 MAX_DEPTH = 40
