@@ -36,7 +36,7 @@ SHORTEST_FUZZY = 5
 #: Share of a hit's weight that is left inside quotation while too few quoted hits are known to learn it.
 QUOTED, QUOTED_KNOWN = 0.1, 30
 WINDOW = 80
-CACHE_WORDS, PLACES_AT_ONCE = 100_000, 100_000
+CACHE_WORDS, CACHE_STATES, PLACES_AT_ONCE = 50_000, 20_000, 50_000
 TERM = re.compile(r"[^\W\d_]+")
 #: A word with the digits and signs inside it, as the automaton reads it.
 WRITTEN = re.compile(r"[$@]?[^\W_]+(?:[*@$!|+.'’#%&~^=_-][^\W_]+)*")
@@ -75,6 +75,10 @@ class TermAutomaton:
             (self.stem if is_stem else self.word)[node] = k
             if not is_stem:
                 self.ends[node] = len(term)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start over with no states made, so that a long task's states do not fill its memory."""
         self.number: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -175,6 +179,8 @@ class Matcher:
         words = set(WRITTEN.findall(text))
         if len(self.known) > CACHE_WORDS:
             self.known = {}
+        if len(self.automaton.sets) > CACHE_STATES:
+            self.automaton.forget()
         known = self.known
         for w in words.difference(known):
             known[w] = self.within(w)
