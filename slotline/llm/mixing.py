@@ -76,12 +76,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     """The mix itself in ``docs``' columns: a row for each pass over a document, the cut one holding its first words.
     Texts without words stay once; ``n_chars``, where there is one, is counted again."""
     # the row is packed, so its columns may have any name
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", "text", word_count(as_text(docs, "text")).alias("size"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", word_count(as_text(docs, "text")).alias("size"))
     taken = mix(own, weights).withColumn("_whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)))
+    whole = F.col("row")["text"]
     rest = F.col("taken") - F.col("_whole") * F.col("size")
-    words = F.when(rest > 0, first_words(F.col("text"), rest)).otherwise(F.lit(""))
+    words = F.when(rest > 0, first_words(whole, rest)).otherwise(F.lit(""))
     copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_whole") + F.when((rest > 0) & (F.col("size") > 0), 1).otherwise(0)).cast("int")))).where("_whole > 0 or taken > 0")
-    text = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(words)
+    text = F.when(F.col("_copy") <= F.col("_whole"), whole).otherwise(words)
     new = {"text": text, **({"n_chars": F.length(text).cast("bigint")} if "n_chars" in docs.columns else {})}
     return copies.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
