@@ -468,12 +468,12 @@ def test_near_duplicates(docs, none, monkeypatch, task, leaf, block, sets):
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    """Hundreds of texts, all different, near one base; some more share its least shingles only."""
-    monkeypatch.setattr(neardup, "TASK", 60)
-    monkeypatch.setattr(neardup, "BLOCK", 25)
+    """Many texts, all different, near one base; some more share its least shingles only."""
+    monkeypatch.setattr(neardup, "TASK", 70)
+    monkeypatch.setattr(neardup, "BLOCK", 30)
     base = prose(150).split()
     texts = []
-    for k in range(500):
+    for k in range(160):
         own = list(base)
         if k % 10 == 0:  # half another text
             own[:75] = prose(75).split()
