@@ -9,6 +9,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,3 +206,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def as_text(df: DataFrame, column: str):
     """The text column as string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+BLOCK_BYTES = 1 << 24
+MARK = "▁"
+
+
+def block_ids() -> Iterator[int]:
+    """Ids of the blocks of rows that one task makes, apart from those of other tasks."""
+    at = TaskContext.get()
+    first = (at.partitionId() if at else 0) << 32
+    yield from itertools.count(first)
+
+
+def spaced_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts, each with a space before it; null and empty texts stay empty."""
+    data, offsets = utf8(column)
+    size = np.diff(offsets)
+    new = np.concatenate([[0], np.cumsum(size + (size > 0))])
+    out = np.full(int(new[-1]), 0x20, np.uint8)
+    out[np.arange(len(data)) + np.repeat(new[:-1] + 1 - offsets[:-1], size)] = data
+    return out, new
+
+
+def string_array(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Strings ``data[edges[i]:edges[i + 1]]``."""
+    return pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def repeated_ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``start[0], .., start[0] + size[0] - 1, start[1], ..`` in one array."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))

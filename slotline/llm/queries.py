@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming, lmscore, mainhtml, mixing, neardup, packing, repetition, substrings, toxicity, urlrules
+from . import alignment, hamming, lmscore, mainhtml, mixing, neardup, packing, phrases, pieces, repetition, substrings, toxicity, urlrules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": substrings.query,
         "op9_near_duplicates": neardup.query,
         "op10_url_rules": urlrules.query,
+        "op11_collocations": phrases.query,
+        "op12_piece_ids": pieces.query,
+        "op13_token_alignment": alignment.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_repetition_coverage": repetition.ORACLE, "op4_hamming_topk": hamming.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_near_duplicates": neardup.ORACLE, "op10_url_rules": urlrules.ORACLE}
+    return {"op3_repetition_coverage": repetition.ORACLE, "op4_hamming_topk": hamming.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_near_duplicates": neardup.ORACLE, "op10_url_rules": urlrules.ORACLE, "op11_collocations": phrases.ORACLE}
