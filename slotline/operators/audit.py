@@ -72,7 +72,7 @@ def rebuild_all(events: DataFrame, config: Config) -> dict[str, DataFrame]:
 
     screened = events.where("event_name = 'TransferScreened'").join(config.sanctions.select(F.col("address").alias("source")), "source", "left_semi")
     both = moved.select(*AT, "event_id", F.lit(False).alias("_open")).unionByName(screened.select(*AT, "event_id", F.lit(True).alias("_open")))
-    pairs = seq.lifo_pair(both, ["block", "tx"], ["log"], F.col("_open"), ~F.col("_open"), "event_id").select(F.col("close_id").alias("event_id"), "open_id")
+    pairs = seq.lifo_pair(both, ["block", "tx"], ["log"], F.col("_open"), ~F.col("_open"), "event_id", bits=None).select(F.col("close_id").alias("event_id"), "open_id")
     paired = moved.select("asset_id", "event_id", *AT, "pos").join(pairs, "event_id")
     out["transfer_screening"] = paired.where("open_id IS NOT NULL").join(screened.select(F.col("event_id").alias("open_id"), F.col("source").alias("module"), F.col("log").alias("screening_log")), "open_id").select("asset_id", *AT, F.col("event_id").alias("transfer_event"), F.col("open_id").alias("screening_event"), "screening_log", "module")
     bare = paired.where("open_id IS NULL").join(assets.select("asset_id", "router"), "asset_id")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from slotline.sources.io import written
 
+from . import scan
+
 
 def tx_feed(block_txs: DataFrame, txs: DataFrame, results: DataFrame, blocks: DataFrame, methods: DataFrame, correlations: DataFrame, classes: DataFrame) -> DataFrame:
     """A row for each mined transaction: its block and body (inner), result, method, type and class (left)."""
@@ -105,15 +107,19 @@ def in_interval(events: DataFrame, spans: DataFrame, keys: list[str], position:
     return events.join(s, on, how).select(*[events[c] for c in events.columns], *extra) if how != "left_semi" else events.join(s, on, how)
 
 
-def as_of(points: DataFrame, states: DataFrame, keys: list[str], position: str, value: str, default=None) -> DataFrame:
+def as_of(points: DataFrame, states: DataFrame, keys: list[str], position: str, value: str, default=None, bits: int | None = scan.BITS) -> DataFrame:
     """The state in force at each point: points and changes in one order, last change carried forward; a change at the
-    point's own position counts."""
+    point's own position counts. A key's order is cut into segments of 2**bits positions, each seeded with the last change
+    before it; None keeps a key in one task."""
     cols = [c for c in points.columns if c not in (*keys, position)]
-    left = points.select(*keys, F.col(position).alias("_pos"), F.struct(*cols).alias("_point"), F.lit(1).alias("_kind"), F.lit(None).cast(states.schema[value].dataType).alias("_state"))
-    right = states.select(*keys, F.col("from_pos").alias("_pos"), F.lit(None).cast(left.schema["_point"].dataType).alias("_point"), F.lit(0).alias("_kind"), F.struct(F.col(value).alias("v"))["v"].alias("_state"))
-    w = W.partitionBy(*keys).orderBy("_pos", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_kind") == 0, F.struct("_state")), ignorenulls=True).over(w)["_state"]
-    return left.unionByName(right).withColumn("_now", last).where("_kind = 1").select(*keys, F.col("_pos").alias(position), "_point.*", F.coalesce("_now", F.lit(default)).alias(value))
+    kind = states.schema[value].dataType.simpleString()
+    left = points.select(*keys, F.col(position).alias("_pos"), F.struct(*cols).alias("_point"), F.lit(1).alias("_kind"), F.lit(None).cast(f"struct<v:{kind}>").alias("_state"))
+    right = states.select(*keys, F.col("from_pos").alias("_pos"), F.lit(None).cast(left.schema["_point"].dataType).alias("_point"), F.lit(0).alias("_kind"), F.struct(F.col(value).alias("v")).alias("_state"))
+    both = left.unionByName(right)
+    rows = scan.carried_last(both.withColumn("_seg", scan.segment(both, "_pos", bits)), keys, ["_pos"], "_state")
+    w = scan.sequence(keys, "_pos", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    last = F.last("_state", ignorenulls=True).over(w)["v"]
+    return rows.withColumn("_now", last).where("_kind = 1").select(*keys, F.col("_pos").alias(position), "_point.*", F.coalesce("_now", F.lit(default)).alias(value))
 
 
 def fits_filter() -> Column:

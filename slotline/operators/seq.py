@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from slotline.functions import u256
 from slotline.functions.hexabi import ZERO_ADDRESS
 
+from . import scan
 from .joins import as_of
 
 
@@ -60,13 +61,20 @@ def merge_histogram(old: DataFrame, new: DataFrame, key: str, n: str) -> DataFra
     return old.unionByName(new).groupBy(key).agg(F.sum(n).alias(n))
 
 
-def member_intervals(events: DataFrame, key: list[str], order: list[str], flag: Column, skip: Column | None = None) -> DataFrame:
+def member_intervals(events: DataFrame, key: list[str], order: list[str], flag: Column, skip: Column | None = None, bits: int | None = scan.BITS) -> DataFrame:
     """Open and close positions of each key: a repeated open keeps the first, a stray close is ignored, an open end is null.
     Rows where ``skip`` holds (the zero address, for allowlists and yield blacklists) and those with a null flag count not.
-    All events of a key meet in one task."""
-    w = W.partitionBy(*key).orderBy(*order)
+
+    A key's order is cut into segments of 2**bits positions: each begins with the last flag before it and ends with the
+    first close after it, which closes what is still open."""
     marked = events.where(~F.coalesce(skip if skip is not None else F.lit(False), F.lit(False)) & flag.isNotNull()).select(*key, *order, flag.alias("_on"))
-    turns = marked.withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False))).where("_on <> _was")
+    marked = marked.withColumn("_seg", scan.segment(marked, order[0], bits))
+    ends = scan.summaries(marked, key, _last=F.max_by("_on", F.struct(*order)), _close=F.min(F.when(~F.col("_on"), F.struct(*order))))
+    held = ends.select(*key, "_seg", F.last("_last").over(scan.before(key)).alias("_on"), F.min("_close").over(scan.after(key)).alias("_close"))
+    seeds = held.where("_on IS NOT NULL").select(*key, "_seg", "_on")
+    tails = held.where("_close IS NOT NULL").select(*key, "_seg", "_close.*", F.lit(False).alias("_on"))
+    w = scan.sequence(key, *order)
+    turns = scan.seeded(marked, (0, seeds), (2, tails)).withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False))).where("_on <> _was AND _side > 0")
     at = F.struct(*order) if len(order) > 1 else F.col(order[0])
     return turns.withColumn("from_pos", at).withColumn("to_pos", F.lead(at).over(w)).where("_on").select(*key, "from_pos", "to_pos")
 
@@ -91,20 +99,39 @@ def set_history(events: DataFrame, key: list[str], order: str, value: str) -> Da
     return events.select(*key, F.col(value).alias("value"), F.col(order).alias("from_pos"), F.lead(order).over(W.partitionBy(*key).orderBy(order)).alias("to_pos"))
 
 
-def lifo_pair(events: DataFrame, group: list[str], order: list[str], is_open: Column, is_close: Column, ident: str) -> DataFrame:
+def lifo_pair(events: DataFrame, group: list[str], order: list[str], is_open: Column, is_close: Column, ident: str, bits: int | None = scan.BITS) -> DataFrame:
     """Each close with the nearest open before it that is still unmatched, or null.
 
     Level before a row = running sum of +1 / -1 minus the least of 0 and its running minimum; an open gets level + 1, a
-    close its level, and equal levels pair up with the last open before. All windows share one sort.
+    close its level, and equal levels pair up with the last open before. A group's order is cut into segments of 2**bits
+    positions: one inherits the sum and the least sum before it, then, at each level, the last open before it. None, for
+    groups of bounded size such as a transaction, leaves a group whole.
     """
-    w = W.partitionBy(*group).orderBy(*order)
-    past = w.rowsBetween(W.unboundedPreceding, -1)
     step = F.when(is_open, 1).when(is_close, -1)
-    marked = events.where(is_open | is_close).select(*group, *order, F.col(ident).alias("_id"), step.alias("_step")).withColumn("_sum", F.sum("_step").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    level = F.coalesce(F.lag("_sum").over(w), F.lit(0)) - F.least(F.lit(0), F.coalesce(F.min("_sum").over(past), F.lit(0)))
-    levelled = marked.withColumn("_level", F.when(F.col("_step") == 1, level + 1).otherwise(level))
-    same = W.partitionBy(*group, "_level").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    matched = levelled.withColumn("open_id", F.when(F.col("_level") > 0, F.last(F.when(F.col("_step") == 1, F.col("_id")), ignorenulls=True).over(same)))
+    marked = events.where(is_open | is_close).select(*group, *order, F.col(ident).alias("_id"), step.cast("bigint").alias("_step"))
+    marked = marked.withColumn("_seg", scan.segment(marked, order[0], bits))
+    w = scan.sequence(group, *order)
+    past = w.rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    if bits is None:
+        rows, start, least = marked.withColumn("_side", F.lit(1)), zero, zero
+    else:
+        own = W.partitionBy(*group, "_seg").orderBy(*order)
+        sums = scan.summaries(marked.withColumn("_sum", F.sum("_step").over(own.rowsBetween(W.unboundedPreceding, 0))), group, _all=F.sum("_step"), _low=F.min("_sum"))
+        begun = sums.withColumn("_start", F.coalesce(F.sum("_all").over(scan.before(group)), zero))
+        seeds = begun.select(*group, "_seg", "_start", F.least(zero, F.coalesce(F.min(F.col("_start") + F.col("_low")).over(scan.before(group)), zero)).alias("_least"), zero.alias("_step"))
+        rows = scan.seeded(marked, (0, seeds))
+        start, least = (F.first(c).over(w.rowsBetween(W.unboundedPreceding, 0)) for c in ("_start", "_least"))
+        rows = rows.withColumns({"_start": start, "_least": least})
+        start, least = F.col("_start"), F.col("_least")
+    rows = rows.withColumn("_sum", start + F.sum("_step").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    level = F.coalesce(F.lag("_sum").over(w), start) - F.least(least, F.coalesce(F.min("_sum").over(past), zero))
+    levelled = rows.withColumn("_level", F.when(F.col("_step") == 1, level + 1).otherwise(level)).where("_step <> 0").select(*group, *order, "_id", "_step", "_level", "_seg")
+    # opens hold their id; a close takes the last one at its level
+    held = levelled.withColumn("_open", F.when(F.col("_step") == 1, F.struct("_id")))
+    keys = [*group, "_level"]
+    chained = held.withColumn("_side", F.lit(1)) if bits is None else scan.carried_last(held, keys, order, "_open")
+    matched = chained.withColumn("open_id", F.when(F.col("_level") > 0, F.last("_open", ignorenulls=True).over(scan.sequence(keys, *order).rowsBetween(W.unboundedPreceding, -1))["_id"]))
     return matched.where("_step = -1").select(*group, F.col("_id").alias("close_id"), "open_id")
 
 
@@ -156,17 +183,20 @@ def yield_credits(events: DataFrame, key: list[str], order: list[str], is_credit
     return own.select(*key, "run", *order, holder.alias("holder"), amount.alias("share"))
 
 
-def running_balance(transfers: DataFrame, debit: str, credit: str, block: str, amount: str, by: list[str] = (), zero: str = ZERO_ADDRESS) -> DataFrame:
+def running_balance(transfers: DataFrame, debit: str, credit: str, block: str, amount: str, by: list[str] = (), zero: str = ZERO_ADDRESS, bits: int | None = scan.BITS) -> DataFrame:
     """Exact balance (limbs) of each address at the end of each block it moves in, and whether it is negative. ``amount``:
     limbs. A transfer that lacks a side or an amount is skipped whole; the zero address has no balance.
 
-    Moves of a block are summed first, so a task sees a row a block of its address, not a row a transfer."""
+    Moves of a block are summed first, and an address's blocks are cut into segments of 2**bits, each seeded with the sum
+    before it, so a task sees a row a block of a segment, not a row a transfer."""
     whole = transfers.where(F.col(debit).isNotNull() & F.col(credit).isNotNull() & F.col(amount).isNotNull())
     sides = F.array(F.struct(F.col(debit).alias("address"), u256.negate(F.col(amount)).alias("u")), F.struct(F.col(credit).alias("address"), F.col(amount).alias("u")))
     legs = whole.select(*by, F.col(block).alias("block"), F.explode(sides).alias("x")).select(*by, "block", "x.*").where(F.col("address") != zero)
     moved = legs.groupBy(*by, "address", "block").agg(u256.sum_of(F.col("u")).alias("u"))
-    upto = W.partitionBy(*by, "address").orderBy("block")
-    summed = moved.select(*by, "address", "block", u256.sum_of(F.col("u"), upto).alias("u")).select(*by, "address", "block", u256.normalise(F.col("u")).alias("balance"))
+    keys = [*by, "address"]
+    rows = scan.carried_sum(moved.withColumn("_seg", scan.segment(moved, "block", bits)), keys, "u", u256.sum_of)
+    upto = scan.sequence(keys, "block").rowsBetween(W.unboundedPreceding, 0)
+    summed = rows.select(*keys, "block", "_side", u256.sum_of(F.col("u"), upto).alias("u")).where("_side = 1").select(*keys, "block", u256.normalise(F.col("u")).alias("balance"))
     return summed.withColumn("alarm", u256.sign(F.col("balance")) < 0)
 
 
@@ -283,7 +313,7 @@ def sales(purchases: DataFrame, token_legs: DataFrame, payment_legs: DataFrame,
     bought = purchases.where(whole).join(tokens.select("token", "asset"), "token")
     kind = F.col("_leg")
     mark = lambda df, on, *more: df.select(*tx, *more, log, "event_id", F.lit(on).alias("_leg"))
-    by_asset = lifo_pair(mark(bought, False, "asset").unionByName(mark(token_legs, True, "asset")), [*tx, "asset"], [log], kind, ~kind, "event_id")
-    by_tx = lifo_pair(mark(bought, False).unionByName(mark(payment_legs, True)), tx, [log], kind, ~kind, "event_id")
+    by_asset = lifo_pair(mark(bought, False, "asset").unionByName(mark(token_legs, True, "asset")), [*tx, "asset"], [log], kind, ~kind, "event_id", bits=None)
+    by_tx = lifo_pair(mark(bought, False).unionByName(mark(payment_legs, True)), tx, [log], kind, ~kind, "event_id", bits=None)
     out = bought.join(by_asset.select(F.col("close_id").alias("event_id"), F.col("open_id").alias("token_leg")), "event_id", "left")
     return out.join(by_tx.select(F.col("close_id").alias("event_id"), F.col("open_id").alias("payment_leg")), "event_id", "left")
