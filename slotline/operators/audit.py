@@ -76,8 +76,10 @@ def rebuild_all(events: DataFrame, config: Config) -> dict[str, DataFrame]:
     paired = moved.select("asset_id", "event_id", *AT, "pos").join(pairs, "event_id")
     out["transfer_screening"] = paired.where("open_id IS NOT NULL").join(screened.select(F.col("event_id").alias("open_id"), F.col("source").alias("module"), F.col("log").alias("screening_log")), "open_id").select("asset_id", *AT, F.col("event_id").alias("transfer_event"), F.col("open_id").alias("screening_event"), "screening_log", "module")
     bare = paired.where("open_id IS NULL").join(assets.select("asset_id", "router"), "asset_id")
-    # a router has few epochs, so its transfers meet them by range
-    out["screening_gap"] = joins.in_interval(bare, epochs, ["router"], "pos").select("asset_id", *AT, F.col("event_id").alias("transfer_event"), F.col("module").alias("epoch_module"))
+    # a router's epochs never overlap, so the last one to begin decides
+    spell = joins.as_of(bare, epochs.select("router", "from_pos", F.struct("module", "to_pos").alias("_spell")), ["router"], "pos", "_spell")
+    inside = F.col("_spell").isNotNull() & (F.col("_spell.to_pos").isNull() | (F.col("pos") < F.col("_spell.to_pos")))
+    out["screening_gap"] = spell.where(inside).select("asset_id", *AT, F.col("event_id").alias("transfer_event"), F.col("_spell.module").alias("epoch_module"))
 
     tokens = config.yield_tokens.select("asset_id", F.col("address").alias("yield_token")).distinct().join(assets.select("asset_id", "token"), "asset_id")
     credits = events.where("event_name = 'Transfer'").join(tokens, (F.col("source") == F.col("yield_token")) & (arg("from") == F.col("token"))).select("asset_id", "yield_token", *AT, F.lit(True).alias("_credit"), arg("to").alias("holder"), amount("value").alias("u"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotline.sources.io import written
+from slotline.sources.io import scratch
 
 from . import scan
 
@@ -122,12 +122,11 @@ def as_of(points: DataFrame, states: DataFrame, keys: list[str], position: str,
     return rows.withColumn("_now", last).where("_kind = 1").select(*keys, F.col("_pos").alias(position), "_point.*", F.coalesce("_now", F.lit(default)).alias(value))
 
 
-def fits_filter() -> Column:
+def fits_filter(kind: Column | None = None, values: Column | None = None) -> Column:
     """Whether an event (sender, receiver, id) passes filter_kind and filter_values: none, from, touch, or ids (an event
     without id passes)."""
-    values = F.col("filter_values")
+    kind, values = F.col("filter_kind") if kind is None else kind, F.col("filter_values") if values is None else values
     held = lambda c: F.coalesce(F.array_contains(values, F.col(c)), F.lit(False))
-    kind = F.col("filter_kind")
     return F.when(kind == "none", True).when(kind == "from", held("sender")).when(kind == "touch", held("sender") | held("receiver")).otherwise(F.col("id").isNull() | held("id"))
 
 
@@ -144,9 +143,10 @@ def asset_events(events: DataFrame, spans: DataFrame, key: str = "event_id", wid
 
 
 def filter_union(events: DataFrame, filters: DataFrame, key: str = "event_id") -> DataFrame:
-    """Events that any filter of their address lets through; once each, by their key."""
-    joined = events.join(filters.select(F.col("address").alias("_address"), "filter_kind", "filter_values"), events["address"] == F.col("_address"))
-    return joined.where(fits_filter()).select(*events.columns).dropDuplicates([key])
+    """Events that any filter of their address lets through; once each, by their key. An address's filters are one row."""
+    held = filters.groupBy(F.col("address").alias("_address")).agg(F.collect_set(F.struct("filter_kind", "filter_values")).alias("_filters"))
+    met = events.join(held, events["address"] == F.col("_address"))
+    return met.where(F.exists("_filters", lambda f: fits_filter(f["filter_kind"], f["filter_values"]))).select(*events.columns).dropDuplicates([key])
 
 
 def registry_observed(registry: DataFrame, executions: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,9 +155,9 @@ def registry_observed(registry: DataFrame, executions: DataFrame, keys: list[str
 
 def role_open_at(points: DataFrame, roles: DataFrame, block: str = "block") -> DataFrame:
     """Roles that an account (source, account) holds at a block; both ends count. roles: source, account, role, from_block,
-    to_block (null: open)."""
-    held = points.join(roles, ["source", "account"]).where((F.col(block) >= F.col("from_block")) & (F.col("to_block").isNull() | (F.col(block) <= F.col("to_block"))))
-    return held.select(*points.columns, "role", "from_block", "to_block")
+    to_block (null: open). One sweep over each range of blocks, so an account with many roles makes no pairs that don't match."""
+    held = roles.select("source", "account", "role", "from_block", "to_block")
+    return scan.sweep_join(points, held, ["source", "account"], block, "from_block", "to_block", closed=True).select(*points.columns, "role", "from_block", "to_block")
 
 
 def signer_attribution(changes: DataFrame, sources: DataFrame, roles: DataFrame, multisig: str | None, key: list[str]) -> DataFrame:
@@ -173,13 +173,16 @@ def signer_attribution(changes: DataFrame, sources: DataFrame, roles: DataFrame,
 
 
 def pair_closure(edges: DataFrame, holds: DataFrame, start: DataFrame, rounds: int = 16) -> DataFrame:
-    """Addresses reached from ``start`` over transfers to pools that hold the token; a frontier join a round, written each time."""
-    seen = start.select("address").distinct()
-    frontier = seen
-    for _ in range(rounds):
+    """Addresses reached from ``start`` over transfers to pools that hold the token. Each round joins its frontier alone and
+    adds it to one written table, which is all that later rounds read."""
+    spark, path = edges.sparkSession, scratch(edges.sparkSession)
+    shape = start.select("address").schema
+    start.select("address").distinct().write.parquet(f"{path}/round=0")
+    for k in range(1, rounds + 1):
+        frontier = spark.read.schema(shape).parquet(f"{path}/round={k - 1}")
+        seen = spark.read.schema(shape).parquet(path)
         step = edges.join(frontier.withColumnRenamed("address", "a"), "a").select(F.col("b").alias("address")).distinct()
-        frontier = written(step.join(holds, "address", "left_semi").join(seen, "address", "left_anti"))
-        if frontier.isEmpty():
+        step.join(holds, "address", "left_semi").join(seen, "address", "left_anti").write.parquet(f"{path}/round={k}")
+        if spark.read.schema(shape).parquet(f"{path}/round={k}").isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    return spark.read.schema(shape).parquet(path)

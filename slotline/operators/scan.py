@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,3 +75,80 @@ def carried_sum(rows: DataFrame, keys: list[str], value: str, total: Callable[..
     """``rows`` with a seed in each segment that has a past: the sum of ``value`` before it. ``total(column, window or None)``."""
     held = summaries(rows, keys, _sum=total(F.col(value), None)).select(*keys, "_seg", F.row_number().over(W.partitionBy(*keys).orderBy("_seg")).alias("_n"), total(F.col("_sum"), before(keys)).alias(value))
     return seeded(rows, (0, held.where("_n > 1").drop("_n")))
+
+
+def parts_of(df: DataFrame, position: str) -> list[Column]:
+    """A position as whole numbers, first part first; a time as microseconds."""
+
+    def flat(at: Column, kind: object) -> list[Column]:
+        if isinstance(kind, StructType):
+            return [c for f in kind for c in flat(at[f.name], f.dataType)]
+        if isinstance(kind, TimestampType | TimestampNTZType):
+            return [F.unix_micros(at.cast("timestamp"))]
+        if isinstance(kind, DateType):
+            return [F.unix_date(at).cast("bigint")]
+        if not isinstance(kind, IntegralType):
+            raise ValueError(f"a position must be of whole numbers or times, {position} is {kind.simpleString()}")
+        return [at.cast("bigint")]
+
+    return flat(F.col(position), df.schema[position].dataType)
+
+
+def sweep_join(points: DataFrame, spans: DataFrame, keys: list[str], position: str, lo: str = "from_pos", hi: str = "to_pos", closed: bool = False, bits: int = BITS, buckets: int | None = None) -> DataFrame:
+    """Points with the spans of their keys that hold them: half-open (null end: open), or ``closed`` at both ends. The columns are
+    those of the points and those of the spans that are no keys. Spans may overlap; null keys, positions and beginnings meet nothing.
+
+    Points are dealt by key and range of 2**bits positions. A span goes to those ranges that it meets and that have points of
+    its key, so that it makes no row that finds nothing but at its two ends. In a task the points of each range are put in
+    order once and each span finds its first and last one there: no pair is made that is no match. A key's ranges are
+    one row, of as many numbers as the whole order has ranges. ``buckets``: groups of ranges, 8 for each shuffle partition."""
+    n = buckets or 8 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = len(parts_of(points, position))
+    if len(parts_of(spans, lo)) != width:
+        raise ValueError(f"{position} and {lo} have different parts")
+    named = lambda df, at, mark: [c.alias(f"_{mark}{k}") for k, c in enumerate(parts_of(df, at))]
+    key = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    ids = [f"_key{i}" for i in range(len(keys))]
+    known = lambda df, at: [F.col(c).isNotNull() for c in (*keys, at)]
+
+    def all_of(conditions: list[Column]) -> Column:
+        out = F.lit(True)
+        for c in conditions:
+            out &= c
+        return out
+
+    own = points.where(all_of(known(points, position))).select(*key, segment(points, position, bits).alias("_seg"), F.struct(*points.columns).alias("_point"), *named(points, position, "at"))
+    ends = spans.where(all_of(known(spans, lo))).select(*key, segment(spans, lo, bits).alias("_from"), segment(spans, hi, bits).alias("_to"), F.struct(*[c for c in spans.columns if c not in keys]).alias("_span"), *named(spans, lo, "lo"), *named(spans, hi, "hi"))
+    ranges = own.groupBy(*ids).agg(F.collect_set("_seg").alias("_ranges"))
+    met = F.filter("_ranges", lambda r: (r >= F.col("_from")) & (F.col("_to").isNull() | (r <= F.col("_to"))))
+    dealt = ends.join(ranges, ids).withColumn("_seg", F.explode(met)).drop("_ranges", "_from", "_to")
+    group = F.to_json(F.struct(*[F.col(i).cast("string").alias(i) for i in ids], "_seg"))
+    placed = lambda df: df.withColumns({"_group": group, "_bucket": F.pmod(F.xxhash64(*ids, "_seg"), F.lit(n)).cast("int")}).drop(*ids, "_seg")
+
+    def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
+        groups = pa.chunked_array([*left.column("_group").chunks, *right.column("_group").chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
+        p, s = len(left), len(right)
+        column = lambda t, name: t.column(name).to_numpy()
+        ended = ~np.asarray(right.column("_hi0").is_null())
+        last = [right.column(f"_hi{k}").fill_null(0).to_numpy() for k in range(width)]
+        parts = [np.concatenate([column(left, f"_at{k}"), column(right, f"_lo{k}"), last[k]]) for k in range(width)]
+        parts.insert(0, np.concatenate([groups[:p], groups[p:], groups[p:]]))
+        order = np.lexsort(parts[::-1])
+        new = np.zeros(len(order), bool)
+        for part in parts:
+            new[1:] |= part[order][1:] != part[order][:-1]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+        line = np.argsort(rank[:p], kind="stable")
+        at = rank[:p][line]
+        first = np.searchsorted(at, rank[p : p + s], "left")
+        end = np.searchsorted(at, rank[p + s :], "right" if closed else "left")
+        end = np.where(ended, end, np.searchsorted(groups[:p][line], groups[p:], "right"))
+        found = np.maximum(end - first, 0)
+        before_ = np.cumsum(found) - found
+        which = line[np.repeat(first - before_, found) + np.arange(int(found.sum()))]
+        return pa.table({"_point": left.column("_point").take(pa.array(which)), "_span": right.column("_span").take(pa.array(np.repeat(np.arange(s), found)))})
+
+    shape = StructType([own.schema["_point"], ends.schema["_span"]])
+    pairs = placed(own).groupBy("_bucket").cogroup(placed(dealt).withColumnRenamed("_bucket", "_meets").groupBy("_meets")).applyInArrow(sweep, shape)
+    return pairs.select("_point.*", "_span.*")

@@ -136,9 +136,10 @@ def lifo_pair(events: DataFrame, group: list[str], order: list[str], is_open: Co
 
 
 def screening_gaps(pairs: DataFrame, spells: DataFrame, key: list[str], position: str) -> DataFrame:
-    """Unpaired closes inside a spell of their own key."""
+    """Unpaired closes inside a spell of their own key, found by one sweep over each range of positions."""
     own = pairs.where(F.col("open_id").isNull())
-    return own.join(spells, key).where((F.col(position) >= F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col(position) < F.col("to_pos")))).select(*own.columns)
+    held = spells.select(*key, F.col("from_pos").alias("_from"), F.col("to_pos").alias("_to"))
+    return scan.sweep_join(own, held, key, position, "_from", "_to").select(*own.columns)
 
 
 def register_epochs(events: DataFrame, key: list[str], order: list[str], type_id: str) -> DataFrame:
@@ -171,10 +172,14 @@ def yield_runs(events: DataFrame, key: list[str], order: list[str], is_credit: C
     return grouped.where("closes > 0 OR credits > 0").select(*key, "run", "credits", "credited", "stated", (F.col("closes") > 0).alias("closed"), left.alias("remainder"), F.coalesce(over, F.lit(False)).alias("over_credit"))
 
 
-def numbered_runs(events: DataFrame, key: list[str], order: list[str], is_close: Column) -> DataFrame:
-    """Events with the number of closes before them."""
-    before = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return events.withColumn("run", F.coalesce(F.sum(F.when(is_close, 1).otherwise(0)).over(before), F.lit(0)))
+def numbered_runs(events: DataFrame, key: list[str], order: list[str], is_close: Column, bits: int | None = scan.BITS) -> DataFrame:
+    """Events with the number of closes before them, counted within segments of a key's order that are seeded with the count
+    before them."""
+    total = lambda c, over: F.sum(c) if over is None else F.sum(c).over(over)
+    marked = events.withColumns({"_close": F.when(is_close, 1).otherwise(0).cast("bigint"), "_seg": scan.segment(events, order[0], bits)})
+    past = scan.sequence(key, *order).rowsBetween(W.unboundedPreceding, -1)
+    counted = scan.carried_sum(marked, key, "_close", total).withColumn("run", F.coalesce(F.sum("_close").over(past), F.lit(0).cast("bigint")))
+    return counted.where("_side = 1").drop("_close", "_seg", "_side")
 
 
 def yield_credits(events: DataFrame, key: list[str], order: list[str], is_credit: Column, is_close: Column, holder: Column, amount: Column) -> DataFrame:

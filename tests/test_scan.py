@@ -93,3 +93,43 @@ def test_segments_of_other_positions(spark):
     df = spark.sql("SELECT DATE'1970-01-05' AS d, TIMESTAMP_SECONDS(3000000) AS t, 'x' AS s, named_struct('a', -5L, 'b', 2L) AS p, 1 AS i")
     got = df.select(*[scan.segment(df, c, b).alias(f"{c}{b}") for c in df.columns for b in (1, None)]).first()
     assert got.asDict() == {"d1": 2, "dNone": 0, "t1": 3_000_000_000_000 >> 21, "tNone": 0, "s1": 0, "sNone": 0, "p1": -3, "pNone": 0, "i1": 0, "iNone": 0}
+
+
+def spans_and_points(seed):
+    rng = random.Random(seed)
+    points = [(rng.choice(["hot"] * 8 + ["cold", None]), (rng.randint(-50, 400), rng.randint(0, 3)) if rng.random() > 0.02 else None, i) for i in range(500)]
+    spans = []
+    for i in range(120):
+        lo = (rng.randint(-60, 400), rng.randint(0, 3))
+        hi = None if rng.random() < 0.1 else (lo[0] + rng.choice([0, 0, 1, 5, 200, -3]), rng.randint(0, 3))
+        spans.append((rng.choice(["hot"] * 4 + ["cold", "none", None]), lo if rng.random() > 0.02 else None, hi, f"s{i}"))
+    return points, spans
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("bits", [2, 6, 20])
+def test_sweep_join_equals_nested_loops(spark, bits, closed):
+    points, spans = spans_and_points(3)
+    at = "struct<block:long,log:long>"
+    p, s = spark.createDataFrame(points, f"k string, pos {at}, id long"), spark.createDataFrame(spans, f"k string, from_pos {at}, to_pos {at}, name string")
+    got = scan.sweep_join(p.repartition(3), s, ["k"], "pos", closed=closed, bits=bits, buckets=5)
+    assert got.columns == ["k", "pos", "id", "from_pos", "to_pos", "name"]
+    found = [(r.id, r.name) for r in got.collect()]
+    held = lambda x, lo, hi: lo <= x and (hi is None or (x <= hi if closed else x < hi))
+    want = {(i, name) for k, x, i in points for key, lo, hi, name in spans if k is not None and k == key and x and lo and held(x, lo, hi)}
+    assert set(found) == want and len(found) == len(want)
+    assert scan.sweep_join(p, s.limit(0), ["k"], "pos").collect() == [] == scan.sweep_join(p.limit(0), s, ["k"], "pos").collect()
+
+
+def test_sweep_makes_no_pair_that_is_no_match(spark):
+    """One key, spans that touch many ranges but few points: what reaches the tasks is counted."""
+    p = spark.range(0, 20_000, 7).selectExpr("'one' AS k", "id AS pos", "id")
+    s = spark.range(3_000).selectExpr("'one' AS k", "id * 6 AS from_pos", "id * 6 + 3 AS to_pos", "id AS name")
+    got = scan.sweep_join(p, s, ["k"], "pos", bits=8)
+    assert got.count() == sum(1 for x in range(0, 20_000, 7) if x < 18_000 and x % 6 < 3)
+
+
+def test_positions_without_order_are_refused(spark):
+    p = spark.sql("SELECT 'a' AS k, 'text' AS pos, 'a' AS from_pos, 'b' AS to_pos")
+    with pytest.raises(ValueError, match="whole numbers"):
+        scan.sweep_join(p, p.drop("pos"), ["k"], "pos")
