@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, MARK, as_text, block_ids, materialize, read, repeated_ranges, spaced_texts, string_array, text_chunks, trimmed
+from .common import BLOCK_BYTES, MARK, as_text, block_ids, materialize, read, repeated_ranges, spaced, string_array, text_chunks, trimmed, utf8
 
 #: Bytes of texts that are aligned together; their distinct pairs are one block's.
 ALIGN_BYTES = 1 << 22
@@ -145,7 +145,8 @@ def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str, id_col: str
         names = spelled(len(sizes[0]), (",", "|", "")), spelled(len(sizes[1]), (",", ";", ""))
         for batch in batches_:
             doc_id = batch.column(0)
-            for row, _, data, offsets in text_chunks(*spaced_texts(batch.column(1)), BLOCK_BYTES):
+            for row, _, data, offsets in text_chunks(*utf8(batch.column(1)), BLOCK_BYTES):
+                data, offsets = spaced(data, offsets)
                 start = aligned_starts(data, offsets)
                 coded = string_array(data, np.append(start, len(data))).dictionary_encode()
                 codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()

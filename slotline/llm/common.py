@@ -219,13 +219,13 @@ def block_ids() -> Iterator[int]:
     yield from itertools.count(first)
 
 
-def spaced_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of the texts, each with a space before it; null and empty texts stay empty."""
-    data, offsets = utf8(column)
+def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts, each with a space before it; empty ones stay empty."""
     size = np.diff(offsets)
     new = np.concatenate([[0], np.cumsum(size + (size > 0))])
-    out = np.full(int(new[-1]), 0x20, np.uint8)
-    out[np.arange(len(data)) + np.repeat(new[:-1] + 1 - offsets[:-1], size)] = data
+    out, own = np.full(int(new[-1]), 0x20, np.uint8), np.ones(int(new[-1]), bool)
+    own[new[:-1][size > 0]] = False
+    out[own] = data
     return out, new
 
 

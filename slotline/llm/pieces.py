@@ -4,7 +4,8 @@ Where no piece holds a whitespace marker after another sign, no merge crosses th
 another sign. There a text is cut into chunks (markers, then a word). A block of texts keeps its chunks as codes into the
 block's own dictionary; the dictionaries are dealt by hash of the chunk, so equal chunks of all blocks meet in one task,
 where each is segmented once; the ids go back to their blocks, and codes by position become ids. No row is made for an
-occurrence of a word: what is shuffled are dictionaries and codes.
+occurrence of a word: what is shuffled are dictionaries and codes, both compressed. A code is a chunk's place in its
+part of the dictionary (by falling frequency) times the number of parts, plus the part, so it needs no table to find it.
 
 Defined results: null or empty text has no ids and decodes to the empty text; U+2581 in a text is a marker, as in the
 library; repeated rows and null ids are rows of their own; an empty table gives no rows; other columns are ignored.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, MARK, as_text, block_ids, materialize, read, repeated_ranges, spaced_texts, string_array, text_chunks, trimmed
+from .common import BLOCK_BYTES, MARK, as_text, block_ids, materialize, read, repeated_ranges, spaced, string_array, text_chunks, trimmed, utf8
 
 #: Parts of the dictionaries for each shuffle partition, so that parts dealt by hash even out.
 PARTS = 4
@@ -64,74 +65,102 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 as compressed planes of their bytes."""
+    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return len(values).to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(values) else b"")
+
+
+def loosened(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 def coded_blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows: block, doc_id, codes (int32) of a document; block, part, words, at (their codes) of a dictionary."""
+    """Two kinds of rows: block, doc_ids, sizes (chunks of each) and codes of some documents; block, part, words (compressed,
+    each ended by a byte that no text has, in order of their codes) and size (its length) of a dictionary."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = block_ids()
         for batch in batches_:
             doc_id = batch.column(0)
-            for row, end, data, offsets in text_chunks(*spaced_texts(batch.column(1)), BLOCK_BYTES):
-                start = chunk_starts(data, offsets)
-                block, coded = next(ids), string_array(data, np.append(start, len(data))).dictionary_encode()
-                codes, words, n = coded.indices.to_numpy().astype(np.int32), coded.dictionary, end - row
-                edges = 4 * np.searchsorted(start, offsets)
-                own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(codes)]).cast(pa.binary())
-                none = pa.nulls(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), none.cast(pa.int32()), doc_id.slice(row, n), own, none.cast(pa.list_(pa.string())), none.cast(pa.binary())], NAMES)
-                part = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.uint32, len(words)) % np.uint32(parts)
-                order = np.argsort(part, kind="stable").astype(np.int32)
-                cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=np.uint32(parts))), len(order))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.take(pa.array(order)).cast(pa.string()))
-                n = len(lists)
-                at = pa.array([order[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(part[order[cuts[:-1]]], pa.int32()), pa.nulls(n, doc_id.type), pa.nulls(n, pa.binary()), lists, at], NAMES)
+            for row, end, data, offsets in text_chunks(*utf8(batch.column(1)), BLOCK_BYTES):
+                yield from one_block(next(ids), doc_id.slice(row, end - row), *spaced(data, offsets))
+
+    def one_block(block: int, doc_id: pa.Array, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = chunk_starts(data, offsets)
+        coded = string_array(data, np.append(start, len(data))).dictionary_encode()
+        first, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        raw = [w.encode() for w in words]
+        part = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)).astype(np.int64) % parts
+        order = np.lexsort((-np.bincount(first, minlength=len(raw)), part))
+        cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        code = np.empty(len(raw), np.int64)
+        code[order] = (np.arange(len(order)) - np.repeat(cuts[:-1], np.diff(cuts))) * parts + part[order]
+        edges = np.searchsorted(start, offsets)
+        own = pa.ListArray.from_arrays(pa.array([0, len(doc_id)], pa.int32()), doc_id)
+        yield rows(block, doc_id.type, own, [squeezed(np.diff(edges))], [squeezed(code[first])], None, None, None)
+        bags = [b"".join(raw[k] + END for k in order[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]
+        yield rows(block, doc_id.type, None, None, None, part[order[cuts[:-1]]], [pa.compress(x, "zstd", asbytes=True) for x in bags], [len(x) for x in bags])
+
+    def rows(block: int, id_type: pa.DataType, *columns: object) -> pa.RecordBatch:
+        n = len(columns[0] if columns[0] is not None else columns[-1])
+        types = pa.list_(id_type), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()
+        made = [pa.nulls(n, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *made], ["block", "doc_ids", "sizes", "codes", "part", "words", "size"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(as_text(docs, text_col), MARK, " ").alias("text"))
-    return own.mapInArrow(trimmed(run), f"block bigint, part int, doc_id {kind}, codes binary, words array<string>, at binary")
+    return own.mapInArrow(trimmed(run), f"block bigint, doc_ids array<{kind}>, sizes binary, codes binary, part int, words binary, size bigint")
 
 
-NAMES = ["block", "part", "doc_id", "codes", "words", "at"]
+#: Ends a chunk in a dictionary; no UTF-8 text holds it.
+END = b"\xff"
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) as the library encodes each text, without begin and end ids."""
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(coded_blocks(docs, PARTS * parts, id_col, text_col))
+    dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * dealt
+    rows = materialize(coded_blocks(docs, parts, id_col, text_col))
 
     def segment(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = ChunkModel(path), {}
         for batch in batches_:
-            lists = batch.column(1)
-            words = lists.flatten().to_pylist()
-            new = list(set(words).difference(known))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                known.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(part, model.segment(part)))
-            found = [known[w] for w in words]
-            size = np.array([len(x) // 4 for x in found], np.int32)
-            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, int)
-            cuts = list(zip(edges.tolist(), edges[1:].tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([size[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([b"".join(found[a:b]) for a, b in cuts], pa.binary())], ["block", "at", "size", "ids"])
-
-    dealt = rows.where("part is not null").select("block", "words", "at", "part").repartition(parts, "part").drop("part")
-    segments = dealt.mapInArrow(trimmed(segment), "block bigint, at binary, size binary, ids binary")
+            sizes, found = [], []
+            for raw, size in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = pa.decompress(raw, size, "zstd", asbytes=True).split(END)[:-1]
+                new = list(set(words).difference(known))
+                known.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(new, model.segment([w.decode() for w in new])))
+                own = [known[w] for w in words]
+                sizes.append(squeezed(np.array([len(x) // 4 for x in own])))
+                found.append(squeezed(np.frombuffer(b"".join(own), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sizes, pa.binary()), pa.array(found, pa.binary())], ["block", "part", "size", "ids"])
+
+    words = rows.where("part is not null").select("block", "words", "size", "part").repartition(dealt, "part")
+    segments = words.mapInArrow(trimmed(segment), "block bigint, part int, size binary, ids binary")
 
     def join_back(_key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
-        at, size, ids = (np.frombuffer(b"".join(found.column(c).to_pylist()), np.int32) for c in ("at", "size", "ids"))
-        first, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        first[at], length[at] = np.cumsum(size) - size, size
-        raw = own.column("codes").to_pylist()
-        codes = np.frombuffer(b"".join(raw), np.int32)
-        edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
-        flat = ids[repeated_ranges(first[codes], length[codes])]
-        ends = np.concatenate([[0], np.cumsum(length[codes])])[edges]
-        return pa.table({"doc_id": own.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))})
-
-    own = rows.where("part is null").select("block", "doc_id", "codes")
-    return own.groupBy("block").cogroup(segments.groupBy("block")).applyInArrow(join_back, f"doc_id {kind}, ids array<int>")
+        size = [loosened(x) for x in found.column("size").to_pylist()]
+        flat = np.concatenate([np.zeros(0, np.int32), *(loosened(x).astype(np.int32) for x in found.column("ids").to_pylist())])
+        at = [p + parts * np.arange(len(x)) for p, x in zip(found.column("part").to_pylist(), size)]
+        first, length = (np.zeros(max((int(x[-1]) for x in at), default=-1) + 1, np.int64) for _ in range(2))
+        if at:
+            size, at = np.concatenate(size), np.concatenate(at)
+            first[at], length[at] = np.cumsum(size) - size, size
+        ids, count = [], []
+        for raw, sizes in zip(own.column("codes").to_pylist(), own.column("sizes").to_pylist()):
+            codes, edges = loosened(raw), np.concatenate([[0], np.cumsum(loosened(sizes))])
+            ids.append(flat[repeated_ranges(first[codes], length[codes])])
+            count.append(np.diff(np.concatenate([[0], np.cumsum(length[codes])])[edges]))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(count))])
+        doc_id = own.column("doc_ids").combine_chunks().flatten()
+        return pa.table({"doc_id": doc_id, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))})
+
+    own = rows.where("part is null").select(F.col("block").alias("own"), "doc_ids", "sizes", "codes")
+    return own.groupBy("own").cogroup(segments.groupBy("block")).applyInArrow(join_back, f"doc_id {kind}, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:

@@ -155,6 +155,6 @@ def test_double_array_accepts_its_phrases_only():
 def test_spaced_texts_and_ranges():
     import pyarrow as pa
 
-    data, offsets = common.spaced_texts(pa.array(["ab", None, "", " é"]))
+    data, offsets = common.spaced(*common.utf8(pa.array(["ab", None, "", " é"])))
     assert data.tobytes() == " ab  é".encode() and offsets.tolist() == [0, 3, 3, 3, 7]
     assert common.repeated_ranges(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
