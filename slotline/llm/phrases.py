@@ -30,11 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, FOLD, as_text, block_ids, materialize, read, release, string_array, text_chunks, trimmed, utf8
+from .common import FOLD, as_text, block_ids, materialize, read, release, repeated_ranges, string_array, text_chunks, trimmed, utf8
 
 LEAST, LONGEST, TOP = 100, 5, 2_000
-#: Phrases of one trie at most. A trie takes at most about 40 bytes a state and LONGEST states a phrase.
-TRIE_PHRASES = 400_000
+#: Bytes of text of a block.
+BLOCK_BYTES = 1 << 23
+#: Phrases of one trie at most. A phrase has two or three digits a word, a digit makes one state at most, and with the room that
+#: CLASSES leaves a state takes 130 bytes at most (about 40 in measured tries): some tens of MB a trie.
+TRIE_PHRASES = 250_000
+RADIX = 256
+#: Nodes by number of children (most, least), and the share of places that may be taken once a class is placed.
+CLASSES = ((48, 17, 1 / 16), (16, 9, 1 / 6), (8, 5, 1 / 4), (4, 2, 1 / 2))
 #: Multipliers, by position, of the hash that deals phrases to tries.
 DEAL = np.array([1_000_003, 786_433, 393_241, 196_613, 98_317], np.int64)
 IS_BREAK = np.zeros(256, bool)
@@ -60,11 +66,12 @@ def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     start = np.flatnonzero(first)
                     if not len(start):
                         continue
-                    letters = np.concatenate([[0], np.cumsum(~gap)])
-                    coded = string_array(data[~gap], np.append(letters[start], letters[-1])).dictionary_encode()
-                    # a break begins wherever a breaking sign or another text lies between two words
-                    breaks = np.cumsum(IS_BREAK[data])
-                    apart = np.diff(breaks[start]) + np.diff(np.searchsorted(offsets, start, "right")) > 0
+                    # a word holds no gap, so words without their gaps stand end to end
+                    letters = np.add.reduceat(~gap, start, dtype=np.int32)
+                    coded = string_array(data[~gap], np.concatenate([[0], np.cumsum(letters, dtype=np.int64)])).dictionary_encode()
+                    # a break is wherever a breaking sign or another text lies between two words
+                    apart = np.add.reduceat(IS_BREAK[data], start, dtype=np.int32)[:-1] > 0
+                    apart |= np.diff(np.searchsorted(offsets, start, "right")) > 0
                     code = coded.indices.to_numpy().astype(np.int32)
                     codes = np.full(len(code) + int(apart.sum()), -1, np.int32)
                     codes[np.arange(len(code)) + np.concatenate([[0], np.cumsum(apart)])] = code
@@ -118,11 +125,21 @@ def numbers(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
     return own.groupBy("own").cogroup(at.groupBy("block")).applyInArrow(rewrite, "ids binary")
 
 
+def digits_of(own: np.ndarray, digits: int) -> np.ndarray:
+    """Symbols as numbers to the base RADIX, highest digit first; rows of words become rows of digits."""
+    return np.stack([own >> (8 * k) & 255 for k in range(digits - 1, -1, -1)], -1).reshape(*own.shape[:-1], -1)
+
+
 def double_array(phrases: np.ndarray) -> dict[str, np.ndarray]:
-    """A trie of the rows of ``phrases`` (distinct, sorted): from state s by symbol c to base[s] + c where check there is s."""
-    n, depth = phrases.shape
+    """A trie of the rows of ``phrases`` (distinct, sorted): from state s by digit c to base[s] + c where check there is s. A word is
+    its place among the trie's words, in digits to the base 256. At a last state base is the phrase's number.
+
+    Nodes of many children take fresh stretches; the others are placed all at once, class by class of falling size, at random
+    bases: those that fit stay, the rest try again. Nodes of one child fill what is free."""
     symbols = np.unique(phrases)
-    own = np.searchsorted(symbols, phrases)
+    digits = max(1, -(-int(len(symbols) - 1).bit_length() // 8))
+    own = digits_of(np.searchsorted(symbols, phrases), digits)
+    n, depth = own.shape
     new = np.zeros(n, bool)
     new[0] = True
     parent, symbol, above, count = [], [], np.zeros(n, np.int64), 1
@@ -137,50 +154,56 @@ def double_array(phrases: np.ndarray) -> dict[str, np.ndarray]:
     # children of a node stand together; node k + 1 is the k-th entry
     head = np.flatnonzero(np.diff(parent, prepend=-1))
     fan = np.diff(np.append(head, len(parent)))
-    used = np.zeros(2 * count + 2 * len(symbols) + 1024, bool)
+    rng = np.random.default_rng(0)
+    slot = np.zeros(count, np.int64)
+    many = np.flatnonzero(fan > CLASSES[0][0])
+    children = repeated_ranges(head[many], fan[many])
+    slot[children + 1] = np.repeat(RADIX * (1 + np.arange(len(many))), fan[many]) + symbol[children]
+    used = np.zeros(RADIX * (1 + len(many)), bool)
     used[0] = True
-    slot, low = np.zeros(count, np.int64), 1
-    for k in np.argsort(-fan, kind="stable")[: int((fan > 1).sum())].tolist():
-        c = symbol[head[k] : head[k] + fan[k]]
-        away, at = c - c[0], low
-        while True:
-            if at + away[-1] + 1024 > len(used):
-                used = np.concatenate([used, np.zeros(len(used) + int(away[-1]), bool)])
-            free = at + np.flatnonzero(~used[at : at + 512])[: max(1, 200_000 // len(c))]
-            fits = free[~used[free[:, None] + away].any(1)]
-            if len(fits):
-                break
-            at = int(free[-1]) + 1 if len(free) else at + 512
-        slot[head[k] + 1 : head[k] + 1 + fan[k]] = fits[0] + away
-        used[fits[0] + away] = True
-        if used[low : low + 512].mean() > 0.9:
-            low += 512
+    used[slot[children + 1]] = True
+    for most, least, load in CLASSES:
+        left = np.flatnonzero((fan <= most) & (fan >= least))
+        room = max(len(used), RADIX + int((used.sum() + fan[left].sum()) / load))
+        used = np.concatenate([used, np.zeros(room - len(used), bool)])
+        claim = np.zeros(room, np.int64)
+        while len(left):
+            children, first = repeated_ranges(head[left], fan[left]), np.cumsum(fan[left]) - fan[left]
+            to, node = np.repeat(rng.integers(0, room - RADIX + 1, len(left)), fan[left]) + symbol[children], np.repeat(left, fan[left])
+            claim[to] = node
+            fits = np.logical_and.reduceat((claim[to] == node) & ~used[to], first)
+            kept = np.repeat(fits, fan[left])
+            slot[children[kept] + 1] = to[kept]
+            used[to[kept]] = True
+            left = left[~fits]
     single = head[fan == 1]
     free = np.flatnonzero(~used)
-    if len(free) < len(single):
-        free = np.concatenate([free, len(used) + np.arange(len(single))])
+    free = np.concatenate([free, len(used) + np.arange(max(0, len(single) - len(free)))])
     slot[single + 1] = free[: len(single)]
     size = int(slot.max()) + 1
-    base, check, accept = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+    base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
     base[slot[parent[head]]] = slot[head + 1] - symbol[head]
     check[slot[1:]] = slot[parent]
-    accept[slot[above]] = np.arange(n)
-    return {"symbols": symbols, "base": base, "check": check, "accept": accept}
+    base[slot[above]] = np.arange(n)
+    return {"symbols": symbols, "base": base, "check": check}
 
 
 def walk(trie: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the positions ``at`` those where a phrase of the trie begins, and its number: all advance together, word by word."""
+    """Of the positions ``at`` those where a phrase of ``depth`` words begins, and its number: all advance together, digit by digit."""
     symbols, base, check = trie["symbols"], trie["base"], trie["check"]
     own = np.minimum(np.searchsorted(symbols, ids), len(symbols) - 1)
-    own = np.where(symbols[own] == ids, own, -1)
+    known = symbols[own] == ids
+    digits = max(1, -(-int(len(symbols) - 1).bit_length() // 8))
     state = np.zeros(len(at), np.int64)
     for d in range(depth):
-        c = own[at + d]
-        to = base[state] + c
-        ok = (c >= 0) & (to >= 0) & (to < len(check))
-        ok &= check[np.where(ok, to, 0)] == state
-        at, state = at[ok], to[ok]
-    return at, trie["accept"][state]
+        ok = known[at + d]
+        at, state = at[ok], state[ok]
+        for k in range(digits - 1, -1, -1):
+            to = base[state] + (own[at + d] >> (8 * k) & 255)
+            ok = (to >= 0) & (to < len(check))
+            ok &= check[np.where(ok, to, 0)] == state
+            at, state = at[ok], to[ok]
+    return at, base[state]
 
 
 def dealt(words: np.ndarray, shards: int) -> np.ndarray:
@@ -204,10 +227,10 @@ def tries(candidates: DataFrame, depth: int) -> list[Broadcast]:
         trie = double_array(words[order]) | {"ids": own.column("id").to_numpy()[order]}
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in trie.items()}})
 
-    built = materialize(placed.groupBy("shard").applyInArrow(build, "shard int, symbols binary, base binary, check binary, accept binary, ids binary"))
+    built = materialize(placed.groupBy("shard").applyInArrow(build, "shard int, symbols binary, base binary, check binary, ids binary"))
     out = []
     for r in built.toLocalIterator():
-        kinds = {"symbols": np.int32, "base": np.int32, "check": np.int32, "accept": np.int32, "ids": np.int64}
+        kinds = {"symbols": np.int32, "base": np.int32, "check": np.int32, "ids": np.int64}
         out.append(spark.sparkContext.broadcast((shards, r.shard, {k: np.frombuffer(r[k], t) for k, t in kinds.items()})))
     release(built)
     return out
