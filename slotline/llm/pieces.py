@@ -5,7 +5,7 @@ another sign. There a text is cut into chunks (markers, then a word). A block of
 block's own dictionary; the dictionaries are dealt by hash of the chunk, so equal chunks of all blocks meet in one task,
 where each is segmented once; the ids go back to their blocks, and codes by position become ids. No row is made for an
 occurrence of a word: what is shuffled are dictionaries and codes, both compressed. A code is a chunk's place in its
-part of the dictionary (by falling frequency) times the number of parts, plus the part, so it needs no table to find it.
+part of the dictionary (frequent ones first) times the number of parts, plus the part, so it needs no table to find it.
 
 Defined results: null or empty text has no ids and decodes to the empty text; U+2581 in a text is a marker, as in the
 library; repeated rows and null ids are rows of their own; an empty table gives no rows; other columns are ignored.
@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, MARK, as_text, block_ids, materialize, read, repeated_ranges, spaced, string_array, text_chunks, trimmed, utf8
+from .common import MARK, as_text, block_ids, materialize, read, repeated_ranges, spaced, string_array, text_chunks, trimmed, utf8
 
-#: Parts of the dictionaries for each shuffle partition, so that parts dealt by hash even out.
-PARTS = 4
+#: Bytes of texts that share a dictionary: the more, the smaller the dictionaries are together.
+BLOCK_BYTES = 1 << 25
 #: Texts of about so many ids are decoded at a time.
 DECODE_IDS = 1 << 20
 
@@ -95,7 +96,11 @@ def coded_blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> Dat
         first, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         raw = [w.encode() for w in words]
         part = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)).astype(np.int64) % parts
-        order = np.lexsort((-np.bincount(first, minlength=len(raw)), part))
+        # near in the alphabet compresses well, frequent first makes small codes: by frequency in powers of two, then by letters
+        rank = np.empty(len(raw), np.int64)
+        rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(raw))
+        often = np.log2(np.bincount(first, minlength=len(raw))).astype(np.int64)
+        order = np.lexsort((rank, -often, part))
         cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
         code = np.empty(len(raw), np.int64)
         code[order] = (np.arange(len(order)) - np.repeat(cuts[:-1], np.diff(cuts))) * parts + part[order]
@@ -122,8 +127,7 @@ END = b"\xff"
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) as the library encodes each text, without begin and end ids."""
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = PARTS * dealt
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(coded_blocks(docs, parts, id_col, text_col))
 
     def segment(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +143,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 found.append(squeezed(np.frombuffer(b"".join(own), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sizes, pa.binary()), pa.array(found, pa.binary())], ["block", "part", "size", "ids"])
 
-    words = rows.where("part is not null").select("block", "words", "size", "part").repartition(dealt, "part")
+    words = rows.where("part is not null").select("block", "words", "size", "part").repartitionByRange(parts, "part")
     segments = words.mapInArrow(trimmed(segment), "block bigint, part int, size binary, ids binary")
 
     def join_back(_key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
