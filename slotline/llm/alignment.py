@@ -24,10 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, MARK, as_text, block_ids, materialize, read, repeated_ranges, spaced, string_array, text_chunks, trimmed, utf8
+from .common import MARK, as_text, block_ids, materialize, read, repeated_ranges, spaced, string_array, text_chunks, trimmed, utf8
 
-#: Bytes of texts that are aligned together; their distinct pairs are one block's.
-ALIGN_BYTES = 1 << 22
+#: Bytes of texts whose distinct chunks are tokenised together, and of those that are aligned together: a block, with its own
+#: distinct pairs.
+BLOCK_BYTES, ALIGN_BYTES = 1 << 23, 1 << 21
 
 
 def byte_letters() -> dict[str, int]:
@@ -162,6 +163,7 @@ def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str, id_col: str
                     size = np.where(np.diff(wrong) > 0, 0, np.diff(edges))
                     part, edges = part[repeated_ranges(edges[:-1], size)], np.concatenate([[0], np.cumsum(size)])
                     yield from one_block(next(ids), doc_id.slice(row + at, end - at), [f.lists(part, edges) for f in found], sizes, names)
+                    pa.default_memory_pool().release_unused()
 
     def one_block(block: int, doc_id: pa.Array, lists: list[pa.ListArray], sizes: list[pa.Array], names: tuple[pa.Array, pa.Array]) -> Iterator[pa.RecordBatch]:
         n = len(doc_id)
