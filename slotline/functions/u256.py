@@ -1,86 +1,123 @@
-"""256-bit amounts as four 64-bit limbs in decimal(38,0), low limb first; sums stay exact and order is lexicographic from l3."""
+"""256-bit amounts as eight limbs of 32 bits in longs, low limb first; the last limb holds the sign of a normalised amount.
+
+A limb of a normalised amount is below 2**32 in size, so a long sums 2**31 of them without overflow; Spark's ANSI sums raise an
+error beyond that, they don't wrap. Sums, carries and order stay in generated code; only decimal text leaves the JVM.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LIMBS = ("l0", "l1", "l2", "l3")
+LIMBS = tuple(f"l{k}" for k in range(8))
+LOW = (1 << 32) - 1
+KIND = "bigint"
+
 
+def of(limb: Callable[[str], Column]) -> Column:
+    return F.struct(*[limb(n).alias(n) for n in LIMBS])
 
-def _d(c: Column) -> Column:
-    return c.cast("decimal(38,0)")
 
+def zero() -> Column:
+    return F.lit(0).cast(KIND)
 
-def _div(multiple: Column) -> Column:
-    """An exact multiple of 2**64, divided by it: in two halves, as decimal division rounds beyond 38 digits."""
-    half = F.lit("4294967296").cast("decimal(20,0)")
-    once = _d((multiple / half).cast("decimal(38,6)").cast("decimal(38,0)"))
-    return _d((once / half).cast("decimal(38,6)").cast("decimal(38,0)"))
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written down and computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def from_hex(c: Column, bad_is_zero: bool = True) -> Column:
     """0x-hex of up to 64 digits; empty counts as zero, malformed text as zero or null."""
-    digits = F.regexp_replace(F.lower(c), "^0x", "")
-    full = F.lpad(digits, 64, "0")
-    limbs = F.struct(*[_d(F.conv(F.substring(full, 49 - 16 * k, 16), 16, 10)).alias(n) for k, n in enumerate(LIMBS)])
-    zero = F.struct(*[_d(F.lit(0)).alias(n) for n in LIMBS])
-    good = digits.rlike("^[0-9a-f]{0,64}$")
-    return F.when(F.coalesce(good, F.lit(False)), limbs).otherwise(zero) if bad_is_zero else F.when(good, limbs)
+    good = F.coalesce(c.rlike(r"\A(0[xX])?[0-9a-fA-F]{0,64}\z"), F.lit(False))
+    full = F.lpad(F.substring_index(F.lower(c), "x", -1), 64, "0")
+    limbs = let(full, lambda t: F.struct(*[F.conv(F.substring(t, 57 - 8 * k, 8), 16, 10).cast(KIND).alias(n) for k, n in enumerate(LIMBS)]))
+    return F.when(good, limbs).otherwise(of(lambda _: zero())) if bad_is_zero else F.when(good, limbs)
 
 
 def from_long(c: Column) -> Column:
-    """A signed bigint as raw limbs (only l0 set; call ``normalise`` after sums)."""
-    return F.struct(_d(c).alias("l0"), *[_d(F.lit(0)).alias(n) for n in LIMBS[1:]])
+    """A signed bigint as raw limbs (the second one signed; call ``normalise`` after sums)."""
+    c = c.cast(KIND)
+    return F.struct(c.bitwiseAND(F.lit(LOW)).alias("l0"), F.shiftright(c, 32).alias("l1"), *[zero().alias(n) for n in LIMBS[2:]])
 
 
 def negate(u: Column) -> Column:
-    return F.struct(*[_d(-u[n]).alias(n) for n in LIMBS])
+    return of(lambda n: -u[n])
+
+
+def minus(a: Column, b: Column) -> Column:
+    """Raw limbs of a difference; normalise afterwards."""
+    return of(lambda n: a[n] - b[n])
 
 
 def sum_of(u: Column, over=None) -> Column:
     """Limb sums, plain or over a window; normalise afterwards."""
-    total = lambda n: F.sum(u[n]) if over is None else F.sum(u[n]).over(over)
-    return F.struct(*[_d(total(n)).alias(n) for n in LIMBS])
+    return of(lambda n: F.sum(u[n]) if over is None else F.sum(u[n]).over(over))
 
 
 def signed_sum_of(u: Column, minus: Column) -> Column:
     """Limb sums where rows with ``minus`` count negative; normalise afterwards."""
-    return F.struct(*[_d(F.sum(F.when(minus, _d(-u[n])).otherwise(u[n]))).alias(n) for n in LIMBS])
+    return of(lambda n: F.sum(F.when(minus, -u[n]).otherwise(u[n])))
 
 
 def normalise(u: Column) -> Column:
-    """Carry upwards: l0 to l2 come to 0..2**64-1 and l3 holds the sign."""
-    base = F.lit("18446744073709551616").cast("decimal(38,0)")
-    out, carry = [], _d(F.lit(0))
-    for n in LIMBS[:3]:
-        x = _d(u[n] + carry)
-        low = _d(F.pmod(x, base))
-        out.append(low.alias(n))
-        carry = _div(_d(x - low))
-    return F.struct(*out, _d(u["l3"] + carry).alias("l3"))
+    """Carry upwards: all limbs but the last come to 0..2**32-1, the last holds the sign."""
+
+    def carried(x: Column) -> Column:
+        out, carry = [], zero()
+        for n in LIMBS[:-1]:
+            limb = x[n] + carry
+            out.append(limb.bitwiseAND(F.lit(LOW)).alias(n))
+            carry = F.shiftright(limb, 32)
+        return F.struct(*out, (x[LIMBS[-1]] + carry).alias(LIMBS[-1]))
+
+    return let(u, carried)
 
 
 def sign(u: Column) -> Column:
     """-1, 0 or 1 of a normalised amount."""
-    zero = (u["l3"] == 0) & (u["l2"] == 0) & (u["l1"] == 0) & (u["l0"] == 0)
-    return F.when(u["l3"] < 0, -1).when(zero, 0).otherwise(1)
+
+    def of_limbs(x: Column) -> Column:
+        some = x[LIMBS[0]]
+        for n in LIMBS[1:]:
+            some = some.bitwiseOR(x[n])
+        return F.when(x[LIMBS[-1]] < 0, -1).when(some == 0, 0).otherwise(1)
+
+    return let(u, of_limbs)
 
 
 def to_double(u: Column) -> Column:
     """About the nearest double of a normalised amount; a negative one is turned first, so small ones stay exact."""
-    plain = lambda x: x["l0"].cast("double") + x["l1"].cast("double") * float(1 << 64) + x["l2"].cast("double") * float(1 << 128) + x["l3"].cast("double") * float(1 << 192)
-    return F.when(u["l3"] < 0, -plain(normalise(negate(u)))).otherwise(plain(u))
+
+    def plain(x: Column) -> Column:
+        pair = lambda k: x[LIMBS[k]].cast("double") + x[LIMBS[k + 1]].cast("double") * float(1 << 32)
+        return pair(0) + pair(2) * float(1 << 64) + pair(4) * float(1 << 128) + pair(6) * float(1 << 192)
+
+    return let(u, lambda x: F.when(x[LIMBS[-1]] < 0, -let(normalise(negate(x)), plain)).otherwise(plain(x)))
 
 
 def order_key(u: Column) -> Column:
-    return F.struct(u["l3"], u["l2"], u["l1"], u["l0"])
+    return F.struct(*[u[n] for n in reversed(LIMBS)])
 
 
 @F.pandas_udf(StringType())
-def _text(l0, l1, l2, l3):  # noqa: ANN001, ANN202
-    return l0.__class__([None if a is None else str(int(a) + (int(b) << 64) + (int(c) << 128) + (int(d) << 192)) for a, b, c, d in zip(l0, l1, l2, l3)], dtype=object)
+def _text(*limbs):  # noqa: ANN002, ANN202
+    known = ~limbs[0].isna().to_numpy()
+    parts = [x.fillna(0).to_numpy(np.int64) for x in limbs]
+    low = parts[1] << 32 | parts[0]
+    out = low.astype(object)
+    # amounts of 63 bits are texts at once, of either sign; the others one by one
+    fill = low >> 63
+    short = (parts[7] == fill) & np.logical_and.reduce([p == (fill & LOW) for p in parts[2:7]])
+    out[short] = low[short].astype(str)
+    for i in np.flatnonzero(~short):
+        out[i] = str(sum(int(p[i]) << 32 * k for k, p in enumerate(parts)))
+    out[~known] = None
+    return limbs[0].__class__(out, dtype=object)
 
 
 def to_string(u: Column) -> Column:

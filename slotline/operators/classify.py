@@ -41,9 +41,8 @@ def is_contract_creation(to: Column, input_len: Column) -> Column:
     return F.coalesce(to, F.lit("")).eqNullSafe("") & F.coalesce(input_len > 0, F.lit(False))
 
 
-def action_tags(tx_type: Column, method: Column, to: Column, value_wei: Column, type_byte: Column, legs: Column, logs: Column, input_len: Column, firsts: Column | None = None) -> Column:
-    """Ordered, distinct tags. ``logs``: array of structs with ``topics``; ``firsts``: their first topics in lower case, where
-    the caller has them."""
+def call_tags(tx_type: Column, method: Column, to: Column, value_wei: Column, type_byte: Column, legs: Column, input_len: Column) -> tuple[Column, Column]:
+    """What the call itself says: the first test that holds decides the first tags, the method's name the others (may be null)."""
     method = F.coalesce(method, F.lit(""))
     plain = method.isin("0x", "", "(method)")
     valued = F.coalesce(value_wei.rlike("[^0]"), F.lit(False))
@@ -68,6 +67,16 @@ def action_tags(tx_type: Column, method: Column, to: Column, value_wei: Column,
     )
     name = method_name(method)
     by_name = F.array(chain([(name.isin(*names), action) for action, names in METHOD_ACTIONS.items()], F.lit(None).cast("string")), tag(method.isin("withdraw(address,uint256)", "withdraw(address,uint256,address)"), "lend_withdraw"))
+    return primary, by_name
+
+
+def action_tags(tx_type: Column, method: Column, to: Column, value_wei: Column, type_byte: Column, legs: Column, logs: Column, input_len: Column, firsts: Column | None = None) -> Column:
+    """Ordered, distinct tags. ``logs``: array of structs with ``topics``; ``firsts``: their first topics in lower case, where
+    the caller has them."""
+    primary, by_name = call_tags(tx_type, method, to, value_wei, type_byte, legs, input_len)
+    method = F.coalesce(method, F.lit(""))
+    plain = method.isin("0x", "", "(method)")
+    valued = F.coalesce(value_wei.rlike("[^0]"), F.lit(False))
     logs = F.coalesce(logs, F.array().cast("array<struct<topics:array<string>>>"))
     topic = lambda log, k: F.lower(F.coalesce(F.get(log["topics"], F.lit(k)), F.lit("")))
     firsts = F.transform(logs, lambda log: topic(log, 0)) if firsts is None else firsts
@@ -97,9 +106,11 @@ def tagged(feed: DataFrame) -> DataFrame:
 
 def crossings(feed: DataFrame, keys: list[str]) -> DataFrame:
     """Transactions that join two sides: ``keys``, seams, and whether they are keeper traffic. The feed is ``tagged``'s with
-    origination, solana_signer, has_cpi_target and method_id."""
+    origination, solana_signer, has_cpi_target and method_id. No tag that logs give makes a seam, so logs are not read."""
     by_solana = (F.coalesce("origination", F.lit("ecdsa")) != "ecdsa") & F.col("solana_signer").isNotNull()
-    own = once(tagged(feed), "seams", seams(F.col("tags"), F.col("to_addr"), F.col("tx_type"), F.col("origination"), F.col("tx_type_byte"), F.col("has_cpi_target"), by_solana))
+    tags = F.concat(*call_tags(*map(F.col, ("tx_type", "method", "to_addr", "value_wei", "tx_type_byte", "leg_count", "input_len"))))
+    told = once(feed, "_told", F.filter(tags, lambda t: t.isNotNull()))
+    own = once(told, "seams", seams(F.col("_told"), F.col("to_addr"), F.col("tx_type"), F.col("origination"), F.col("tx_type_byte"), F.col("has_cpi_target"), by_solana))
     return own.where(F.size("seams") > 0).select(*keys, "seams", is_oracle(F.col("method_id")).alias("is_oracle"))
 
 

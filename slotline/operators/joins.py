@@ -180,9 +180,9 @@ def pair_closure(edges: DataFrame, holds: DataFrame, start: DataFrame, rounds: i
     start.select("address").distinct().write.parquet(f"{path}/round=0")
     for k in range(1, rounds + 1):
         frontier = spark.read.schema(shape).parquet(f"{path}/round={k - 1}")
-        seen = spark.read.schema(shape).parquet(path)
+        seen = spark.read.parquet(path).select("address")
         step = edges.join(frontier.withColumnRenamed("address", "a"), "a").select(F.col("b").alias("address")).distinct()
         step.join(holds, "address", "left_semi").join(seen, "address", "left_anti").write.parquet(f"{path}/round={k}")
         if spark.read.schema(shape).parquet(f"{path}/round={k}").isEmpty():
             break
-    return spark.read.schema(shape).parquet(path)
+    return spark.read.parquet(path).select("address")

@@ -159,10 +159,9 @@ def yield_runs(events: DataFrame, key: list[str], order: list[str], is_credit: C
     credit, close = F.when(is_credit, amount), F.when(is_close, total)
     counts = [F.count_if(is_credit).alias("credits"), F.count_if(is_close).alias("closes"), F.first(close, ignorenulls=True).alias("stated")]
     if limbs:
-        zero = F.lit(0).cast("decimal(38,0)")
         grouped = own.groupBy(*key, "run").agg(*counts, u256.sum_of(credit).alias("_sum"))
-        grouped = grouped.withColumn("credited", u256.normalise(F.struct(*[F.coalesce(F.col(f"_sum.{n}"), zero).alias(n) for n in u256.LIMBS])))
-        less = F.struct(*[(F.col(f"stated.{n}") - F.col(f"credited.{n}")).cast("decimal(38,0)").alias(n) for n in u256.LIMBS])
+        grouped = grouped.withColumn("credited", u256.normalise(u256.of(lambda n: F.coalesce(F.col(f"_sum.{n}"), u256.zero()))))
+        less = u256.minus(F.col("stated"), F.col("credited"))
         left = F.when(F.col("stated").isNotNull(), u256.normalise(less))
         over = u256.sign(left) < 0
     else:
