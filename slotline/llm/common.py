@@ -190,6 +190,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``df`` as ``materialize`` writes it, but in buckets of ``column``: what groups by it later needs no shuffle of these rows."""
+    spark, path, name = df.sparkSession, shared_folder(df.sparkSession), f"slotline_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    back = spark.table(name)
+    back.schema  # noqa: B018  resolved now; the files stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    _folders[id(back)] = path
+    return back
+
+
 def release(*written: DataFrame) -> None:
     """Delete the folders of materialized tables that no later plan reads; where the file system is unknown here they stay."""
     for df in written:

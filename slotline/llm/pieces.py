@@ -23,10 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARK, as_text, block_ids, materialize, read, repeated_ranges, spaced, string_array, text_chunks, trimmed, utf8
+from .common import MARK, as_text, block_ids, bucketed, read, repeated_ranges, spaced, string_array, text_chunks, trimmed, utf8
 
 #: Bytes of texts that share a dictionary: the more, the smaller the dictionaries are together.
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 3 << 23
+#: Level of compression.
+LEVEL = 3
 #: Texts of about so many ids are decoded at a time.
 DECODE_IDS = 1 << 20
 
@@ -69,7 +71,7 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def squeezed(values: np.ndarray) -> bytes:
     """Whole numbers below 2**32 as compressed planes of their bytes."""
     planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
-    return len(values).to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(values) else b"")
+    return len(values).to_bytes(8, "little") + (pa.Codec("zstd", LEVEL).compress(planes.tobytes(), asbytes=True) if len(values) else b"")
 
 
 def loosened(raw: bytes) -> np.ndarray:
@@ -108,7 +110,7 @@ def coded_blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> Dat
         own = pa.ListArray.from_arrays(pa.array([0, len(doc_id)], pa.int32()), doc_id)
         yield rows(block, doc_id.type, own, [squeezed(np.diff(edges))], [squeezed(code[first])], None, None, None)
         bags = [b"".join(raw[k] + END for k in order[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]
-        yield rows(block, doc_id.type, None, None, None, part[order[cuts[:-1]]], [pa.compress(x, "zstd", asbytes=True) for x in bags], [len(x) for x in bags])
+        yield rows(block, doc_id.type, None, None, None, part[order[cuts[:-1]]], [pa.Codec("zstd", LEVEL).compress(x, asbytes=True) for x in bags], [len(x) for x in bags])
 
     def rows(block: int, id_type: pa.DataType, *columns: object) -> pa.RecordBatch:
         n = len(columns[0] if columns[0] is not None else columns[-1])
@@ -128,7 +130,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """doc_id, ids (array<int>) as the library encodes each text, without begin and end ids."""
     kind = docs.schema[id_col].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(coded_blocks(docs, parts, id_col, text_col))
+    rows = bucketed(coded_blocks(docs, parts, id_col, text_col), "block", parts)
 
     def segment(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = ChunkModel(path), {}
@@ -141,10 +143,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 own = [known[w] for w in words]
                 sizes.append(squeezed(np.array([len(x) // 4 for x in own])))
                 found.append(squeezed(np.frombuffer(b"".join(own), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sizes, pa.binary()), pa.array(found, pa.binary())], ["block", "part", "size", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sizes, pa.binary()), pa.array(found, pa.binary())], ["of", "part", "size", "ids"])
 
     words = rows.where("part is not null").select("block", "words", "size", "part").repartitionByRange(parts, "part")
-    segments = words.mapInArrow(trimmed(segment), "block bigint, part int, size binary, ids binary")
+    segments = words.mapInArrow(trimmed(segment), "of bigint, part int, size binary, ids binary")
 
     def join_back(_key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
         size = [loosened(x) for x in found.column("size").to_pylist()]
@@ -163,8 +165,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         doc_id = own.column("doc_ids").combine_chunks().flatten()
         return pa.table({"doc_id": doc_id, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))})
 
-    own = rows.where("part is null").select(F.col("block").alias("own"), "doc_ids", "sizes", "codes")
-    return own.groupBy("own").cogroup(segments.groupBy("block")).applyInArrow(join_back, f"doc_id {kind}, ids array<int>")
+    own = rows.where("part is null").select("block", "doc_ids", "sizes", "codes")
+    return own.groupBy("block").cogroup(segments.groupBy("of")).applyInArrow(join_back, f"doc_id {kind}, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
