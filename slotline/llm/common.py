@@ -13,10 +13,12 @@ import itertools
 import shutil
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -249,3 +251,36 @@ def repeated_ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``start[0], .., start[0] + size[0] - 1, start[1], ..`` in one array."""
     before = np.cumsum(size) - size
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+#: Level of compression; the byte that ends a chunk in a dictionary, which no UTF-8 text holds.
+LEVEL, END = 3, b"\xff"
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 as compressed planes of their bytes."""
+    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return len(values).to_bytes(8, "little") + (pa.Codec("zstd", LEVEL).compress(planes.tobytes(), asbytes=True) if len(values) else b"")
+
+
+def loosened(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def dealt_dictionary(words: pa.Array, n: np.ndarray, parts: int, salt: bytes = b"") -> tuple[np.ndarray, list[np.ndarray], list[tuple[int, bytes]]]:
+    """A block's dictionary dealt to parts by hash: the code of each word, and of each part that has words the counts and the
+    (part, words, each ended by END). A code is a word's place in its part times ``parts``, plus the part. Near in the alphabet
+    compresses well, frequent first makes small codes: places go by frequency in powers of two, then by letters."""
+    raw = [w.encode() for w in words.to_pylist()]
+    start = zlib.crc32(salt)
+    part = np.fromiter((zlib.crc32(w, start) for w in raw), np.uint32, len(raw)).astype(np.int64) % parts
+    rank = np.empty(len(raw), np.int64)
+    rank[pc.sort_indices(words).to_numpy()] = np.arange(len(raw))
+    order = np.lexsort((rank, -np.log2(n).astype(np.int64), part))
+    cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+    code = np.empty(len(raw), np.int64)
+    code[order] = (np.arange(len(order)) - np.repeat(cuts[:-1], np.diff(cuts))) * parts + part[order]
+    own = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+    return code, [n[x] for x in own], [(int(part[x[0]]), b"".join(raw[k] + END for k in x.tolist())) for x in own]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FOLD, as_text, block_ids, materialize, read, release, repeated_ranges, string_array, text_chunks, trimmed, utf8
+from .common import END, FOLD, LEVEL, as_text, block_ids, bucketed, dealt_dictionary, loosened, materialize, read, release, repeated_ranges, squeezed, string_array, text_chunks, trimmed, utf8
 
 LEAST, LONGEST, TOP = 100, 5, 2_000
 #: Bytes of text of a block.
@@ -49,8 +49,9 @@ IS_GAP = IS_BREAK.copy()
 IS_GAP[[0x20, 0x09]] = True
 
 
-def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """Two kinds of rows: block, lang, codes (int32 words of the block, -1 a break); block, lang, word, code, n of its dictionary."""
+def word_blocks(docs: DataFrame, parts: int, text_col: str, lang_col: str) -> DataFrame:
+    """Two kinds of rows: block, codes (words of the block, -1 a break) and block, part, lang, words (compressed, in order of
+    their codes), size (its length), counts of its dictionary. A code is a place in a part times the number of parts, plus the part."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = block_ids()
@@ -58,71 +59,93 @@ def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             langs = batch.column(0)
             for lang in langs.unique().to_pylist():
                 for _, _, data, offsets in text_chunks(*utf8(batch.column(1).filter(pc.equal(langs, lang))), BLOCK_BYTES):
-                    block, data = next(ids), FOLD[data]
-                    gap, heads = IS_GAP[data], offsets[:-1][offsets[1:] > offsets[:-1]]
-                    first = ~gap
-                    first[1:] &= gap[:-1]
-                    first[heads] = ~gap[heads]
-                    start = np.flatnonzero(first)
-                    if not len(start):
-                        continue
-                    # a word holds no gap, so words without their gaps stand end to end
-                    letters = np.add.reduceat(~gap, start, dtype=np.int32)
-                    coded = string_array(data[~gap], np.concatenate([[0], np.cumsum(letters, dtype=np.int64)])).dictionary_encode()
-                    # a break is wherever a breaking sign or another text lies between two words
-                    apart = np.add.reduceat(IS_BREAK[data], start, dtype=np.int32)[:-1] > 0
-                    apart |= np.diff(np.searchsorted(offsets, start, "right")) > 0
-                    code = coded.indices.to_numpy().astype(np.int32)
-                    codes = np.full(len(code) + int(apart.sum()), -1, np.int32)
-                    codes[np.arange(len(code)) + np.concatenate([[0], np.cumsum(apart)])] = code
-                    yield rows(block, lang, pa.array([codes.tobytes()], pa.binary()), None, None, None)
-                    n = np.bincount(code, minlength=len(coded.dictionary))
-                    for at in range(0, len(n), 100_000):
-                        part = slice(at, at + 100_000)
-                        yield rows(block, lang, None, coded.dictionary[part].cast(pa.string()), np.arange(len(n), dtype=np.int32)[part], n[part])
-
-    def rows(block: int, lang: str, codes: pa.Array | None, word: pa.Array | None, code: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
-        size = len(codes if word is None else word)
-        own = [pa.array(np.full(size, block)), pa.array([lang] * size, pa.string())]
-        rest = [(codes, pa.binary()), (word, pa.string()), (code, pa.int32()), (n, pa.int64())]
-        return pa.RecordBatch.from_arrays([*own, *(pa.nulls(size, t) if x is None else pa.array(x, t) for x, t in rest)], ["block", "lang", "codes", "word", "code", "n"])
+                    yield from one_block(next(ids), lang, FOLD[data], offsets)
+
+    def one_block(block: int, lang: str, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gap, heads = IS_GAP[data], offsets[:-1][offsets[1:] > offsets[:-1]]
+        first = ~gap
+        first[1:] &= gap[:-1]
+        first[heads] = ~gap[heads]
+        start = np.flatnonzero(first)
+        if not len(start):
+            return
+        # a word holds no gap, so words without their gaps stand end to end
+        letters = np.add.reduceat(~gap, start, dtype=np.int32)
+        coded = string_array(data[~gap], np.concatenate([[0], np.cumsum(letters, dtype=np.int64)])).dictionary_encode()
+        # a break is wherever a breaking sign or another text lies between two words
+        apart = np.add.reduceat(IS_BREAK[data], start, dtype=np.int32)[:-1] > 0
+        apart |= np.diff(np.searchsorted(offsets, start, "right")) > 0
+        words = coded.indices.to_numpy()
+        code, n, bags = dealt_dictionary(coded.dictionary, np.bincount(words, minlength=len(coded.dictionary)), parts, lang.encode())
+        codes = np.full(len(words) + int(apart.sum()), -1, np.int32)
+        codes[np.arange(len(words)) + np.concatenate([[0], np.cumsum(apart)])] = code[words]
+        yield rows(block, [pa.Codec("zstd", LEVEL).compress(codes.tobytes(), asbytes=True)], [4 * len(codes)], None, None, None, None)
+        yield rows(block, None, [len(x) for _, x in bags], [p for p, _ in bags], [lang] * len(bags), [pa.Codec("zstd", LEVEL).compress(x, asbytes=True) for _, x in bags], [squeezed(x) for x in n])
+
+    def rows(block: int, *columns: object) -> pa.RecordBatch:
+        size = len(columns[1])
+        types = pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), *(pa.nulls(size, t) if x is None else pa.array(x, t) for x, t in zip(columns, types))], ["block", "codes", "size", "part", "lang", "words", "counts"])
 
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), as_text(docs, text_col).alias("text"))
-    return own.mapInArrow(trimmed(run), "block bigint, lang string, codes binary, word string, code int, n bigint")
+    return own.mapInArrow(trimmed(run), "block bigint, codes binary, size bigint, part int, lang string, words binary, counts binary")
+
+
+def frequent_words(blocks: DataFrame, parts: int, least: int) -> DataFrame:
+    """Three kinds of rows: id, lang, phrase, a of a frequent word; lang, n (words of a part in all); block, part, ids (0 for a word
+    that is not frequent) of a dictionary's part. All blocks' rows of a word meet in its part, whose sums are made there;
+    ids are places in a part times the number of parts, plus the part, plus 1."""
+
+    def count(key: tuple, own: pa.Table) -> pa.Table:
+        part, (langs, sizes, raw, counts, block) = key[0].as_py(), (own.column(c).to_pylist() for c in ("lang", "size", "words", "counts", "block"))
+        held = [pa.decompress(x, n, "zstd", asbytes=True).split(END)[:-1] for x, n in zip(raw, sizes)]
+        n = np.concatenate([loosened(x) for x in counts])
+        keys = pa.array([(x, w) for x, words in zip(langs, held) for w in words], pa.struct([("lang", pa.string()), ("word", pa.binary())]))
+        table = pa.table({"lang": keys.field("lang"), "word": keys.field("word"), "n": pa.array(n)})
+        sums = table.group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
+        often = sums.filter(pc.greater_equal(sums.column("n_sum"), least))
+        ids = parts * np.arange(len(often)) + part + 1
+        known = {k: i for k, i in zip(zip(often.column("lang").to_pylist(), often.column("word").to_pylist()), ids.tolist())}
+        back = [squeezed(np.fromiter((known.get((x, w), 0) for w in words), np.int64, len(words))) for x, words in zip(langs, held)]
+        totals = table.group_by("lang", use_threads=False).aggregate([("n", "sum")])
+        blank = lambda k, t: pa.nulls(k, t)
+        k, m, b = len(often), len(totals), len(back)
+        columns = {
+            "id": [pa.array(ids, pa.int64()), blank(m + b, pa.int64())], "lang": [often.column("lang").combine_chunks(), totals.column("lang").combine_chunks(), blank(b, pa.string())],
+            "phrase": [often.column("word").combine_chunks().cast(pa.string()), blank(m + b, pa.string())], "a": [often.column("n_sum").combine_chunks(), blank(m + b, pa.int64())],
+            "n": [blank(k, pa.int64()), totals.column("n_sum").combine_chunks(), blank(b, pa.int64())], "block": [blank(k + m, pa.int64()), pa.array(block, pa.int64())],
+            "part": [blank(k + m, pa.int32()), pa.array([part] * b, pa.int32())], "ids": [blank(k + m, pa.binary()), pa.array(back, pa.binary())],
+        }
+        return pa.table({name: pa.concat_arrays(x) for name, x in columns.items()})
+
+    dictionaries = blocks.where("part is not null").select("part", "block", "lang", "size", "words", "counts")
+    return dictionaries.groupBy("part").applyInArrow(count, "id bigint, lang string, phrase string, a bigint, n bigint, block bigint, part int, ids binary")
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df``, written, plus id: 1, 2, 3, .. in any order. One number a partition reaches the driver."""
-    own = materialize(df.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    before, firsts = 1, {}
-    for p, n in sorted(own.groupBy(part.alias("p")).count().collect()):
-        firsts[p], before = before, before + n
-    if not firsts:
-        return own.withColumnRenamed("_id", "id")
-    first = F.create_map(*(F.lit(x) for kv in firsts.items() for x in kv))[part]
-    return own.select(*df.columns, (first + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint").alias("id"))
-
-
-def numbers(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``df``, written, plus id: numbers of their own, in any order."""
+    return materialize(df.withColumn("id", F.monotonically_increasing_id()))
+
+
+def numbers(blocks: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """ids (int32 of frequent words in text order, 0 a break) of each block."""
-    at = blocks.where("word is not null").select("block", "lang", "word", "code").join(frequent.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("block", "code", "id")
 
-    def rewrite(_key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
+    def rewrite(_key: tuple, own: pa.Table, known: pa.Table) -> pa.Table:
+        lists = [(p, loosened(x)) for p, x in zip(known.column("part").to_pylist(), known.column("ids").to_pylist())]
+        ids = np.zeros(max((p + parts * (len(x) - 1) for p, x in lists), default=-1) + 2, np.int32)
+        for p, x in lists:
+            ids[p + parts * np.arange(len(x))] = x
+        ids[-1] = 0  # code -1, a break
         out = []
-        for raw in own.column("codes").to_pylist():
-            codes = np.frombuffer(raw, np.int32)
-            ids = np.zeros(int(codes.max()) + 2, np.int32)
-            ids[found.column("code").to_numpy()] = found.column("id").to_numpy()
-            ids[-1] = 0
-            got = ids[codes]
+        for raw, n in zip(own.column("codes").to_pylist(), own.column("size").to_pylist()):
+            got = ids[np.frombuffer(pa.decompress(raw, n, "zstd"), np.int32)]
             keep = got > 0
             keep[:-1] |= got[1:] > 0
             out.append(got[keep].tobytes())
         return pa.table({"ids": pa.array(out, pa.binary())})
 
-    own = blocks.where("word is null").select(F.col("block").alias("own"), "codes")
-    return own.groupBy("own").cogroup(at.groupBy("block")).applyInArrow(rewrite, "ids binary")
+    own, known = blocks.where("part is null").select("block", "codes", "size"), found.where("block is not null").select(F.col("block").alias("of"), "part", "ids")
+    return own.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(rewrite, "ids binary")
 
 
 def digits_of(own: np.ndarray, digits: int) -> np.ndarray:
@@ -302,15 +325,14 @@ def grown(candidates: DataFrame, below: DataFrame) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[list[DataFrame], DataFrame]:
     """Of each length from one: id, lang, first and last (ids of all words but the last, but the first), words, a, pre and suf
     (counts of its first and of its last 1, 2, .. words), phrase, word (the last); and lang, n (words in all)."""
-    blocks = materialize(word_blocks(docs, text_col, lang_col))
-    words = blocks.where("word is not null")
-    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(word_blocks(docs, parts, text_col, lang_col), "block", parts)
+    found = materialize(frequent_words(blocks, parts, least))
+    totals = found.where("n is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     none = F.array().cast("array<bigint>")
-    level = numbered(words.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("a")).where(F.col("a") >= least))
-    level = level.select("id", "lang", F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.array(F.col("id").cast("int")).alias("words"), "a", none.alias("pre"), none.alias("suf"), "phrase", F.col("phrase").alias("word"))
-    texts = materialize(numbers(blocks, level))
+    level = found.where("id is not null").select("id", "lang", F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.array(F.col("id").cast("int")).alias("words"), "a", none.alias("pre"), none.alias("suf"), "phrase", F.col("phrase").alias("word"))
+    texts = materialize(numbers(blocks, found, parts))
     release(blocks)
-    levels = [level]
     sums = pair_counts(texts).groupBy("first", "last").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     levels = [level, numbered(grown(sums, level))]
     candidates = None

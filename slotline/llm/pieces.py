@@ -14,21 +14,17 @@ A model whose pieces cross markers, or that changes texts before it cuts them, i
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARK, as_text, block_ids, bucketed, read, repeated_ranges, spaced, string_array, text_chunks, trimmed, utf8
+from .common import END, LEVEL, MARK, as_text, block_ids, bucketed, dealt_dictionary, loosened, read, repeated_ranges, spaced, squeezed, string_array, text_chunks, trimmed, utf8
 
 #: Bytes of texts that share a dictionary: the more, the smaller the dictionaries are together.
 BLOCK_BYTES = 3 << 23
-#: Level of compression.
-LEVEL = 3
 #: Texts of about so many ids are decoded at a time.
 DECODE_IDS = 1 << 20
 
@@ -68,18 +64,6 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """Whole numbers below 2**32 as compressed planes of their bytes."""
-    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
-    return len(values).to_bytes(8, "little") + (pa.Codec("zstd", LEVEL).compress(planes.tobytes(), asbytes=True) if len(values) else b"")
-
-
-def loosened(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
-
-
 def coded_blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
     """Two kinds of rows: block, doc_ids, sizes (chunks of each) and codes of some documents; block, part, words (compressed,
     each ended by a byte that no text has, in order of their codes) and size (its length) of a dictionary."""
@@ -95,22 +79,12 @@ def coded_blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> Dat
     def one_block(block: int, doc_id: pa.Array, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = chunk_starts(data, offsets)
         coded = string_array(data, np.append(start, len(data))).dictionary_encode()
-        first, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        raw = [w.encode() for w in words]
-        part = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)).astype(np.int64) % parts
-        # near in the alphabet compresses well, frequent first makes small codes: by frequency in powers of two, then by letters
-        rank = np.empty(len(raw), np.int64)
-        rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(raw))
-        often = np.log2(np.bincount(first, minlength=len(raw))).astype(np.int64)
-        order = np.lexsort((rank, -often, part))
-        cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
-        code = np.empty(len(raw), np.int64)
-        code[order] = (np.arange(len(order)) - np.repeat(cuts[:-1], np.diff(cuts))) * parts + part[order]
+        first = coded.indices.to_numpy()
+        code, _, bags = dealt_dictionary(coded.dictionary, np.bincount(first, minlength=len(coded.dictionary)), parts)
         edges = np.searchsorted(start, offsets)
         own = pa.ListArray.from_arrays(pa.array([0, len(doc_id)], pa.int32()), doc_id)
         yield rows(block, doc_id.type, own, [squeezed(np.diff(edges))], [squeezed(code[first])], None, None, None)
-        bags = [b"".join(raw[k] + END for k in order[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]
-        yield rows(block, doc_id.type, None, None, None, part[order[cuts[:-1]]], [pa.Codec("zstd", LEVEL).compress(x, asbytes=True) for x in bags], [len(x) for x in bags])
+        yield rows(block, doc_id.type, None, None, None, [p for p, _ in bags], [pa.Codec("zstd", LEVEL).compress(x, asbytes=True) for _, x in bags], [len(x) for _, x in bags])
 
     def rows(block: int, id_type: pa.DataType, *columns: object) -> pa.RecordBatch:
         n = len(columns[0] if columns[0] is not None else columns[-1])
@@ -122,10 +96,6 @@ def coded_blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> Dat
     return own.mapInArrow(trimmed(run), f"block bigint, doc_ids array<{kind}>, sizes binary, codes binary, part int, words binary, size bigint")
 
 
-#: Ends a chunk in a dictionary; no UTF-8 text holds it.
-END = b"\xff"
-
-
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) as the library encodes each text, without begin and end ids."""
     kind = docs.schema[id_col].dataType.simpleString()
