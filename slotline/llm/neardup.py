@@ -231,6 +231,13 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def binary_numbers(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit numbers of a binary column end to end, not copied, and where each row's begin."""
+    edges = np.frombuffer(items.buffers()[1], np.int32)[items.offset : items.offset + len(items) + 1].astype(np.int64)
+    flat = np.frombuffer(items.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+    return flat.view(U), (edges - edges[0]) // 8
+
+
 def confirm(groups: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, n: int, id_col: str, text_col: str) -> DataFrame:
     """a, b edges (one for each member but a group's first) between classes that full sets link. ``groups``: key, block."""
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -250,11 +257,19 @@ def confirm(groups: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, n
 
     def link(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches_, "block"):
-            got = dict(zip(group.column("key").to_pylist(), group.column("items").to_pylist()))
-            keys, items = list(got), [np.frombuffer(x, U) for x in got.values()]
-            size = np.array([len(x) for x in items])
-            ids = np.unique(np.concatenate(items), return_inverse=True)[1].astype(np.int32)
-            edge = np.concatenate([[0], np.cumsum(size)])
+            names = group.column("key").to_pylist()
+            first = dict(zip(names, range(len(names))))  # a key may come from several rows
+            keys, items = list(first), group.column("items").combine_chunks()
+            if len(keys) < len(names):
+                items = items.take(pa.array(list(first.values())))
+            flat, edge = binary_numbers(items)
+            del group
+            size = np.diff(edge)
+            # equal hashes get one number, by one sort in place of what np.unique holds
+            order = np.argsort(flat)
+            ids = np.empty(len(flat), np.int32)
+            ids[order] = np.cumsum(np.diff(flat[order], prepend=flat[order[:1]]) != 0, dtype=np.int32)
+            del order
             marked = np.zeros(int(ids.max()) + 1, bool)
 
             def near(x: int, others: np.ndarray) -> np.ndarray:
