@@ -10,6 +10,7 @@ from slotline.functions import hexabi, registry, u256
 from slotline.operators import aggs, audit, classify, extract, joins, merge, pages, reconcile, search, seq
 from slotline.plans.chain import AUDIT, GATES, TXS, ZERO, H, audit_events, hx, txs
 from slotline.plans.queries import SEC, W, events, gates, register, stack_sql, transfer_logs
+from slotline.sources import buckets
 from slotline.sources.io import scratch, table
 from slotline.streaming import streams
 
@@ -876,9 +877,38 @@ def stream_balances(s, d):
 
 @register("stream_address_stats", "SELECT o_custkey, count(*) AS txs, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1")
 def stream_address_stats(s, d):
-    compute = lambda x: x.groupBy("o_custkey").agg(F.count("*").alias("txs"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
-    path = run(s, d, "orders", lambda p: streams.recompute_into(f"{p}/rows", lambda: table(s, d, "orders"), ["o_custkey"], compute))
-    return merge.dedupe_last(s.read.parquet(f"{path}/rows"), ["o_custkey"], "batch").drop("batch")
+    path = run(s, d, "orders", lambda p: streams.address_stats_into(p, "o_orderkey", "o_orderkey", ["o_custkey"]))
+    return streams.address_stats_of(s, path).select(F.col("address").alias("o_custkey"), "txs", F.col("first_seen").alias("first"), F.col("last_seen").alias("last"))
+
+
+@register("stream_merge", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'late' ELSE o_orderstatus END AS status, o_custkey AS owner, CASE WHEN o_orderkey % 10 = 0 THEN o_custkey END AS extra FROM orders UNION ALL SELECT -o_orderkey - 1, 'late', o_custkey, o_custkey FROM orders WHERE o_orderkey % 100 = 0")
+def stream_merge(s, d):
+    """A stream of all orders merged into a bucketed table, then a batch that changes a tenth of them and adds some, twice."""
+    shape = s.createDataFrame([], "o_orderkey bigint, status string, owner bigint, extra bigint").schema
+    o, bucket = F.col("o_orderkey"), buckets.by_range("o_orderkey", 12)
+    apply = lambda p: streams.merge_into(p, shape, bucket, lambda old, new: merge.upsert_merge(old, new, ["o_orderkey"], {"status": "replace", "extra": "fill"}))
+    path = run(s, d, "orders", apply, o.cast("bigint").alias("o_orderkey"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").cast("bigint").alias("owner"), F.lit(None).cast("bigint").alias("extra"))
+    c = F.col("o_custkey").cast("bigint")
+    changed = table(s, d, "orders").where(o % 10 == 0).select(o.cast("bigint").alias("o_orderkey"), F.lit("late").alias("status"), c.alias("owner"), c.alias("extra"))
+    added = table(s, d, "orders").where(o % 100 == 0).select((-o - 1).cast("bigint").alias("o_orderkey"), F.lit("late").alias("status"), c.alias("owner"), c.alias("extra"))
+    for _ in range(2):
+        apply(path)(changed.unionByName(added), 1000)
+    return streams.merged(s, path, shape, bucket)
+
+
+@register("stream_recheck", "SELECT o_orderkey, coalesce(bool_or(l_orderkey + l_partkey % 900 BETWEEN o_orderkey AND o_orderkey + 500), false) AS resolved FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' AND o_orderkey < (SELECT max(o_orderkey) FROM orders) - 3000 GROUP BY 1")
+def stream_recheck(s, d):
+    """Open orders wait 500 positions for a line of theirs that is seen late; what is near the end of the streams is still open."""
+    path = scratch(s)
+    source = lambda name: s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+    feed = source("orders").where("o_orderstatus <> 'F'").select("o_orderkey")
+    late = source("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_orderkey") + F.col("l_partkey") % 900).alias("seen"))
+    found = streams.recheck_stream(feed, late, ["o_orderkey"], "o_orderkey", "seen", 500)
+    save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+    found.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
+    tip = table(s, d, "orders").agg(F.max("o_orderkey").alias("tip"))
+    rows = s.read.schema("o_orderkey bigint, resolved boolean").parquet(f"{path}/rows")
+    return rows.join(F.broadcast(tip)).where("o_orderkey < tip - 3000").groupBy("o_orderkey").agg(F.bool_or("resolved").alias("resolved"))  # one row
 
 
 @register("stream_windows", f"SELECT {SEC} // 86400 * 86400 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -17,6 +17,7 @@ from slotline.operators.merge import batch_announce, new_rows
 from slotline.operators.reconcile import finality_watermark, hold_valve
 from slotline.operators.seq import sliding_windows
 from slotline.operators.upkeep import merge_record, recheck_window
+from slotline.sources.buckets import BucketedTable, by_range
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 100) -> DataFrame:
@@ -175,6 +176,73 @@ def recompute_into(path: str, feed: Callable[[], DataFrame], keys: list[str], co
     return apply
 
 
+def merge_into(path: str, schema: StructType, bucket: Callable[[DataFrame], Column], rule: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Each batch merged into a bucketed table by ``rule(stored, batch)`` (an upsert, an insert of new keys, ..): it reads and
+    writes the buckets that it touches, whatever the table's size. ``merged`` reads the table."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            BucketedTable(batch.sparkSession, path, schema, bucket).merge(batch, number, rule)
+        finally:
+            batch.unpersist()
+
+    return apply
+
+
+def merged(spark: SparkSession, path: str, schema: StructType, bucket: Callable[[DataFrame], Column]) -> DataFrame:
+    return BucketedTable(spark, path, schema, bucket).read()
+
+
+def address_stats_into(path: str, key: str, at: str, legs: list[str], bits: int = 14) -> Callable[[DataFrame, int], None]:
+    """Transactions of each address, exact under redelivery, without a look back at the feed.
+
+    The pairs (address, transaction) that were seen are kept in buckets of 2**bits positions; a batch reads those of its own
+    positions, where a redelivered transaction must be, and adds what is new. New pairs are summed to a row an address under
+    ``deltas``; ``address_stats_of`` adds the deltas up. A hot address's pairs are spread over its positions."""
+    seen = f"{path}/seen"
+
+    def apply(batch: DataFrame, number: int) -> None:
+        arms = F.array_distinct(F.array(*[F.col(c) for c in legs]))
+        pairs = batch.select(F.col(key).alias("key"), F.col(at).alias("at"), F.explode(arms).alias("address")).where("address IS NOT NULL").distinct().persist()
+        try:
+            table = BucketedTable(batch.sparkSession, seen, pairs.schema, by_range("at", bits))
+            touched = table.touched(pairs)
+            old = table.read(touched, number)
+            new = pairs.join(old.select("address", "key"), ["address", "key"], "left_anti").select("key", "at", "address")
+            if touched:
+                table.write(old.unionByName(new), touched, number)
+            counted = new.groupBy("address").agg(F.count("*").alias("txs"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
+            counted.write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
+        finally:
+            pairs.unpersist()
+
+    return apply
+
+
+def address_stats_of(spark: SparkSession, path: str) -> DataFrame:
+    """address, txs, first_seen, last_seen over all deltas."""
+    return spark.read.parquet(f"{path}/deltas").groupBy("address").agg(F.sum("txs").alias("txs"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+def recheck_stream(feed: DataFrame, late: DataFrame, keys: list[str], position: str, seen: str, n: int, disorder: int = 0) -> DataFrame:
+    """Open rows of a feed with whether their late input came while they were within ``n`` positions of it: resolved ones at once,
+    the others, resolved false, when their time is over. Both are streams; nothing is read twice.
+
+    feed: keys, ``position``; late: keys, ``seen`` (the position at which the input was seen). Positions are taken as event time, so
+    the join's state holds the rows of the last ``n + disorder`` positions only; ``disorder`` is how far behind its
+    stream's highest position a row may come."""
+    moment = lambda c: F.timestamp_seconds(F.col(c) + 1)  # noqa: E731  a first watermark is 0, and what is not past it is late
+    own = feed.withColumn("_at", moment(position)).withWatermark("_at", f"{disorder} seconds")
+    came = late.select(*[F.col(k).alias(f"_late_{k}") for k in keys], moment(seen).alias("_seen")).withWatermark("_seen", f"{disorder} seconds")
+    # one input settles a row: redelivered ones go while they are in the state
+    came = came.dropDuplicatesWithinWatermark([f"_late_{k}" for k in keys] + ["_seen"])
+    on = (F.col("_seen") >= F.col("_at")) & (F.col("_seen") <= F.col("_at") + F.expr(f"INTERVAL {int(n)} SECONDS"))
+    for k in keys:
+        on &= F.col(k) == F.col(f"_late_{k}")
+    return own.join(came, on, "left_outer").select(*feed.columns, F.col("_seen").isNotNull().alias("resolved"))
+
+
 def announce_into(path: str, by: list[str], order: str, key: str, oracle: str) -> Callable[[DataFrame, int], None]:
     """The announcement of each batch, a folder a batch."""
 
