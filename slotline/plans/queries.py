@@ -657,4 +657,4 @@ def bytes32_to_base58(s, d):
     return table(s, d, "customer").select("c_custkey", hexabi.bytes32_to_base58(F.concat(F.lit("0x"), F.sha2(F.col("c_custkey").cast("string"), 256))).alias("key"))
 
 
-from slotline.plans import more  # noqa: E402, F401  registers its queries
+from slotline.plans import more, rebuilds  # noqa: E402, F401  register their queries
