@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import END, FOLD, LEVEL, as_text, block_ids, bucketed, dealt_dictionary, loosened, materialize, read, release, repeated_ranges, squeezed, string_array, text_chunks, trimmed, utf8
+from .common import END, FOLD, LEVEL, U, as_text, block_ids, bucketed, dealt_dictionary, loosened, materialize, mix, read, release, repeated_ranges, squeezed, string_array, text_chunks, trimmed, utf8
 
 LEAST, LONGEST, TOP = 100, 5, 2_000
 #: Bytes of text of a block.
@@ -259,8 +259,47 @@ def tries(candidates: DataFrame, depth: int) -> list[Broadcast]:
     return out
 
 
-def counted(texts: DataFrame, sent: list[Broadcast], depth: int, counts: bool, neighbours: bool) -> DataFrame:
-    """As asked for, rows id, n (a block's count of a phrase) and rows id, next (overlapping accepted phrases of a block)."""
+def packed(kind: int, parts: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row for each part that the keys (a, b) are dealt to: sorted keys, the first as steps, and what they count."""
+    part = (mix(a.astype(U) * U(0x9E3779B97F4A7C15) ^ b.astype(U)) % U(parts)).astype(np.int64)
+    order = np.lexsort((b, a, part))
+    cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+    own = [order[x:y] for x, y in zip(cuts, cuts[1:])]
+    columns = [pa.array([part[k[0]] for k in own], pa.int32()), *(pa.array([planes(f(k)) for k in own], pa.binary()) for f in (lambda k: np.diff(a[k], prepend=0), lambda k: b[k], lambda k: n[k]))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), *columns], PACKED)
+
+
+PACKED = ["kind", "part", "a", "b", "n"]
+PACKED_TYPE = "kind int, part int, a binary, b binary, n binary"
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Longs as compressed planes of their bytes."""
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd"), np.uint8).reshape(8, n).T).view("<i8").ravel()
+
+
+def summed(rows: DataFrame, least: int) -> DataFrame:
+    """a, b, n of keys that count ``least`` over all blocks: all rows of a key meet in its part, and are added up there."""
+
+    def add(_key: tuple, own: pa.Table) -> pa.Table:
+        a, b, n = (np.concatenate([f(unplaned(x)) for x in own.column(c).to_pylist()]) for c, f in (("a", np.cumsum), ("b", np.asarray), ("n", np.asarray)))
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-2) != 0))
+        total = np.add.reduceat(n, first)
+        keep = first[total >= least]
+        return pa.table({"a": a[keep], "b": b[keep], "n": total[total >= least]})
+
+    return rows.groupBy("part").applyInArrow(add, "a bigint, b bigint, n bigint")
+
+
+def counted(texts: DataFrame, sent: list[Broadcast], depth: int, counts: bool, neighbours: bool, parts: int) -> DataFrame:
+    """Packed rows of each block, as asked for: kind 0, counts of its phrases (b is 0); kind 1, overlapping accepted phrases (n is 1)."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -280,7 +319,8 @@ def counted(texts: DataFrame, sent: list[Broadcast], depth: int, counts: bool, n
                     if counts:
                         n = np.bincount(number, minlength=len(trie["ids"]))
                         got = np.flatnonzero(n)
-                        yield three(trie["ids"][got], None, n[got])
+                        if len(got):
+                            yield packed(0, parts, trie["ids"][got], np.zeros(len(got), np.int64), n[got])
                     if len(sent) > 1:  # one trie at a time in a worker's memory; the value is loaded again from the local copy
                         b.__dict__.pop("_value", None)
                 if neighbours:
@@ -290,17 +330,13 @@ def counted(texts: DataFrame, sent: list[Broadcast], depth: int, counts: bool, n
                     k = int(both.sum())
                     pair = np.unique(inverse[:k] * np.int64(len(keys)) + inverse[k:])
                     if len(pair):
-                        yield three(keys[pair // len(keys)], keys[pair % len(keys)], None)
-
-    def three(first: np.ndarray, second: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
-        size = len(first)
-        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), *(pa.nulls(size, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (second, n))], ["id", "next", "n"])
+                        yield packed(1, parts, keys[pair // len(keys)], keys[pair % len(keys)], np.ones(len(pair), np.int64))
 
-    return texts.mapInArrow(trimmed(run), "id bigint, next bigint, n bigint")
+    return texts.mapInArrow(trimmed(run), PACKED_TYPE)
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """first, last, n: a block's counts of neighbouring frequent words."""
+def pair_counts(texts: DataFrame, parts: int) -> DataFrame:
+    """Packed rows of a block's counts of neighbouring frequent words."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -308,9 +344,10 @@ def pair_counts(texts: DataFrame) -> DataFrame:
                 ids = np.frombuffer(raw, np.int32).astype(np.int64)
                 both = (ids[:-1] > 0) & (ids[1:] > 0)
                 pair, n = np.unique(ids[:-1][both] << 32 | ids[1:][both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["first", "last", "n"])
+                if len(pair):
+                    yield packed(0, parts, pair >> 32, pair & 0xFFFFFFFF, n)
 
-    return texts.mapInArrow(trimmed(run), "first bigint, last bigint, n bigint")
+    return texts.mapInArrow(trimmed(run), PACKED_TYPE)
 
 
 def grown(candidates: DataFrame, below: DataFrame) -> DataFrame:
@@ -333,24 +370,24 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     level = found.where("id is not null").select("id", "lang", F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.array(F.col("id").cast("int")).alias("words"), "a", none.alias("pre"), none.alias("suf"), "phrase", F.col("phrase").alias("word"))
     texts = materialize(numbers(blocks, found, parts))
     release(blocks)
-    sums = pair_counts(texts).groupBy("first", "last").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    sums = summed(pair_counts(texts, parts), least).select(F.col("a").alias("first"), F.col("b").alias("last"), F.col("n").alias("a"))
     levels = [level, numbered(grown(sums, level))]
     candidates = None
     for depth in range(2, longest + 1):
         # pairs are counted already: their tries only find which of them overlap
         sent = tries(candidates if depth > 2 else levels[-1], depth)
-        found = materialize(counted(texts, sent, depth, depth > 2, depth < longest))
+        counts = materialize(counted(texts, sent, depth, depth > 2, depth < longest, parts))
         for b in sent:
             b.unpersist()
         if depth > 2:
-            sums = found.where("next is null").groupBy("id").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+            sums = summed(counts.where("kind = 0"), least).select(F.col("a").alias("id"), F.col("n").alias("a"))
             levels.append(materialize(grown(candidates.select("id", "first", "last").join(sums, "id"), levels[-1])))
         if depth < longest:
             own = levels[-1].select("id", "words")
             heads, tails = own.withColumnRenamed("id", "first"), own.select(F.col("id").alias("last"), F.element_at("words", -1).alias("w"))
-            pairs = found.where("next is not null").select(F.col("id").alias("first"), F.col("next").alias("last")).distinct()
+            pairs = summed(counts.where("kind = 1"), 1).select(F.col("a").alias("first"), F.col("b").alias("last"))
             candidates = materialize(pairs.join(heads, "first").join(tails, "last").select(F.monotonically_increasing_id().alias("id"), "first", "last", F.concat("words", F.array("w")).alias("words")))
-        release(found)
+        release(counts)
     release(texts)
     return levels, totals
 
