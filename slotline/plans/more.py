@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from slotline.functions import hexabi, registry, u256
-from slotline.operators import aggs, audit, classify, extract, joins, merge, pages, reconcile, search, seq
+from slotline.operators import aggs, audit, classify, extract, joins, merge, pages, reconcile, rollup, search, seq
 from slotline.plans.chain import AUDIT, GATES, TXS, ZERO, H, audit_events, hx, txs
-from slotline.plans.queries import SEC, W, events, gates, register, stack_sql, transfer_logs
+from slotline.plans.queries import POINTS, SEC, W, events, gates, order_points, register, stack_sql, transfer_logs
 from slotline.sources import buckets
-from slotline.sources.io import scratch, table
+from slotline.sources.io import scratch, table, written
 from slotline.streaming import streams
 
 
@@ -458,9 +458,9 @@ def hook_registry_observed(s, d):
     return joins.registry_observed(table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("hook")), table(s, d, "lineitem").select(F.col("l_suppkey").alias("hook")), ["hook"])
 
 
-@register("pair_closure", """WITH RECURSIVE ed AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_linenumber = 1), r AS (SELECT CAST(1 AS BIGINT) AS address UNION SELECT b FROM ed JOIN r ON a = address WHERE b % 3 <> 0) SELECT address FROM r""")
+@register("pair_closure", """WITH RECURSIVE ed AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem), r AS (SELECT CAST(1 AS BIGINT) AS address UNION SELECT b FROM ed JOIN r ON a = address WHERE b % 3 <> 0) SELECT address FROM r""")
 def pair_closure(s, d):
-    edges = table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b")).distinct()
+    edges = table(s, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b")).distinct()
     return joins.pair_closure(edges, s.range(100).where("id % 3 <> 0").select(F.col("id").alias("address")), s.range(1, 2).select(F.col("id").alias("address")), 100)
 
 
@@ -547,10 +547,10 @@ def fan_out(s, d):
     return seq.fan_out(table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("source")), table(s, d, "nation").select(F.col("n_regionkey").alias("source"), F.col("n_nationkey").alias("asset")), "source").drop("source")
 
 
-@register("merge_by_position", "WITH m AS (SELECT o_orderkey // 3 AS block, o_custkey AS tx, o_orderkey AS log, 'a' AS source_name FROM orders UNION ALL SELECT l_orderkey // 3, l_partkey, l_orderkey, 'b' FROM lineitem WHERE l_linenumber = 1) SELECT *, row_number() OVER (ORDER BY block, tx, log, source_name) AS rank FROM m")
+@register("merge_by_position", "WITH m AS (SELECT o_orderkey // 3 AS block, o_custkey AS tx, o_orderkey AS log, 'a' AS source_name FROM orders UNION ALL SELECT l_orderkey // 3, l_partkey, l_orderkey, 'b' FROM lineitem) SELECT *, row_number() OVER (ORDER BY block, tx, log, source_name) AS rank FROM m")
 def merge_by_position(s, d):
     a = table(s, d, "orders").select(F.floor(F.col("o_orderkey") / 3).alias("block"), F.col("o_custkey").alias("tx"), F.col("o_orderkey").alias("log"))
-    b = table(s, d, "lineitem").where("l_linenumber = 1").select(F.floor(F.col("l_orderkey") / 3).alias("block"), F.col("l_partkey").alias("tx"), F.col("l_orderkey").alias("log"))
+    b = table(s, d, "lineitem").select(F.floor(F.col("l_orderkey") / 3).alias("block"), F.col("l_partkey").alias("tx"), F.col("l_orderkey").alias("log"))
     return seq.merge_by_position({"b": b, "a": a}, ["block", "tx", "log"])
 
 
@@ -852,6 +852,36 @@ def search_token_kind(s, d):
     return search.with_token_kind(index(s, d), table(s, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("address"), F.lit("SPL").alias("token_kind"))).select("kind", "key", "token_kind")
 
 
+RANGES = ((0, 10**9), (777, 9001), (4096, 8192), (5000, 5003))
+
+
+@register("range_histogram", f"WITH {POINTS}, r(lo, hi) AS (VALUES {', '.join(map(str, RANGES))}) SELECT lo, CASE WHEN total <= 0 THEN '0' WHEN total = 1 THEN '1' WHEN total <= 5 THEN '2-5' WHEN total <= 20 THEN '6-20' WHEN total <= 50 THEN '21-50' ELSE '50+' END AS bucket, count(*) AS blocks FROM q JOIN r ON block >= lo AND block < hi GROUP BY 1, 2")
+def range_histogram(s, d):
+    """Histograms of four ranges of blocks from one pyramid."""
+    p = written(order_points(s, d))
+    held = written(rollup.pyramid(p))
+    out = [rollup.range_histogram(p, held, lo, hi).select(F.lit(lo).alias("lo"), "bucket", "blocks") for lo, hi in RANGES]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@register("init_watermark", "SELECT c_nationkey, greatest(-1, least(max(c_custkey), min(c_custkey) + 500) - 64) AS watermark FROM customer GROUP BY 1")
+def init_watermark(s, d):
+    """Where a worker begins: ``lag`` behind the lower of source tip and production, never below -1."""
+    ends_ = table(s, d, "customer").groupBy("c_nationkey").agg(F.max("c_custkey").alias("tip"), (F.min("c_custkey") + 500).alias("produced"))
+    return ends_.select("c_nationkey", reconcile.init_watermark(F.col("tip"), F.col("produced"), 64).alias("watermark"))
+
+
+@register("stream_sessions", f"""WITH o AS (SELECT user_id, {SEC} AS sec, lag({SEC}) OVER (PARTITION BY user_id ORDER BY {SEC}) AS was FROM events), n AS (SELECT *, sum(CASE WHEN was IS NULL OR sec >= was + 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sec ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, min(sec) AS start, count(*) AS n FROM n GROUP BY user_id, k""")
+def stream_sessions(s, d):
+    """Sessions of each user, a day without an event apart."""
+    path = scratch(s)
+    own = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parque[t]").select(F.timestamp_seconds(F.unix_timestamp("ts")).alias("ts"), "user_id")
+    counted = streams.session_counts(own, "ts", "1 day", "1 day", ["user_id"]).select("user_id", F.unix_timestamp("session.start").alias("start"), "n")
+    counted.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/rows")).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/rows")
+
+
 # ---- streams: each runs over a table's files until all are read; the folder it fills is the result
 
 

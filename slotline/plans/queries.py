@@ -605,9 +605,9 @@ def hook_count_check(s, d):
     return upkeep.count_check(parsed, table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 + 1).alias("n")), ["o_orderkey"], "n")
 
 
-@register("market_match", "SELECT o_orderkey AS market, c_custkey AS asset FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN customer ON c_custkey = l_partkey OR c_custkey = l_suppkey WHERE c_nationkey < 5")
+@register("market_match", "SELECT o_orderkey AS market, c_custkey AS asset FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = l_partkey OR c_custkey = l_suppkey WHERE c_nationkey < 5")
 def market_match(s, d):
-    markets = table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("market"), F.col("l_partkey").alias("loan"), F.col("l_suppkey").alias("collateral"))
+    markets = table(s, d, "lineitem").select(F.col("l_orderkey").alias("market"), F.col("l_partkey").alias("loan"), F.col("l_suppkey").alias("collateral"))
     assets = table(s, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("asset"))
     return upkeep.market_match(table(s, d, "orders").select(F.col("o_orderkey").alias("market")), markets, assets).select("market", "asset")
 
