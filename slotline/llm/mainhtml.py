@@ -1,10 +1,10 @@
 """Main text of web pages by removal of site templates (operator 5).
 
 Every page becomes an element tree. A hash of every subtree is counted per host over pages of different content; subtrees on
-at least half of a host's pages, and on ``LEAST_PAGES``, are its template and go. Copies of a page count once, and
+at least a fifth of a host's pages, and on ``LEAST_PAGES``, are its template and go. Copies of a page count once, and
 paragraphs inside an article are never template, so a text that a host repeats is not lost. Elements that are boilerplate by
-kind (menus, forms, scripts and the like, by tag, role or class) go too. At most twice the mean number of subtrees of a
-page can recur on half of a host's pages, so the list that each host carries is bounded.
+kind (menus, forms, scripts and the like, by tag, role or class) go too. At most five times the mean number of subtrees of a
+page can recur on a fifth of a host's pages, so the list that each host carries is bounded.
 
 Pages meet their host's list in a sort-merge join. A host that holds more than an even share of the bytes is dealt over as
 many salts as shares it holds; parts grow in number with the bytes, and there are fewer such hosts than parts, so their
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import as_text, materialize, read, trimmed
 from .urlrules import split_url
 
-LEAST_PAGES, LEAST_SHARE = 10, 0.5
+LEAST_PAGES, LEAST_SHARE = 10, 0.2
 #: Pages that one part of the join reads.
 BYTES_PER_PART = 1 << 26
 QUOTE = "\"'"
@@ -42,7 +43,10 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GONE = frozenset("head script style noscript template nav footer aside form iframe svg button select textarea input label fieldset menu dialog canvas object audio video map title xmp noembed noframes".split())
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-GONE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|cookies?|consent|gdpr|notice|popup|modal|overlay|sidebar|menu|nav|navbar|navigation|footer|masthead|comments?|respond|disqus|replies|share|sharing|social|related|recommended|promo|newsletter|subscribe|sponsor\w*|widget)(?:$|[\s_-])", re.I)
+#: Parts of class names and ids that stand for boilerplate, and those that only say where or what shape. A name counts if it has
+#: one of the first kind and no part of another kind: "cookie-notice-bar" does, "notice-board" and "related-work" do not.
+GONE_PARTS = re.compile(r"ads?|advert\w*|adsense|banner|breadcrumbs?|cookies?|consent|gdpr|notice|popup|modal|overlay|sidebar|menu|nav|navbar|navigation|footer|masthead|comments?|respond|disqus|replies|share|sharing|social|related|recommended|promo|newsletter|subscribe|sponsor\w*|widget")
+PLACE_PARTS = re.compile(r"box|bar|block|wrap\w*|container|area|section|top|bottom|left|right|main|site|page|inner|outer|list|items?|links?|form|buttons?|icons?|panel|posts|articles|stories|signup|slot|unit|text|primary|secondary|global|js|\d*")
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption tr".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body details dialog div dl fieldset figure footer form header hgroup hr html main nav ol section summary table tbody thead tfoot ul br center".split())
 #: Elements that may be template as a whole.
@@ -175,10 +179,26 @@ def parse(html: str) -> Element:
     return root
 
 
+@lru_cache(10_000)
+def named_gone(names: str, parts: re.Pattern = GONE_PARTS) -> bool:
+    """Whether a class or id among ``names`` stands for boilerplate as a whole."""
+    for name in names.lower().split():
+        own = re.split(r"[-_]+", name)
+        if any(parts.fullmatch(x) for x in own) and all(parts.fullmatch(x) or PLACE_PARTS.fullmatch(x) for x in own):
+            return True
+    return False
+
+
+#: What an article may not be named.
+COMMENT_PARTS = re.compile(r"comments?")
+
+
 def boilerplate(e: Element, inside: bool) -> bool:
     if e.tag in GONE or (e.tag == "header" and not inside) or e.role in GONE_ROLES:
         return True
-    return bool(e.names) and e.tag not in ("html", "body", "article", "main") and bool(GONE_NAMES.search(e.names)) or (e.tag == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", e.names, re.I)))
+    if not e.names or e.tag in ("html", "body", "main"):
+        return False
+    return named_gone(e.names, COMMENT_PARTS) if e.tag == "article" else named_gone(e.names)
 
 
 def content(root: Element, gone: set[int] | frozenset[int] = frozenset()) -> list[tuple[Element, bool]]:

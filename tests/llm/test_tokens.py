@@ -158,3 +158,18 @@ def test_spaced_texts_and_ranges():
     data, offsets = common.spaced(*common.utf8(pa.array(["ab", None, "", " é"])))
     assert data.tobytes() == " ab  é".encode() and offsets.tolist() == [0, 3, 3, 3, 7]
     assert common.repeated_ranges(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+
+
+def test_names_and_notices_of_pages(spark):
+    """A name that only sounds like boilerplate keeps its text; a notice on two fifths of a host's pages goes."""
+    from slotline.llm import mainhtml
+
+    kept = '<div class="related-work"><p>Our work.</p></div><div class="notice-board"><p>News.</p></div>'
+    gone = '<div class="cookie-notice bar">We use</div><div id="comments">bad</div><div class="x ad">buy</div><div class="share-buttons">x</div>'
+    notice = "<div><p>The office is closed this week.</p></div>"
+    pages = [(k, f"https://one.example/{k}", f"<html><body>{kept}<p>Page {k} tells of {k * k}.</p>{gone}{notice if k < 16 else ''}</body></html>") for k in range(40)]
+    rows = mainhtml.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    # what stands on all pages is template, whatever its name; alone on a host it is text
+    assert {r.page_id: r.text for r in rows} == {k: f"Page {k} tells of {k * k}." for k in range(40)}
+    alone = mainhtml.main_text(spark.createDataFrame(pages[:1], "page_id long, url string, html string")).first()
+    assert alone.text == "Our work. News. Page 0 tells of 0. The office is closed this week."
