@@ -133,3 +133,44 @@ def test_positions_without_order_are_refused(spark):
     p = spark.sql("SELECT 'a' AS k, 'text' AS pos, 'a' AS from_pos, 'b' AS to_pos")
     with pytest.raises(ValueError, match="whole numbers"):
         scan.sweep_join(p, p.drop("pos"), ["k"], "pos")
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("bits", [2, 20])
+def test_a_union_of_spans_holds_the_same_positions(spark, bits, closed):
+    points, spans = spans_and_points(5)
+    spans = [(k, lo and lo[0], hi and hi[0], n) for k, lo, hi, n in spans] * 3 + [("cold", 390, None, "a"), ("cold", 395, None, "b")]
+    got = scan.union_of(spark.createDataFrame(spans, "k string, lo long, hi long, name string").repartition(3), ["k"], "lo", "hi", closed, bits).collect()
+    held = lambda own: {(k, x) for k, lo, hi in own for x in range(-60, 700) if k is not None and lo is not None and x >= lo and (hi is None or (x <= hi if closed else x < hi))}
+    assert held(map(tuple, got)) == held(s[:3] for s in spans)
+    # in one segment no two overlap
+    assert bits == 2 or sum(len(held([tuple(r)])) for r in got) == len(held(map(tuple, got)))
+
+
+def test_attribution_does_not_grow_with_the_roles_of_a_key(spark):
+    """Each of 300 changes lies in all of 300 roles of its signer: one row a change leaves the look-up, none a pair."""
+    changes = spark.range(300).selectExpr("id", "'x' AS asset_id", "id + 400 AS block", "'s' AS signer")
+    sources = spark.createDataFrame([("x", "x")], "asset_id string, source string")
+    roles = spark.range(300).selectExpr("'x' AS source", "'s' AS account", "id AS role", "id AS from_block", "id + 600 AS to_block")
+    joined = []
+    was = scan.sweep_join
+    scan.sweep_join = lambda *args, **named: joined.append(args) or was(*args, **named)
+    try:
+        got = joins.signer_attribution(changes, sources, roles, None, ["id"]).collect()
+    finally:
+        scan.sweep_join = was
+    assert len(got) == 300 and {r.signed_by for r in got} == {"ISSUER_KEY"} and not joined
+    spans = joins.scan.union_of(roles, ["source", "account"], "from_block", "to_block", closed=True)
+    assert [tuple(r) for r in spans.collect()] == [("x", "s", 0, 899)]
+
+
+def test_a_sweep_gives_its_matches_in_pieces(spark):
+    import numpy as np
+
+    first, end = np.array([0, 5, 3, 0]), np.array([4, 5, 1, 9])
+    parts = list(scan.matches(first, end, 4))
+    assert max(len(span) for _, span in parts) == 4
+    assert [(int(p), int(s)) for place, span in parts for p, s in zip(place, span)] == [(p, 0) for p in range(4)] + [(p, 3) for p in range(9)]
+    p = spark.range(300).selectExpr("'one' AS k", "id AS pos", "id")
+    s = spark.range(400).selectExpr("'one' AS k", "id % 5 AS from_pos", "300 AS to_pos", "id AS name")
+    assert scan.sweep_join(p, s, ["k"], "pos").count() == 80 * sum(300 - k for k in range(5))
