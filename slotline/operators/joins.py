@@ -132,11 +132,15 @@ def fits_filter(kind: Column | None = None, values: Column | None = None) -> Col
 
 def asset_events(events: DataFrame, spans: DataFrame, key: str = "event_id", width: int = 10_000) -> DataFrame:
     """(asset_id, event) of each event in a span of its source: half-open block range on the address, and the span's filter.
-    An event counts once an asset, by its key. A span is dealt to the ranges of ``width`` blocks that it meets, so a join key
+    An event counts once an asset, by its key. Spans of one asset, address and filter that overlap are joined first, so an
+    event meets each filter of its address once, not every span that holds it. A span is dealt to the ranges of ``width`` blocks that it meets, so a join key
     is an address and a range, never an address's whole history; an open span ends at the last event."""
+    # values don't matter where all events pass
+    asked = spans.withColumn("filter_values", F.when(F.col("filter_kind") == "none", F.array().cast(spans.schema["filter_values"].dataType)).otherwise(F.coalesce("filter_values", F.array().cast(spans.schema["filter_values"].dataType))))
+    held = scan.union_of(asked.withColumn("filter_kind", F.coalesce("filter_kind", F.lit(""))), ["asset_id", "address", "filter_kind", "filter_values"], "from_block", "to_block")
     last = events.agg(F.max("block").alias("_last"))
     end = F.coalesce(F.col("to_block") - 1, F.col("_last"))
-    dealt = spans.join(F.broadcast(last)).where(end >= F.col("from_block")).withColumn("_range", F.explode(F.sequence(F.floor(F.col("from_block") / width), F.floor(end / width)))).drop("_last")  # one row
+    dealt = held.join(F.broadcast(last)).where(end >= F.col("from_block")).withColumn("_range", F.explode(F.sequence(F.floor(F.col("from_block") / width), F.floor(end / width)))).drop("_last")  # one row
     own = events.withColumn("_range", F.floor(F.col("block") / width))
     met = own.join(dealt.withColumnRenamed("address", "_address"), (own["address"] == F.col("_address")) & (own["_range"] == dealt["_range"])).where((F.col("block") >= F.col("from_block")) & (F.col("to_block").isNull() | (F.col("block") < F.col("to_block"))) & fits_filter())
     return met.select("asset_id", *(own[c] for c in events.columns)).dropDuplicates(["asset_id", key])
@@ -165,9 +169,13 @@ def signer_attribution(changes: DataFrame, sources: DataFrame, roles: DataFrame,
     that block on any source of the asset, else UNKNOWN.
 
     changes: ``key``, asset_id, block, signer; sources: asset_id, source; roles: source, account, role, from_block, to_block.
-    Changes find their roles through (source, account) and come back by their key, so nulls in other columns don't matter."""
+    Changes find their roles through (source, account) and come back by their key, so nulls in other columns don't matter. Any
+    open role will do, so overlapping ones are joined first and a change looks up the last that began: no pairs are made."""
     asked = changes.where("signer IS NOT NULL").select(*key, "asset_id", "block", F.col("signer").alias("account")).join(sources.select("asset_id", "source").distinct(), "asset_id")
-    held = role_open_at(asked, roles).select(*key).distinct().withColumn("_holds", F.lit(True))
+    spans = scan.union_of(roles, ["source", "account"], "from_block", "to_block", closed=True)
+    begun = spans.select("source", "account", F.col("from_block").alias("from_pos"), F.struct(F.col("to_block").alias("end")).alias("span"))
+    met = as_of(asked, begun, ["source", "account"], "block", "span").where(F.col("span").isNotNull() & (F.col("span.end").isNull() | (F.col("block") <= F.col("span.end"))))
+    held = met.select(*key).distinct().withColumn("_holds", F.lit(True))
     signed = F.when(F.col("signer").isNull(), "UNKNOWN").when(F.col("signer") == F.lit(multisig), "MULTISIG").when(F.col("_holds"), "ISSUER_KEY").otherwise("UNKNOWN")
     return changes.join(held, key, "left").withColumn("signed_by", signed).drop("_holds")
 
