@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slotline.sources.io import written
+
 
 def search_index(txs: DataFrame, blocks: DataFrame, tokens: DataFrame, labels: DataFrame, addresses: DataFrame) -> DataFrame:
     """kind, key, text, weight; a labelled address replaces the plain one. Inputs: key and text."""
@@ -40,14 +42,51 @@ def with_token_kind(found: DataFrame, tokens: DataFrame) -> DataFrame:
     return found.join(kinds.withColumn("kind", F.lit("token")), ["kind", "key"], "left")
 
 
+def ranked_sets(own: DataFrame, counts: DataFrame, name: str, size: str) -> DataFrame:
+    """Distinct trigram sets of ``own`` (``set``) as arrays in one order for all, rarest trigram first, with their sizes."""
+    grams = own.select("set").distinct().withColumn("g", F.explode("set")).join(counts, "g", "left")
+    rare = F.concat(F.lpad(F.hex(F.coalesce("df", F.lit(0))), 16, "0"), "g")
+    return grams.groupBy("set").agg(F.array_sort(F.collect_list(rare)).alias(name)).withColumn(size, F.size(name))
+
+
 def search_many(index: DataFrame, queries: DataFrame, k: int = 20, least: float = 0.05) -> DataFrame:
-    """The same for a table of queries over an inverted trigram index. Inputs: kind, key, text, weight; query."""
-    own = index.withColumn("_g", trigrams(F.col("text"))).select("kind", "key", "weight", F.size("_g").alias("_n"), F.explode("_g").alias("g"))
-    asked = queries.select("query").distinct().withColumn("_q", trigrams(F.col("query"))).select("query", F.size("_q").alias("_m"), F.explode("_q").alias("g"))
-    shared = own.join(asked, "g").groupBy("query", "kind", "key", "weight", "_n", "_m").agg(F.count("*").alias("_k"))
-    scored = shared.withColumn("similarity", F.col("_k") / (F.col("_n") + F.col("_m") - F.col("_k"))).where(F.col("similarity") > least)
-    best = W.partitionBy("query").orderBy(F.desc("similarity"), F.desc("weight"), "kind", "key")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "kind", "key", "similarity")
+    """The same for a table of queries. Inputs: kind, key, text, weight; query. Exact, without all pairs that share a trigram:
+
+    Texts of the same trigrams are one set, of which only the k best rows can be found. For each asked set the texts that share
+    one of its rarest trigrams give a floor, the similarity of the k-th row among them. A set that reaches a floor t shares at
+    least t * m of the m trigrams asked, so also one of the m - t * m + 1 rarest, and only those are looked up."""
+    own = index.withColumn("set", F.array_sort(trigrams(F.col("text")))).where(F.size("set") > 0)
+    best = W.partitionBy("set").orderBy(F.desc("weight"), "kind", "key")
+    rows = written(own.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("set", "kind", "key", "weight"))
+    asked = written(queries.select("query").distinct().withColumn("set", F.array_sort(trigrams(F.col("query")))).where(F.size("set") > 0))
+    weights = rows.groupBy("set").agg(F.count("*").alias("rows"))
+    counts = weights.select(F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    places = written(ranked_sets(rows, counts, "d", "n").join(weights, "set"))
+    wanted = written(ranked_sets(asked, counts, "a", "m"))
+    posted = places.select("set", "d", "n", "rows", F.posexplode("d").alias("j", "g"))
+    looked = wanted.select("set", "a", "m", F.posexplode("a").alias("i", "g"))
+    # the count of a trigram stands in front of it
+    met = F.sum(F.conv(F.substring("g", 1, 16), 16, 10).cast("bigint")).over(W.partitionBy("set").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
+    few = looked.withColumn("_met", F.coalesce(met, F.lit(0))).where(F.col("_met") < 20 * k).drop("_met")
+
+    def paired(some: DataFrame, fits: Column) -> DataFrame:
+        """Pairs that share one of these trigrams, each once, where it shares its first one."""
+        both = some.select(F.col("set").alias("asked"), "a", "m", "i", "g", *[c for c in some.columns if c == "floor"]).join(posted, "g").where(fits)
+        both = both.withColumn("_same", F.explode(F.array(F.array_intersect("a", "d")))).where(F.col("_same")[0] == F.col("g"))
+        return both.withColumn("similarity", F.size("_same") / (F.col("n") + F.col("m") - F.size("_same"))).where(F.col("similarity") > least)
+
+    upto = F.sum("rows").over(W.partitionBy("asked").orderBy(F.desc("similarity")))
+    first = paired(few, F.lit(True)).withColumn("_upto", upto).where(F.col("_upto") >= k)
+    floors = first.groupBy(F.col("asked").alias("set")).agg(F.max("similarity").alias("floor"))
+    t, m, n = F.coalesce("floor", F.lit(least)), F.col("m"), F.col("n")
+    # what must be shared, a little less for the rounding of doubles
+    prefix = looked.join(floors, "set", "left").withColumn("floor", t).where(F.col("i") <= m - F.ceil(F.col("floor") * m - 1e-9))
+    share = F.ceil(F.col("floor") * (m + n) / (1 + F.col("floor")) - 1e-9)
+    near = paired(prefix, F.least(m - F.col("i"), n - F.col("j")) >= share).where(F.col("similarity") >= F.col("floor"))
+    found = near.select("asked", "set", "similarity").join(rows, "set").select("asked", "similarity", "weight", "kind", "key")
+    order = W.partitionBy("asked").orderBy(F.desc("similarity"), F.desc("weight"), "kind", "key")
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return asked.select("query", F.col("set").alias("asked")).join(top, "asked").select("query", "rank", "kind", "key", "similarity")
 
 
 def address_search(addresses: DataFrame, query: str) -> DataFrame:
