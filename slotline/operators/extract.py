@@ -79,30 +79,34 @@ def decode_events(logs: DataFrame, registry: DataFrame) -> DataFrame:
     bytes32, string. Indexed arguments come from topics, the others from 32-byte words in order.
     """
     data = bare(F.coalesce("data", F.lit("0x")))
-    joined = logs.withColumn("topic0", F.lower(F.get("topics", F.lit(0)))).join(registry, ["source_kind", "topic0"], "left").withColumn("_data", data)
+    # what the registry alone tells is made once an event, not once a log
     flagged = F.transform("args", lambda a, i: F.struct(a["name"].alias("name"), a["type"].alias("type"), a["indexed"].alias("indexed"), F.size(F.filter(F.slice("args", F.lit(1), i), lambda b: b["indexed"] == a["indexed"])).alias("k")))
-    raw = F.transform(flagged, lambda a: F.struct(a["name"].alias("name"), a["type"].alias("type"), a["indexed"].alias("indexed"), F.when(a["indexed"], bare(F.get("topics", a["k"] + 1))).otherwise(F.substr(F.col("_data"), a["k"] * 64 + 1, F.lit(64))).alias("word")))
-    staged = joined.withColumn("_args", raw)
+    told = {"_spec": flagged, "_topics": F.size(F.filter("args", lambda a: a["indexed"])) + 1, "_words": F.size(F.filter("args", lambda a: ~a["indexed"])), "_texts": F.exists("args", lambda a: a["type"] == "string"), "_bools": F.exists("args", lambda a: a["type"] == "bool"), "_dynamic": F.exists("args", lambda a: a["indexed"] & (a["type"] == "string"))}
+    known = registry.withColumns(told).drop("args")
+    joined = logs.withColumn("topic0", F.lower(F.get("topics", F.lit(0)))).join(F.broadcast(known), ["source_kind", "topic0"], "left").withColumn("_data", data)  # some ninety rows
+    raw = F.transform("_spec", lambda a: F.struct(a["name"].alias("name"), a["type"].alias("type"), a["indexed"].alias("indexed"), F.when(a["indexed"], bare(F.get("topics", a["k"] + 1))).otherwise(F.substr(F.col("_data"), a["k"] * 64 + 1, F.lit(64))).alias("word")))
+    staged = once(joined, "_args", raw)
     at = lambda x: F.conv(F.right(x, F.lit(8)), 16, 10).cast("int")
     text_len = lambda a: at(F.substr(F.col("_data"), at(a["word"]) * 2 + 1, F.lit(64)))
     text_hex = lambda a: F.substr(F.col("_data"), at(a["word"]) * 2 + 65, text_len(a) * 2)
     value = lambda a: F.when(a["type"] == "address", F.concat(F.lit("0x"), F.right(a["word"], F.lit(40)))).when(a["type"] == "bool", F.when(F.right(a["word"], F.lit(1)) == "1", "true").otherwise("false")).when(a["type"] == "string", F.try_to_binary(text_hex(a), F.lit("hex")).cast("string")).otherwise(F.concat(F.lit("0x"), a["word"]))
-    words = F.size(F.filter("args", lambda a: ~a["indexed"]))
-    tails = F.aggregate("_args", F.lit(0), lambda n, a: n + F.when((a["type"] == "string") & ~a["indexed"], 64 + F.ceil(F.coalesce(text_len(a), F.lit(0)) / 32).cast("int") * 64).otherwise(0))
+    words, texts = F.col("_words"), F.col("_texts")
+    tails = F.when(texts, F.aggregate("_args", F.lit(0), lambda n, a: n + F.when((a["type"] == "string") & ~a["indexed"], 64 + F.ceil(F.coalesce(text_len(a), F.lit(0)) / 32).cast("int") * 64).otherwise(0))).otherwise(0)
     reason = (
         F.when(F.col("topic0").isNull(), "missing_topic0")
         .when(F.col("event_name").isNull(), "unknown_topic")
-        .when(F.size("topics") != F.size(F.filter("args", lambda a: a["indexed"])) + 1, "topic_count")
-        .when(F.exists("args", lambda a: a["indexed"] & (a["type"] == "string")), "indexed_dynamic")
+        .when(F.size("topics") != F.col("_topics"), "topic_count")
+        .when(F.col("_dynamic"), "indexed_dynamic")
         .when(F.length("_data") < words * 64, "short_data")
         .when(~F.col("_data").rlike("^[0-9a-f]*$"), "bad_hex")
-        .when(F.exists("_args", lambda a: (a["type"] == "bool") & ~a["word"].rlike("^0{63}[01]$")), "bad_bool")
-        .when(F.exists("_args", lambda a: (a["type"] == "string") & F.coalesce(F.length(text_hex(a)) < text_len(a) * 2, F.lit(True))), "malformed_dynamic")
-        .when(F.exists("_args", lambda a: (a["type"] == "string") & ~F.is_valid_utf8(F.try_to_binary(text_hex(a), F.lit("hex")).cast("string"))), "bad_utf8")
+        .when(F.col("_bools") & F.exists("_args", lambda a: (a["type"] == "bool") & ~a["word"].rlike("^0{63}[01]$")), "bad_bool")
+        .when(texts & F.exists("_args", lambda a: (a["type"] == "string") & F.coalesce(F.length(text_hex(a)) < text_len(a) * 2, F.lit(True))), "malformed_dynamic")
+        .when(texts & F.exists("_args", lambda a: (a["type"] == "string") & ~F.is_valid_utf8(F.try_to_binary(text_hex(a), F.lit("hex")).cast("string"))), "bad_utf8")
         .when(F.length("_data") != words * 64 + tails, "trailing_data")
     )
     made = F.map_from_entries(F.transform("_args", lambda a: F.struct(a["name"].alias("key"), value(a).alias("value"))))
-    return staged.withColumn("reason", reason).withColumn("decoded", F.when(F.col("reason").isNull(), made)).drop("_args", "_data", "args")
+    judged = once(staged, "reason", reason)
+    return judged.withColumn("decoded", F.when(F.col("reason").isNull(), made)).drop("_args", "_data", *told)
 
 
 def split_quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
