@@ -159,28 +159,50 @@ def top_level_programs(invokes: DataFrame, keys: list[str]) -> DataFrame:
     return invokes.where("depth = 1").groupBy(*keys).agg(F.array_sort(F.collect_set("program")).alias("programs"))
 
 
+def gathered(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``lines`` of each key (line_no, line) as one array in order, as a transaction holds its log."""
+    return lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
+
+
 def cpi_target(lines: DataFrame, keys: list[str], plumbing: list[str]) -> DataFrame:
-    """First deeper program that is no plumbing, with the instruction named before the next invoke or success."""
-    invoke = F.regexp_extract("line", r"^Program (\S+) invoke \[(\d+)\]", 1)
-    depth = F.regexp_extract("line", r"^Program (\S+) invoke \[(\d+)\]", 2).try_cast("int")
-    mark = F.col("line").rlike(r"^Program \S+ (invoke|success)")
-    w = W.partitionBy(*keys).orderBy("line_no")
-    staged = lines.withColumns({"program": F.nullif(invoke, F.lit("")), "depth": depth}).withColumn("_seg", F.sum(F.when(mark, 1).otherwise(0)).over(w))
-    named = F.first(F.nullif(F.regexp_extract("line", r"Instruction: (.+)$", 1), F.lit("")), ignorenulls=True).over(W.partitionBy(*keys, "_seg").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    found = staged.withColumn("instruction", named).where((F.col("depth") >= 2) & ~F.col("program").isin(plumbing))
-    return found.groupBy(*keys).agg(F.min_by(F.struct("program", "instruction"), "line_no").alias("t")).select(*keys, "t.*")
+    """``cpi_targets`` of lines that come a row each."""
+    return cpi_targets(gathered(lines, keys), plumbing).select(*keys, "program", "instruction")
+
+
+def cpi_targets(txs: DataFrame, plumbing: list[str], lines: str = "lines") -> DataFrame:
+    """First deeper program that is no plumbing, with the instruction named before the next invoke or success; transactions
+    without one are out. ``lines``: array of log lines. No line leaves its row."""
+    head = r"^Program (\S+) invoke \[(\d+)\]"
+    # plain tests of the text go before the patterns
+    invoked = lambda x: x.startswith("Program ") & x.contains(" invoke [") & x.rlike(head)
+    mark = lambda x: x.startswith("Program ") & (x.contains(" invoke") | x.contains(" success")) & x.rlike(r"^Program \S+ (invoke|success)")
+    target = lambda x: invoked(x) & (F.regexp_extract(x, head, 2).try_cast("int") >= 2) & ~F.regexp_extract(x, head, 1).isin(plumbing)
+    named = lambda x: F.when(x.contains("Instruction: "), F.nullif(F.regexp_extract(x, r"Instruction: (.+)$", 1), F.lit("")))
+    whole = F.size(lines)
+    places = lambda of, start: F.filter(F.transform(of, lambda x, i: F.when(start(x), i)), lambda i: i.isNotNull())
+    read = once(txs, "_at", F.get(places(F.col(lines), target), F.lit(0))).where("_at IS NOT NULL")
+    read = once(read, "_rest", F.slice(lines, F.col("_at") + 2, whole))
+    span = F.slice("_rest", F.lit(1), F.coalesce(F.get(places(F.col("_rest"), mark), F.lit(0)), F.size("_rest")))
+    first = F.get(lines, F.col("_at"))
+    told = F.filter(F.transform(F.concat(F.array(first), span), named), lambda x: x.isNotNull())
+    return read.withColumns({"program": F.regexp_extract(first, head, 1), "instruction": F.get(told, F.lit(0))}).drop("_at", "_rest")
 
 
 #: Fixed value: the router's line that states how many hooks it runs, and for which mint.
 STATES_HOOKS = r"^Program log: Meta-Hook Router: executing (\d+) "
 
 
+def stated_hooks(line: Column) -> Column:
+    """How many hooks the router's line states; null for other lines."""
+    return F.when(line.startswith("Program log: Meta-Hook Router: executing "), F.regexp_extract(line, STATES_HOOKS, 1).try_cast("bigint"))
+
+
 def hook_invocations(txs: DataFrame, lines: str = "lines", error: str = "error", keys: str = "account_keys") -> DataFrame:
     """mint, hook_count, outcome and fee_payer of router transactions. ``lines``: array of log lines; ``error`` and
     ``keys``: JSON text of the error and of the account keys (texts, or objects with a pubkey)."""
-    named = F.filter(lines, lambda x: F.regexp_extract(x, r"for mint (.*)$", 1).rlike(r"[^\s,]"))
+    named = F.filter(lines, lambda x: x.contains("for mint ") & F.regexp_extract(x, r"for mint (.*)$", 1).rlike(r"[^\s,]"))
     mint = F.regexp_replace(F.trim(F.regexp_extract(F.get(named, F.lit(0)), r"for mint (.*)$", 1)), r"[,\s]+$", "")
-    counts = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, STATES_HOOKS, 1).try_cast("int")), lambda n: n.isNotNull())
+    counts = F.filter(F.transform(lines, lambda x: stated_hooks(x).try_cast("int")), lambda n: n.isNotNull())
     failed = F.lower(F.nullif(F.trim(error), F.lit("null")))
     outcome = F.when(failed.isNull(), "success").when(failed.rlike("revert|reject|custom"), "reject").otherwise("error")
     first = F.get_json_object(keys, "$[0]")
@@ -188,69 +210,85 @@ def hook_invocations(txs: DataFrame, lines: str = "lines", error: str = "error",
     return txs.withColumns({"mint": mint, "hook_count": F.coalesce(F.get(counts, F.lit(0)), F.lit(0)), "outcome": outcome, "fee_payer": payer})
 
 
-def hook_executions(lines: DataFrame, keys: list[str], router: str) -> DataFrame:
+EXECUTION = "array<struct<hook_address:string,hook_kind:string,result:string,reason:string,gas_used:bigint>>"
+OPENS, ENDS, HOOK, UNITS, FAIL, TARGET, REASON, MARK = range(1, 9)
+
+
+def executions_of(lines: Column, router: str) -> Column:
     """Hook calls inside the router's frames, in order: hook_address, hook_kind, result, reason, gas_used.
 
     A deeper invocation opens a hook; a call line names its EVM target, which then is the address; a marker line closes the
-    call with a result, and the open hook's failure closes it as rejected. Each of these, and the router's end, forgets what
-    was read for the call. Windows over the lines of a transaction: spans between openings give the hook, spans between
-    closings the rest, so no line is read by a loop.
+    call with a result, and the open hook's first failure closes it as rejected. Each of these, and the router's end, forgets
+    what was read for the call. ``lines``: a transaction's log as an array; it is folded in its row, so none is shuffled.
     """
-    line = F.col("line")
-    rest = F.when(line.startswith("Program "), F.substring("line", 9, 1 << 30))
-    of_router = rest.startswith(router)
-    opens = of_router & rest.contains(" invoke [")
-    ends = of_router & ~opens & (rest.endswith(" success") | rest.contains(" failed"))
-    w = W.partitionBy(*keys).orderBy("line_no")
-    read = lines.withColumns({"_opens": F.coalesce(opens, F.lit(False)), "_ends": F.coalesce(ends, F.lit(False)), "_rest": rest})
-    read = read.withColumn("_on", F.coalesce(F.last(F.when(F.col("_opens"), True).when(F.col("_ends"), False), ignorenulls=True).over(w), F.lit(False)) & ~F.col("_opens"))
-    # kinds of line, the first that fits
-    r = F.col("_rest")
-    log = lambda head: F.coalesce(line.startswith(f"Program log: {head}"), F.lit(False))
-    other = F.coalesce(r.contains(" invoke [") & (F.substring_index(r, " invoke [", 1) != router), F.lit(False))
-    kind = F.when(F.col("_ends"), "end").when(~F.col("_on"), None).when(other, "hook").when(F.coalesce(r.contains(" consumed "), F.lit(False)), "units").when(F.coalesce(r.contains(" failed:"), F.lit(False)), "fail").when(log("Call: "), "target").when(log("EVM callback reverted: "), "reason").when(log("Hook["), "mark")
-    call = F.regexp_extract(line, r", to (.*)$", 1)
-    target = F.lower(F.regexp_replace(F.trim(call), r"[,\s]+$", ""))
-    took = read.withColumn("_kind", kind).withColumns(
-        {
-            "_program": F.when(F.col("_kind") == "hook", F.substring_index(r, " invoke [", 1)).when(F.col("_kind") == "fail", F.substring_index(r, " failed:", 1)),
-            "_target": F.when((F.col("_kind") == "target") & (call != ""), F.when(target.startswith("0x"), target).otherwise(F.concat(F.lit("0x"), target))),
-            "_units": F.when(F.col("_kind") == "units", F.regexp_extract(r, r" consumed (\d+) of ", 1).try_cast("bigint")),
-            "_why": F.when(F.col("_kind") == "reason", F.trim(F.substring("line", 37, 1 << 30))),
-            "_span": F.count_if(F.col("_kind").isin("hook", "end")).over(w),
-        }
-    )
-    span = W.partitionBy(*keys, "_span").orderBy("line_no")
-    hook = F.first(F.when(F.col("_kind") == "hook", F.col("_program"))).over(span.rowsBetween(W.unboundedPreceding, 0))
-    took = took.withColumn("_hook", hook).withColumn("_same", F.coalesce((F.col("_kind") == "fail") & (F.col("_program") == F.col("_hook")), F.lit(False)))
-    # only the first failure of a hook closes it; after it the span has no hook
-    before = F.coalesce(F.count_if("_same").over(span.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    took = took.withColumn("_hook", F.when(before == 0, F.col("_hook"))).withColumn("_closes", F.col("_same") & (before == 0))
-    forgets = F.col("_closes") | F.col("_kind").isin("hook", "end", "mark")
-    took = took.withColumn("_part", F.coalesce(F.count_if(F.coalesce(forgets, F.lit(False))).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    part = W.partitionBy(*keys, "_part").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(part)
-    told = took.withColumns({"_target": last("_target"), "_units": last("_units"), "_why": last("_why")})
-    words = F.regexp_extract(line, r"result=(\S*)(?:\s+(.*))?$", 2)
-    tail = F.trim(F.regexp_replace(F.element_at(F.split(r, " failed:", 2), 2), "^:", ""))
-    closed = told.where(F.col("_closes") | (F.col("_kind") == "mark")).select(
-        *keys,
-        "line_no",
-        F.coalesce("_target", "_hook", F.lit("")).alias("hook_address"),
-        F.when(F.col("_target").isNotNull(), "evm_custom").otherwise("native").alias("hook_kind"),
-        F.when(F.col("_closes"), "reject").when(line.contains("result="), F.regexp_extract(line, r"result=(\S*)", 1)).otherwise("unknown").alias("result"),
-        F.when(F.col("_closes"), F.coalesce("_why", tail)).otherwise(F.coalesce(F.nullif(F.trim(words), F.lit("")), "_why")).alias("reason"),
-        F.col("_units").alias("gas_used"),
-    )
-    return closed.where("hook_address <> ''").withColumn("idx", F.row_number().over(W.partitionBy(*keys).orderBy("line_no"))).drop("line_no")
-
-
-def hook_mismatch(executions: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    rest = F.transform(lines, lambda x: F.struct(x.alias("line"), F.when(x.startswith("Program "), F.substring(x, 9, 1 << 30)).alias("r")))
+
+    def kind(x: Column) -> Column:
+        """The first that fits; what stands outside the router's frames is left out by the fold."""
+        line, r = x["line"], x["r"]
+        log = lambda head: line.startswith(f"Program log: {head}")
+        own = r.startswith(router)
+        invoked = r.contains(" invoke [")
+        cases = [(own & invoked, OPENS), (own & (r.endswith(" success") | r.contains(" failed")), ENDS), (invoked & (F.substring_index(r, " invoke [", 1) != router), HOOK), (r.contains(" consumed "), UNITS), (r.contains(" failed:"), FAIL), (log("Call: "), TARGET), (log("EVM callback reverted: "), REASON), (log("Hook["), MARK)]
+        return chain([(test, F.lit(code)) for test, code in cases], F.lit(0))
+
+    def text(x: Column) -> Column:
+        """The program of a hook and a failure, the target of a call, the reason of a revert."""
+        line, r, k = x["line"], x["r"], x["kind"]
+        call = F.regexp_extract(line, r", to (.*)$", 1)
+        target = F.lower(F.regexp_replace(F.trim(call), r"[,\s]+$", ""))
+        target = F.when(call != "", F.when(target.startswith("0x"), target).otherwise(F.concat(F.lit("0x"), target)))
+        return F.when(k == HOOK, F.substring_index(r, " invoke [", 1)).when(k == FAIL, F.substring_index(r, " failed:", 1)).when(k == TARGET, target).when(k == REASON, F.trim(F.substring(line, 37, 1 << 30)))
+
+    def result(x: Column) -> Column:
+        return F.when(x["kind"] == MARK, F.when(x["line"].contains("result="), F.regexp_extract(x["line"], r"result=(\S*)", 1)).otherwise("unknown"))
+
+    def why(x: Column) -> Column:
+        words = F.regexp_extract(x["line"], r"result=(\S*)(?:\s+(.*))?$", 2)
+        tail = F.trim(F.regexp_replace(F.element_at(F.split(x["r"], " failed:", 2), 2), "^:", ""))
+        return F.when(x["kind"] == MARK, F.nullif(F.trim(words), F.lit(""))).when(x["kind"] == FAIL, tail)
+
+    kinds = F.filter(F.transform(rest, lambda x: F.struct(x["line"].alias("line"), x["r"].alias("r"), kind(x).alias("kind"))), lambda x: x["kind"] > 0)
+    units = lambda x: F.when(x["kind"] == UNITS, F.regexp_extract(x["r"], r" consumed (\d+) of ", 1).try_cast("bigint"))
+    read = F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), text(x).alias("text"), units(x).alias("units"), result(x).alias("result"), why(x).alias("why")))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(False).alias("on"), none.alias("hook"), none.alias("target"), F.lit(None).cast("bigint").alias("units"), none.alias("why"), F.array().cast(EXECUTION).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        k = x["kind"]
+        on = s["on"]
+        closes = on & (k == FAIL) & F.coalesce(x["text"] == s["hook"], F.lit(False))
+        marks = on & (k == MARK)
+        forgets = (k == ENDS) | closes | marks | (on & (k == HOOK))
+        kept = lambda name, code, value: F.when(forgets, None).when(on & (k == code), F.coalesce(value, s[name])).otherwise(s[name])
+        address = F.coalesce(s["target"], s["hook"], F.lit(""))
+        reason = F.when(closes, F.coalesce(s["why"], x["why"])).otherwise(F.coalesce(x["why"], s["why"]))
+        made = F.struct(address.alias("hook_address"), F.when(s["target"].isNotNull(), "evm_custom").otherwise("native").alias("hook_kind"), F.when(closes, "reject").otherwise(x["result"]).alias("result"), reason.alias("reason"), s["units"].alias("gas_used"))
+        return F.struct(
+            F.when(k == OPENS, True).when(k == ENDS, False).otherwise(on).alias("on"),
+            F.when((k == ENDS) | closes, None).when(on & (k == HOOK), x["text"]).otherwise(s["hook"]).alias("hook"),
+            kept("target", TARGET, x["text"]).alias("target"),
+            kept("units", UNITS, x["units"]).alias("units"),
+            kept("why", REASON, x["text"]).alias("why"),
+            F.when((closes | marks) & (address != ""), F.concat(s["out"], F.array(made).cast(EXECUTION))).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(read, start, step, lambda s: s["out"])
+
+
+def hook_executions(txs: DataFrame, keys: list[str], router: str, lines: str = "lines") -> DataFrame:
+    """A row a hook call: keys, hook_address, hook_kind, result, reason, gas_used, idx (from 1). ``lines``: array of log lines."""
+    runs = txs.select(*keys, F.posexplode(executions_of(F.col(lines), router)).alias("_at", "x"))
+    return runs.select(*keys, "x.*", (F.col("_at") + 1).alias("idx"))
+
+
+def hook_mismatch(txs: DataFrame, keys: list[str], router: str, lines: str = "lines") -> DataFrame:
     """Transactions whose parsed hooks differ in number from what the router states, unless it stopped at a rejection."""
-    stated = lines.withColumn("stated", F.regexp_extract("line", STATES_HOOKS, 1).try_cast("bigint")).where("stated IS NOT NULL").groupBy(*keys).agg(F.min_by("stated", "line_no").alias("stated"))
-    parsed = executions.groupBy(*keys).agg(F.count("*").alias("parsed"), F.max_by("result", "idx").alias("last"))
-    both = stated.join(parsed, keys, "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
-    return both.where((F.col("parsed") != F.col("stated")) & ~((F.col("parsed") < F.col("stated")) & (F.coalesce("last", F.lit("")) == "reject"))).select(*keys, "stated", "parsed")
+    stating = F.filter(F.transform(lines, stated_hooks), lambda n: n.isNotNull())
+    read = once(txs, "stated", F.get(stating, F.lit(0)).cast("bigint")).where("stated IS NOT NULL")
+    read = once(read, "_runs", executions_of(F.col(lines), router)).withColumn("parsed", F.size("_runs").cast("bigint"))
+    last = F.coalesce(F.try_element_at("_runs", F.lit(-1))["result"], F.lit(""))
+    return read.where((F.col("parsed") != F.col("stated")) & ~((F.col("parsed") < F.col("stated")) & (last == "reject"))).select(*keys, "stated", "parsed")
 
 
 #: Selectors of the two calls, native programs, native token instructions by tag, and a pool program's

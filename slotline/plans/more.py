@@ -235,14 +235,28 @@ def decode_registry(s, d):
 LINES = "l AS (SELECT l_orderkey AS sig, l_linenumber * 1000000 + l_partkey AS n, min(l_suppkey) % 3 AS p, l_partkey % 4 AS q FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey)"
 
 
+def program_log(q, p):
+    """Six log lines: a top program and a deeper call of the keys' own numbers."""
+    q, p = q.cast("string"), p.cast("string")
+    return F.array(F.concat(F.lit("Program T"), p, F.lit(" invoke [1]")), F.concat(F.lit("Program D"), q, F.lit(" invoke [2]")), F.concat(F.lit("Program log: Instruction: I"), q), F.concat(F.lit("Program D"), q, F.lit(" success")), F.lit("Program log: Instruction: Late"), F.concat(F.lit("Program T"), p, F.lit(" success")))
+
+
 def program_lines(s, d):
-    """Six log lines for each place and part: a top program or deeper calls of the keys' own numbers."""
-    p, q = (F.col("p") % 3).cast("string"), (F.col("l_partkey") % 4).cast("string")
-    deep = F.array(F.concat(F.lit("Program T"), p, F.lit(" invoke [1]")), F.concat(F.lit("Program D"), q, F.lit(" invoke [2]")), F.concat(F.lit("Program log: Instruction: I"), q), F.concat(F.lit("Program D"), q, F.lit(" success")), F.lit("Program log: Instruction: Late"), F.concat(F.lit("Program T"), p, F.lit(" success")))
+    """The log of each place and part, a row a line."""
     places = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_suppkey").alias("p"))
+    deep = program_log(F.col("l_partkey") % 4, F.col("p") % 3)
     return places.select(F.col("l_orderkey").alias("sig"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("n"), F.posexplode(deep).alias("i", "line")).select("sig", (F.col("n") * 10 + F.col("i")).alias("line_no"), "line")
 
 
+def program_logs(s, d):
+    """The same log lines as one array an order, in the order of its places."""
+    own = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
+    places = own.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg((F.min("l_suppkey") % 3).alias("p"))
+    place = F.struct((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("n"), (F.col("l_partkey") % 4).alias("q"), "p")
+    held = places.groupBy(F.col("l_orderkey").alias("sig")).agg(F.array_sort(F.collect_list(place)).alias("places"))
+    return held.select("sig", F.flatten(F.transform("places", lambda x: program_log(x["q"], x["p"]))).alias("lines"))
+
+
 @register("parse_invokes", f"WITH {LINES} SELECT sig, n * 10 AS line_no, 'T' || p AS program, 1 AS depth FROM l UNION ALL SELECT sig, n * 10 + 1, 'D' || q, 2 FROM l")
 def parse_invokes(s, d):
     return extract.parse_invokes(program_lines(s, d), ["sig"])
@@ -261,8 +275,8 @@ def cpi_target(s, d):
 HOOKS = "v AS (SELECT o_orderkey AS k, o_orderkey % 5 AS c FROM orders)"
 
 
-def hook_lines(s, d):
-    """Router logs of each order: passes with and without an EVM target, a revert, a failure that ends the run, none."""
+def hook_logs(s, d):
+    """Router log of each order, an array a transaction: passes with and without an EVM target, a revert, a failure that ends the run, none."""
     k = F.col("k")
     t = k.cast("string")
     head = F.concat(F.lit("Program log: Meta-Hook Router: executing "), (F.when(k % 5 == 4, 3).otherwise(2)).cast("string"), F.lit(" hooks for mint M"), (k % 9).cast("string"), F.lit(" ,"))
@@ -274,7 +288,8 @@ def hook_lines(s, d):
     none = F.array().cast("array<string>")
     c = k % 5
     lines = F.concat(F.array(F.lit("Program log: Hook[7] result=pass"), F.lit("Program R1 invoke [1]"), head), first, F.when(c == 1, native).when(c == 2, fails).when(c == 3, F.array(F.lit("Program Q invoke [3]"), F.lit("Program Q failed: custom program error: 0x1"))).otherwise(none), tail)
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("k")).select("k", F.posexplode(lines).alias("line_no", "line"))
+    # the keys are dealt out, as one file of one row group would be read by one task
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("k")).repartition("k").select("k", lines.alias("lines"))
 
 
 EXECUTIONS = f"{HOOKS}, x AS (SELECT k, 1 AS idx, '0xab' || k AS hook_address, 'evm_custom' AS hook_kind, 'pass' AS result, CAST(NULL AS VARCHAR) AS reason, k AS gas_used FROM v UNION ALL SELECT k, 2, 'N' || k, 'native', 'reject', 'kyc failed', NULL FROM v WHERE c = 1 UNION ALL SELECT k, 2, '0xab' || k, 'evm_custom', 'reject', 'Revert(X)', k FROM v WHERE c = 2 UNION ALL SELECT k, 2, 'Q', 'native', 'reject', 'custom program error: 0x1', NULL FROM v WHERE c = 3)"
@@ -282,22 +297,21 @@ EXECUTIONS = f"{HOOKS}, x AS (SELECT k, 1 AS idx, '0xab' || k AS hook_address, '
 
 @register("hook_executions", f"WITH {EXECUTIONS} SELECT * FROM x")
 def hook_executions(s, d):
-    return extract.hook_executions(hook_lines(s, d), ["k"], "R")
+    return extract.hook_executions(hook_logs(s, d), ["k"], "R")
 
 
 @register("hook_mismatch", f"WITH {HOOKS} SELECT k, CASE WHEN c = 4 THEN 3 ELSE 2 END AS stated, 1 AS parsed FROM v WHERE c IN (0, 4)")
 def hook_mismatch(s, d):
-    return extract.hook_mismatch(hook_executions(s, d), hook_lines(s, d), ["k"])
+    return extract.hook_mismatch(hook_logs(s, d), ["k"], "R")
 
 
 @register("hook_invocations", f"WITH {HOOKS} SELECT k, 'M' || k % 9 AS mint, CASE WHEN c = 4 THEN 3 ELSE 2 END AS hook_count, CASE k % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'reject' ELSE 'error' END AS outcome, CASE k % 4 WHEN 0 THEN 'p' || k WHEN 1 THEN 'p' || k END AS fee_payer FROM v")
 def hook_invocations(s, d):
     k = F.col("k")
-    own = hook_lines(s, d).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
     text = F.concat(F.lit("p"), k.cast("string"))
     keys = F.when(k % 4 == 0, F.concat(F.lit('["'), text, F.lit('"]'))).when(k % 4 == 1, F.concat(F.lit('[{"pubkey":"'), text, F.lit('"}]'))).when(k % 4 == 2, "[]")
     error = F.when(k % 3 == 0, "null").when(k % 3 == 1, '{"InstructionError":[0,{"Custom":1}]}').otherwise('"BlockhashNotFound"')
-    return extract.hook_invocations(own.withColumns({"error": error, "account_keys": keys})).select("k", "mint", "hook_count", "outcome", "fee_payer")
+    return extract.hook_invocations(hook_logs(s, d).withColumns({"error": error, "account_keys": keys})).select("k", "mint", "hook_count", "outcome", "fee_payer")
 
 
 @register("decode_call_target", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 < 4 THEN CASE WHEN o_orderkey % 6 = 0 THEN '11111111111111111111111111111111' ELSE CASE WHEN o_orderkey % 6 = 1 THEN 'TokenkegQfeZyiNwAJbNbGKPFXCWuBvf9Ss623VQ5DA' WHEN o_orderkey % 6 = 2 THEN 'Eo7WjKq67rjJQSZxS6z3YkapzY3eMj6Xy8X5EQVn5UaB' ELSE 'Eo7WjKq67rjJQSZxS6z3YkapzY3eMj6Xy8X5EQVn5UaB' END END END AS program,

@@ -65,3 +65,50 @@ def test_many_searches_equal_all_pairs(spark, k):
     own = index.select(F.array_sort(search.trigrams(F.col("text"))).alias("set")).where(F.size("set") > 0)
     counts = own.distinct().select(F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
     assert search.ranked_sets(own, counts, "d", "n").count() == len({frozenset(grams(t)) for t in texts if grams(t)})
+
+
+def executed(lines, router):
+    """Hook calls by a plain loop over the lines."""
+    on, hook, took, out = False, None, {}, []
+    for line in lines:
+        r = line[8:] if line.startswith("Program ") else ""
+        own = line.startswith("Program ") and r.startswith(router)
+        if own and " invoke [" in r:
+            on = True
+        elif own and (r.endswith(" success") or " failed" in r):
+            on, hook, took = False, None, {}
+        elif on and " invoke [" in r:
+            hook, took = r.split(" invoke [")[0], {}
+        elif on and " consumed " in r:
+            took["units"] = int(r.split(" consumed ")[1].split(" of ")[0])
+        elif on and " failed:" in r:
+            if hook is not None and r.split(" failed:")[0] == hook:
+                out.append((took.get("to", hook), "reject", took.get("why", r.split(" failed:", 1)[1].strip()), took.get("units")))
+                hook, took = None, {}
+        elif on and line.startswith("Program log: Call: "):
+            took["to"] = line.split(", to ")[1].lower()
+        elif on and line.startswith("Program log: EVM callback reverted: "):
+            took["why"] = line[36:].strip()
+        elif on and line.startswith("Program log: Hook["):
+            words = (line.split("result=")[1].split(" ", 1) + [""])[:2] if "result=" in line else ("unknown", "")
+            if "to" in took or hook is not None:
+                out.append((took.get("to", hook), words[0], words[1].strip() or took.get("why"), took.get("units")))
+            took = {}
+    return out
+
+
+def logs_of(spark, kinds, seed, most):
+    rng = random.Random(seed)
+    logs = [[rng.choice(kinds) for _ in range(rng.randint(0, most))] for _ in range(200)]
+    return logs, spark.createDataFrame(list(enumerate(logs)), "k int, lines array<string>")
+
+
+def test_hooks_are_folded_in_their_row(spark):
+    kinds = "Program R invoke [1]|Program R invoke [1]|Program R success|Program R failed: x|Program A invoke [2]|Program B invoke [2]|Program A failed: no: 1|Program B failed: two|Program A consumed 5 of 9|Program B consumed 7 of 9|Program log: Call: a, to 0xAB|Program log: Call: a, to 0xCD|Program log: EVM callback reverted: Why |Program log: Hook[0] result=pass|Program log: Hook[1] result=no  bad one|Program log: Hook[2]|other".split("|")
+    logs, df = logs_of(spark, kinds, 5, 30)
+    got = extract.hook_executions(df, ["k"], "R").orderBy("k", "idx").collect()
+    want = [(k, *own, n + 1) for k, lines in enumerate(logs) for n, own in enumerate(executed(lines, "R"))]
+    assert [(r.k, r.hook_address, r.result, r.reason, r.gas_used, r.idx) for r in got] == want and len(want) > 100
+    for name in ("hook_executions", "hook_mismatch", "hook_invocations"):
+        text = plan(QUERIES[name](spark, DATA))
+        assert "Window" not in text and "Aggregate" not in text and text.count("Exchange hashpartitioning(k") == 1
