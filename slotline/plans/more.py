@@ -269,7 +269,7 @@ def top_level_programs(s, d):
 
 @register("cpi_target", f"WITH {LINES} SELECT sig, 'D' || min_by(q, n) AS program, 'I' || min_by(q, n) AS instruction FROM l WHERE q NOT IN (0, 1) GROUP BY 1")
 def cpi_target(s, d):
-    return extract.cpi_target(program_lines(s, d), ["sig"], ["D0", "D1"])
+    return extract.cpi_targets(program_logs(s, d), ["D0", "D1"]).select("sig", "program", "instruction")
 
 
 HOOKS = "v AS (SELECT o_orderkey AS k, o_orderkey % 5 AS c FROM orders)"

@@ -112,3 +112,28 @@ def test_hooks_are_folded_in_their_row(spark):
     for name in ("hook_executions", "hook_mismatch", "hook_invocations"):
         text = plan(QUERIES[name](spark, DATA))
         assert "Window" not in text and "Aggregate" not in text and text.count("Exchange hashpartitioning(k") == 1
+
+
+def targeted(lines, plumbing):
+    invoke, mark = re.compile(r"^Program (\S+) invoke \[(\d+)\]"), re.compile(r"^Program \S+ (invoke|success)")
+    for k, line in enumerate(lines):
+        hit = invoke.search(line)
+        if hit and int(hit[2]) >= 2 and hit[1] not in plumbing:
+            for n, x in enumerate(lines[k:]):
+                if n and mark.search(x):
+                    break
+                if "Instruction: " in x:
+                    return hit[1], x.split("Instruction: ")[1]
+            return hit[1], None
+    return None
+
+
+def test_targets_are_read_in_their_row(spark):
+    kinds = "Program A invoke [1]|Program X invoke [2]|Program B invoke [2]|Program C invoke [3]|Program B success|Program log: invoke|Program log: Instruction: Swap|Program log: Instruction: Pay|Program B failed: x|Program  invoke [2]|other".split("|")
+    logs, df = logs_of(spark, kinds, 6, 12)
+    want = {k: targeted(lines, ["X"]) for k, lines in enumerate(logs)}
+    want = {k: v for k, v in want.items() if v}
+    assert {r.k: (r.program, r.instruction) for r in extract.cpi_targets(df, ["X"]).collect()} == want and len(want) > 50
+    apart = df.select("k", F.posexplode("lines").alias("line_no", "line"))
+    assert {r.k: (r.program, r.instruction) for r in extract.cpi_target(apart, ["k"], ["X"]).collect()} == want
+    assert "Window" not in plan(QUERIES["cpi_target"](spark, DATA))
