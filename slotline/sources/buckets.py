@@ -53,10 +53,11 @@ class BucketedTable:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def write(self, rows: DataFrame, touched: list[int], number: int) -> None:
-        """``rows``: all rows of the touched buckets. The manifest comes last: it is what makes the versions count."""
+        """``rows``: all rows of the touched buckets, brought together by bucket, so that files grow with buckets and not with buckets
+        times tasks. The manifest comes last: it is what makes the versions count."""
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         placed = rows.withColumns({"bucket": self.bucket(rows), "version": F.lit(number)})
-        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{self.path}/rows")
+        placed.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{self.path}/rows")
         kept = self.manifest(number).where(~F.col("bucket").isin(touched)) if touched else self.manifest(number)
         new = self.spark.createDataFrame([(b, number) for b in touched], "bucket bigint, version bigint")
         kept.unionByName(new).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={number}")

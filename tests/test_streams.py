@@ -30,6 +30,13 @@ def test_a_small_batch_reads_its_own_buckets(spark, tmp_path):
     assert table.read(before=1).count() == 6_400 and table.read(before=0).count() == 0
 
 
+def test_a_merge_writes_a_file_a_bucket(spark, tmp_path):
+    full = spark.range(6_400).selectExpr("id AS k", "'old' AS state", "id AS n").repartition(4)
+    table = BucketedTable(spark, f"file://{tmp_path}/t", full.schema, by_range("k", 6))
+    table.write(full, table.touched(full), 0)
+    assert len(table.read().inputFiles()) == 100 and table.read().count() == 6_400
+
+
 def test_merges_equal_one_upsert(spark, tmp_path):
     rng = random.Random(2)
     rows = [[(rng.randint(-30, 60), rng.choice("abc"), rng.choice([None, 1, 2])) for _ in range(40)] for _ in range(4)]
