@@ -944,10 +944,10 @@ def stream_merge(s, d):
 def stream_recheck(s, d):
     """Open orders wait 500 positions for a line of theirs that is seen late; what is near the end of the streams is still open."""
     path = scratch(s)
-    source = lambda name: s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
-    feed = source("orders").where("o_orderstatus <> 'F'").select("o_orderkey")
-    late = source("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_orderkey") + F.col("l_partkey") % 900).alias("seen"))
-    found = streams.recheck_stream(feed, late, ["o_orderkey"], "o_orderkey", "seen", 500)
+    feed = table(s, d, "orders").where("o_orderstatus <> 'F'").select("o_orderkey")
+    late = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_orderkey") + F.col("l_partkey") % 900).alias("seen"))
+    own = streams.in_steps(path, {"feed": (feed, "o_orderkey"), "late": (late, "seen")})
+    found = streams.recheck_stream(own["feed"], own["late"], ["o_orderkey"], "o_orderkey", "seen", 500)
     save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
     found.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
     tip = table(s, d, "orders").agg(F.max("o_orderkey").alias("tip"))

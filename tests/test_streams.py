@@ -126,6 +126,24 @@ def test_state_is_bounded_by_the_window(rechecked):
     assert kept[-1] <= kept[2] + 60  # it does not grow with what was read
 
 
+def test_a_backlog_is_read_in_steps(spark, monkeypatch):
+    import slotline.plans.more as more
+    from slotline.plans.queries import QUERIES
+
+    monkeypatch.setattr(streams, "STEP", 20_000)
+    seen, save = [], more.scratch
+    monkeypatch.setattr(more, "scratch", lambda s: seen.append(save(s)) or seen[-1])
+    d = "/root/testdata/sf0.01"
+    got = {r.o_orderkey: r.resolved for r in QUERIES["stream_recheck"](spark, d).collect()}
+    orders, lines = more.table(spark, d, "orders"), more.table(spark, d, "lineitem")
+    tip, late = orders.agg(F.max("o_orderkey")).first()[0], {}
+    for r in lines.collect():
+        late.setdefault(r.l_orderkey, []).append(r.l_partkey % 900)
+    assert got == {r.o_orderkey: min(late.get(r.o_orderkey, [900])) <= 500 for r in orders.collect() if r.o_orderstatus != "F" and r.o_orderkey < tip - 3000}
+    steps = spark.read.parquet(f"{seen[0]}/steps/late").groupBy("step").count().collect()
+    assert len(steps) > 1 and max(r["count"] for r in steps) < 25_000
+
+
 def test_a_session_ends_after_exactly_the_gap(spark, tmp_path):
     day = 86_400
     rows = [("a", 0), ("a", day), ("a", 2 * day - 1), ("b", 5), ("b", day + 4), ("b", 2 * day + 5)]
