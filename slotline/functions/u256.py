@@ -35,7 +35,9 @@ def from_hex(c: Column, bad_is_zero: bool = True) -> Column:
     """0x-hex of up to 64 digits; empty counts as zero, malformed text as zero or null."""
     good = F.coalesce(c.rlike(r"\A(0[xX])?[0-9a-fA-F]{0,64}\z"), F.lit(False))
     full = F.lpad(F.substring_index(F.lower(c), "x", -1), 64, "0")
-    limbs = let(full, lambda t: F.struct(*[F.conv(F.substring(t, 57 - 8 * k, 8), 16, 10).cast(KIND).alias(n) for k, n in enumerate(LIMBS)]))
+    # most digits of most amounts are zeros, which need no conversion
+    limb = lambda t: F.when(t == "0" * 8, zero()).otherwise(F.conv(t, 16, 10).cast(KIND))
+    limbs = let(full, lambda t: F.struct(*[limb(F.substring(t, 57 - 8 * k, 8)).alias(n) for k, n in enumerate(LIMBS)]))
     return F.when(good, limbs).otherwise(of(lambda _: zero())) if bad_is_zero else F.when(good, limbs)
 
 
