@@ -284,6 +284,27 @@ def test_hamming_codes_and_edges(spark):
     assert [sum(b for _, b in hamming.segments_for(n)) for n in (0, 1, 2, 1000, 10**9, 10**18)] == [64] * 6
 
 
+def test_hamming_looks_into_few_buckets_and_cuts_large_ones(spark, monkeypatch):
+    """Rows sent grow as the queries: a query at its usual distance meets some hundred buckets, not all ways to flip log2(n) bits."""
+
+    def sent(n, bound):
+        cuts = hamming.segments_for(n)
+        m, widest = len(cuts), max(b for _, b in cuts)
+        return sum(min(m, max(0, bound - (m * r - 1))) * math.comb(widest, r) for r in range(widest + 1))
+
+    # distances of the tenth of so many random codes, about
+    assert sent(50_000, 18) <= sent(10_000, 19) <= 200 and sent(15_000_000, 13) <= 500
+    r = np.random.default_rng(5)
+    near = np.uint64(77) ^ (np.uint64(1) << r.integers(40, 64, 150).astype(np.uint64)) ^ (np.uint64(1) << r.integers(40, 64, 150).astype(np.uint64))
+    codes = np.concatenate([r.integers(0, 2**64, 60, dtype=np.uint64), near, near[:20]]).view(np.int64).tolist()
+    monkeypatch.setattr(hamming, "PIECE", 7)
+    df = spark.createDataFrame([*enumerate(codes)], "id long, code long")
+    got = {(x.query_id, x["rank"]): (x.neighbor_id, x.distance) for x in hamming.hamming_topk(df, df.where("id % 30 = 0"), 12).collect()}
+    for q in range(0, len(codes), 30):
+        best = sorted((bin((codes[q] ^ c) & (2**64 - 1)).count("1"), k) for k, c in enumerate(codes))[:12]
+        assert [got[q, n + 1] for n in range(12)] == [(k, d) for d, k in best]
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title><script>x='</p>'</script></head><body><nav>menu</nav><div class='cookie-notice'>accept</div>{}<div>site &amp; motto</div><footer>foot</footer></body>"
     rows = [(k, f"https://h.org/{k}", page.format(f"<div><p>Text {k} &lt;b&gt; a<b>b</b>c<p>more\n\n here<br>{k}</div>")) for k in range(12)]
