@@ -1,13 +1,13 @@
-"""Phrases whose words occur together more often than apart, level by level over tries of candidates (operator 11).
+"""Phrases whose words occur together more often than apart, level by level over tries of frequent ones (operator 11).
 
 Words are counted per language first; texts are rewritten once as numbers of frequent words, anything else between two
 of them being a break. Pairs of neighbouring numbers are their own states and are summed as they are. From three words
-on, level by level: a candidate is a phrase found in some text whose first and last parts are both frequent (so no
-frequent phrase is missed); candidates are put into double-array tries of bounded size, dealt by a hash of their words
-and broadcast; each block of numbers advances all its positions through a trie at once, one word a level, and counts the
-accepting states; the blocks' counts are summed. The same pass notes which accepted phrases overlap in all but one word,
-which makes the next level's candidates. There are at most (words / least) frequent phrases of a length, and a task
-holds one trie at a time whatever their number.
+on, level by level: a phrase can only be frequent if its first and last parts are (so none is missed), and it occurs just
+where these two occur one word apart. Frequent phrases are put into double-array tries of bounded size, dealt by a hash of
+their words and broadcast; each block of numbers advances all its positions through a trie at once, one word a level, notes
+the accepting states and counts which of them stand next to each other; the blocks' counts are summed and make the next
+level. There are at most (words / least) frequent phrases of a length, and a task holds one trie at a time whatever their
+number.
 
 A phrase of words w1..wj counts a; cut after k words, its parts count l and r, and its score is the least over k of
 floor(1000 * a * n / (l * r)), exact in 38 digits. Phrases inside a longer one that occurs as often are dropped: one more
@@ -233,13 +233,13 @@ def dealt(words: np.ndarray, shards: int) -> np.ndarray:
     return (words.astype(np.int64) @ DEAL[: words.shape[1]]) % shards
 
 
-def tries(candidates: DataFrame, depth: int) -> list[Broadcast]:
+def tries(phrases: DataFrame, depth: int) -> list[Broadcast]:
     """Broadcast tries of id, words; each built in a task, brought over one at a time, of TRIE_PHRASES phrases at most."""
-    spark = candidates.sparkSession
-    shards = max(1, -(-candidates.count() // TRIE_PHRASES))
+    spark = phrases.sparkSession
+    shards = max(1, -(-phrases.count() // TRIE_PHRASES))
     while True:
         shard = F.pmod(reduce(lambda a, b: a + b, (F.col("words")[d].cast("bigint") * int(DEAL[d]) for d in range(depth))), F.lit(shards)).cast("int")
-        placed = candidates.select("id", "words", shard.alias("shard"))
+        placed = phrases.select("id", "words", shard.alias("shard"))
         if shards == 1 or placed.groupBy("shard").count().where(F.col("count") > TRIE_PHRASES).isEmpty():
             break
         shards += max(1, shards // 4)
@@ -259,18 +259,18 @@ def tries(candidates: DataFrame, depth: int) -> list[Broadcast]:
     return out
 
 
-def packed(kind: int, parts: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def packed(parts: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """One row for each part that the keys (a, b) are dealt to: sorted keys, the first as steps, and what they count."""
     part = (mix(a.astype(U) * U(0x9E3779B97F4A7C15) ^ b.astype(U)) % U(parts)).astype(np.int64)
     order = np.lexsort((b, a, part))
     cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
     own = [order[x:y] for x, y in zip(cuts, cuts[1:])]
     columns = [pa.array([part[k[0]] for k in own], pa.int32()), *(pa.array([planes(f(k)) for k in own], pa.binary()) for f in (lambda k: np.diff(a[k], prepend=0), lambda k: b[k], lambda k: n[k]))]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), *columns], PACKED)
+    return pa.RecordBatch.from_arrays(columns, PACKED)
 
 
-PACKED = ["kind", "part", "a", "b", "n"]
-PACKED_TYPE = "kind int, part int, a binary, b binary, n binary"
+PACKED = ["part", "a", "b", "n"]
+PACKED_TYPE = "part int, a binary, b binary, n binary"
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -284,7 +284,7 @@ def unplaned(raw: bytes) -> np.ndarray:
 
 
 def summed(rows: DataFrame, least: int) -> DataFrame:
-    """a, b, n of keys that count ``least`` over all blocks: all rows of a key meet in its part, and are added up there."""
+    """first, last, a of keys that count ``least`` over all blocks: all rows of a key meet in its part, and are added up there."""
 
     def add(_key: tuple, own: pa.Table) -> pa.Table:
         a, b, n = (np.concatenate([f(unplaned(x)) for x in own.column(c).to_pylist()]) for c, f in (("a", np.cumsum), ("b", np.asarray), ("n", np.asarray)))
@@ -293,19 +293,19 @@ def summed(rows: DataFrame, least: int) -> DataFrame:
         first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-2) != 0))
         total = np.add.reduceat(n, first)
         keep = first[total >= least]
-        return pa.table({"a": a[keep], "b": b[keep], "n": total[total >= least]})
+        return pa.table({"first": a[keep], "last": b[keep], "a": total[total >= least]})
 
-    return rows.groupBy("part").applyInArrow(add, "a bigint, b bigint, n bigint")
+    return rows.groupBy("part").applyInArrow(add, "first bigint, last bigint, a bigint")
 
 
-def counted(texts: DataFrame, sent: list[Broadcast], depth: int, counts: bool, neighbours: bool, parts: int) -> DataFrame:
-    """Packed rows of each block, as asked for: kind 0, counts of its phrases (b is 0); kind 1, overlapping accepted phrases (n is 1)."""
+def overlaps(texts: DataFrame, sent: list[Broadcast], depth: int, parts: int) -> DataFrame:
+    """Packed rows of a block's counts of accepted phrases that overlap in all but one word: the phrases of one word more."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             for raw in batch.column(0).to_pylist():
                 ids = np.frombuffer(raw, np.int32)
-                if len(ids) < depth:
+                if len(ids) <= depth:
                     continue
                 windows = np.lib.stride_tricks.sliding_window_view(ids, depth)
                 whole = np.flatnonzero((windows > 0).all(1))
@@ -316,21 +316,15 @@ def counted(texts: DataFrame, sent: list[Broadcast], depth: int, counts: bool, n
                     deal = dealt(windows[whole], shards) if deal is None else deal
                     at, number = walk(trie, ids, whole[deal == shard], depth)
                     accepted[at] = trie["ids"][number]
-                    if counts:
-                        n = np.bincount(number, minlength=len(trie["ids"]))
-                        got = np.flatnonzero(n)
-                        if len(got):
-                            yield packed(0, parts, trie["ids"][got], np.zeros(len(got), np.int64), n[got])
                     if len(sent) > 1:  # one trie at a time in a worker's memory; the value is loaded again from the local copy
                         b.__dict__.pop("_value", None)
-                if neighbours:
-                    here, there = accepted[:-1], accepted[1:]
-                    both = (here >= 0) & (there >= 0)
-                    keys, inverse = np.unique(np.concatenate([here[both], there[both]]), return_inverse=True)
-                    k = int(both.sum())
-                    pair = np.unique(inverse[:k] * np.int64(len(keys)) + inverse[k:])
-                    if len(pair):
-                        yield packed(1, parts, keys[pair // len(keys)], keys[pair % len(keys)], np.ones(len(pair), np.int64))
+                here, there = accepted[:-1], accepted[1:]
+                both = (here >= 0) & (there >= 0)
+                keys, inverse = np.unique(np.concatenate([here[both], there[both]]), return_inverse=True)
+                k = int(both.sum())
+                pair, n = np.unique(inverse[:k] * np.int64(len(keys)) + inverse[k:], return_counts=True)
+                if len(pair):
+                    yield packed(parts, keys[pair // len(keys)], keys[pair % len(keys)], n)
 
     return texts.mapInArrow(trimmed(run), PACKED_TYPE)
 
@@ -345,18 +339,17 @@ def pair_counts(texts: DataFrame, parts: int) -> DataFrame:
                 both = (ids[:-1] > 0) & (ids[1:] > 0)
                 pair, n = np.unique(ids[:-1][both] << 32 | ids[1:][both], return_counts=True)
                 if len(pair):
-                    yield packed(0, parts, pair >> 32, pair & 0xFFFFFFFF, n)
+                    yield packed(parts, pair >> 32, pair & 0xFFFFFFFF, n)
 
     return texts.mapInArrow(trimmed(run), PACKED_TYPE)
 
 
-def grown(candidates: DataFrame, below: DataFrame) -> DataFrame:
-    """Rows of the next level from (first, last, a, and id if there is one): the parts' words, counts and texts put together."""
+def grown(sums: DataFrame, below: DataFrame) -> DataFrame:
+    """Rows of the next level from (first, last, a): the parts' words, counts and texts put together."""
     p = below.select(F.col("id").alias("first"), "lang", "words", F.col("a").alias("pa"), "pre", F.col("phrase").alias("head"))
     s = below.select(F.col("id").alias("last"), F.element_at("words", -1).alias("w"), F.col("a").alias("sa"), "suf", "word")
-    joined = candidates.join(p, "first").join(s, "last")
-    rest = ["id"] if "id" in candidates.columns else []
-    return joined.select(*rest, "lang", "first", "last", F.concat("words", F.array("w")).alias("words"), "a", F.concat("pre", F.array("pa")).alias("pre"), F.concat("suf", F.array("sa")).alias("suf"), F.concat_ws(" ", "head", "word").alias("phrase"), "word")
+    joined = sums.join(p, "first").join(s, "last")
+    return joined.select("lang", "first", "last", F.concat("words", F.array("w")).alias("words"), "a", F.concat("pre", F.array("pa")).alias("pre"), F.concat("suf", F.array("sa")).alias("suf"), F.concat_ws(" ", "head", "word").alias("phrase"), "word")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[list[DataFrame], DataFrame]:
@@ -370,24 +363,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     level = found.where("id is not null").select("id", "lang", F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.array(F.col("id").cast("int")).alias("words"), "a", none.alias("pre"), none.alias("suf"), "phrase", F.col("phrase").alias("word"))
     texts = materialize(numbers(blocks, found, parts))
     release(blocks)
-    sums = summed(pair_counts(texts, parts), least).select(F.col("a").alias("first"), F.col("b").alias("last"), F.col("n").alias("a"))
-    levels = [level, numbered(grown(sums, level))]
-    candidates = None
-    for depth in range(2, longest + 1):
-        # pairs are counted already: their tries only find which of them overlap
-        sent = tries(candidates if depth > 2 else levels[-1], depth)
-        counts = materialize(counted(texts, sent, depth, depth > 2, depth < longest, parts))
+    levels = [level, numbered(grown(summed(pair_counts(texts, parts), least), level))]
+    for depth in range(2, longest):
+        sent = tries(levels[-1], depth)
+        if not sent:
+            break
+        levels.append(numbered(grown(summed(overlaps(texts, sent, depth, parts), least), levels[-1])))
         for b in sent:
             b.unpersist()
-        if depth > 2:
-            sums = summed(counts.where("kind = 0"), least).select(F.col("a").alias("id"), F.col("n").alias("a"))
-            levels.append(materialize(grown(candidates.select("id", "first", "last").join(sums, "id"), levels[-1])))
-        if depth < longest:
-            own = levels[-1].select("id", "words")
-            heads, tails = own.withColumnRenamed("id", "first"), own.select(F.col("id").alias("last"), F.element_at("words", -1).alias("w"))
-            pairs = summed(counts.where("kind = 1"), 1).select(F.col("a").alias("first"), F.col("b").alias("last"))
-            candidates = materialize(pairs.join(heads, "first").join(tails, "last").select(F.monotonically_increasing_id().alias("id"), "first", "last", F.concat("words", F.array("w")).alias("words")))
-        release(counts)
     release(texts)
     return levels, totals
 

@@ -140,6 +140,19 @@ def test_collocations_equal_brute_force(spark, none, chatter, trie, small_blocks
     assert phrases.ranked(phrases.collocations(none)).collect() == []
 
 
+def test_only_frequent_phrases_are_put_into_tries(spark, chatter, small_blocks, monkeypatch):
+    """What is sent to the tasks and shuffled are phrases that count enough, not all that two of them could make."""
+    put = {}
+
+    def noted(own, depth, tries=phrases.tries):
+        put[depth] = own.count()
+        return tries(own, depth)
+
+    monkeypatch.setattr(phrases, "tries", noted)
+    levels, _ = phrases.frequent_phrases(spark.createDataFrame(chatter, SCHEMA).repartition(2), least=6)
+    assert put == {k: levels[k - 1].count() for k in (2, 3, 4)} and len(levels) == 5 and put[4] > 0
+
+
 def test_double_array_accepts_its_phrases_only():
     rng = np.random.default_rng(3)
     for depth in (2, 3, 5):
