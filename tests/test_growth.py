@@ -137,3 +137,8 @@ def test_targets_are_read_in_their_row(spark):
     apart = df.select("k", F.posexplode("lines").alias("line_no", "line"))
     assert {r.k: (r.program, r.instruction) for r in extract.cpi_target(apart, ["k"], ["X"]).collect()} == want
     assert "Window" not in plan(QUERIES["cpi_target"](spark, DATA))
+
+
+def test_many_searches_broadcast_no_sets(spark):
+    # files of sets are small, their rows in a broadcast are not
+    assert "BroadcastExchange" not in plan(QUERIES["search_many"](spark, DATA))
