@@ -142,3 +142,21 @@ def test_targets_are_read_in_their_row(spark):
 def test_many_searches_broadcast_no_sets(spark):
     # files of sets are small, their rows in a broadcast are not
     assert "BroadcastExchange" not in plan(QUERIES["search_many"](spark, DATA))
+
+
+def test_rows_of_many_megabytes_are_written_in_parts(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    import slotline.plans.more  # noqa: F401  registers the query
+
+    keys = [f"parquet.{part}.size.row.check.min" for part in ("page", "block")]
+    try:
+        own = QUERIES["resolve_sources"](spark, DATA).where("source_kind = 'MORPHO'")
+        assert "ShuffledHashJoin" not in plan(own)  # which would hold all ids that a task gets
+        ids = F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.lpad(F.hex(F.col("id") * 100_000 + i), 64, "0"))
+        spark.range(80, numPartitions=1).select(ids.alias("ids")).write.option("parquet.block.size", 4 << 20).parquet(f"{tmp_path}/rows")
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    own = pq.ParquetFile(next(tmp_path.glob("rows/*.parquet"))).metadata
+    assert own.num_rows == 80 and own.num_row_groups > 1
