@@ -174,3 +174,22 @@ def test_a_sweep_gives_its_matches_in_pieces(spark):
     p = spark.range(300).selectExpr("'one' AS k", "id AS pos", "id")
     s = spark.range(400).selectExpr("'one' AS k", "id % 5 AS from_pos", "300 AS to_pos", "id AS name")
     assert scan.sweep_join(p, s, ["k"], "pos").count() == 80 * sum(300 - k for k in range(5))
+
+
+def test_equal_roles_stand_together_and_other_keys_stay_away(spark, tmp_path):
+    o = F.col("id")
+    points = spark.range(300).select(o.alias("k"), F.lit("s").alias("source"), F.lit("a").alias("account"), ((o * 37) % 1000).alias("block"))
+    roles = spark.range(4000).select(F.lit("s").alias("source"), F.lit("a").alias("account"), ((o * 7919) % 20).alias("role"), F.lit(0).cast("bigint").alias("from_block"), F.when(o % 2 == 0, F.lit(499).cast("bigint")).alias("to_block"))
+    other = spark.range(5000).select(o.alias("k"), F.lit("s").alias("source"), o.cast("string").alias("account"), o.alias("block"))
+    joins.role_open_at(points.unionByName(other), roles, bits=6).select("k", "role", "from_block").write.parquet(f"{tmp_path}/rows")
+    got = {(r.k, r.role): r["count"] for r in spark.read.parquet(f"{tmp_path}/rows").groupBy("k", "role").count().collect()}
+    held = [(i * 7919 % 20, None if i % 2 else 499) for i in range(4000)]
+    want = {}
+    for k in range(300):
+        for role, end in held:
+            if end is None or k * 37 % 1000 <= end:
+                want[k, role] = want.get((k, role), 0) + 1
+    assert got == want
+    # a role's copies are one run in a file, not a row beside each other role and point
+    assert sum(f.stat().st_size for f in tmp_path.glob("rows/*.parquet")) < sum(want.values()) / 4
+    assert scan.with_keys_of(points.unionByName(other), roles, ["source", "account"]).count() < 400
