@@ -948,11 +948,11 @@ def stream_recheck(s, d):
     feed = table(s, d, "orders").where("o_orderstatus <> 'F'").select("o_orderkey")
     late = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_orderkey") + F.col("l_partkey") % 900).alias("seen"))
     own = streams.in_steps(path, {"feed": (feed, "o_orderkey"), "late": (late, "seen")})
-    found = streams.recheck_stream(own["feed"], own["late"], ["o_orderkey"], "o_orderkey", "seen", 500)
-    save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
-    found.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
+    kind = lambda df, at, late: df.select("o_orderkey", F.col(at).alias("at"), F.lit(late).alias("_late"))
+    both = kind(own["feed"], "o_orderkey", False).unionByName(kind(own["late"], "seen", True))
+    streams.run_available(both, streams.recheck_pairs_into(f"{path}/found", ["o_orderkey"], "at", 500), f"{path}/_progress").awaitTermination()
     tip = table(s, d, "orders").agg(F.max("o_orderkey").alias("tip"))
-    rows = s.read.schema("o_orderkey bigint, resolved boolean").parquet(f"{path}/rows")
+    rows = s.read.schema("o_orderkey bigint, resolved boolean, open boolean").parquet(f"{path}/found/rows").where("NOT open")
     return rows.join(F.broadcast(tip)).where("o_orderkey < tip - 3000").groupBy("o_orderkey").agg(F.bool_or("resolved").alias("resolved"))  # one row
 
 

@@ -153,3 +153,23 @@ def test_a_session_ends_after_exactly_the_gap(spark, tmp_path):
     shown = counted.select("k", F.unix_timestamp("session.start").alias("start"), F.unix_timestamp("session.end").alias("end"), "n")
     shown.writeStream.outputMode("complete").foreachBatch(lambda b, i: out.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert sorted(out) == [("a", 0, day, 1), ("a", day, 3 * day - 1, 2), ("b", 5, 2 * day + 4, 2), ("b", 2 * day + 5, 3 * day + 5, 1)]
+
+
+def test_pairs_are_rechecked_as_in_the_stream_and_little_is_handed_on(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, i) for i in range(0, 4000, 2)]
+    late = [(i, i + rng.randint(0, 40)) for i in rng.sample(range(4000), 1500)] + [(0, 3), (0, 3)]
+    for name, own in (("feed", rows), ("late", late)):
+        for step in range(8):
+            push(spark, f"{tmp_path}/{name}", [r for r in own if step * 500 <= r[1] < step * 500 + 500], "k bigint, at bigint", step)
+    assert streams.in_order(spark, f"{tmp_path}/none")  # no file is in order
+    source = lambda name: spark.readStream.schema("k bigint, at bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/part=*").withColumn("_late", F.lit(name == "late"))
+    apply = streams.recheck_pairs_into(f"{tmp_path}/found", ["k"], "at", 20)
+    twice = lambda batch, number: [apply(batch, number) for _ in range(2)]  # noqa: E731  a replay changes nothing
+    streams.run_available(source("feed").unionByName(source("late")), twice, f"{tmp_path}/cp").awaitTermination()
+    found = spark.read.schema("k bigint, at bigint, resolved boolean, batch int, open boolean").parquet(f"{tmp_path}/found/rows")
+    got = [(r.k, r.resolved) for r in found.where("NOT open").collect()]
+    near = {k for k, seen in late if k <= seen <= k + 20}
+    assert len(got) == len(dict(got)) and all(was == (k in near) for k, was in got) and {k for k, _ in rows if k < 3900} <= {k for k, _ in got}
+    assert max(r["count"] for r in found.where("open").groupBy("batch").count().collect()) < 30
+    assert spark.read.parquet(f"{tmp_path}/found/seen").groupBy("batch").count().agg(F.max("count")).first()[0] < 30
